@@ -111,7 +111,7 @@ def repeated_filter(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
     """Bits (rows x counters / 8) of the counters that reached two, and the width as a power of two. Its size is fixed
     by WIDEST, whatever the input: past some 10 ** 9 windows it passes more of them, and the second pass does more."""
     n_bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    width = min(WIDEST, max(BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * 2)))))
+    width = min(WIDEST, max(BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * 4)))))
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_sketch(size, width), "row int, block int, count int, cells binary")
     full = parts.repartition("row", "block").mapInArrow(_merged, "row int, block int, bits binary")
     bits = np.zeros((DEPTH, 1 << (width - 3)), np.uint8)
@@ -156,7 +156,8 @@ def _candidates(size: int, width: int, shared):
             later = ids[doc] > least
             # of the smallest document each text's first place stands for all its places
             again = np.r_[False, ~new[1:] & (doc[1:] == doc[:-1])]
-            one = ~later & ~again
+            one = np.flatnonzero(~later & ~again)
+            one = one[np.lexsort((at[one], doc[one]))]  # by document, which packs better
             # certain ones, as runs of places
             o = np.lexsort((at[later], doc[later]))
             d, p = doc[later][o], at[later][o]
@@ -165,7 +166,7 @@ def _candidates(size: int, width: int, shared):
             n = np.diff(np.r_[first, len(d)])
             d, p = d[first], p[first]
             own = mix(ids[d].astype(U64) ^ mix(p.astype(U64))).view(np.int64)
-            out = [np.r_[a[one].view(np.int64), own], np.r_[b[one].view(np.int64), p], np.r_[ids[doc[one]], ids[d]], np.r_[hashes[doc[one]], hashes[d]], np.r_[at[one], p].astype(np.int32), np.r_[np.zeros(int(one.sum()), np.int32), n].astype(np.int32)]
+            out = [np.r_[a[one].view(np.int64), own], np.r_[b[one].view(np.int64), p], np.r_[ids[doc[one]], ids[d]], np.r_[hashes[doc[one]], hashes[d]], np.r_[at[one], p].astype(np.int32), np.r_[np.zeros(len(one), np.int32), n].astype(np.int32)]
             for k in range(0, len(out[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in out], ["a", "b", "did", "th", "at", "n"])
 
