@@ -5,8 +5,9 @@ there on (the least doc_id). Representatives get the minima of BANDS x ROWS univ
 share a bucket. Within a bucket every document is held against a centre, not against every other: pairs whose signatures
 agree enough are confirmed on their full sets, the links go into connected components by alternating large-star and
 small-star, and buckets whose documents already share a component are done. After STARS such rounds, each with other
-centres, the pairs left over (same bucket, different components) are all confirmed, so that no link between components
-of one bucket is lost.
+centres, the buckets left over are closed exactly: documents that share one, directly or through others, are a cluster;
+a cluster is cut into chunks, and each task counts the common shingles of two chunks by one product of their incidence
+matrices, and returns only links that join components. So no link of a bucket is lost, and no pairs are written.
 
 Defined results: a null text, or one without words, has an empty set, and is its own group; a text of fewer than five
 words has one shingle, the whole sequence; a missing doc_id counts as the largest; rows of one doc_id but other texts are
@@ -30,7 +31,9 @@ BANDS, ROWS = 24, 4
 #: How far below the threshold the share of agreeing minima may lie (over five standard deviations).
 SLACK = 0.23
 #: Rounds with one centre a bucket, before all that is left is compared.
-STARS = 3
+STARS = 2
+#: Documents of a chunk; shingles of a product.
+CHUNK, COLUMNS = 512, 4096
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +120,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("x", "y")
 
 
+def _linked(dids: np.ndarray, roots: np.ndarray, chunks: np.ndarray, lists: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different roots, as few as join the same components."""
+    n = np.array([len(x) for x in lists], np.int64)
+    s, at = np.unique(np.concatenate(lists), return_inverse=True)
+    doc = np.repeat(np.arange(len(n)), n)
+    more = np.bincount(at, minlength=len(s)) > 1
+    place = np.cumsum(more) - 1
+    doc, at = doc[more[at]], place[at[more[at]]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    common = np.zeros((len(n), len(n)), np.float32)
+    for lo in range(0, int(more.sum()), COLUMNS):
+        f, t = np.searchsorted(at, (lo, lo + COLUMNS))
+        m = np.zeros((len(n), COLUMNS), np.float32)
+        m[doc[f:t], at[f:t] - lo] = 1
+        common += m @ m.T
+    c = np.rint(common).astype(np.int64)
+    x, y = np.nonzero(np.triu((100 * c >= percent * (n[:, None] + n[None, :] - c)) & (roots[:, None] != roots[None, :]), 1))
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(int(roots[i])), top(int(roots[j]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((int(dids[i]), int(dids[j])))
+    return out
+
+
+def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between documents of different roots that share a bucket of left (band, key, did, root), directly or
+    through others; all that are needed to join components that any of their links joins."""
+    least = left.groupBy("band", "key").agg(F.min("did").alias("y"))
+    cluster = stored(components(left.join(least, ["band", "key"]).select(F.col("did").alias("x"), "y").distinct()), "clusters")
+    size = cluster.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
+    rows = cluster.join(size, "root").select(F.col("node").alias("did"), F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("chunk"), "m")
+    rows = sets.select("did", "shingles").join(left.select("did", "root").distinct(), "did").join(rows, "did")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "did", "root", "shingles")
+    key = ["cluster", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        now = None
+
+        def done() -> pa.RecordBatch:
+            links = _linked(np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held]), [r[3] for r in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array([max(a) for a in links], pa.int64()), pa.array([min(a) for a in links], pa.int64())], ["x", "y"])
+
+        for batch in batches:
+            c, i, j, chunk, did, root, lists = batch.columns
+            for k in range(batch.num_rows):
+                this = (c[k].as_py(), i[k].as_py(), j[k].as_py())
+                if this != now and held:
+                    yield done()
+                    held = []
+                now = this
+                held.append((did[k].as_py(), root[k].as_py(), chunk[k].as_py(), lists[k].values.to_numpy()))
+        if held:
+            yield done()
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "x bigint, y bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's least reachable node, by alternating large-star and small-star until nothing changes.
     Edges are (x, y), in either direction; nodes without edges aren't returned."""
@@ -159,14 +231,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc
     roots = None
     for k in range(STARS + 1):
         if k < STARS:
-            pick = F.min("did") if k == 0 else F.min_by("did", F.xxhash64("did", F.lit(k), *(["band"] if k > 1 else [])))
-            centre = left.groupBy("band", "key").agg(pick.alias("y"), F.min_by("root", F.col("did") if k == 0 else F.xxhash64("did", F.lit(k), *(["band"] if k > 1 else []))).alias("root_y"))
+            rank = F.col("did") if k == 0 else F.xxhash64("did", F.lit(k))
+            centre = left.groupBy("band", "key").agg(F.min_by("did", rank).alias("y"), F.min_by("root", rank).alias("root_y"))
             pairs = left.join(centre, ["band", "key"]).filter("root <> root_y")
+            pairs = pairs.select(F.greatest("did", "y").alias("x"), F.least("did", "y").alias("y")).distinct()
+            new = stored(confirmed(pairs, sets, percent), "links")
         else:
-            other = left.select("band", "key", F.col("did").alias("y"), F.col("root").alias("root_y"))
-            pairs = left.join(other, ["band", "key"]).filter("root < root_y")
-        pairs = pairs.select(F.greatest("did", "y").alias("x"), F.least("did", "y").alias("y")).distinct()
-        new = stored(confirmed(pairs, sets, percent), "links")
+            new = stored(block_links(sets, left, percent), "links")
         edges = new if roots is None else new.unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
         roots = components(edges)
         if k < STARS:
