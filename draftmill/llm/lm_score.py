@@ -18,6 +18,7 @@ empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,14 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import STEP_BYTES, U64, Words, buffers, steps, stored
+from draftmill.llm._text import U64, Words, buffers, steps, stored
 
 #: Words of the softmax, words of a class, kinds of rare tokens, units; tokens whose counts are sent to the executors.
-WORDS, CLASS, KINDS, UNITS, HOT = 2048, 64, 32, 16, 200_000
+WORDS, CLASS, KINDS, UNITS, HOT = 1024, 32, 32, 12, 200_000
 #: The driver's sample: documents, passes. Steps of a training window, documents read side by side, learning rates.
-SAMPLE, PASSES, STEPS, LANES, RATE, LOCAL_RATE = 400, 6, 16, 512, 0.02, 0.05
+SAMPLE, PASSES, STEPS, LANES, RATE, LOCAL_RATE = 400, 6, 32, 256, 0.02, 0.05
 #: Positions whose outputs are computed at once when scoring, documents side by side, rows of a softmax over classes.
 AT_ONCE, SIDE, ROWS = 1 << 15, 2048, 2048
+#: Documents that a partition's pass takes at a time.
+PIECE = 8192
 #: Weights in a row of the table of a partition's weights.
 CHUNK = 1024
 #: Logits are held below this instead of being shifted by their maximum.
@@ -170,32 +173,30 @@ class ClassGRU:
         rng, mean = np.random.default_rng(seed), 0.0
         sums = self.sums = self.sums or {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
         for _ in range(passes):
-            order, size = rng.permutation(len(docs)), np.zeros(lanes, np.int64)
-            lane: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-            for i in order:
-                k = int(size.argmin())
-                lane[k].append(docs[i])
-                size[k] += len(docs[i])
-            top = -(-int(size.max()) // steps) * steps
-            x, y = np.full((top, lanes), end, np.int64), np.full((top, lanes), end, np.int64)
-            mask, fresh = np.zeros((top, lanes), bool), np.zeros((top, lanes), bool)
-            for k, own in enumerate(lane):
-                at = 0
-                for d in own:
-                    x[at + 1 : at + len(d), k] = d[:-1]
-                    y[at : at + len(d), k] = d
-                    fresh[at, k] = True
-                    at += len(d)
-                mask[:at, k] = True
-            s, losses = np.zeros((lanes, self.units), np.float32), []
-            for k in range(0, top, steps):
-                live = mask[k].copy()
-                if not live.all():  # lanes that have ended are left out
-                    x_, y_, m_, f_ = x[k : k + steps, live], y[k : k + steps, live], mask[k : k + steps, live], fresh[k : k + steps, live]
-                    loss, grad, part = self.window(x_, y_, m_, f_, s[live], lanes)
-                    s[live] = part
-                else:
-                    loss, grad, s = self.window(x[k : k + steps], y[k : k + steps], mask[k : k + steps], fresh[k : k + steps], s, lanes)
+            # the longest first, each to the lane with the least, so that lanes end together; then in any order
+            size, lane = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
+            heap = [(0, k) for k in range(lanes)]
+            for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+                n, k = heap[0]
+                lane[k].append(i)
+                size[k] = n + len(docs[i])
+                heapq.heapreplace(heap, (int(size[k]), k))
+            order = [own[i] for own in lane for i in rng.permutation(len(own))]
+            flat = np.concatenate([docs[i] for i in order] or [np.zeros(0, np.int32)])
+            lens = np.array([len(docs[i]) for i in order], np.int64)
+            head = np.zeros(len(flat), bool)
+            head[np.cumsum(lens) - lens] = True
+            start = np.cumsum(size) - size
+            s, losses, k = np.zeros((lanes, self.units), np.float32), [], 0
+            while (live := size > k).any():  # lanes that have ended are left out
+                place = k + np.arange(steps)[:, None]
+                real = place < size[live]
+                at = np.where(real, start[live] + place, start[live])
+                y, fresh = flat[at], head[at] & real
+                x = np.where(fresh, end, flat[np.maximum(at - 1, 0)])
+                k += steps
+                loss, grad, part = self.window(x, y, real, fresh, s[live], lanes)
+                s[live] = part
                 losses += [loss] if live.all() else []
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
                 clip = np.float32(min(1.0, 2.0 / max(norm, 1e-9)))
@@ -249,7 +250,7 @@ class ClassGRU:
 class Lexicon:
     """The HOT tokens by rank, with their counts and the model's ids; found by 64 bits of hash in an open table."""
 
-    def __init__(self, tokens: list[bytes], counts: list[int], words: int):
+    def __init__(self, tokens: list[bytes], counts: np.ndarray | list[int], words: int):
         self.counts = np.array(counts, np.int64)
         self.words = min(words, len(tokens))
         n = np.arange(len(tokens))
@@ -290,7 +291,7 @@ class Lexicon:
         n = len(w.n_words)
         bounds = w.bounds + np.arange(n + 1)
         places = np.arange(len(h)) + np.repeat(np.arange(n), w.n_words)
-        ranks, ids = np.full(len(h) + n, self.end_rank, np.int64), np.full(len(h) + n, self.end, np.int64)
+        ranks, ids = np.full(len(h) + n, self.end_rank, np.int32), np.full(len(h) + n, self.end, np.int32)
         r = self.find(h)
         ranks[places] = r
         # a zero key also stands for an empty place, whose rank is -1
@@ -341,8 +342,8 @@ def _averaged(docs: DataFrame, text: str, shared, net: ClassGRU) -> np.ndarray |
         lexicon, own = shared.value
         tokens = 0
         for batch in batches:
-            docs = encoded(lexicon, batch.column(0))
-            if docs:
+            for at in range(0, batch.num_rows, PIECE):
+                docs = encoded(lexicon, batch.column(0).slice(at, PIECE))
                 own.train(docs, lexicon.end, LOCAL_RATE, seed=len(docs))
                 tokens += sum(map(len, docs))
         if tokens:
@@ -377,9 +378,9 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
     counts = stored(token_counts(train, text), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = np.log(total + 0.5 * (distinct + 1))
-    hot = counts.orderBy(F.desc("c"), "token").limit(HOT).collect()
-    tokens = [bytes(r["token"]) for r in hot]
-    lexicon = Lexicon(tokens, [r["c"] for r in hot], WORDS)
+    hot = counts.orderBy(F.desc("c"), "token").limit(HOT).toArrow()
+    tokens = hot.column("token").to_pylist()
+    lexicon = Lexicon(tokens, hot.column("c").to_numpy(), WORDS)
     # what the rare tokens of each kind make up: of all but the vocabulary
     vocabulary = lexicon.words
     kinds = F.when(F.length("token") > 0, F.conv(F.hex(F.substring("token", 1, 1)), 16, 10).cast("int") % KINDS).otherwise(0)
@@ -406,28 +407,27 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
         log_counts = np.log(lexicon.counts + 0.5) if len(lexicon.counts) else np.zeros(1)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            for lo, hi in steps(data, offsets, 8 * STEP_BYTES):
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            none = lambda kind, k: pa.nulls(k, kind)
+            texts: list[np.ndarray] = []
+            base, more, n_known = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            for lo, hi in steps(data, offsets):
                 w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], True)
                 h = w.hashes(1)
                 ranks, ids, bounds = lexicon.encode(w, h)
-                m = hi - lo
-                doc = np.repeat(np.arange(m), np.diff(bounds))
-                n = np.diff(bounds)
+                m, n = hi - lo, np.diff(bounds)
+                doc = np.repeat(np.arange(m), n)
+                texts += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 known = ranks >= 0
                 if not total:
-                    base, more, n_known = n * (np.log(0.5) - below), np.zeros(m), np.zeros(m)
-                else:
-                    lc = log_counts[ranks[known]]
-                    base = np.bincount(doc[known], lc, m) - n * below
-                    beyond = known & (ranks >= lexicon.words)
-                    more = np.bincount(doc[beyond], log_counts[ranks[beyond]] - lexicon.rare[ids[beyond] - lexicon.words], m)
-                    n_known = np.bincount(doc[known], None, m)
-                scores = more + (net.score([ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], lexicon.end) if total else base)
-                none = lambda kind, k: pa.nulls(k, kind)
-                rows = np.arange(row, row + m)
-                row += m
-                yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), none(pa.binary(), m), none(pa.int32(), m), none(pa.int64(), m), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(scores.astype(np.float64))], _NAMES)
-                at = np.flatnonzero(ranks < 0) if total else np.zeros(0, np.int64)
+                    base[lo:hi] = n * (np.log(0.5) - below)
+                    continue
+                base[lo:hi] = np.bincount(doc[known], log_counts[ranks[known]], m) - n * below
+                beyond = known & (ranks >= lexicon.words)
+                more[lo:hi] = np.bincount(doc[beyond], log_counts[ranks[beyond]] - lexicon.rare[ids[beyond] - lexicon.words], m)
+                n_known[lo:hi] = np.bincount(doc[known], None, m)
+                at = np.flatnonzero(ranks < 0)
                 at = at[at != bounds[doc[at] + 1] - 1]  # an end that was never counted isn't looked up
                 if not len(at):
                     continue
@@ -439,7 +439,10 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
                 raw, word, of = w.data.tobytes(), word[new], of[new]
                 names = [raw[a:b] for a, b in zip(w.starts[word].tolist(), w.ends[word].tolist(), strict=True)]
                 m = len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[of]), none(pa.int64(), m), none(pa.bool_(), m), pa.array(names, pa.binary()), pa.array((w.data[w.starts[word]] % KINDS).astype(np.int32)), pa.array(k.astype(np.int64)), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.float64(), m)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[lo + of]), none(pa.int64(), m), none(pa.bool_(), m), pa.array(names, pa.binary()), pa.array((w.data[w.starts[word]] % KINDS).astype(np.int32)), pa.array(k.astype(np.int64)), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.float64(), m)], _NAMES)
+            m = len(rows)
+            scores = more + net.score(texts, lexicon.end) if total else base
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), none(pa.binary(), m), none(pa.int32(), m), none(pa.int64(), m), pa.array(np.array([len(x) for x in texts], np.int64)), pa.array(n_known), pa.array(base), pa.array(scores.astype(np.float64))], _NAMES)
 
     marked = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.expr(f"NOT ({learn_from})").alias("held_out"), F.col(text).cast("string").alias("text"))
     found = stored(marked.mapInArrow(run, _SCORED), "scores")
