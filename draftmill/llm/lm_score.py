@@ -8,7 +8,7 @@ on a bounded sample on the driver, then in every partition over all its training
 partitions' weights being averaged by their tokens. In training and scoring alike the state is carried from window to
 window to the end of a document, so a score is that of the complete text.
 
-Counts of the HOT most frequent tokens go to the executors (bounded); every other token of a document is looked up by a
+Counts of the most frequent tokens, HOT at most, go to the executors (bounded); every other token of a document is looked up by a
 join.
 
 Defined results: a null text is empty and has the end alone; with no training documents the base score is 0 for each
@@ -378,9 +378,18 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
     counts = stored(token_counts(train, text), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = np.log(total + 0.5 * (distinct + 1))
-    hot = counts.orderBy(F.desc("c"), "token").limit(HOT).toArrow()
-    tokens = hot.column("token").to_pylist()
-    lexicon = Lexicon(tokens, hot.column("c").to_numpy(), WORDS)
+    # at most HOT rows come here: those above the count, in fine steps of its logarithm, that so many tokens pass
+    fine = F.floor(F.log2("c") * 64).cast("int")
+    many, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(fine.alias("k")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["k"]):
+        many += r["v"]
+        if many > HOT:
+            break
+        least = r["k"]
+    hot = counts.filter(fine >= least).toArrow()
+    pairs = sorted(zip((-c for c in hot.column("c").to_pylist()), hot.column("token").to_pylist(), strict=True))
+    tokens = [t for _, t in pairs]
+    lexicon = Lexicon(tokens, [-c for c, _ in pairs], WORDS)
     # what the rare tokens of each kind make up: of all but the vocabulary
     vocabulary = lexicon.words
     kinds = F.when(F.length("token") > 0, F.conv(F.hex(F.substring("token", 1, 1)), 16, 10).cast("int") % KINDS).otherwise(0)
