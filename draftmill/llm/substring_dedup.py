@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,16 @@ def repeated_filter(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
     return bits, width
 
 
+_OPEN: list = []
+
+
+def _opened(shared) -> np.ndarray:
+    """The filter, unpacked once in each worker; it is sent packed as most of its bits are 0."""
+    if not (_OPEN and _OPEN[0] is shared):
+        _OPEN[:] = [shared, np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint8).reshape(DEPTH, -1)]
+    return _OPEN[1]
+
+
 _FOUND = "a bigint, b bigint, did bigint, th bigint, at int, n int"
 
 
@@ -129,7 +140,7 @@ def _candidates(size: int, width: int, shared):
     others, which are certain already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = _opened(shared)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -220,7 +231,8 @@ def removed_windows(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
     """(did, th, cuts): for each document that loses words, places (and run lengths) of the windows that also start in
     a document with a smaller doc_id. th: hash of the text, so that rows of one doc_id stay apart."""
     bits, width = repeated_filter(docs, text, size)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bits.tobytes()))
+    del bits
     keyed = docs.select(ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     found = keyed.mapInArrow(_candidates(size, width, shared), _FOUND)
     # in a partition a key comes once for a batch at most, so a very common passage doesn't fill one task
