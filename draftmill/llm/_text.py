@@ -7,6 +7,8 @@ and no ASCII byte is part of a longer UTF-8 sequence.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -84,6 +86,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 def steps(data: np.ndarray, offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about `most` bytes."""
+    tidy()
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
@@ -92,6 +95,13 @@ def steps(data: np.ndarray, offsets: np.ndarray, most: int = STEP_BYTES) -> Iter
         first = last
 
 
+def tidy() -> None:
+    """Gives freed memory back: workers are used again by later stages, which find it taken otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a run of documents, optionally with A-Z lowered."""
 

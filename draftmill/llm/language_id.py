@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import buffers
+from draftmill.llm._text import buffers, tidy
 
 #: Bounds of the training sample; bytes of a segment; units of a direction.
 PER_LANGUAGE, SEGMENTS, SEGMENT, UNITS = 300, 700, 64, 8
 EPOCHS, BATCH, RATE = 10, 128, 0.02
 #: Bytes that are read side by side.
-SIDE = 8192 * SEGMENT
+SIDE = 4096 * SEGMENT
 
 
 class ByteGRU:
@@ -176,6 +176,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, segments: int = S
 
 def pooled(net: ByteGRU, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean probabilities (documents x classes) over all positions of each whole text."""
+    tidy()
     n_bytes = np.diff(offsets)
     counts = (n_bytes + SEGMENT - 1) // SEGMENT
     doc = np.repeat(np.arange(len(counts)), counts)

@@ -30,7 +30,7 @@ WINDOW = 50
 #: Rows of the sketch, and the counters of a row at most (2 ** 29: the merged filter then is 128 MB).
 DEPTH, WIDEST = 2, 29
 #: Counters of a block, as a power of 2; windows that a task counts before it writes its sketch out.
-BLOCK, FLUSH = 18, 4_000_000
+BLOCK, FLUSH = 18, 2_000_000
 _SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89))
 
 
