@@ -12,6 +12,7 @@ other in the order of their texts' hashes; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from draftmill.llm._text import ident, runs, stored
 #: Appended to every document; ids of a shard, after which the next document starts a new one.
 END, SHARD_TOKENS = 2, 2_000_000
 #: Runs of text that a task remembers at most; a full table is emptied, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 _MAGIC = b"WVMX1\0\0\0"
 
 
@@ -138,6 +139,7 @@ class LibraryEncoder:
     looks across white space: its words hold none, and its special tokens neither hold nor strip any)."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
