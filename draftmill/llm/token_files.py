@@ -23,13 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import ident, runs, stored
+from draftmill.llm._text import _LOWER, _WHITE, buffers, ident, steps, stored
 
 #: Appended to every document; ids of a shard, after which the next document starts a new one.
 END, SHARD_TOKENS = 2, 2_000_000
-#: Runs of text that a task remembers at most; a full table is emptied, which changes no result.
+#: Pieces of text that a worker remembers (a step may add its own); a full table is emptied, which changes no result.
 REMEMBERED = 700_000
+#: Pieces that the library gets in one text; bytes of text in a step.
+TOGETHER, STEP = 256, 4 << 20
 _MAGIC = b"WVMX1\0\0\0"
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 class WaveletMatrix:
@@ -135,33 +140,89 @@ class WaveletMatrix:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each run of text between ASCII white space (no rule of the vocabulary file
-    looks across white space: its words hold none, and its special tokens neither hold nor strip any)."""
+    """The tokenizers library, asked once for each distinct piece of a text.
+
+    Pieces are the text between ASCII white space, cut once more where an ASCII letter meets ASCII punctuation, with A-Z
+    lowered: the vocabulary's rules lower everything, join no letter with punctuation and compose no two of these
+    characters. Only the names of its special tokens may lie across such a cut, and those begin with "<|": where a step
+    has these two characters, it is cut at white space alone and left as written.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._seen: dict[str, tuple[int, ...]] = {}
         self.size = self._library.get_vocab_size()
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        parts = [runs(x) for x in texts]
-        if len(self._seen) > REMEMBERED:
-            self._seen.clear()
-        seen = self._seen
-        new = list({s for p in parts for s in p if s not in seen})
-        for s, e in zip(new, self._library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            seen[s] = tuple(e.ids)
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for s in p:
-                ids += seen[s]
-            ids.append(END)
-            out.append(ids)
-        return out
+        self._last = np.zeros(max(self._library.get_vocab().values()) + 1, bool)  # ids that end a word
+        self._last[[i for s, i in self._library.get_vocab().items() if s.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        """Entry 0 is the end id."""
+        self._entry: dict[str, int] = {}
+        self._ids, self._starts, self._lens = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Appends the ids of pieces not met before. Pieces of letters alone are asked for many at a time: each is one
+        word of the vocabulary's rules, so its last id is the first that ends a word; any other outcome is asked again
+        piece by piece."""
+        plain = [s for s in new if s.isalpha()]
+        other = [s for s in new if not s.isalpha()]
+        lens: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        order: list[str] = []
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self._library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self._last[got])
+            if len(ends) == len(group) and ends[-1] == len(got) - 1:
+                order += group
+                ids.append(got)
+                lens.append(np.diff(ends, prepend=-1))
+            else:
+                other += group
+        each = [e.ids for e in self._library.encode_batch_fast(other, add_special_tokens=False)]
+        order += other
+        lens.append(np.array([len(x) for x in each], np.int64))
+        ids.append(np.array([i for x in each for i in x], np.uint32))
+        more = np.concatenate(lens)
+        for k, s in enumerate(order, len(self._lens)):
+            self._entry[s] = k
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(more) - more])
+        self._lens = np.concatenate([self._lens, more])
+        self._ids = np.concatenate([self._ids, *ids])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents with their end ids, and where each document starts (and the last ends)."""
+        if len(self._entry) > REMEMBERED:
+            self._clear()
+        n = len(data)
+        word = ~_WHITE[data]
+        start = np.ones(n, bool)
+        start[1:] = ~word[:-1]
+        if not (data[1:][data[:-1] == ord("<")] == ord("|")).any():
+            start[1:] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
+            data = _LOWER[data]
+        start[offsets[offsets < n]] = True
+        start &= word
+        at = np.flatnonzero(start)
+        body = data[word]
+        if not len(at):
+            return np.full(len(offsets) - 1, END, np.uint32), np.arange(len(offsets))
+        begins = np.r_[np.cumsum(word, dtype=np.int64)[at] - 1, len(body)]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(begins), pa.py_buffer(body)]).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        new = [s for s in names if s not in self._entry]
+        if new:
+            self._learn(new)
+        entry = np.fromiter((self._entry[s] for s in names), np.int64, len(names))
+        bounds = np.searchsorted(at, offsets)
+        seq = np.insert(entry[pieces.indices.to_numpy()], bounds[1:], 0)
+        lens = self._lens[seq]
+        ends = np.cumsum(lens)
+        flat = self._ids[np.repeat(self._starts[seq] - ends + lens, lens) + np.arange(ends[-1])]
+        return flat, np.r_[0, ends[bounds[1:] + np.arange(len(bounds) - 1)]]
 
 
 _READY: dict[str, LibraryEncoder] = {}
@@ -197,12 +258,14 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = S
             return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([made], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([WaveletMatrix.build(flat, bits).dumps(lengths)], pa.binary())], ["first", "shard", "ids", "n_tokens", "payload"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
-                for i, x in zip(b.column(0).to_pylist(), library.encode(b.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    rows.append(np.array(x, np.uint32))
-                    n += len(x)
+            data, offsets = buffers(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for a, b in steps(data, offsets, STEP):
+                flat, at = library.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k in range(a, b):
+                    ids.append(names[k])
+                    rows.append(flat[at[k - a] : at[k - a + 1]])
+                    n += len(rows[-1])
                     if n >= shard_tokens:
                         yield shard()
                         ids, rows, n, made = [], [], 0, made + 1

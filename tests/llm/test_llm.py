@@ -176,6 +176,19 @@ def test_token_files(docs, rows, library):
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
 
 
+def test_library_pieces(library):
+    """Cuts, lowering and joint requests give what the library gives for the whole text."""
+    r = random.Random(8)
+    odd = ["'s", "'LL", "t", "T", "re", "Ab", "x", ".", ",", "<", "|", ">", "<|endoftext|>", "<|STARTOFTEXT|>", "7", "é", "É", "e\u0301", "\u0301", "Σ", "İ", "ǅ", "東", "ª", "²", "½", " ", "  ", "\n", "\u00a0", "\x1c", "\u2028", "…", "$$", "-", "_", "\x00", "\u200d", "K", "ﬁ", "𝐀"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    encoder = token_files._ready(token_files._vocabulary())
+    for some in ([x] for x in texts[:300]), ([x for x in texts if "<" not in x],), (texts,), ([None, "", " "],):
+        for group in some:
+            raw = [(x or "").encode() for x in group]
+            flat, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            assert [list(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [[*e.ids, 2] for e in library.encode_batch([x or "" for x in group], add_special_tokens=False)]
+
+
 def test_wavelet_matrix():
     x = np.random.default_rng(1).integers(0, 700, 5000)
     w, _ = token_files.WaveletMatrix.loads(token_files.WaveletMatrix.build(x, 10).dumps(np.array([5000])))
