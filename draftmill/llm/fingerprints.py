@@ -1,13 +1,14 @@
 """Document fingerprints by closed syncmers (operator 8), with DataFrame functions only.
 
-The alphabet is that of words `[^\\x20\\x09-\\x0D]+`, each as 64 bits. Of every run of K words, the hashes of its inner
-runs of S words are compared; the run is an anchor if the least of them is the first or the last. Whether a run is an
-anchor depends on its own words alone, so an edit changes the anchors of the runs that it touches and no others. The
+The alphabet is that of characters, with runs of blanks `[\\x20\\x09-\\x0D]` as one blank and none at the ends. Of every
+run of K characters, the hashes of its inner runs of S characters are compared; the run is an anchor if the least of
+them is the first or the last. Whether a run is an anchor depends on its own characters alone, so an edit changes the
+anchors of the runs that it touches and no others; of any 2 K - S - 1 characters one run at least is an anchor. The
 fingerprint is the anchors' hashes in text order (8 hex digits each); a likeness is the Jaccard index of two documents'
 anchors.
 
-Defined results: a null text counts as empty; a text without words has no anchors, one of fewer than K words has one,
-the whole sequence; two fingerprints without anchors are alike (1); a missing doc_id counts as the largest; among rows
+Defined results: a null text counts as empty; a text of blanks alone has no anchors, one of fewer than K characters has
+one, the whole text; two fingerprints without anchors are alike (1); a missing doc_id counts as the largest; among rows
 of one doc_id the hash of the text gives the order; a single document is its own next; extra columns are ignored.
 """
 
@@ -18,29 +19,42 @@ from pyspark.sql import functions as F
 
 from draftmill.llm._text import ident
 
-#: Words of a run and of its inner runs.
-K, S = 8, 2
+#: Characters of a run and of its inner runs; the inner runs between the first and the last are 2 ** k.
+K, S = 8, 3
 #: Documents of a range of ids, and the most ranges; their bounds go to the executors.
 RANGE_ROWS, RANGES = 100, 4096
 _BLANKS = " \t\n\x0b\f\r"
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once: a lambda's variable holds the value itself, without a copy for each access."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the column `name`, the anchors of the text in text order. Each step is a column of its own, as an inlined
-    array would be computed once for each use."""
-    h, g = f"__h_{name}", f"__g_{name}"
-    n_inner = K - S + 1
-    trimmed = F.btrim(F.col(text), F.lit(_BLANKS))
-    df = df.withColumn(h, F.when(trimmed != "", F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(g, F.when(F.size(h) >= K, F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))))
-
-    def anchor(i: Column) -> Column:
-        at = lambda k: F.get(F.col(g), i + k)
-        # every second inner run: together they cover the K words
-        return F.when(F.least(at(0), at(n_inner - 1)) <= F.least(*[at(k) for k in range(1, n_inner - 1)]), F.xxhash64(*[at(k) for k in range(0, n_inner, S)]))
-
-    chosen = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(g) - n_inner), anchor))
-    return df.withColumn(name, F.when(F.col(g).isNotNull(), chosen).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))).drop(h, g)
+    """Adds the column `name`, the anchors of the text in text order. The text goes in four bytes a character, so that
+    a run is cut out without a scan from the text's start."""
+    plain, n_inner = f"__t_{name}", K - S + 1
+    long = lambda u, i, n: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * n)))
+    df = df.withColumn(plain, F.regexp_replace(F.btrim(F.col(text), F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " "))
+    n = F.length(plain)
+
+    def halved(h: Column, d: int) -> Column:
+        return _let(h, lambda x: F.zip_with(x, F.slice(x, F.lit(1 + d), F.size(x)), lambda a, b: F.least(a, b)))
+
+    def least(h: Column, span: int) -> Column:
+        """Of each place the least of the `span` values (a power of 2) from there on."""
+        return h if span == 1 else halved(least(h, span // 2), span // 2)
+
+    def chosen(u: Column) -> Column:
+        def of(h: Column) -> Column:
+            ends = lambda i: F.least(F.get(h, i), F.get(h, i + (n_inner - 1)))
+            return _let(least(h, n_inner - 2), lambda m: F.array_compact(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(ends(i) <= F.get(m, i + 1), long(u, i, K)))))
+
+        return _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
+
+    none = F.array().cast("array<bigint>")
+    return df.withColumn(name, F.when(n >= K, _let(F.encode(plain, "UTF-32"), chosen)).when(n > 0, F.array(F.xxhash64(plain))).otherwise(none)).drop(plain)
 
 
 def likeness(a: str, b: str) -> Column:

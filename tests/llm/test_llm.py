@@ -233,6 +233,26 @@ def test_fingerprints(docs, rows):
     assert 0.5 < len(a & b) / len(a | b) < 1
 
 
+def test_fingerprints_of_short_and_unspaced_texts(spark):
+    a, b = "mild winter brings rain", "東京都の図面を読み取り、表題欄の値を確かめてから保存する"
+    pairs = [(a, a[:12] + "/0123456789"), (b, b[:14] + "x" * 14), ("ab  \t cd efghij", "ab cd efghij"), (a, "zzyyxxwwvvuuttssrrqqpp")]
+    df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(pairs, "p string, q string"), "p", "x"), "q", "y")
+    got = [r[0] for r in df.select(fingerprints.likeness("x", "y")).collect()]
+    assert 0 < got[0] < 1 and 0 < got[1] < 1 and got[2] == 1 and got[3] == 0
+    # closed syncmers by their definition: every window of 2 K - S - 1 characters has one
+    text = "".join(random.Random(4).choice("abé東 x") for _ in range(400)).strip()
+    plain = re.sub(" +", " ", text)
+    k, s = fingerprints.K, fingerprints.S
+    rows = [(i, plain[i : i + k]) for i in range(len(plain) - k + 1)]
+    inner = spark.createDataFrame([(i, [("".join(r[j : j + s])) for j in range(k - s + 1)], r) for i, r in rows], "i int, inner array<string>, r string")
+    utf32 = "xxhash64(encode({}, 'UTF-32'))".format
+    want = inner.selectExpr("i", f"transform(inner, z -> {utf32('z')}) h", f"{utf32('r')} v").filter("array_min(h) = h[0] or array_min(h) = h[size(h) - 1]").orderBy("i").collect()
+    own = fingerprints.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "x").first()["x"]
+    assert own == [r["v"] for r in want]
+    at = [-1, *(r["i"] for r in want), len(rows)]
+    assert max(y - x for x, y in zip(at, at[1:])) <= k - s
+
+
 def test_language_id(spark):
     r = random.Random(1)
     make = lambda alphabet: " ".join("".join(r.choice(alphabet) for _ in range(5)) for _ in range(40))
