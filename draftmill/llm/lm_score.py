@@ -8,7 +8,7 @@ on a bounded sample on the driver, then in every partition over all its training
 partitions' weights being averaged by their tokens. In training and scoring alike the state is carried from window to
 window to the end of a document, so a score is that of the complete text.
 
-Counts of the most frequent tokens, HOT at most, go to the executors (bounded); every other token of a document is looked up by a
+Counts of the most frequent tokens, HOT at most and the end, go to the executors (bounded); every other token of a document is looked up by a
 join.
 
 Defined results: a null text is empty and has the end alone; with no training documents the base score is 0 for each
@@ -386,7 +386,8 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
         if many > HOT:
             break
         least = r["k"]
-    hot = counts.filter(fine >= least).toArrow()
+    # the end is always among them, as it has no text to be looked up by
+    hot = counts.filter((fine >= least) | (F.col("token") == F.lit(END))).toArrow()
     pairs = sorted(zip((-c for c in hot.column("c").to_pylist()), hot.column("token").to_pylist(), strict=True))
     tokens = [t for _, t in pairs]
     lexicon = Lexicon(tokens, [-c for c, _ in pairs], WORDS)
@@ -437,7 +438,6 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
                 more[lo:hi] = np.bincount(doc[beyond], log_counts[ranks[beyond]] - lexicon.rare[ids[beyond] - lexicon.words], m)
                 n_known[lo:hi] = np.bincount(doc[known], None, m)
                 at = np.flatnonzero(ranks < 0)
-                at = at[at != bounds[doc[at] + 1] - 1]  # an end that was never counted isn't looked up
                 if not len(at):
                     continue
                 word = at - doc[at]

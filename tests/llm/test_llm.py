@@ -293,6 +293,17 @@ def test_lm_score(docs, rows):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_lm_score_of_long_texts(spark, monkeypatch):
+    """The end counts where more words than HOT are more frequent than it."""
+    monkeypatch.setattr(lm_score, "HOT", 4)
+    rows = [(i, " ".join(f"w{k % 9}" for k in range(200 + i))) for i in range(3)]
+    c = Counter(w for _, t in rows for w in [*words(t), b""])
+    n, v = sum(c.values()), len(c)
+    want = {i: (len(words(t)) + 1, round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(t), b""]), 4)) for i, t in rows}
+    out = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), "true").collect()
+    assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 4)) for r in out} == want and all(r["score"] < 0 for r in out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
