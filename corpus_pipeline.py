@@ -30,11 +30,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least doc_id stays."""
+    """Of each group of near duplicates one row stays: that of the least doc_id (a missing one is the largest), among
+    rows of one doc_id that of the least hash of its text, and one of equal rows. Every row has a key of its own."""
     ship(spark)
-    found = near_dedup.near_duplicates(docs, NEAR)
-    kept = found.filter("did = component").select(F.col("did").alias("__kept")).distinct()
-    return docs.join(kept, ident() == F.col("__kept"), "left_semi").select(*COLUMNS)
+    own = (F.monotonically_increasing_id().alias("__key"), ident().alias("__did"), F.xxhash64(F.col("text").cast("string")).alias("__th"))
+    docs = stored(docs.select(*COLUMNS, *own), "keyed")
+    found = near_dedup.near_duplicates(docs, NEAR, doc_id="__key").select(F.col("did").alias("__key"), "component")
+    first = F.min(F.struct("__did", "__th", "__key")).alias("m")
+    kept = docs.select("__key", "__did", "__th").join(found, "__key").groupBy("component").agg(first).select(F.col("m.__key").alias("__key"))
+    return docs.join(kept, "__key", "left_semi").select(*COLUMNS)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

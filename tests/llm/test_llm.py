@@ -304,6 +304,18 @@ def test_lm_score_of_long_texts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 4)) for r in out} == want and all(r["score"] < 0 for r in out)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    para = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d = (para() for _ in range(4))
+    ids = [(None, a), (None, a + " more"), (None, b), (1, b), (2, c), (2, c), (3, c), (3, d)]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted((t[:len(a)], i) for i, t in got) == sorted([(a, None), (b, 1), (c, 2), (d, 3)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
