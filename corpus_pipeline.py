@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each of which calls one corpus operator.
 
 Every stage takes what the stage before it kept, as rows of documents (doc_id, text, lang, source, n_chars); the last
-returns the token ids. Empty tables go through all stages; rows of null text are rejected by the first.
+returns the token ids and a hash of the text decoded from them. Empty tables go through all stages; rows of null text are rejected by the first.
 """
 
 from __future__ import annotations
@@ -58,9 +58,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number."""
+    """doc_id, ids, sha256 of the text decoded from them, and their number."""
     ship(spark)
-    return bpe.encoded(docs).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    return bpe.round_trip(docs).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES = [
@@ -68,7 +68,7 @@ STAGES = [
     ("near-duplicate removal", drop_near_duplicates),
     ("passage removal", remove_passages),
     ("benchmark decontamination", drop_contaminated),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: The first stage is a trained network.

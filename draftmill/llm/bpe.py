@@ -232,6 +232,26 @@ def encoded(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, decoded_sha256: every document's token ids and the hash of the text decoded from them, in one pass."""
+    path = path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = ready(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                b = batch.slice(k, 512)
+                rows, hashes = [], []
+                for x in b.column(1).to_pylist():
+                    ids = t.encode(x)
+                    rows.append(np.asarray(ids, np.int32))
+                    hashes.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+                ends = np.cumsum([0, *map(len, rows)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows))), pa.array(hashes, pa.string())], ["doc_id", "ids", "decoded_sha256"])
+
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))
+
+
 def decoded(tokens: DataFrame, path: str | None = None, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id, text of every row of token ids."""
     path = path or vocabulary()

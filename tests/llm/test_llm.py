@@ -304,6 +304,17 @@ def test_lm_score_of_long_texts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 4)) for r in out} == want and all(r["score"] < 0 for r in out)
 
 
+def test_pipeline_decodes(spark, docs, rows, library):
+    import corpus_pipeline
+
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, ids, hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), len(ids)))
+    got = corpus_pipeline.encode(spark, docs, "").select("doc_id", "ids", "decoded_sha256", "n_tokens").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
