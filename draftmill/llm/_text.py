@@ -34,9 +34,12 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (in tests, where it is unset) one of our own."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a
+    folder of its own; a cluster is refused, as its executors could not reach a folder of this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="draftmill-")
         atexit.register(shutil.rmtree, d, True)
         spark.conf.set("spark.checkpoint.dir", d)
@@ -46,9 +49,45 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/draftmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/draftmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(df.sparkSession, df._stored_at)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes every table that this application has stored; results that aren't written or collected yet are lost."""
+    _delete(spark, f"{shared_dir(spark)}/draftmill-{spark.sparkContext.applicationId}")
+
+
+#: Rows that make a group heavy: this many, and more than this share of all rows.
+HEAVY_ROWS, HEAVY_SHARE = 1000, 1e-4
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the other columns of their group (null where there is none). groups: unique by keys, with the number
+    of rows in `copies`, which sum to `total` at most. Groups of more than HEAVY_SHARE of all rows, of which there are
+    no more than 1 / HEAVY_SHARE, are broadcast, so their rows stay where they are; only the others are shuffled. rows
+    is read twice and should be stored."""
+    least = max(HEAVY_ROWS, int(total * HEAVY_SHARE))
+    other = F.struct(*[c for c in groups.columns if c not in (*keys, "copies")])
+    packed = groups.select(*keys, "copies", other.alias("__g"))
+    heavy, light = packed.filter(F.col("copies") >= least).drop("copies"), packed.filter(F.col("copies") < least).drop("copies")
+    own = [*rows.columns, "__g.*"]
+    at_heavy = rows.join(F.broadcast(heavy), keys).select(*own)
+    at_light = rows.join(F.broadcast(heavy), keys, "left_anti").join(light, keys, "left").select(*own)
+    return at_heavy.unionByName(at_light)
 
 
 def ident(col: str = "doc_id") -> Column:

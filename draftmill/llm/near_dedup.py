@@ -7,11 +7,17 @@ agree enough are confirmed on their full sets, the links go into connected compo
 small-star, and buckets whose documents already share a component are done. After STARS such rounds, each with other
 centres, the buckets left over are closed exactly: documents that share one, directly or through others, are a cluster;
 a cluster is cut into chunks, and each task counts the common shingles of two chunks by one product of their incidence
-matrices, and returns only links that join components. So no link of a bucket is lost, and no pairs are written.
+matrices, and returns only links that join components. So that unlike texts which share a phrase don't run together into
+one cluster, the documents left over first get FINE_BANDS finer bands of FINE_ROWS hashes each, and clusters are closed
+over these. So no link of a bucket is lost, and no pairs are written.
+
+A node of the graph is a distinct set, not a doc_id, so rows without a doc_id, or of one doc_id, are linked only by
+their texts. Sets, buckets and components that hold many rows are broadcast instead of shuffled to one task.
 
 Defined results: a null text, or one without words, has an empty set, and is its own group; a text of fewer than five
-words has one shingle, the whole sequence; a missing doc_id counts as the largest; rows of one doc_id but other texts are
-held apart by their sets; extra columns are ignored; an empty table gives an empty result.
+words has one shingle, the whole sequence; a missing doc_id counts as the largest, so a component has no id only if no
+document of it has one; rows of one doc_id but other texts are held apart by their sets; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import NO_ID, U64, Words, _table, buffers, ident, mix, steps, stored, windows
+from draftmill.llm._text import NO_ID, U64, Words, _table, buffers, discard, ident, join_groups, mix, steps, stored, windows
 
 SHINGLE = 5
 #: Bands and hashes of a band: of pairs at 0.85, all but 4 in 10 million share a bucket; at 0.8, all but 3 in a million.
 BANDS, ROWS = 24, 4
+#: The same for documents left over: of pairs at 0.8, all but 3 in 100 million share a fine bucket.
+FINE_BANDS, FINE_ROWS = 96, 8
 #: How far below the threshold the share of agreeing minima may lie (over five standard deviations).
 SLACK = 0.23
 #: Rounds with one centre a bucket, before all that is left is compared.
@@ -57,64 +65,78 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return s[keep], np.searchsorted(doc[keep], np.arange(len(w.n_words) + 1))
 
 
-_A, _B = _table(BANDS * ROWS, 21), mix(np.arange(BANDS * ROWS, dtype=U64) + U64(77))
+def _universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    return _table(n, seed), mix(np.arange(n, dtype=U64) + U64(seed + 56))
+
 
+_COARSE, _FINE = _universal(BANDS * ROWS, 21), _universal(FINE_BANDS * FINE_ROWS, 1021)
 
-def minima(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(documents x BANDS * ROWS) minima of universal hashes (a * x + b, the upper 32 bits); no set may be empty."""
-    out = np.empty((len(bounds) - 1, BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
-        v = s * _A[k]
-        v += _B[k]
+
+def minima(s: np.ndarray, bounds: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] = _COARSE) -> np.ndarray:
+    """(documents x hashes) minima of universal hashes (a * x + b, the upper 32 bits); no set may be empty."""
+    a, b = hashes
+    out = np.empty((len(bounds) - 1, len(a)), np.uint32)
+    for k in range(len(a)):
+        v = s * a[k]
+        v += b[k]
         out[:, k] = np.minimum.reduceat(v, bounds[:-1]) >> U64(32)
     return out
 
 
-def _signatures(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for lo, hi in steps(data, offsets):
-                w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], True)
-                s, bounds = shingle_sets(w, size)
-                n = np.diff(bounds)
-                a, b = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
-                sig = np.zeros((hi - lo, BANDS * ROWS), np.uint32)
-                if len(full := np.flatnonzero(n)):
-                    edges = np.r_[bounds[:-1][full], len(s)]
-                    a[full] = np.add.reduceat(mix(s), edges[:-1])
-                    b[full] = np.add.reduceat(mix(s ^ U64(0x9E3779B97F4A7C15)), edges[:-1])
-                    sig[full] = minima(s, edges)
-                flat = sig.view(np.int32).ravel()
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["did", "n", "a", "b", "sig"])
+def _set_hashes(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each (not empty) set, as two sums over its shingles."""
+    return np.add.reduceat(mix(s), starts), np.add.reduceat(mix(s ^ U64(0x9E3779B97F4A7C15)), starts)
 
-    return run
 
+def _sets_of(size: int, signatures: bool):
+    """did, th, n, a, b of each text, and its signature or its shingles."""
 
-def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for lo, hi in steps(data, offsets):
                 w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], True)
                 s, bounds = shingle_sets(w, size)
-                full = np.flatnonzero(np.diff(bounds))
-                a = np.zeros(hi - lo, U64)
+                n = np.diff(bounds)
+                a, b = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
+                full = np.flatnonzero(n)
                 if len(full):
-                    a[full] = np.add.reduceat(mix(s), bounds[:-1][full])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))], ["did", "a", "shingles"])
+                    a[full], b[full] = _set_hashes(s, bounds[:-1][full])
+                if signatures:
+                    sig = np.zeros((hi - lo, BANDS * ROWS), np.uint32)
+                    if len(full):
+                        sig[full] = minima(s, np.r_[bounds[:-1][full], len(s)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(sig.view(np.int32).ravel()))
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["did", "th", "n", "a", "b", "sig" if signatures else "shingles"])
 
     return run
 
 
+def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, band, key) of the finer bands, from the stored shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            lists = part.column(2)
+            s = lists.flatten().to_numpy().view(U64)
+            bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            m = minima(s, bounds, _FINE).reshape(part.num_rows, FINE_BANDS, FINE_ROWS).astype(U64)
+            key = np.zeros(m.shape[:2], U64)
+            for k in range(FINE_ROWS):
+                key = mix(key ^ (m[:, :, k] + U64(k + 1)))
+            each = lambda c: np.repeat(part.column(c).to_numpy(), FINE_BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(each(0)), pa.array(each(1)), pa.array(np.tile(np.arange(FINE_BANDS, dtype=np.int32), part.num_rows)), pa.array(key.ravel().view(np.int64))], ["node", "root", "band", "key"])
+
+
 def _agreeing() -> Column:
     return F.expr("size(filter(zip_with(sig_x, sig_y, (p, q) -> p = q), e -> e))")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y), those whose signatures agree enough and whose full sets have 100 * common >= percent * all."""
-    s = lambda k: sets.select(F.col("did").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("shingles").alias(f"set_{k}"))
+    s = lambda k: sets.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("shingles").alias(f"set_{k}"))
     both = pairs.join(s("x"), "x").join(s("y"), "y").filter(_agreeing() >= int((percent / 100 - SLACK) * BANDS * ROWS))
     common = both.select("x", "y", F.size(F.array_intersect("set_x", "set_y")).cast("bigint").alias("c"), (F.size("set_x") + F.size("set_y")).cast("bigint").alias("n"))
     return common.filter(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("x", "y")
@@ -155,15 +177,19 @@ def _linked(dids: np.ndarray, roots: np.ndarray, chunks: np.ndarray, lists: list
 
 
 def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) between documents of different roots that share a bucket of left (band, key, did, root), directly or
-    through others; all that are needed to join components that any of their links joins."""
-    least = left.groupBy("band", "key").agg(F.min("did").alias("y"))
-    cluster = stored(components(left.join(least, ["band", "key"]).select(F.col("did").alias("x"), "y").distinct()), "clusters")
+    """Links (x, y) between nodes of different roots among those of left (node, root) that share a fine bucket, directly
+    or through others; all that are needed to join components that any of their links joins."""
+    own = stored(sets.select("node", "shingles").join(left.select("node", "root").distinct(), "node").select("node", "root", "shingles"), "open-sets")
+    fine = stored(own.mapInArrow(_fine_keys, "node bigint, root bigint, band int, key bigint"), "fine")
+    least = fine.groupBy("band", "key").agg(F.min("node").alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("copies")).filter("lo < hi").drop("lo", "hi")
+    shared = join_groups(fine.select("node", "band", "key"), least, ["band", "key"], fine.count()).filter("y IS NOT NULL")
+    cluster = components(shared.select(F.col("node").alias("x"), "y").distinct())
+    cluster = stored(cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()), "clusters")
     size = cluster.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
-    rows = cluster.join(size, "root").select(F.col("node").alias("did"), F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("chunk"), "m")
-    rows = sets.select("did", "shingles").join(left.select("did", "root").distinct(), "did").join(rows, "did")
+    rows = cluster.join(size, "root").select("node", F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("chunk"), "m")
+    rows = own.join(rows, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "did", "root", "shingles")
+    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root", "shingles")
     key = ["cluster", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +201,14 @@ def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([max(a) for a in links], pa.int64()), pa.array([min(a) for a in links], pa.int64())], ["x", "y"])
 
         for batch in batches:
-            c, i, j, chunk, did, root, lists = batch.columns
+            c, i, j, chunk, node, root, lists = batch.columns
             for k in range(batch.num_rows):
                 this = (c[k].as_py(), i[k].as_py(), j[k].as_py())
                 if this != now and held:
                     yield done()
                     held = []
                 now = this
-                held.append((did[k].as_py(), root[k].as_py(), chunk[k].as_py(), lists[k].values.to_numpy()))
+                held.append((node[k].as_py(), root[k].as_py(), chunk[k].as_py(), lists[k].values.to_numpy()))
         if held:
             yield done()
 
@@ -191,7 +217,7 @@ def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's least reachable node, by alternating large-star and small-star until nothing changes.
-    Edges are (x, y), in either direction; nodes without edges aren't returned."""
+    Edges are (x, y), in either direction; roots themselves and nodes without edges aren't returned."""
     now = stored(edges.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
     mark = None
     while True:
@@ -202,7 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: of each node, smaller neighbours and the node go to the least of them
         small = large.groupBy("x").agg(F.min("y").alias("m"))
         moved = large.join(small, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = stored(moved.unionByName(small.select("x", F.col("m").alias("y"))).distinct(), "edges")
+        before, now = now, stored(moved.unionByName(small.select("x", F.col("m").alias("y"))).distinct(), "edges")
+        discard(before)
         r = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if tuple(r) == mark:
             return now.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root"))
@@ -212,43 +239,50 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """did (doc_id, or the largest number for none), n_shingles, a and b (hash of the set), component (a did). Rows come
     in no order; one for each row of docs."""
-    keyed = docs.select(ident(doc_id).alias("did"), F.col(text).cast("string").alias("text"))
-    sig = stored(keyed.mapInArrow(_signatures(size), "did bigint, n bigint, a bigint, b bigint, sig array<int>"), "signatures")
-    one = sig.filter("n > 0").groupBy("a", "b").agg(F.min("did").alias("rep"))
-    heads = sig.filter("n > 0").select("did", "a", "b", "sig").join(one, ["a", "b"]).filter("did = rep").dropDuplicates(["did", "a", "b"])
+    keyed = docs.select(ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    kinds = "did bigint, th bigint, n bigint, a bigint, b bigint"
+    sig = stored(keyed.mapInArrow(_sets_of(size, True), f"{kinds}, sig array<int>"), "signatures")
+    # equal sets are one node; its number is stored with it
+    heads = sig.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "th")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    heads = stored(heads.select(F.monotonically_increasing_id().alias("node"), "a", "b", "rep.did", "rep.th", "copies", "sig"), "heads")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + i] for i in range(ROWS)]) for k in range(BANDS)])
-    bands = heads.select("did", F.posexplode(keys).alias("band", "key"))
-    full = bands.groupBy("band", "key").agg(F.min("did").alias("lo"), F.max("did").alias("hi"))
-    bands = stored(bands.join(full.filter("lo < hi").select("band", "key"), ["band", "key"]), "buckets")
-    wanted = bands.select("did").distinct()
-    sets = heads.select("did", "a", "sig").join(wanted, "did", "left_semi")
+    bands = stored(heads.select("node", F.posexplode(keys).alias("band", "key")), "bands")
+    many = bands.count()
+    full = bands.groupBy("band", "key").agg(F.count("*").alias("copies")).filter("copies > 1").withColumn("found", F.lit(True))
+    every, bands = bands, stored(join_groups(bands, full, ["band", "key"], many).filter("found").drop("found"), "buckets")
+    discard(every)
+    wanted = heads.join(bands.select("node").distinct(), "node", "left_semi")
     # texts are read again only for those that share a bucket
-    texts = keyed.join(wanted, "did", "left_semi").mapInArrow(_sets(size), "did bigint, a bigint, shingles array<bigint>")
-    sets = stored(sets.join(texts.dropDuplicates(["did", "a"]), ["did", "a"]).select("did", "sig", "shingles"), "sets")
+    texts = keyed.join(wanted.select("did", "th"), ["did", "th"], "left_semi").mapInArrow(_sets_of(size, False), f"{kinds}, shingles array<bigint>")
+    texts = texts.dropDuplicates(["did", "th", "a", "b"]).select("did", "th", "a", "b", "shingles")
+    sets = stored(wanted.join(texts, ["did", "th", "a", "b"]).select("node", "sig", "shingles"), "sets")
 
-    left = bands.withColumn("root", F.col("did"))
-    edges = None
+    left = bands.withColumn("root", F.col("node"))
     roots = None
     for k in range(STARS + 1):
         if k < STARS:
-            rank = F.col("did") if k == 0 else F.xxhash64("did", F.lit(k))
-            centre = left.groupBy("band", "key").agg(F.min_by("did", rank).alias("y"), F.min_by("root", rank).alias("root_y"))
-            pairs = left.join(centre, ["band", "key"]).filter("root <> root_y")
-            pairs = pairs.select(F.greatest("did", "y").alias("x"), F.least("did", "y").alias("y")).distinct()
+            rank = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+            centre = left.groupBy("band", "key").agg(F.min_by("node", rank).alias("y"), F.min_by("root", rank).alias("root_y"), F.count("*").alias("copies"))
+            pairs = join_groups(left, centre, ["band", "key"], many).filter("root <> root_y")
+            pairs = pairs.select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
             new = stored(confirmed(pairs, sets, percent), "links")
         else:
             new = stored(block_links(sets, left, percent), "links")
         edges = new if roots is None else new.unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
-        roots = components(edges)
+        roots = stored(components(edges), "roots")
         if k < STARS:
-            roots = stored(roots, "roots")
-            left = bands.join(roots.withColumnRenamed("node", "did"), "did", "left").withColumn("root", F.coalesce("root", "did"))
-            open_ = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
-            left = stored(left.join(open_, ["band", "key"]), "open")
+            left = stored(bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+            open_ = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("copies")).filter("lo < hi").select("band", "key", "copies", F.lit(True).alias("open"))
+            left = stored(join_groups(left, open_, ["band", "key"], many).filter("open").drop("open"), "open")
             if left.isEmpty():
                 break
-    members = sig.select("did", F.col("n").alias("n_shingles"), "a", "b").join(one, ["a", "b"], "left").withColumn("rep", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("rep")), F.col("did")))
-    return members.join(roots, F.col("rep") == F.col("node"), "left").select("did", "n_shingles", "a", "b", F.coalesce("root", "rep").alias("component"))
+    own = stored(heads.select("a", "b", "did", "copies", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
+    least = own.groupBy("root").agg(F.min("did").alias("component"), F.count("*").alias("parts"))
+    of_set = join_groups(own.withColumnRenamed("copies", "rows"), least.withColumnRenamed("parts", "copies"), ["root"], many)
+    of_set = stored(of_set.select("a", "b", "component", F.col("rows").alias("copies")), "components")
+    members = sig.select("did", F.col("n").alias("n_shingles"), "a", "b")
+    found = join_groups(members.filter("n_shingles > 0"), of_set, ["a", "b"], sig.count())
+    return found.unionByName(members.filter("n_shingles = 0").withColumn("component", F.col("did")))
 
 
 def _shown(c: str) -> Column:
