@@ -4,12 +4,14 @@ Tokens are the text's words, A-Z lowered, then one end. Counts over all training
 vocabulary (the WORDS most frequent) and, for every other token, its share of its kind (by its first byte). The network
 reads the token before and says the class of the next: one of the vocabulary's classes of CLASS words, within which a
 second softmax says the word, or one of the KINDS of rare tokens. It learns by truncated backpropagation in numpy: first
-on a bounded sample on the driver, then in every partition over all its training documents from that start, the
-partitions' weights being averaged by their tokens. In training and scoring alike the state is carried from window to
-window to the end of a document, so a score is that of the complete text.
+on a bounded sample on the driver, then in groups of about GROUP_TOKENS tokens that together are all training documents.
+Each group starts from a fresh copy of the driver's weights; the groups' weights are averaged by their tokens. A group is
+chosen by a hash of the document and read in the hash's order, and the mean is taken in whole numbers, so neither the
+partitions, nor the order in which tasks end, nor a lost task changes the weights. In training and scoring alike the
+state is carried from window to window to the end of a document, so a score is that of the complete text.
 
-Counts of the most frequent tokens, HOT at most and the end, go to the executors (bounded); every other token of a document is looked up by a
-join.
+Counts of the most frequent tokens (HOT at most, of LONGEST bytes at most, and the end) go to the executors, so what is
+sent is bounded; every other token of a document is looked up by a join.
 
 Defined results: a null text is empty and has the end alone; with no training documents the base score is 0 for each
 token and so is the score; rows of equal doc_id are scored each; extra columns are ignored; an empty table gives an
@@ -18,6 +20,7 @@ empty result.
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -31,15 +34,15 @@ from pyspark.sql import functions as F
 from draftmill.llm._text import U64, Words, buffers, steps, stored
 
 #: Words of the softmax, words of a class, kinds of rare tokens, units; tokens whose counts are sent to the executors.
-WORDS, CLASS, KINDS, UNITS, HOT = 1024, 32, 32, 12, 200_000
+WORDS, CLASS, KINDS, UNITS, HOT, LONGEST = 2048, 64, 32, 16, 200_000, 64
 #: The driver's sample: documents, passes. Steps of a training window, documents read side by side, learning rates.
 SAMPLE, PASSES, STEPS, LANES, RATE, LOCAL_RATE = 400, 6, 32, 256, 0.02, 0.05
 #: Positions whose outputs are computed at once when scoring, documents side by side, rows of a softmax over classes.
 AT_ONCE, SIDE, ROWS = 1 << 15, 2048, 2048
-#: Documents that a partition's pass takes at a time.
-PIECE = 8192
-#: Weights in a row of the table of a partition's weights.
-CHUNK = 1024
+#: Tokens of a group, about; documents and tokens that its training takes at a time.
+GROUP_TOKENS, PIECE, PIECE_TOKENS = 3_000_000, 8192, 1_500_000
+#: Weights in a row of the table of weights; parts of a unit that a weight is rounded to; tokens of a unit of the mean.
+CHUNK, FIXED, UNIT = 1024, 1 << 20, 1024
 #: Logits are held below this instead of being shifted by their maximum.
 MOST = np.float32(60)
 END = b""
@@ -335,33 +338,62 @@ def encoded(lexicon: Lexicon, column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _averaged(docs: DataFrame, text: str, shared, net: ClassGRU) -> np.ndarray | None:
-    """Every partition trains from net over all its documents; the weights' mean by tokens."""
+def _averaged(train: DataFrame, doc_id: str, text: str, shared, total: int) -> np.ndarray | None:
+    """The mean of the weights of all groups of training documents, by their tokens. Weights are summed as whole
+    numbers (up to some 10 ** 13 tokens), so the mean is the same in whatever order they come."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, own = shared.value
-        tokens = 0
+        lexicon, start = shared.value
+        sums, units = None, 0
+        now, own, held, n_held, n_group = None, None, [], 0, 0
+
+        def flush() -> None:
+            nonlocal held, n_held
+            if held:
+                own.train(held, lexicon.end, LOCAL_RATE, seed=len(held))
+                held, n_held = [], 0
+
+        def done() -> None:
+            nonlocal sums, units, n_group
+            flush()
+            if n_group:
+                u = -(-n_group // UNIT)
+                v = np.rint(own.vector().astype(np.float64) * FIXED).astype(np.int64) * u
+                sums = v if sums is None else sums + v
+                units += u
+            n_group = 0
+
         for batch in batches:
+            groups = batch.column(0).to_numpy()
             for at in range(0, batch.num_rows, PIECE):
-                docs = encoded(lexicon, batch.column(0).slice(at, PIECE))
-                own.train(docs, lexicon.end, LOCAL_RATE, seed=len(docs))
-                tokens += sum(map(len, docs))
-        if tokens:
-            v = own.vector()
-            n = -(-len(v) // CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([float(tokens)] * n), pa.array([v[k * CHUNK : (k + 1) * CHUNK].astype("<f4").tobytes() for k in range(n)], pa.binary())], ["chunk", "tokens", "weights"])
+                for g, ids in zip(groups[at : at + PIECE], encoded(lexicon, batch.column(2).slice(at, PIECE)), strict=True):
+                    if g != now:
+                        done()
+                        now, own = g, copy.deepcopy(start)  # the broadcast object belongs to all tasks of this worker
+                    held.append(ids)
+                    n_held += len(ids)
+                    n_group += len(ids)
+                    if len(held) >= PIECE or n_held >= PIECE_TOKENS:
+                        flush()
+        done()
+        if units:
+            n = -(-len(sums) // CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([units] * n, pa.int64()), pa.array([sums[k * CHUNK : (k + 1) * CHUNK].astype("<i8").tobytes() for k in range(n)], pa.binary())], ["chunk", "units", "weights"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         totals: Counter[int] = Counter()
         for batch in batches:
             for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[k] = sums.get(k, 0.0) + np.frombuffer(raw, "<f4").astype(np.float64) * n
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<i8")
                 totals[k] += n
         for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(s / totals[k]).astype("<f4").tobytes()], pa.binary())], ["chunk", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(s / (totals[k] * FIXED)).astype("<f4").tobytes()], pa.binary())], ["chunk", "weights"])
 
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(learn, "chunk int, tokens double, weights binary")
+    h = F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string"), F.lit(13))
+    groups = max(1, round(total / GROUP_TOKENS))
+    docs = train.select(h.alias("h"), F.col(text).cast("string").alias("text")).select(F.pmod("h", F.lit(groups)).alias("g"), "h", "text")
+    parts = docs.repartition("g").sortWithinPartitions("g", "h").mapInArrow(learn, "chunk int, units bigint, weights binary")
     rows = parts.repartition("chunk").mapInArrow(mean, "chunk int, weights binary").collect()
     return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else None
 
@@ -381,13 +413,14 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
     # at most HOT rows come here: those above the count, in fine steps of its logarithm, that so many tokens pass
     fine = F.floor(F.log2("c") * 64).cast("int")
     many, least = 0, 1 << 30
-    for r in sorted(counts.groupBy(fine.alias("k")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["k"]):
+    short = F.length("token") <= LONGEST
+    for r in sorted(counts.filter(short).groupBy(fine.alias("k")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["k"]):
         many += r["v"]
         if many > HOT:
             break
         least = r["k"]
     # the end is always among them, as it has no text to be looked up by
-    hot = counts.filter((fine >= least) | (F.col("token") == F.lit(END))).toArrow()
+    hot = counts.filter((fine >= least) & short | (F.col("token") == F.lit(END))).toArrow()
     pairs = sorted(zip((-c for c in hot.column("c").to_pylist()), hot.column("token").to_pylist(), strict=True))
     tokens = [t for _, t in pairs]
     lexicon = Lexicon(tokens, [-c for c, _ in pairs], WORDS)
@@ -406,7 +439,7 @@ def score_texts(docs: DataFrame, learn_from: str, doc_id: str = "doc_id", text:
         net.start(np.r_[lexicon.counts[:vocabulary], mass])
         sample = train.select(F.col(text).cast("string").alias("t")).orderBy(F.xxhash64(F.col(doc_id).cast("string"), F.lit(3)), "t").limit(SAMPLE).collect()
         net.train(encoded(lexicon, pa.array([r["t"] for r in sample], pa.string())), lexicon.end, RATE, PASSES, lanes=32)
-        v = _averaged(train, text, sc.broadcast((lexicon, net)), net)
+        v = _averaged(train, doc_id, text, sc.broadcast((lexicon, net)), total)
         if v is not None:
             net.load(v)
     shared = sc.broadcast((lexicon, net))
