@@ -8,14 +8,14 @@ merges each word has exactly one path of arcs, the one that applying the merges
 As all arcs of a label end in one state, the copies need not be written out: a state is the chain of labels that it was
 copied from (a new uv starts as the copy of v's state), each with the rank at which an arc was cut. So the gadgets
 compile to three tables, the cut ranks by (u, v) and the left and right part of each token, and an arc is looked up by
-walking two chains; arcs that a task has used are held in a transition table. A word is read
-by taking the longest token that the table lets follow; as each prefix has one last token at most, a place that leads
-nowhere is left for good.
+walking two chains; arcs that a task has used are held in a transition table. As there is one path at most for every
+prefix of a word, a place of the word has one state at most: a word is read once from left to right, each place handing
+its state on along the arcs that leave it, without a search, in steps that grow with its length alone.
 
 decode() joins the arc labels with blanks, as the library does for a file without a decoder.
 
-Defined results: null and empty texts have no tokens and decode to ''; equal rows get equal results; extra columns are
-ignored; special tokens in a text are cut out first and map to their ids.
+Defined results: null and empty texts have no tokens and decode to ''; equal rows get equal results; an empty table gives
+an empty result; extra columns are ignored; special tokens in a text are cut out first and map to their ids.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 
 from draftmill.llm._text import runs
 
-#: Words and arcs that a task remembers at most; full tables are emptied, which changes no result.
-REMEMBERED = 300_000
+#: Words and arcs that a task remembers at most, and the longest such word; full tables are emptied, which changes no
+#: result.
+REMEMBERED, LONGEST = 300_000, 64
 #: An id of ranks that no merge has.
 NEVER = 1 << 30
 
@@ -63,7 +64,7 @@ class Automaton:
         self.delta: dict[int, bool] = {}
         for rank, (a, b) in enumerate(merges):
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
-            if uv in self.born or not self._walk(u, v):
+            if uv in self.born or not (self._live(u, a) and self._live(v, b) and self._walk(u, v)):
                 continue  # no state has a u-arc to a state with a v-arc: the gadget changes nothing
             self.cut[u, v], self.born[uv], self.left[uv], self.right[uv] = rank, rank, u, v
         self.ends = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix) and self._live(i, t)} if suffix else {}
@@ -71,9 +72,11 @@ class Automaton:
         self.ends = self.ends or inner
         #: every prefix of a token that can stand inside a word, with the token or -1
         self.prefixes = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
+        self.longest_end = max(map(len, self.ends), default=0)
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def _live(self, i: int, t: str) -> bool:
+        """Has any state an arc of this token? Of a symbol, or one that a merge has made."""
         return i in self.born or len(t.removesuffix(self.suffix) if self.suffix else t) == 1
 
     def _walk(self, x: int, y: int) -> bool:
@@ -107,43 +110,38 @@ class Automaton:
             ok = self.delta[key] = self._walk(x, y)
         return ok
 
-    def _options(self, s: str, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that the word has from `at`, the longest last."""
-        out, n, prefixes = [], len(s), self.prefixes
-        for end in range(at + 1, n):
-            t = prefixes.get(s[at:end])
-            if t is None:
-                break
-            if t >= 0:
-                out.append((end, t))
-        t = self.ends.get(s[at:])
-        if t is not None:
-            out.append((n, t))
-        return out
+    def _read(self, s: str) -> tuple[int, ...]:
+        """Tokens of a word: last[i] is the one token that ends at place i on a path from the start."""
+        n, arc, prefixes, ends = len(s), self.arc, self.prefixes, self.ends
+        last: list[int | None] = [None] * (n + 1)
+        begins = [0] * (n + 1)
+        for at in range(n):
+            state = last[at]
+            if at and state is None:
+                continue
+            if n - at <= self.longest_end and (t := ends.get(s[at:])) is not None and last[n] is None and (not at or arc(state, t)):
+                last[n], begins[n] = t, at
+            for end in range(at + 1, n):
+                t = prefixes.get(s[at:end])
+                if t is None:
+                    break
+                if t >= 0 and last[end] is None and (not at or arc(state, t)):
+                    last[end], begins[end] = t, at
+        path, at = [], n
+        while at:
+            path.append(last[at])
+            at = begins[at]
+        return tuple(path[::-1])
 
     def word(self, s: str) -> tuple[int, ...]:
         """Tokens of one pre-split word, given as byte symbols."""
         got = self.seen.get(s)
-        if got is not None:
-            return got
-        n, arc = len(s), self.arc
-        path: list[int] = []
-        places, options, dead = [0], [self._options(s, 0)], set()
-        while places[-1] < n:
-            if not options[-1]:  # no arc leads on from here; a place has one last token, so none ever will
-                dead.add(places.pop())
-                options.pop()
-                path.pop()
-                continue
-            end, t = options[-1].pop()
-            if end not in dead and (not path or arc(path[-1], t)):
-                path.append(t)
-                places.append(end)
-                options.append(self._options(s, end) if end < n else [])
-        got = tuple(path)
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        self.seen[s] = got
+        if got is None:
+            got = self._read(s)
+            if len(s) <= LONGEST:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[s] = got
         return got
 
 
@@ -183,7 +181,7 @@ class Tokenizer:
             for part in self._cut.split(s) if self._cut and "<|" in s else (s,):
                 out += (self.special[part],) if part in self.special else self._piece(part) if part else ()
             got = tuple(out)
-            if len(s) <= 64:
+            if len(s) <= LONGEST:
                 if len(self._seen) >= REMEMBERED:
                     self._seen.clear()
                 self._seen[s] = got
