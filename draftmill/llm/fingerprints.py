@@ -3,13 +3,16 @@
 The alphabet is that of characters, with runs of blanks `[\\x20\\x09-\\x0D]` as one blank and none at the ends. Of every
 run of K characters, the hashes of its inner runs of S characters are compared; the run is an anchor if the least of
 them is the first or the last. Whether a run is an anchor depends on its own characters alone, so an edit changes the
-anchors of the runs that it touches and no others; of any 2 K - S - 1 characters one run at least is an anchor. The
-fingerprint is the anchors' hashes in text order (8 hex digits each); a likeness is the Jaccard index of two documents'
-anchors.
-
-Defined results: a null text counts as empty; a text of blanks alone has no anchors, one of fewer than K characters has
-one, the whole text; two fingerprints without anchors are alike (1); a missing doc_id counts as the largest; among rows
-of one doc_id the hash of the text gives the order; a single document is its own next; extra columns are ignored.
+anchors of the runs that it touches and no others; of any 2 K - S - 1 characters one run at least is an anchor. An anchor
+has a hash and a place, so two documents are matched by position: `positional_matches` counts the common anchors of each
+shift between them. The fingerprint is the anchors' hashes in text order (8 hex digits each, the places in a column of
+their own); a likeness is the Jaccard index of the full hashes of two documents' anchors.
+
+Defined results: a null text counts as empty; a text of blanks alone has no anchors; a text of which no run is an anchor,
+as one of fewer than K characters, has one, the whole text; two fingerprints without anchors, those of texts of blanks,
+are alike (1), one with and one without are not (0); a missing doc_id counts as the largest; among rows of one doc_id the
+hash of the text gives the order; a single document is its own next; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import ident
+from draftmill.llm._text import NO_ID, ident
 
 #: Characters of a run and of its inner runs; the inner runs between the first and the last are 2 ** k.
 K, S = 8, 3
-#: Documents of a range of ids, and the most ranges; their bounds go to the executors.
-RANGE_ROWS, RANGES = 100, 4096
+#: Documents of a range of ids, and the most ranges whose bounds go to the executors; bytes of text of a range, above
+#: which each range is cut evenly into parts.
+RANGE_ROWS, RANGES, RANGE_BYTES = 100, 4096, 64 << 20
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -32,8 +36,8 @@ def _let(x: Column, f) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the column `name`, the anchors of the text in text order. The text goes in four bytes a character, so that
-    a run is cut out without a scan from the text's start."""
+    """Adds the column `name`, the anchors (h, at) of the text in text order. The text goes in four bytes a character,
+    so that a run is cut out without a scan from the text's start."""
     plain, n_inner = f"__t_{name}", K - S + 1
     long = lambda u, i, n: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * n)))
     df = df.withColumn(plain, F.regexp_replace(F.btrim(F.col(text), F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " "))
@@ -49,61 +53,85 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     def chosen(u: Column) -> Column:
         def of(h: Column) -> Column:
             ends = lambda i: F.least(F.get(h, i), F.get(h, i + (n_inner - 1)))
-            return _let(least(h, n_inner - 2), lambda m: F.array_compact(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(ends(i) <= F.get(m, i + 1), long(u, i, K)))))
+            found = lambda i: F.struct(long(u, i, K).alias("h"), i.alias("at"))
+            return _let(least(h, n_inner - 2), lambda m: F.array_compact(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(ends(i) <= F.get(m, i + 1), found(i)))))
 
-        return _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
+        some = _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
+        return _let(some, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
 
-    none = F.array().cast("array<bigint>")
-    return df.withColumn(name, F.when(n >= K, _let(F.encode(plain, "UTF-32"), chosen)).when(n > 0, F.array(F.xxhash64(plain))).otherwise(none)).drop(plain)
+    whole = F.array(F.struct(F.xxhash64(plain).alias("h"), F.lit(0).alias("at")))
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    return df.withColumn(name, F.when(n >= K, _let(F.encode(plain, "UTF-32"), chosen)).when(n > 0, whole).otherwise(none)).drop(plain)
 
 
 def likeness(a: str, b: str) -> Column:
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    x, y = F.col(a)["h"], F.col(b)["h"]
+    both = F.size(F.array_union(x, y))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / both)
 
 
 def shown(anchors: str) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.array_join(F.transform(F.col(anchors)["h"], lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+
+
+def positional_matches(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, shift, n) of each pair of anchor columns a and b: how many anchors both have at places `shift` apart."""
+    x = pairs.select(key, F.explode(a).alias("x")).select(key, "x.h", F.col("x.at").alias("p"))
+    y = pairs.select(key, F.explode(b).alias("y")).select(key, "y.h", F.col("y.at").alias("q"))
+    return x.join(y, [key, "h"]).groupBy(key, (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint of every document."""
-    return with_anchors(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text", "anchors").select("doc_id", shown("anchors").alias("fingerprint"))
+    """doc_id, fingerprint and positions of every document."""
+    return with_anchors(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text", "anchors").select("doc_id", shown("anchors").alias("fingerprint"), F.col("anchors")["at"].alias("positions"))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
-    """Adds `b`, the range of ids that a document is in, and `halo`: the largest document of each range comes a second
-    time, in the range above (that of the highest range in the lowest), so that each document's next is in its range."""
-    n = docs.count()
+    """Adds `b`, the range that a document (did, th) is in, and `halo`: the first document of each range comes a second
+    time, in the range before it (that of the first range in the last), so that each document's next is in its range.
+    Documents go by descending did, then ascending th; rows without an id are a range of their own, cut by th. A range is
+    cut into as many parts as its bytes need, so there are more of them as the table grows."""
+    n, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     most = max(1, min(RANGES, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx("did", [k / most for k in range(1, most)] or [0.5], 10 * most + 1000).alias("x")).first()["x"] if most > 1 else []
-    cuts = sorted(set(cuts or []))
+    parts = max(1, -(-(n_bytes or 0) // (most * RANGE_BYTES)))
+    real = docs.filter(F.col("did") != NO_ID)
+    found = real.agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.percentile_approx("did", [k / most for k in range(1, most)] or [0.5], 10 * most + 1000).alias("x")).first()
+    cuts = sorted({x for x in (found["x"] or []) if found["lo"] <= x < found["hi"]}) if most > 1 else []
     steps = max(1, len(cuts).bit_length())
-    bounds = F.array(*[F.lit(x).cast("bigint") for x in [*cuts, *[(1 << 63) - 1] * ((1 << steps) - len(cuts))]])
+    top = (1 << 63) - 1
+    bounds = F.array(*[F.lit(x).cast("bigint") for x in [*cuts, *[top] * ((1 << steps) - len(cuts))]])
     # how many cuts lie below: binary search, 2 ** steps bounds
     find = F.aggregate(F.array(*[F.lit(1 << k) for k in range(steps - 1, -1, -1)]), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) < F.col("did")), at + step).otherwise(at))
-    df = docs.withColumn("b", find)
-    tops = [(r["b"], r["m"]) for r in df.groupBy("b").agg(F.max("did").alias("m")).orderBy("b").collect()]
-    if not tops:
-        return df.withColumn("halo", F.lit(False))
-    top, above = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
-    for (b, m), (c, _) in zip(tops, [*tops[1:], tops[0]], strict=True):
-        top[b], above[b] = m, c
-    longs = lambda x, kind: F.array(*[F.lit(y).cast(kind) for y in x])
-    copy = F.get(longs(top, "bigint"), F.col("b")) == F.col("did")
-    own, other = F.struct(F.col("b").alias("b"), F.lit(False).alias("halo")), F.struct(F.get(longs(above, "int"), F.col("b")).alias("b"), F.lit(True).alias("halo"))
-    return df.withColumn("at", F.explode(F.when(copy, F.array(own, other)).otherwise(F.array(own)))).select("doc_id", "did", "text", "at.b", "at.halo")
+    edges = F.array(*[F.lit(x).cast("double") for x in [found["lo"] or 0, *cuts, found["hi"] or 0]])
+    lo, hi = F.get(edges, F.col("c")), F.get(edges, F.col("c") + 1)
+    share = F.when(F.col("did") == NO_ID, F.lit(0.5) - F.col("th").cast("double") / F.lit(2.0**64)).otherwise((F.col("did").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)))
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("bigint")
+    df = docs.withColumn("c", F.when(F.col("did") == NO_ID, len(cuts) + 1).otherwise(find)).withColumn("b", F.col("c") * F.lit(parts).cast("bigint") + part).drop("c")
+    # a row for each range: its first document, and the range before it
+    first = df.groupBy("b").agg(F.max(F.struct("did", F.bitwise_not("th").alias("not_th"))).alias("m"))
+    order = Window.orderBy(F.desc("b"))
+    last = F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = first.select("m.did", F.bitwise_not("m.not_th").alias("th"), F.coalesce(F.lag("b").over(order), last).alias("before"))
+    # a range has one first document, so copies are as many as ranges (equal rows, by id and text, come together)
+    halo = df.drop("b").join(F.broadcast(first), ["did", "th"]).select("doc_id", "did", "th", "text", F.col("before").alias("b"), F.lit(True).alias("halo"))
+    return df.select("doc_id", "did", "th", "text", "b", F.lit(False).alias("halo")).unionByName(halo)
 
 
 def op8_closed_syncmers(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over the whole documents table. The texts are shuffled once, by ranges of doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", ident().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = _ranged(docs).repartition("b")
-    placed = with_anchors(placed, "text", "anchors")
+    return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document and its text with the last half replaced by the start of the next document: doc_id, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions."""
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), ident(doc_id).alias("did"), F.xxhash64(plain).alias("th"), plain.alias("text"))
+    placed = with_anchors(_ranged(docs).repartition("b"), "text", "anchors")
     order = Window.partitionBy("b").orderBy("halo", F.desc("did"), "th")
-    placed = placed.withColumn("th", F.xxhash64("text")).withColumn("next", F.lead("text").over(order)).withColumn("next_anchors", F.lead("anchors").over(order)).filter(~F.col("halo"))
+    placed = placed.withColumn("next", F.lead("text").over(order)).withColumn("next_anchors", F.lead("anchors").over(order)).filter(~F.col("halo"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = placed.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
     out = with_anchors(edited, "edited", "edited_anchors")
-    return out.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("anchors").alias("fingerprint"), shown("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"))
+    return out.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("anchors").alias("fingerprint"), shown("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"), F.col("anchors")["at"].alias("positions"))
