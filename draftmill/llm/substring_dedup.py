@@ -1,13 +1,19 @@
 """Removal of passages that repeat across documents (operator 2).
 
-Count-min prefilter: every partition counts its windows in a sketch of saturating counters, the sketches are merged by
-blocks of counters, and a second pass groups exactly only the windows whose estimate is two or more. A sketch never
-estimates too low, so no repeated window is lost; a wrong estimate costs only work.
+Documents are stored in chunks of some megabytes (compressed). Count-min prefilter: every chunk counts its windows in a
+sketch, of which it sends the counters that aren't zero, by blocks of counters; a block's task merges them, saturating at
+two, and answers each chunk with one bit for each counter it sent. So the sketch is as wide as the input needs, no task
+holds more than a block of it, and nothing is broadcast. A second pass groups exactly only the windows whose estimate is
+two or more. A sketch never estimates too low, so no repeated window is lost; a wrong estimate costs only work.
+
+A window's words are compared by 128 bits of hash, not word by word. Of windows that repeat inside a chunk one stands for
+all, so a very common passage comes once for each chunk. A chunk then takes out the windows that it knows of itself (a
+smaller doc_id in the chunk has them) and those that the groups named.
 
 Defined results: a null text has no words; a text shorter than a window loses nothing; a missing doc_id counts as the
 largest; a window that repeats inside one document alone is kept; rows of equal doc_id and text get equal results, and
-rows of equal doc_id but other text don't remove one another; extra columns are ignored unless named in `carry`; an
-empty table gives an empty result.
+rows of equal doc_id don't remove one another; extra columns are ignored unless named in `carry`, whose columns may have
+any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,241 +25,295 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, whole_windows, windows
+from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, stored, whole_windows, windows
 
-#: Words of a window.
-WINDOW = 50
-#: Rows of the sketch, and the counters of a row at most (2 ** 29: the merged filter then is 128 MB).
-DEPTH, WIDEST = 2, 29
-#: Counters of a block, as a power of 2; windows that a task counts before it writes its sketch out.
-BLOCK, FLUSH = 18, 2_000_000
+#: Words of a window; bytes of text of a chunk (a longer document is a chunk of its own).
+WINDOW, CHUNK = 50, 8 << 20
+#: Rows of the sketch; counters of a row for each window, as the text's bytes suggest.
+DEPTH, ROOM = 2, 4
+#: Counters of a block, as a power of two: at least, at most, and what is taken from the width's power between these.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 16, 26, 8
 _SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as their gaps, seven bits a byte, the lowest first."""
+    gaps = np.diff(x.astype(np.int64), prepend=0)
+    if not len(gaps):
+        return b""
+    size = np.ones(len(gaps), np.int64)
+    for k in range(1, 6):
+        size += gaps >> (7 * k) > 0
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(int(size.max())):
+        has = size > k
+        more = size[has] > k + 1
+        out[ends[has] - size[has] + k] = (gaps[has] >> (7 * k) & 127) | more.astype(np.int64) << 7
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).astype(np.int64)
+    if not len(x):
+        return x
+    last = x < 128
+    first = np.r_[0, np.flatnonzero(last)[:-1] + 1]
+    place = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+    return np.cumsum(np.add.reduceat((x & 127) << (7 * place), first))
+
+
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return mix(keys ^ _SEEDS[row]) >> U64(64 - width)
 
 
-def _packed(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Sorted distinct counters by block, each as gaps in base 255."""
-    if not len(cells):
-        return
-    blocks = cells >> U64(BLOCK)
-    at = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
-    inside = (cells & U64((1 << BLOCK) - 1)).astype(np.int64) + 1
-    gaps = np.diff(inside, prepend=0)
-    gaps[at] = inside[at]
-    lens = gaps // 255 + 1
-    ends = np.cumsum(lens)
-    out = np.full(int(ends[-1]), 255, np.uint8)
-    out[ends - 1] = gaps % 255
-    edges = np.r_[(ends - lens)[at], ends[-1]]
-    raw = out.tobytes()
-    for k, b in enumerate(blocks[at]):
-        yield int(b), raw[edges[k] : edges[k + 1]]
-
+_CHUNK = [T.StructField("chunk", T.LongType()), T.StructField("dids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("body", T.BinaryType())]
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint8)
-    return np.cumsum(x, dtype=np.int64)[x != 255] - 1
 
+def _chunks(most: int):
+    """Rows (row, did, text) in chunks: their rows, ids, sizes in bytes (-1 for null) and texts, compressed."""
 
-def _sketch(size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            rows: list[tuple[int, int, int, bytes]] = []
-            for row in range(DEPTH):
-                cells, count = np.unique(_cells(keys, row, width), return_counts=True)
-                rows += [(row, b, 1, x) for b, x in _packed(cells[count == 1])]
-                rows += [(row, b, 2, x) for b, x in _packed(cells[count > 1])]
-            a = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a[0], pa.int32()), pa.array(a[1], pa.int32()), pa.array(a[2], pa.int32()), pa.array(a[3], pa.binary())], ["row", "block", "count", "cells"])
-
+        part, n = TaskContext.get().partitionId() << 32, 0
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for lo, hi in steps(data, offsets):
-                w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], False)
-                keys = windows(w.hashes(1), size, 1)[whole_windows(w, size)]
-                held.append(keys)
-                n += len(keys)
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+            data, offsets = buffers(batch.column(2))
+            sizes = np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), -1, np.diff(offsets)).astype(np.int32)
+            for lo, hi in steps(data, offsets, most):
+                one = lambda x, lo=lo, hi=hi: pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), x.slice(lo, hi - lo))
+                body = packer.compress(data[offsets[lo] : offsets[hi]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), one(batch.column(1)), one(pa.array(sizes)), pa.array([body], pa.binary()), one(batch.column(0))], ["chunk", "dids", "sizes", "body", "rows"])
+                n += 1
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the sketches of a block, saturating at two; what stays is which counters reached two."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for row, block, count, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = sums.get((row, block))
-            if s is None:
-                s = sums[row, block] = np.zeros(1 << BLOCK, np.uint8)
-            cells = _unpacked(raw)
-            s[cells] = np.minimum(s[cells] + count, 2)
-    for (row, block), s in sums.items():
-        if (s > 1).any():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(s > 1, bitorder="little").tobytes()], pa.binary())], ["row", "block", "bits"])
+class _Chunk:
+    """The texts of a chunk, and its windows: hash, place (counted in words over the whole chunk) and document."""
+
+    def __init__(self, sizes: pa.Scalar, body: pa.Scalar):
+        self.sizes = sizes.values.to_numpy()
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.uint8)
+        self.offsets = np.r_[0, np.cumsum(np.maximum(self.sizes, 0), dtype=np.int64)]
+
+    def windows(self, size: int, seeds: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The hashes by each seed, places and documents of all windows; sets bounds, the documents' first words."""
+        hashes: list[list[np.ndarray]] = [[] for _ in seeds]
+        places, docs, bounds, n = [], [], [np.zeros(1, np.int64)], 0
+        for lo, hi in steps(self.data, self.offsets):
+            w = Words(self.data[self.offsets[lo] : self.offsets[hi]], self.offsets[lo : hi + 1] - self.offsets[lo], False)
+            at = np.flatnonzero(whole_windows(w, size))
+            for k, seed in enumerate(seeds):
+                hashes[k].append(windows(w.hashes(seed), size, seed)[at])
+            docs.append(np.searchsorted(w.bounds, at, "right") - 1 + lo)
+            places.append(at + n)
+            bounds.append(w.bounds[1:] + n)
+            n += len(w.starts)
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.bounds = join(bounds, np.int64)
+        return [join(h, U64) for h in hashes], join(places, np.int64), join(docs, np.int64)
+
+
+def _sketch(size: int, width: int, block: int):
+    """Of each chunk and block: the counters that aren't zero, and a bit for each, whether the chunk counts it twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = batch.column(0)[k].as_py()
+                (keys,), _, _ = _Chunk(batch.column(1)[k], batch.column(2)[k]).windows(size, (1,))
+                for row in range(DEPTH):
+                    cells, count = np.unique(_cells(keys, row, width), return_counts=True)
+                    blocks, first = np.unique(cells >> U64(block), return_index=True)
+                    ends = [*first[1:], len(cells)]
+                    inside = cells & U64((1 << block) - 1)
+                    m = len(blocks)
+                    if m:
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * m, pa.int32()), pa.array(blocks.astype(np.int64)), pa.array([chunk] * m, pa.int64()), pa.array([packed(inside[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([np.packbits(count[a:b] > 1).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["row", "block", "chunk", "cells", "twice"])
 
+    return run
 
-def repeated_filter(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, int]:
-    """Bits (rows x counters / 8) of the counters that reached two, and the width as a power of two. Its size is fixed
-    by WIDEST, whatever the input: past some 10 ** 9 windows it passes more of them, and the second pass does more."""
-    n_bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    width = min(WIDEST, max(BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * 4)))))
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_sketch(size, width), "row int, block int, count int, cells binary")
-    full = parts.repartition("row", "block").mapInArrow(_merged, "row int, block int, bits binary")
-    bits = np.zeros((DEPTH, 1 << (width - 3)), np.uint8)
-    for r in full.toLocalIterator():
-        at = r["block"] << (BLOCK - 3)
-        bits[r["row"], at : at + (1 << (BLOCK - 3))] = np.frombuffer(r["bits"], np.uint8)
-    return bits, width
 
+def _merged(block: int):
+    """Merges the sketches of a block, saturating at two, and answers each chunk with a bit for each of its counters."""
 
-_OPEN: list = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def answers() -> pa.RecordBatch:
+            sums, out = np.zeros(1 << block, np.uint8), []
+            for _, cells, twice in held:
+                sums[cells] = np.minimum(sums[cells] + np.uint8(1) + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells)), 2)
+            for chunk, cells, _ in held:
+                more = sums[cells] > 1
+                if more.any():
+                    out.append((chunk, np.packbits(more).tobytes()))
+            m = len(out)
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([now[0]] * m, pa.int32()), pa.array([now[1]] * m, pa.int64()), pa.array([x for _, x in out], pa.binary())], ["chunk", "row", "block", "bits"])
 
+        for batch in batches:
+            for row, b, chunk, cells, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (row, b) != now:
+                    if held:
+                        yield answers()
+                    now, held = (row, b), []
+                held.append((chunk, unpacked(cells).astype(np.uint32), twice))
+        if held:
+            yield answers()
 
-def _opened(shared) -> np.ndarray:
-    """The filter, unpacked once in each worker; it is sent packed as most of its bits are 0."""
-    if not (_OPEN and _OPEN[0] is shared):
-        _OPEN[:] = [shared, np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint8).reshape(DEPTH, -1)]
-    return _OPEN[1]
+    return run
 
 
-_FOUND = "a bigint, b bigint, did bigint, th bigint, at int, n int"
+def _estimated(keys: np.ndarray, answers: list[dict], width: int, block: int) -> np.ndarray:
+    """Which of a chunk's windows all rows of the sketch estimate at two or more."""
+    ok = np.ones(len(keys), bool)
+    for row in range(DEPTH):
+        cells, back = np.unique(_cells(keys, row, width), return_inverse=True)
+        blocks, first = np.unique(cells >> U64(block), return_index=True)
+        of = {int(b): (int(f), int(t)) for b, f, t in zip(blocks, first, [*first[1:], len(cells)], strict=True)}
+        more = np.zeros(len(cells), bool)
+        for x in answers:
+            if x["row"] == row:
+                f, t = of[x["block"]]
+                more[f:t] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=t - f).astype(bool)
+        ok &= more[back]
+    return ok
 
 
-def _candidates(size: int, width: int, shared):
-    """Windows estimated repeated: one row for the smallest document of a key in a batch, and as runs those of the
-    others, which are certain already."""
+def _candidates(size: int, width: int, block: int):
+    """A row for each distinct window of a chunk that is estimated repeated: its least doc_id there, and a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _opened(shared)
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
-            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got: list[tuple[np.ndarray, ...]] = []
-            for lo, hi in steps(data, offsets):
-                w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], False)
-                ok = whole_windows(w, size)
-                a = windows(w.hashes(1), size, 1)
-                for row in range(DEPTH):
-                    c = _cells(a, row, width)
-                    ok = ok & ((bits[row][c >> U64(3)] >> (c & U64(7)).astype(np.uint8)) & 1).astype(bool)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    doc = np.searchsorted(w.bounds, at, "right") - 1
-                    got.append((a[at], windows(w.hashes(2), size, 2)[at], doc + lo, at - w.bounds[doc]))
-            if not got:
-                continue
-            a, b, doc, at = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((at, doc, ids[doc], b, a))
-            a, b, doc, at = a[order], b[order], doc[order], at[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            group = np.cumsum(new) - 1
-            least = ids[doc][new][group]
-            later = ids[doc] > least
-            # of the smallest document each text's first place stands for all its places
-            again = np.r_[False, ~new[1:] & (doc[1:] == doc[:-1])]
-            one = np.flatnonzero(~later & ~again)
-            one = one[np.lexsort((at[one], doc[one]))]  # by document, which packs better
-            # certain ones, as runs of places
-            o = np.lexsort((at[later], doc[later]))
-            d, p = doc[later][o], at[later][o]
-            head = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)] if len(d) else np.zeros(0, bool)
-            first = np.flatnonzero(head)
-            n = np.diff(np.r_[first, len(d)])
-            d, p = d[first], p[first]
-            own = mix(ids[d].astype(U64) ^ mix(p.astype(U64))).view(np.int64)
-            out = [np.r_[a[one].view(np.int64), own], np.r_[b[one].view(np.int64), p], np.r_[ids[doc[one]], ids[d]], np.r_[hashes[doc[one]], hashes[d]], np.r_[at[one], p].astype(np.int32), np.r_[np.zeros(len(one), np.int32), n].astype(np.int32)]
-            for k in range(0, len(out[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in out], ["a", "b", "did", "th", "at", "n"])
+            for k in range(batch.num_rows):
+                answers = batch.column(4)[k].as_py()
+                if not answers:
+                    continue
+                chunk, dids = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy()
+                (a, b), places, docs = _Chunk(batch.column(2)[k], batch.column(3)[k]).windows(size, (1, 2))
+                at = np.flatnonzero(_estimated(a, answers, width, block))
+                did = dids[docs[at]]
+                order = np.lexsort((did, b[at], a[at]))
+                at, did = at[order], did[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1])
+                at, did = at[new], did[new]
+                o = np.argsort(places[at])  # in the order of the text, which packs better
+                at, did = at[o], did[o]
+                for f in range(0, len(at), 200_000):
+                    x = at[f : f + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x].view(np.int64)), pa.array(b[x].view(np.int64)), pa.array(did[f : f + 200_000]), pa.array(np.full(len(x), chunk)), pa.array(places[x].astype(np.int32))], ["a", "b", "did", "chunk", "at"])
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk the places that were named, in one row. Rows come sorted by chunk."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([packed(np.sort(np.concatenate(held)))], pa.binary())], ["chunk", "places"])
+
+    for batch in batches:
+        chunk, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+        for f, t in zip(edges, [*edges[1:], len(chunk)], strict=True):
+            if chunk[f] != now:
+                if held:
+                    yield done()
+                now, held = int(chunk[f]), []
+            held.append(at[f:t])
+    if held:
+        yield done()
+
+
+def _repeated(a: np.ndarray, b: np.ndarray, dids: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """Which of a chunk's windows go: those that a smaller doc_id of the chunk has too, and all that equal a named one."""
+    gone = np.zeros(len(a), bool)
+    order = np.argsort(a, kind="stable")
+    s = a[order]
+    again = np.r_[s[1:] == s[:-1], False]
+    again[1:] |= again[:-1].copy()
+    many = order[again] if len(a) else order
+    many = many[np.lexsort((dids[many], b[many], a[many]))]
+    if len(many):
+        new = np.r_[True, (a[many][1:] != a[many][:-1]) | (b[many][1:] != b[many][:-1])]
+        group = np.cumsum(new) - 1
+        gone[many] = dids[many] > dids[many][new][group]
+        hit = np.zeros(group[-1] + 1, bool)
+        hit[group[named[many]]] = True
+        gone[many] |= hit[group]
+    return gone | named
+
+
 def _apply(size: int, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            data, offsets = buffers(batch.column(names.index("__text")))
-            isnull = batch.column(names.index("__text")).is_null().to_numpy(zero_copy_only=False)
-            cuts = batch.column(names.index("__cuts"))
-            n_words, n_removed, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for lo, hi in steps(data, offsets):
-                part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                w = Words(part, off, False)
-                n_words[lo:hi] = w.n_words
-                for i in range(lo, hi):
-                    f, t = w.bounds[i - lo], w.bounds[i - lo + 1]
-                    c = cuts[i].as_py()
-                    gone = None
-                    if c:
-                        one = part[off[i - lo] : off[i - lo + 1]]
-                        own = Words(one, np.array([0, len(one)]), False)
-                        a, b = windows(own.hashes(1), size, 1), windows(own.hashes(2), size, 2)
-                        flag = np.zeros(len(a), bool)
-                        for x in c:
-                            flag[x["at"] : x["at"] + max(1, x["n"])] = True
-                        flag |= np.isin(a, a[flag]) & np.isin(b, b[flag])
-                        cover = np.zeros(len(own.starts) + 1, np.int64)
-                        np.add.at(cover, np.flatnonzero(flag), 1)
-                        np.add.at(cover, np.flatnonzero(flag) + size, -1)
-                        gone = np.cumsum(cover)[:-1] > 0
-                        n_removed[i] = int(gone.sum())
-                    if want_text and gone is None:
-                        kept[i] = None if isnull[i] else part[off[i - lo] : off[i - lo + 1]].tobytes()
-                    elif want_text or gone is not None or t > f:
-                        raw = part[off[i - lo] : off[i - lo + 1]].tobytes().split()
-                        kept[i] = b" ".join(raw if gone is None else [x for x, g in zip(raw, gone, strict=True) if not g])
-                    else:
-                        kept[i] = b""
-            columns = [c for n, c in zip(names, batch.columns, strict=True) if n in ("doc_id", "__carry")]
-            out = pa.array([None if x is None else x.decode() for x in kept], pa.string()) if want_text else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_removed), out], [*(n for n in names if n in ("doc_id", "__carry")), "n_words", "n_removed", "kept"])
+            for r in range(batch.num_rows):
+                dids = batch.column(1)[r].values.to_numpy()
+                chunk = _Chunk(batch.column(2)[r], batch.column(3)[r])
+                (a, b), places, docs = chunk.windows(size, (1, 2))
+                named = np.zeros(len(a), bool)
+                named[np.searchsorted(places, unpacked(batch.column(5)[r].as_py() or b""))] = True
+                at = places[_repeated(a, b, dids[docs], named)]
+                cover = np.zeros(int(chunk.bounds[-1]) + 1, np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + size, -1)
+                gone = np.cumsum(cover)[:-1] > 0
+                before = np.r_[0, np.cumsum(gone)]
+                n_words, n_removed = np.diff(chunk.bounds), before[chunk.bounds[1:]] - before[chunk.bounds[:-1]]
+                raw, out = chunk.data.tobytes(), []
+                for i, null in enumerate((chunk.sizes < 0).tolist()):
+                    x = raw[chunk.offsets[i] : chunk.offsets[i + 1]]
+                    if n_removed[i]:
+                        lost = gone[chunk.bounds[i] : chunk.bounds[i + 1]].tolist()
+                        x = b" ".join([w for w, g in zip(x.split(), lost, strict=True) if not g])
+                    elif not want_text:
+                        x = b" ".join(x.split())
+                    out.append((None if null else x.decode()) if want_text else hashlib.sha256(x).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(4)[r].values, pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(out, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def removed_windows(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(did, th, cuts): for each document that loses words, places (and run lengths) of the windows that also start in
-    a document with a smaller doc_id. th: hash of the text, so that rows of one doc_id stay apart."""
-    bits, width = repeated_filter(docs, text, size)
-    shared = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bits.tobytes()))
-    del bits
-    keyed = docs.select(ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    found = keyed.mapInArrow(_candidates(size, width, shared), _FOUND)
-    # in a partition a key comes once for a batch at most, so a very common passage doesn't fill one task
-    least = F.expr("min(did) OVER (PARTITION BY a, b, n > 0)")
-    sure = found.repartition("a", "b").withColumn("least", least).filter("n > 0 OR did > least")
-    return sure.groupBy("did", "th").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, most: int = CHUNK) -> DataFrame:
+    """The stored chunks of docs: chunk, dids, sizes, body, rows (doc_id and the columns of carry)."""
+    row = F.struct(F.col(doc_id).alias("doc_id"), *([F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []))
+    rows = docs.select(row.alias("row"), ident(doc_id).alias("did"), F.col(text).cast("string").alias("text"))
+    return stored(rows.mapInArrow(_chunks(most), T.StructType([*_CHUNK, T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])), "chunks")
+
+
+def repeated_windows(chunks: DataFrame, size: int = WINDOW, width: int | None = None) -> DataFrame:
+    """(chunk, places): of each chunk the places of the windows that a smaller doc_id of another chunk has too. width: the
+    counters of a row of the sketch, as a power of two; by itself it follows the input, and it changes no result."""
+    if width is None:
+        n_bytes = chunks.agg(F.sum(F.aggregate(F.col("sizes"), F.lit(0).cast("bigint"), lambda x, n: x + F.greatest(n, F.lit(0))))).first()[0] or 0
+        width = min(62, max(LEAST_BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * ROOM)))))
+    block = min(width, MOST_BLOCK, max(LEAST_BLOCK, width - BLOCKS))
+    parts = chunks.select("chunk", "sizes", "body").mapInArrow(_sketch(size, width, block), "row int, block bigint, chunk bigint, cells binary, twice binary")
+    answers = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(block), "chunk bigint, row int, block bigint, bits binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("row", "block", "bits")).alias("answers"))
+    found = chunks.select("chunk", "dids", "sizes", "body").join(answers, "chunk").mapInArrow(_candidates(size, width, block), "a bigint, b bigint, did bigint, chunk bigint, at int")
+    # a window comes once for each chunk, so a very common passage doesn't fill one task
+    later = found.repartition("a", "b").withColumn("least", F.expr("min(did) OVER (PARTITION BY a, b)")).filter("did > least")
+    return later.select("chunk", "at").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_named, "chunk bigint, places binary")
 
 
-def remove_repeated(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, width: int | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
     """Every document without the words of repeated windows. Without `carry`: doc_id, n_words, n_removed, kept_sha256
-    (of the kept words joined by one space). With it: the columns named, n_words, n_removed and kept_text, which is the
-    text unchanged where nothing was removed."""
-    cuts = removed_windows(docs, size, doc_id, text)
-    kind = docs.schema[doc_id].dataType
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), *([F.struct(*[F.col(c) for c in carry]).alias("__carry")] if carry else []))
-    joined = base.join(cuts, ["did", "th"], "left").select("doc_id", F.col("__text"), F.col("cuts").alias("__cuts"), *(["__carry"] if carry else []))
-    schema = T.StructType([T.StructField("doc_id", kind), *([joined.schema["__carry"]] if carry else []), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    (of the kept words joined by one space). With it: doc_id, the struct `carry` of the columns named, n_words, n_removed
+    and kept_text, which is the text unchanged where nothing was removed."""
+    chunks = chunked(docs, doc_id, text, carry, chunk_bytes)
+    joined = chunks.join(repeated_windows(chunks, size, width), "chunk", "left").select("chunk", "dids", "sizes", "body", "rows", "places")
+    row = chunks.schema["rows"].dataType.elementType
+    schema = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     out = joined.mapInArrow(_apply(size, bool(carry)), schema)
-    if carry:
-        return out.select("__carry.*", "n_words", "n_removed", F.col("kept").alias("kept_text"))
-    return out.withColumnRenamed("kept", "kept_sha256")
+    return out.select("row.*", "n_words", "n_removed", F.col("kept").alias("kept_text" if carry else "kept_sha256"))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
