@@ -1,182 +1,163 @@
 """Benchmark decontamination (operator 9) by a distributed positional inverted index.
 
-The corpus is indexed in segments, one for each Arrow batch: for every term that the benchmark uses, the ascending
-places of it in the segment (a place counts words over all the segment's documents, with a gap after each document that
-no phrase crosses). Segments are stored as a table in the shared folder. A phrase is found by taking its terms from the
-rarest in the corpus on, shifting each posting list by the term's offset and intersecting; proximity search intersects
-lists within a distance instead.
+The corpus is indexed once, whole, in segments of some megabytes: for every term of a segment, the ascending places of it
+(a place counts words over all the segment's documents, with a gap after each document that no phrase crosses). The index
+is a stored table with a row for each segment and term, and one for each segment's documents. The benchmark's windows
+stay a table too: each is joined to the segments that have its rarest term in the corpus, and only for those pairs are
+the lists of its other terms fetched. A segment's task then takes a window's lists from the shortest on, shifts each by
+the term's offset and intersects them. Proximity search intersects lists within a distance instead.
 
-The benchmark is taken in blocks of BLOCK_WORDS words, so what goes to the executors at once is bounded whatever its
-size; hits of all blocks are joined by document.
+Terms are grouped by 64 bits of hash within a segment, and stored and looked up by their bytes.
 
 Defined results: null texts have no words; an item of fewer than `size` words, but not none, is one window; items of
 null item_id hit words and count as an item, but are not in the list of ids; rows of one item_id are one item, and equal
-rows of documents get equal results; an empty benchmark leaves everything clean; extra columns are ignored.
+rows of documents get equal results; an empty benchmark leaves everything clean, and an empty table of documents gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import buffers, stored
+from draftmill.llm._text import Words, buffers, steps, stored
 
-#: Words of a window; benchmark words that are looked up at once.
-WINDOW, BLOCK_WORDS = 10, 2_000_000
-#: Bytes of text of a segment.
-SEGMENT = 8 << 20
+#: Words of a window; bytes of text of a segment (a longer document is one of its own).
+WINDOW, SEGMENT = 10, 8 << 20
 #: Places between two documents of a segment.
 GAP = 1 << 12
+#: A table of the benchmark's is broadcast up to this many bytes, by its own sum, and joined by shuffling beyond.
+SMALL = 16 << 20
 
 #: A-Z to a-z; what ends a word to a blank.
-_FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
 def split_words(raw: bytes) -> list[bytes]:
     r"""Words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z lowered."""
-    return raw.translate(_FOLD).split()
+    return raw.translate(_FOLD.tobytes()).split()
 
 
-def benchmark_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, words) for each row of the benchmark."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [split_words((x or "").encode()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], ["item", "words"])
-
-    return benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(run, "item string, words array<binary>")
-
+_INDEX = "seg bigint, term binary, n int, places binary, doc_ids array<bigint>, ths array<bigint>, starts array<bigint>, n_words array<int>"
 
-_SEGMENT = "ids array<bigint>, ths array<bigint>, row array<bigint>, n_words array<int>, terms array<binary>, counts array<int>, places binary"
 
+def _binaries(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Slices of data as binary cells."""
+    ends = np.cumsum(lens)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lens, lens) + np.repeat(starts, lens)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
-def _index(shared):
-    """One row for each segment: its documents, and the postings of the terms asked for."""
 
+def _segments(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: dict[bytes, int] = shared.value
-        names = list(vocab)
+        seg = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            ids, ths = batch.column(0), batch.column(1)
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, min(int(np.searchsorted(offsets, offsets[lo] + SEGMENT, "right")) - 1, batch.num_rows))
-                n_words, row, terms, places, at = [], [], [], [], 0
-                for i in range(lo, hi):
-                    words = split_words(data[offsets[i] : offsets[i + 1]].tobytes())
-                    n = len(words)
-                    t = np.fromiter((vocab.get(x, -1) for x in words), np.int64, n)
-                    p = np.flatnonzero(t >= 0)
-                    terms.append(t[p])
-                    places.append(p + at)
-                    n_words.append(n)
-                    row.append(at)
-                    at += n + GAP
-                t, p = np.concatenate(terms), np.concatenate(places)
-                o = np.argsort(t, kind="stable")
-                found, counts = np.unique(t, return_counts=True)
+            data = _FOLD[data]
+            for first, last in steps(data, offsets, most):
+                hashes, places, begins, lens, starts, n_words, at = [], [], [], [], [], [], 0
+                part, off = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                for lo, hi in steps(part, off):
+                    w = Words(part[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], False)
+                    # documents lie GAP places apart
+                    doc = np.arange(hi - lo)
+                    starts.append(at + w.bounds[:-1] + doc * GAP)
+                    places.append(np.arange(len(w.starts)) + at + np.repeat(doc * GAP, w.n_words))
+                    hashes.append(w.hashes(1))
+                    begins.append(w.starts + off[lo])
+                    lens.append(w.lens)
+                    n_words.append(w.n_words)
+                    at += len(w.starts) + (hi - lo) * GAP
+                h, p, b, n = (np.concatenate(x) for x in (hashes, places, begins, lens))
+                order = np.argsort(h, kind="stable")
+                s = h[order]
+                new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+                counts = np.diff(np.r_[new, len(s)])
+                m, k = len(new), last - first
+                one = lambda x, kind: pa.array([*[None] * m, x], pa.list_(kind))
+                lists = _binaries(np.ascontiguousarray(p[order].astype("<i4")).view(np.uint8), 4 * new, 4 * counts)
+                heads = order[new]
+                names = pa.concat_arrays([_binaries(part, b[heads], n[heads]), pa.nulls(1, pa.binary())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[lo:hi].to_pylist()], pa.list_(pa.int64())), pa.array([ths[lo:hi].to_pylist()], pa.list_(pa.int64())), pa.array([row], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())), pa.array([[names[k] for k in found]], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([p[o].astype(np.int32).tobytes()], pa.binary())],
-                    ["ids", "ths", "row", "n_words", "terms", "counts", "places"],
+                    [pa.array(np.full(m + 1, seg)), names, pa.array([*counts.tolist(), None], pa.int32()), pa.concat_arrays([lists, pa.nulls(1, pa.binary())]), one(batch.column(0).slice(first, k).to_pylist(), pa.int64()), one(batch.column(1).slice(first, k).to_pylist(), pa.int64()), one(np.concatenate(starts).tolist(), pa.int64()), one(np.concatenate(n_words).tolist(), pa.int32())],
+                    ["seg", "term", "n", "places", "doc_ids", "ths", "starts", "n_words"],
                 )
-                lo = hi
+                seg += 1
 
     return run
 
 
-def build_index(docs: DataFrame, terms: list[bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of `terms` over the documents. `terms` must be a block of bounded size."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    return stored(docs.select(F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).mapInArrow(_index(shared), _SEGMENT), "postings")
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """The stored index of all terms of all documents."""
+    return stored(docs.select(F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).mapInArrow(_segments(segment), _INDEX), "postings")
 
 
-def term_counts(index: DataFrame) -> dict[bytes, int]:
-    """Occurrences in the whole corpus; as many rows as the index has terms."""
-    one = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    return {bytes(r[0]): r[1] for r in one.collect()}
+def documents_of(index: DataFrame) -> DataFrame:
+    """(seg, d, doc_id, th, n_words): the documents of the index; d is the place in the segment."""
+    one = index.filter("term IS NULL").select("seg", F.posexplode(F.arrays_zip("doc_ids", "ths", "n_words")).alias("d", "x"))
+    return one.select("seg", "d", F.col("x.doc_ids").alias("doc_id"), F.col("x.ths").alias("th"), F.col("x.n_words").cast("bigint").alias("n_words"))
 
 
-class _Segment:
-    def __init__(self, terms: list[bytes], counts: list[int], places: bytes):
-        flat = np.frombuffer(places, np.int32).astype(np.int64)
-        ends = np.cumsum(np.asarray(counts, np.int64)) if counts else np.zeros(0, np.int64)
-        self.lists = {bytes(t): flat[e - c : e] for t, c, e in zip(terms, counts, ends, strict=True)}
-
-    def phrase(self, plan: list[tuple[bytes, int]]) -> np.ndarray:
-        """Places where the phrase starts. plan: (term, offset), the rarest term first."""
-        at = None
-        for term, offset in plan:
-            p = self.lists.get(term)
-            if p is None:
-                return np.zeros(0, np.int64)
-            if at is None:
-                at = p - offset
-            else:
-                want = at + offset
-                k = np.searchsorted(p, want)
-                k[k == len(p)] = 0
-                at = at[p[k] == want]
-            if not len(at):
-                return at
-        return at
-
-    def near(self, terms: list[bytes], distance: int) -> np.ndarray:
-        """Places of the first (rarest) term that have all the others within the distance, on either side."""
-        at = self.lists.get(terms[0])
-        for t in terms[1:]:
-            p = self.lists.get(t)
-            if at is None or p is None:
-                return np.zeros(0, np.int64)
-            k = np.searchsorted(p, at - distance)
-            at = at[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= at + distance)]
-        return np.zeros(0, np.int64) if at is None else at
+def _windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = split_words((text or "").encode())
+                rows = [words[i : i + size] for i in range(max(1, len(words) - size + 1) if words else 0)]
+                for k in range(0, len(rows), 10_000):
+                    some = rows[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(some), pa.string()), pa.array(some, pa.list_(pa.binary()))], ["item", "words"])
 
+    return run
 
-def _unpack(row: dict) -> tuple[_Segment, np.ndarray]:
-    return _Segment(row["terms"], row["counts"], row["places"]), np.asarray(row["row"], np.int64)
 
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The stored (item, words, wa, wb) of the distinct windows of each item; wa, wb: 128 bits of hash of the words."""
+    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(_windows(size), "item string, words array<binary>")
+    return stored(rows.withColumn("wa", F.xxhash64("words")).withColumn("wb", F.xxhash64("words", F.lit(1))).dropDuplicates(["item", "wa", "wb"]), "windows")
 
-def _hits(shared):
-    """The documents that have hits: spans of words, disjoint and ascending, and the items they come from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, items = shared.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                seg, starts = _unpack(row)
-                found: dict[int, tuple[list[np.ndarray], set[int]]] = {}
-                for plan, size, owners in phrases:
-                    if len(at := seg.phrase(plan)):
-                        doc = np.searchsorted(starts, at, "right") - 1
-                        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                        for f, t in zip(edges, np.r_[edges[1:], len(doc)], strict=True):
-                            spans, who = found.setdefault(int(doc[f]), ([], set()))
-                            spans.append(np.stack([at[f:t] - starts[doc[f]], at[f:t] - starts[doc[f]] + size], 1))
-                            who.update(owners)
-                if found:
-                    out = [(row["ids"][d], row["ths"][d], merge_spans(np.concatenate(spans)).ravel().tolist(), [items[i] for i in sorted(who)]) for d, (spans, who) in found.items()]
-                    a = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.list_(pa.int32())), pa.array(a[3], pa.list_(pa.string()))], ["doc_id", "th", "spans", "items"])
+def _if_small(df: DataFrame, size: Column) -> DataFrame:
+    """A stored table, to be broadcast if the sum of its rows' sizes and 32 bytes each is small."""
+    total = df.agg(F.sum(size + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= SMALL else df
 
-    return run
 
+class _Segment:
+    """The lists of a segment's terms that were fetched."""
+
+    def __init__(self):
+        self.lists: dict[bytes, np.ndarray] = {}
+        self.starts = np.zeros(0, np.int64)
+
+    def phrase(self, words: list[bytes]) -> np.ndarray:
+        """Places where the words stand in a row."""
+        none = np.zeros(0, np.int64)
+        lists = sorted(((self.lists.get(t, none), k) for k, t in enumerate(words)), key=lambda x: len(x[0]))
+        at = lists[0][0] - lists[0][1]
+        for p, offset in lists[1:]:
+            if not len(at):
+                break
+            want = at + offset
+            k = np.searchsorted(p, want)
+            k[k == len(p)] = 0
+            at = at[p[k] == want]
+        return at
 
-def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_hit, ids = [], []
-        for spans, items in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            s = merge_spans(np.asarray(spans, np.int64).reshape(-1, 2)) if spans else np.zeros((0, 2), np.int64)
-            n_hit.append(int((s[:, 1] - s[:, 0]).sum()))
-            ids.append(hashlib.sha256(",".join(sorted(x for x in items or () if x is not None)).encode()).hexdigest())
-        items = batch.column(4)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in items.to_pylist()], pa.int64()), pa.array(ids, pa.string()), pa.array([n > 0 for n in n_hit])], ["doc_id", "th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def near(self, words: list[bytes], distance: int) -> np.ndarray:
+        """Places of the rarest word that have all the others within the distance, on either side."""
+        none = np.zeros(0, np.int64)
+        lists = sorted((self.lists.get(t, none) for t in sorted(set(words))), key=len)
+        at = lists[0]
+        for p in lists[1:]:
+            k = np.searchsorted(p, at - distance)
+            at = at[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] <= at + distance)] if len(p) else none
+        return at
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -187,75 +168,136 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[first, 0], np.maximum.reduceat(s[:, 1], first)], 1)
 
 
-def _blocks(benchmark: DataFrame, size: int, item_id: str, text: str) -> Iterator[tuple[dict[tuple[bytes, ...], set], list[bytes]]]:
-    """Windows with their items, and the terms, of blocks of the benchmark."""
-    windows: dict[tuple[bytes, ...], set] = {}
-    terms: set[bytes] = set()
-    for r in benchmark_words(benchmark, item_id, text).toLocalIterator():
-        words = [bytes(w) for w in r["words"]]
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            windows.setdefault(tuple(words[i : i + size]), set()).add(r["item"])
-        terms.update(words)
-        if len(windows) * size >= BLOCK_WORDS:
-            yield windows, sorted(terms)
-            windows, terms = {}, set()
-    yield windows, sorted(terms)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """doc_id, th (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    sc = docs.sparkSession.sparkContext
-    hits, stats = [], None
-    for windows, terms in _blocks(benchmark, size, item_id, text):
-        index = build_index(docs, terms, doc_id, text)
-        often = term_counts(index)
-        items = sorted({x for who in windows.values() for x in who}, key=lambda x: (x is None, x or ""))
-        number = {x: i for i, x in enumerate(items)}
-        phrases = [(sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (often[x[0]], x)), len(w), sorted(number[x] for x in who)) for w, who in windows.items() if all(t in often for t in w)]
-        hits.append(index.mapInArrow(_hits(sc.broadcast((phrases, items))), "doc_id bigint, th bigint, spans array<int>, items array<string>"))
-        if stats is None:
-            stats = index.select(F.explode(F.arrays_zip("ids", "ths", "n_words")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.ths").alias("th"), F.col("x.n_words").cast("bigint").alias("n_words"))
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.unionByName(more)
-    one = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = stats.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "th", "n_words", "spans", "items")
-    return out.mapInArrow(_result, "doc_id bigint, th bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+_ASKED = "seg bigint, kind int, term binary, places binary, starts array<bigint>, words array<binary>, wa bigint, wb bigint"
+
+
+def _asked(index: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """By segment: its documents' places and the lists asked for by terms (seg, term), then the windows of pairs (seg,
+    words, wa, wb)."""
+    cast = lambda df: df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in (x.split(" ", 1) for x in _ASKED.split(", "))])
+    heads = index.filter("term IS NULL").select("seg", "starts").join(pairs.select("seg").distinct(), "seg", "left_semi").withColumn("kind", F.lit(0))
+    lists = index.filter("term IS NOT NULL").select("seg", "term", "places").join(terms, ["seg", "term"], "left_semi").withColumn("kind", F.lit(1))
+    return cast(heads).unionByName(cast(lists)).unionByName(cast(pairs.withColumn("kind", F.lit(2)))).repartition("seg").sortWithinPartitions("seg", "kind")
+
+
+def _read(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """done(seg, segment, windows) of each segment, where windows are (words, wa, wb) and come one at a time."""
+    now, held, found = None, _Segment(), []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["seg"] != now:
+                if found:
+                    yield done(now, held, found)
+                now, held, found = r["seg"], _Segment(), []
+            if r["kind"] == 0:
+                held.starts = np.asarray(r["starts"], np.int64)
+            elif r["kind"] == 1:
+                held.lists[r["term"]] = np.frombuffer(r["places"], "<i4").astype(np.int64)
+            elif len(at := held.phrase(r["words"])):
+                found.append((at, len(r["words"]), r["wa"], r["wb"]))
+    if found:
+        yield done(now, held, found)
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document with hits: spans of words, disjoint and ascending, and the windows they come from."""
+
+    def done(seg: int, held: _Segment, found: list) -> pa.RecordBatch:
+        of: dict[int, tuple[list[np.ndarray], list[tuple[int, int]]]] = {}
+        for at, size, wa, wb in found:
+            doc = np.searchsorted(held.starts, at, "right") - 1
+            edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            for f, t in zip(edges, [*edges[1:], len(doc)], strict=True):
+                spans, who = of.setdefault(int(doc[f]), ([], []))
+                first = at[f:t] - held.starts[doc[f]]
+                spans.append(np.stack([first, first + size], 1))
+                who.append((wa, wb))
+        merged = [merge_spans(np.concatenate(spans)) for spans, _ in of.values()]
+        return pa.RecordBatch.from_arrays([pa.array([seg] * len(of), pa.int64()), pa.array(list(of), pa.int32()), pa.array([int((m[:, 1] - m[:, 0]).sum()) for m in merged], pa.int64()), pa.array([m.ravel().tolist() for m in merged], pa.list_(pa.int32())), pa.array([[x for x, _ in who] for _, who in of.values()], pa.list_(pa.int64())), pa.array([[x for _, x in who] for _, who in of.values()], pa.list_(pa.int64()))], ["seg", "d", "n_hit", "spans", "was", "wbs"])
+
+    return _read(batches, done)
+
+
+def find_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(seg, d, n_hit, spans, was, wbs) of the documents in which any of the windows occurs."""
+    distinct = stored(windows.dropDuplicates(["wa", "wb"]).select("words", "wa", "wb"), "distinct")
+    length = F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w))
+    terms = distinct.select("wa", "wb", F.explode(F.array_distinct("words")).alias("term"))
+    # the rarest term of each window in the whole corpus; a window with a term that the corpus lacks occurs nowhere
+    often = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    vocabulary = _if_small(stored(terms.select("term").distinct(), "terms"), F.octet_length("term"))
+    often = stored(often.join(vocabulary, "term", "left_semi"), "often")
+    rank = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")
+    rare = terms.join(_if_small(often, F.octet_length("term")), "term", "left").groupBy("wa", "wb").agg(rank).filter("m.n > 0").select("wa", "wb", F.col("m.term").alias("term"))
+    rare = stored(distinct.join(rare, ["wa", "wb"]), "rare")
+    pairs = index.filter("term IS NOT NULL").select("seg", "term").join(_if_small(rare, length), "term").select("seg", "words", "wa", "wb")
+    pairs = stored(pairs, "pairs")
+    asked = stored(pairs.select("seg", F.explode("words").alias("term")).distinct(), "asked")
+    asked = _if_small(asked, F.octet_length("term"))
+    return _asked(index, pairs, asked).mapInArrow(_hits, "seg bigint, d int, n_hit bigint, spans array<int>, was array<bigint>, wbs array<bigint>")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", segment: int = SEGMENT) -> DataFrame:
+    """doc_id, th (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated, spans (first and after the
+    last word of each run of hit words) of every document."""
+    index = build_index(docs, doc_id, text, segment)
+    windows = benchmark_windows(benchmark, size, item_id, text)
+    hits = stored(find_windows(index, windows), "hits")
+    owners = _if_small(windows.select("wa", "wb", "item"), F.coalesce(F.octet_length("item"), F.lit(0)))
+    each = hits.select("seg", "d", F.explode(F.arrays_zip("was", "wbs")).alias("w")).select("seg", "d", F.col("w.was").alias("wa"), F.col("w.wbs").alias("wb"))
+    items = each.join(owners, ["wa", "wb"]).groupBy("seg", "d").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
+    found = hits.select("seg", "d", "n_hit", "spans").join(items, ["seg", "d"])
+    out = documents_of(index).join(found, ["seg", "d"], "left")
+    n_items = (F.size("items") + F.col("unnamed")).cast("bigint")
+    ids = F.concat_ws(",", F.array_sort(F.coalesce("items", F.array().cast("array<string>"))))
+    return out.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(n_items, F.lit(0)).alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
 
 
 def phrase_search(index: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, at): every place where the phrase starts, over a stored index that has its terms."""
-    terms, often = [w.encode() for w in words], term_counts(index)
-    plan = sorted(((t, i) for i, t in enumerate(terms)), key=lambda x: (often.get(x[0], 0), x))
-    return _searched(index, lambda seg: seg.phrase(plan))
+    """(doc_id, at): every place where the phrase starts."""
+    terms = [w.encode() for w in words]
+    return _searched(index, terms, lambda seg: seg.phrase(terms))
 
 
 def proximity_search(index: DataFrame, words: list[str], distance: int) -> DataFrame:
-    """(doc_id, at): every place of the rarest word that has each other word within `distance` words of it."""
-    often = term_counts(index)
-    terms = sorted({w.encode() for w in words}, key=lambda t: (often.get(t, 0), t))
+    """(doc_id, at): every place of a segment's rarest word that has each other word within `distance` words of it."""
     if not 0 <= distance < GAP:
         raise ValueError(f"the distance must be from 0 to {GAP - 1}")
-    return _searched(index, lambda seg: seg.near(terms, distance))
+    terms = [w.encode() for w in words]
+    return _searched(index, terms, lambda seg: seg.near(terms, distance))
 
 
-def _searched(index: DataFrame, find) -> DataFrame:
+def _searched(index: DataFrame, terms: list[bytes], find) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                seg, starts = _unpack(row)
-                at = find(seg)
-                doc = np.searchsorted(starts, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["ids"][d] for d in doc], pa.int64()), pa.array((at - starts[doc]).astype(np.int32))], ["doc_id", "at"])
+        now, held, ids = None, _Segment(), []
+
+        def done() -> pa.RecordBatch:
+            at = find(held)
+            doc = np.searchsorted(held.starts, at, "right") - 1
+            return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], pa.int64()), pa.array((at - held.starts[doc]).astype(np.int32))], ["doc_id", "at"])
 
-    return index.mapInArrow(run, "doc_id bigint, at int")
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["seg"] != now:
+                    if now is not None:
+                        yield done()
+                    now, held, ids = r["seg"], _Segment(), []
+                if r["term"] is None:
+                    held.starts, ids = np.asarray(r["starts"], np.int64), r["doc_ids"]
+                else:
+                    held.lists[r["term"]] = np.frombuffer(r["places"], "<i4").astype(np.int64)
+        if now is not None:
+            yield done()
+
+    wanted = F.col("term").isin(*[F.lit(t) for t in dict.fromkeys(terms)])
+    rows = index.filter(F.col("term").isNull() | wanted).select("seg", "term", "places", "starts", "doc_ids")
+    return rows.repartition("seg").sortWithinPartitions("seg").mapInArrow(run, "doc_id bigint, at int")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over the whole documents and benchmark tables."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return decontaminate(read("documents").select("doc_id", "text"), read("benchmark")).drop("th")
+    return decontaminate(read("documents").select("doc_id", "text"), read("benchmark")).drop("th", "spans")
 
 
 #: DuckDB SQL of the same result.
