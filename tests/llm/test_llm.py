@@ -54,9 +54,31 @@ def test_substring_dedup(docs, rows):
         w = words(t)
         gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < (big - 1 if i is None else i) for j in range(50)}
         want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
-    got = [tuple(r) for r in substring_dedup.remove_repeated(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
-    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[2] for w in want) > 100
+    # a sketch far too narrow passes more windows, and chunks of one document share none: the result stays
+    for how in ({}, {"width": 5}, {"width": 5, "chunk_bytes": 1}, {"chunk_bytes": 2000}):
+        got = [tuple(r) for r in substring_dedup.remove_repeated(docs, **how).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and sum(w[2] for w in want) > 100
     assert substring_dedup.remove_repeated(docs.limit(0)).count() == 0
+    # names that the operator uses itself may be carried
+    kept = substring_dedup.remove_repeated(docs.withColumn("row", docs.n_words).withColumn("kept", docs.lang), carry=["n_words", "row", "kept"]).collect()
+    assert sorted((x["doc_id"] is None, x["n_words"], x["n_removed"]) for x in kept) == sorted((i is None, n, g) for i, n, g, _ in want)
+    assert all(x["kept_text"] == dict(rows)[x["doc_id"]] for x in kept if not x["n_removed"] and x["doc_id"] is not None)
+
+
+def test_substring_dedup_of_equal_rows(spark):
+    r = random.Random(9)
+    a, b = (" ".join(str(r.randint(0, 10**6)) for _ in range(70)) for _ in range(2))
+    rows = [(None, a)] * 200 + [(7, b), (8, b), (8, b), (9, a + " " + b)]
+    got = substring_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=4000).collect()
+    assert Counter((x["doc_id"], x["n_words"], x["n_removed"]) for x in got) == {(None, 70, 70): 200, (7, 70, 0): 1, (8, 70, 70): 2, (9, 140, 70): 1}
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(2)
+    for top in (3, 300, 10**5, 1 << 34):
+        x = np.unique(r.integers(0, top, 200))
+        assert (substring_dedup.unpacked(substring_dedup.packed(x)) == x).all()
+    assert not len(substring_dedup.unpacked(substring_dedup.packed(np.zeros(0, np.int64))))
 
 
 def test_near_dedup(docs, rows):
@@ -64,23 +86,68 @@ def test_near_dedup(docs, rows):
     for i, t in rows:
         w = words(t, True)
         sets.append((near_dedup.NO_ID if i is None else i, frozenset({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else ()))))
-    up = {i: i for i, _ in sets}
+    # rows are linked by their texts alone: a row without a doc_id, or one of a doc_id that repeats, is a row of its own
+    up = list(range(len(sets)))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
+    for k, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:k]):
             if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                p, q = top(i), top(j)
+                p, q = top(k), top(j)
                 up[max(p, q)] = min(p, q)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[top(k)] = min(least.get(top(k), i), i)
     got = sorted((r["did"], r["n_shingles"], r["component"]) for r in near_dedup.near_duplicates(docs, 85).collect())
-    assert got == sorted((i, len(a), top(i)) for i, a in sets)
+    assert got == sorted((i, len(a), least[top(k)]) for k, (i, a) in enumerate(sets))
     assert near_dedup.near_duplicates(docs.limit(0), 85).count() == 0
 
 
+def test_near_dedup_without_ids(spark):
+    r = random.Random(11)
+    a, b = (" ".join(str(r.randint(0, 10**6)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (None, a + " x"), (None, b), (None, b), (3, ""), (None, None), (4, b + " y"), (4, "none of these words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    no = near_dedup.NO_ID
+    assert Counter((x["did"], x["component"]) for x in got) == {(1, 1): 1, (no, 1): 1, (no, 4): 2, (4, 4): 2, (3, 3): 1, (no, no): 1}
+
+
+def test_near_dedup_left_over_buckets(spark, monkeypatch):
+    """Chains of near copies and heavy groups: without star rounds all links come from the finer bands."""
+    monkeypatch.setattr(near_dedup, "STARS", 0)
+    monkeypatch.setattr("draftmill.llm._text.HEAVY_ROWS", 10)
+    r = random.Random(12)
+    words_ = [str(r.randint(0, 10**6)) for _ in range(150)]
+    rows, i = [], 0
+    for g in range(4):
+        own = [str(r.randint(0, 10**6)) for _ in range(100)]
+        for _ in range(30):
+            own[r.randrange(100)] = str(r.randint(0, 10**6))
+            rows.append((i, " ".join(words_[:20] + own)))
+            i += 1
+    rows += [(1000 + k, rows[0][1]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k in range(len(rows)):
+        for j in range(k):
+            if 100 * len(sets[k] & sets[j]) >= 85 * len(sets[k] | sets[j]):
+                p, q = top(k), top(j)
+                up[max(p, q)] = min(p, q)
+    got = {x["did"]: x["component"] for x in near_dedup.near_duplicates(docs, 85).collect()}
+    assert got == {i: rows[top(k)][0] for k, (i, _) in enumerate(rows)} and 4 <= len(set(got.values())) < 60
+
+
 def test_block_products_find_every_link():
     r = np.random.default_rng(1)
     lists = [np.unique(r.integers(0, 60, 40)) for _ in range(30)]
@@ -117,7 +184,7 @@ def test_components(spark):
     assert all(got.get(x, x) == top(x) for p in pairs for x in p)
 
 
-def test_decontaminate(spark, docs, rows):
+def test_decontaminate(spark, docs, rows, monkeypatch):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     items = [(1, " ".join(rows[8][1].split()[40:60])), (2, "One!"), (3, None), (4, ""), (2, "not there at all"), (5, rows[5][1])]
     wins = {}
@@ -135,12 +202,29 @@ def test_decontaminate(spark, docs, rows):
                     who |= own
         want.append((i, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.decontaminate(docs, bench).drop("th").collect()
-    assert sorted((tuple(r) for r in out), key=str) == sorted(want, key=str) and any(w[5] for w in want)
+    for how in ({}, {"segment": 3000}):
+        out = decontaminate.decontaminate(docs, bench, **how).drop("th").collect()
+        assert sorted((tuple(r)[:6] for r in out), key=str) == sorted(want, key=str) and any(w[5] for w in want)
+        assert all(sum(r["spans"][1::2]) - sum(r["spans"][::2]) == r["n_hit"] for r in out)
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    assert sorted((tuple(r)[:6] for r in decontaminate.decontaminate(docs, bench).drop("th").collect()), key=str) == sorted(want, key=str)
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
-    index = decontaminate.build_index(docs.filter("doc_id = 3 OR doc_id = 14"), [b"one", b"it", b"x"])
-    assert [tuple(r) for r in decontaminate.phrase_search(index, ["one"]).collect()] == [(3, 0)]
-    assert decontaminate.proximity_search(index, ["it", "x"], 4).count() > 0
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_positional_index(spark, docs, rows):
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    index = decontaminate.build_index(docs, segment=5000)
+    # every term of every document is indexed
+    assert index.agg({"n": "sum"}).first()[0] == sum(len(split(t)) for _, t in rows)
+    own = split(rows[8][1])
+    for phrase in (own[3:6], own[40:41], [b"one"], [b"not", b"here"]):
+        want = sorted(((i, k) for i, t in rows for w in [split(t)] for k in range(len(w)) if w[k : k + len(phrase)] == phrase), key=str)
+        got = [tuple(r) for r in decontaminate.phrase_search(index, [w.decode() for w in phrase]).collect()]
+        assert sorted(got, key=str) == want
+    near = decontaminate.proximity_search(index, [own[3].decode(), own[6].decode()], 3).collect()
+    first = {i: split(t) for i, t in rows}
+    assert near and all(any(x in first[r["doc_id"]][max(0, r["at"] - 3) : r["at"] + 4] for x in (own[3], own[6])) for r in near)
 
 
 @pytest.fixture(scope="module")
@@ -162,9 +246,34 @@ def test_bpe(docs, rows, library):
 def test_bpe_words(library):
     t, r = bpe.ready(bpe.vocabulary()), random.Random(2)
     own = ["".join(r.choice("aeiotnsr'é0") for _ in range(r.randint(1, 20))) for _ in range(3000)] + ["t" * k for k in range(1, 40)]
+    own.append("".join(r.choice("aeiotnsrbcdf") for _ in range(20_000)))
     assert all(t.encode(w) == library.encode(w, add_special_tokens=False).ids for w in own)
 
 
+def test_automaton_applies_merges_in_order():
+    """Against merging by rank, on random merges over a few symbols, among them ones that no word ever uses."""
+    r = random.Random(13)
+    for _ in range(60):
+        symbols, merges = ["a", "b", "c"], []
+        names = list(symbols)
+        while len(merges) < 14:
+            x, y = r.choice(names), r.choice(names)
+            if len(x + y) <= 6 and (x, y) not in merges and x + y not in names:
+                merges.append((x, y))
+                names.append(x + y)
+        machine = bpe.Automaton({t: k for k, t in enumerate(names)}, merges, "")
+        for _ in range(60):
+            word = "".join(r.choice(symbols) for _ in range(r.randint(1, 14)))
+            parts = list(word)
+            for x, y in merges:
+                k = 0
+                while k < len(parts) - 1:
+                    if parts[k] == x and parts[k + 1] == y:
+                        parts[k : k + 2] = [x + y]
+                    k += 1
+            assert [names[t] for t in machine.word(word)] == parts
+
+
 def test_token_files(docs, rows, library):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     at, want = 0, []
@@ -198,7 +307,7 @@ def test_wavelet_matrix():
 
 def test_trie_counts(docs, rows):
     scores = token_counts.pieces(token_counts._vocabulary())
-    c = token_counts.TrieCounter(scores)
+    c = token_counts.Trie(scores)
 
     def plain(word):
         s = token_counts.MARK + word
@@ -214,6 +323,11 @@ def test_trie_counts(docs, rows):
     for r in token_counts.token_counts(docs.filter("doc_id < 30")).collect():
         w = [x.decode() for x in words(dict(rows)[r["doc_id"]])]
         assert (r["n_words"], r["n_tokens"]) == (len(w), sum(map(plain, w)))
+    some = {"alpha", "alphabet", "alphabets", "beta", "é" * 70, "x" * 200}
+    got = c.counts(some)
+    assert {w: got[w] for w in some} == {w: plain(w) for w in some}
+    assert len(c.best) == 1 + len({(token_counts.MARK + w)[:k] for w in c.terminal for k in range(1, len(w) + 2)})  # a node for each prefix
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
 def test_sharding(docs, rows):
@@ -222,6 +336,33 @@ def test_sharding(docs, rows):
     for k in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
     assert sharding.kd_shards(docs.limit(0), 4).count() == 0
+    with pytest.raises(ValueError):
+        sharding.kd_shards(docs, 3)
+
+
+def test_sharding_balances_and_keeps_equal_texts(spark, monkeypatch):
+    monkeypatch.setattr("draftmill.llm._text.HEAVY_ROWS", 50)
+    r = random.Random(14)
+    text = lambda: " ".join(str(r.randint(0, 999)) for _ in range(r.randint(2, 60)))
+    small = [text() for _ in range(60)]
+    rows = [(i, text() if i % 3 else small[i % 60], r.choice("abc"), r.choice("xyz")) for i in range(3000)] + [(5000 + i, "the same text", None, "x") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.kd_shards(docs, 8).collect()
+    size = Counter()
+    where = {}
+    for x in got:
+        size[x["shard"]] += x["size"]
+        where.setdefault((x["text_crc32"], x["may_cut"]), set()).add(x["shard"])
+    total = sum(size.values())
+    assert len(size) == 8 and all(abs(v - total / 8) < 0.03 * total / 8 for v in size.values())
+    # only the groups that weigh more than the parameter says are cut
+    assert all(len(v) == 1 for (_, cut), v in where.items() if not cut)
+    assert {c for c, cut in where if cut} >= {zlib.crc32(b"the same text")}
+    got = sharding.kd_shards(docs, target_bytes=total / 21).collect()
+    size = Counter()
+    for x in got:
+        size[x["shard"]] += x["size"]
+    assert sorted(size) == list(range(len(size))) and max(size.values()) <= total / 21 and len(size) <= 42 and len(got) == len(rows)
 
 
 def test_fingerprints(docs, rows):
@@ -233,6 +374,45 @@ def test_fingerprints(docs, rows):
     assert 0.5 < len(a & b) / len(a | b) < 1
 
 
+@pytest.mark.parametrize("ranges", [(100, 64 << 20), (6, 500)])
+def test_fingerprint_edits(spark, docs, monkeypatch, ranges):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", ranges[0])
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", ranges[1])
+    more = spark.createDataFrame([(None, f"no id {i} of any kind {i * i}") for i in range(20)] + [(3, "the same id"), (70, "mild win"), (71, "spring w")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    big = 1 << 63
+    order = sorted(((r["doc_id"], r["t"], r["h"]) for r in docs.selectExpr("doc_id", "coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()), key=lambda r: (-(big if r[0] is None else r[0]), r[2]))
+    cut = lambda f: {f[k : k + 8] for k in range(0, len(f), 8)}
+    like = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b)) if a or b else 1.0
+    prints = {r["text"]: r["fingerprint"] for r in fingerprints.fingerprints(docs.unionByName(spark.createDataFrame([], docs.schema))).join(docs, "doc_id").collect()}
+    own = {r["t"]: r["f"] for r in fingerprints.with_anchors(docs.selectExpr("coalesce(text, '') t"), "t", "x").select("t", fingerprints.shown("x").alias("f")).collect()}
+    want, edits = [], []
+    for k, (i, t, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        edits.append((e,))
+        want.append([i, len(t), hashlib.sha256(e.encode()).hexdigest(), own[t], e, after])
+    of = {r["t"]: r["f"] for r in fingerprints.with_anchors(spark.createDataFrame(edits, "t string"), "t", "x").select("t", fingerprints.shown("x").alias("f")).collect()}
+    rows = [(i, n, h, f, of[e], round(like(f, of[e]), 6), round(like(f, own[after]), 6)) for i, n, h, f, e, after in want]
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 6), round(r["near_next"], 6)) for r in fingerprints.fingerprint_edits(docs).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    assert all(f for t, f in own.items() if t.strip()) and prints
+
+
+def test_every_text_has_an_anchor_and_matches_by_position(spark):
+    r = random.Random(15)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a" for n in [*range(1, 16)] * 12]
+    rows = fingerprints.with_anchors(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "x").collect()
+    assert all(len(x["x"]) > 0 for x in rows)
+    unlike = [x for x in rows if len(x["t"]) >= 8]
+    assert len({a["h"] for x in unlike for a in x["x"]}) >= len({x["t"] for x in unlike}) * 0.9
+    text = "".join(r.choice("abcdefgh") for _ in range(400))
+    pair = spark.createDataFrame([(1, text, "zzzzz" + text[100:])], "k int, p string, q string")
+    both = fingerprints.with_anchors(fingerprints.with_anchors(pair, "p", "x"), "q", "y")
+    shifts = {m["shift"]: m["n"] for m in fingerprints.positional_matches(both, "k", "x", "y").collect()}
+    assert max(shifts, key=shifts.get) == -95 and shifts[-95] > 100
+
+
 def test_fingerprints_of_short_and_unspaced_texts(spark):
     a, b = "mild winter brings rain", "東京都の図面を読み取り、表題欄の値を確かめてから保存する"
     pairs = [(a, a[:12] + "/0123456789"), (b, b[:14] + "x" * 14), ("ab  \t cd efghij", "ab cd efghij"), (a, "zzyyxxwwvvuuttssrrqqpp")]
@@ -248,7 +428,7 @@ def test_fingerprints_of_short_and_unspaced_texts(spark):
     utf32 = "xxhash64(encode({}, 'UTF-32'))".format
     want = inner.selectExpr("i", f"transform(inner, z -> {utf32('z')}) h", f"{utf32('r')} v").filter("array_min(h) = h[0] or array_min(h) = h[size(h) - 1]").orderBy("i").collect()
     own = fingerprints.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "x").first()["x"]
-    assert own == [r["v"] for r in want]
+    assert [x["h"] for x in own] == [r["v"] for r in want] and [x["at"] for x in own] == [r["i"] for r in want]
     at = [-1, *(r["i"] for r in want), len(rows)]
     assert max(y - x for x, y in zip(at, at[1:])) <= k - s
 
@@ -293,6 +473,51 @@ def test_lm_score(docs, rows):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_lm_scores_are_a_function_of_the_table(docs, monkeypatch):
+    """Equal scores in two runs and over other partitions; each group trains from the same start."""
+    monkeypatch.setattr(lm_score, "GROUP_TOKENS", 1500)
+    rule = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 1, true)"
+    runs = []
+    for n in (3, 3, 8, 1):
+        out = lm_score.score_texts(docs.repartition(n, "doc_id", "text"), rule).collect()
+        runs.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in out))
+    for other in runs[1:]:
+        for x, y in zip(runs[0], other, strict=True):
+            assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-6 * abs(x[3]) and abs(x[4] - y[4]) < 1e-4 * abs(x[4])
+
+
+def test_lm_score_by_a_plain_loop():
+    r = np.random.default_rng(4)
+    net = lm_score.ClassGRU(100, units=6, size=16)
+    docs = [r.integers(0, 100 + net.kinds, n).astype(np.int32) for n in (1, 5, 40, 40, 700)]
+    net.train(docs, 3, 0.05, passes=2, lanes=4)
+    p, h = net.p, net.units
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for d in docs:
+        s, before, total = np.zeros(h), 3, 0.0
+        for y in d:
+            a, b = p["t"][before].astype(float), p["u"].astype(float) @ s
+            z, g = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+            n = np.tanh(a[2 * h :] + g * b[2 * h :])
+            s = n + z * (s - n)
+            o = p["c"].astype(float) @ s + p["d"]
+            k = int(net.classes(np.array([y]))[0])
+            total += o[k] - np.log(np.exp(o).sum())
+            if k < net.groups:
+                v = p["w"][k].astype(float) @ s + p["b"][k]
+                total += v[y - k * net.size] - np.log(np.exp(v).sum())
+            before = y
+        want.append(total)
+    assert np.allclose(net.score(docs, 3), want, rtol=1e-4)
+    assert np.allclose(np.exp(net.log_probability(np.zeros((1, h), np.float32).repeat(100 + net.kinds, 0), np.arange(100 + net.kinds))[0]).sum(), 1, atol=1e-4)
+
+
+def test_lm_beats_the_base_on_held_out_text(spark):
+    d = lm_score.op3_recurrent_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert d[0] > d[1] + 0.1
+
+
 def test_lm_score_of_long_texts(spark, monkeypatch):
     """The end counts where more words than HOT are more frequent than it."""
     monkeypatch.setattr(lm_score, "HOT", 4)
