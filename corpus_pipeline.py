@@ -44,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has go; texts without such words stay as they are."""
     ship(spark)
-    out = substring_dedup.remove_repeated(docs, carry=list(COLUMNS))
-    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint")).select(*COLUMNS)
+    out = substring_dedup.remove_repeated(docs, carry=["lang", "source"])
+    return out.select("doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
