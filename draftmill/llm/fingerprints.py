@@ -35,13 +35,16 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the column `name`, the anchors (h, at) of the text in text order. The text goes in four bytes a character,
-    so that a run is cut out without a scan from the text's start."""
-    plain, n_inner = f"__t_{name}", K - S + 1
+def plain(text: str | Column) -> Column:
+    """The text with runs of blanks as one blank, and none at the ends."""
+    return F.regexp_replace(F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " ")
+
+
+def with_runs(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the column `name`, the anchors (h, at) among the runs of a plain text, in text order. The text goes in four
+    bytes a character, so that a run is cut out without a scan from the text's start."""
+    n_inner, n = K - S + 1, F.length(text)
     long = lambda u, i, n: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * n)))
-    df = df.withColumn(plain, F.regexp_replace(F.btrim(F.col(text), F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " "))
-    n = F.length(plain)
 
     def halved(h: Column, d: int) -> Column:
         return _let(h, lambda x: F.zip_with(x, F.slice(x, F.lit(1 + d), F.size(x)), lambda a, b: F.least(a, b)))
@@ -56,12 +59,42 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
             found = lambda i: F.struct(long(u, i, K).alias("h"), i.alias("at"))
             return _let(least(h, n_inner - 2), lambda m: F.array_compact(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(ends(i) <= F.get(m, i + 1), found(i)))))
 
-        some = _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
-        return _let(some, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+        return _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
 
-    whole = F.array(F.struct(F.xxhash64(plain).alias("h"), F.lit(0).alias("at")))
     none = F.array().cast("array<struct<h:bigint,at:int>>")
-    return df.withColumn(name, F.when(n >= K, _let(F.encode(plain, "UTF-32"), chosen)).when(n > 0, whole).otherwise(none)).drop(plain)
+    return df.withColumn(name, F.when(n >= K, _let(F.encode(text, "UTF-32"), chosen)).otherwise(none))
+
+
+def or_whole(anchors: str, text: Column) -> Column:
+    """The anchors, or where there are none the whole plain text as one (none of an empty text)."""
+    return F.when((F.size(anchors) > 0) | (F.length(text) == 0), F.col(anchors)).otherwise(F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("at"))))
+
+
+def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the column `name`, the anchors of the text in text order."""
+    own = f"__t_{name}"
+    df = with_runs(df.withColumn(own, plain(text)), own, name)
+    return df.withColumn(name, or_whole(name, F.col(own))).drop(own)
+
+
+def with_joined(df: DataFrame, left: Column, left_runs: str, right: Column, right_runs: str, name: str) -> DataFrame:
+    """Adds `name`, the anchors of the concatenation of two texts, left and right, without hashing them again: whether a run
+    is an anchor depends on its own characters alone, so those of the joined text are those inside left, those inside
+    right, and those of the few runs that lie across. left_runs and right_runs: anchors (with_runs) of plain texts that
+    begin with plain left and plain right."""
+    c = lambda x: f"__{x}_{name}"
+    blank = F.lit("[\\x20\\x09-\\x0D]")
+    df = df.withColumn(c("l"), plain(left)).withColumn(c("r"), plain(right))
+    p, q = F.length(c("l")), F.length(c("r"))
+    apart = (p > 0) & (q > 0) & (F.rlike(F.right(left, F.lit(1)), blank) | F.rlike(F.left(right, F.lit(1)), blank))
+    df = df.withColumn(c("sep"), F.when(apart, " ").otherwise(""))
+    df = with_runs(df.withColumn(c("x"), F.concat(F.right(c("l"), F.lit(K - 1)), c("sep"), F.left(c("r"), F.lit(K - 1)))), c("x"), c("across"))
+    moved = lambda runs, by: F.transform(runs, lambda a: F.struct(a["h"].alias("h"), (a["at"] + by).alias("at")))
+    inside = lambda runs, size: F.filter(runs, lambda a: a["at"] + K <= size)
+    start = F.greatest(p - (K - 1), F.lit(0))
+    every = F.concat(inside(left_runs, p), moved(c("across"), start), moved(inside(right_runs, q), p + F.length(c("sep"))))
+    df = df.withColumn(name, every)
+    return df.withColumn(name, or_whole(name, F.concat(c("l"), c("sep"), c("r")))).drop(*[c(x) for x in ("l", "r", "sep", "x", "across")])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -124,14 +157,17 @@ def op8_closed_syncmers(spark, sf_dir: str) -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document and its text with the last half replaced by the start of the next document: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions."""
-    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    docs = docs.select(F.col(doc_id).alias("doc_id"), ident(doc_id).alias("did"), F.xxhash64(plain).alias("th"), plain.alias("text"))
-    placed = with_anchors(_ranged(docs).repartition("b"), "text", "anchors")
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions. A document's runs are hashed once:
+    the edited text's anchors are put together from those of its two parts."""
+    full = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), ident(doc_id).alias("did"), F.xxhash64(full).alias("th"), full.alias("text"))
+    placed = with_runs(_ranged(docs).repartition("b").withColumn("plain", plain("text")), "plain", "runs")
     order = Window.partitionBy("b").orderBy("halo", F.desc("did"), "th")
-    placed = placed.withColumn("next", F.lead("text").over(order)).withColumn("next_anchors", F.lead("anchors").over(order)).filter(~F.col("halo"))
+    after = F.lead(F.struct("text", "plain", "runs")).over(order)
+    placed = placed.withColumn("next", after).filter(~F.col("halo")).select("doc_id", "text", "plain", "runs", F.col("next.text").alias("next"), F.col("next.plain").alias("next_plain"), F.col("next.runs").alias("next_runs"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = placed.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
-    out = with_anchors(edited, "edited", "edited_anchors")
+    head, tail = F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)
+    out = with_joined(placed.withColumn("head", head).withColumn("tail", tail), F.col("head"), "runs", F.col("tail"), "next_runs", "edited_anchors")
+    out = out.withColumn("edited", F.concat("head", "tail")).withColumn("anchors", or_whole("runs", F.col("plain"))).withColumn("next_anchors", or_whole("next_runs", F.col("next_plain")))
     return out.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("anchors").alias("fingerprint"), shown("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"), F.col("anchors")["at"].alias("positions"))
