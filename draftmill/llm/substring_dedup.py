@@ -1,12 +1,12 @@
 """Removal of passages that repeat across documents (operator 2).
 
 Documents are stored in chunks of some megabytes (compressed). Count-min prefilter: every chunk counts its windows in a
-sketch, of which it sends the counters that aren't zero, by blocks of counters; a block's task merges them, saturating at
-two, and answers each chunk with one bit for each counter it sent. So the sketch is as wide as the input needs, no task
-holds more than a block of it, and nothing is broadcast. A second pass groups exactly only the windows whose estimate is
-two or more. A sketch never estimates too low, so no repeated window is lost; a wrong estimate costs only work.
+sketch, of which it sends the counters that aren't zero, by blocks of counters; a block's task merges them into counts of
+chunks, saturating at two, and answers each chunk with one bit for each counter it sent. So the sketch is as wide as the input needs, no task
+holds more than a block of it, and nothing is broadcast. A second pass groups exactly only the windows that are estimated
+to be in two chunks or more. A sketch never estimates too low, so no repeated window is lost; a wrong estimate costs only work.
 
-A window's words are compared by 128 bits of hash, not word by word. Of windows that repeat inside a chunk one stands for
+A window's words are compared by 96 bits of hash across chunks, not word by word. Of windows that repeat inside a chunk one stands for
 all, so a very common passage comes once for each chunk. A chunk then takes out the windows that it knows of itself (a
 smaller doc_id in the chunk has them) and those that the groups named.
 
@@ -35,37 +35,38 @@ from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, stored,
 #: Words of a window; bytes of text of a chunk (a longer document is a chunk of its own).
 WINDOW, CHUNK = 50, 8 << 20
 #: Rows of the sketch; counters of a row for each window, as the text's bytes suggest.
-DEPTH, ROOM = 2, 4
+DEPTH, ROOM = 2, 8
 #: Counters of a block, as a power of two: at least, at most, and what is taken from the width's power between these.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 16, 26, 8
 _SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89))
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Ascending numbers as their gaps, seven bits a byte, the lowest first."""
-    gaps = np.diff(x.astype(np.int64), prepend=0)
-    if not len(gaps):
+    """Ascending distinct numbers in about 2 + log2(range / count) bits each: the low bits as they are, the rest as the
+    places of ones."""
+    m = len(x)
+    if not m:
         return b""
-    size = np.ones(len(gaps), np.int64)
-    for k in range(1, 6):
-        size += gaps >> (7 * k) > 0
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]), np.uint8)
-    for k in range(int(size.max())):
-        has = size > k
-        more = size[has] > k + 1
-        out[ends[has] - size[has] + k] = (gaps[has] >> (7 * k) & 127) | more.astype(np.int64) << 7
-    return out.tobytes()
+    x = x.astype(np.int64)
+    top = int(x[-1]) + 1
+    l = max(0, (top // m).bit_length() - 1)
+    low = np.packbits((x[:, None] >> np.arange(l) & 1).astype(np.uint8)) if l else np.zeros(0, np.uint8)
+    ones = np.zeros(int(x[-1] >> l) + m, np.uint8)
+    ones[(x >> l) + np.arange(m)] = 1
+    return np.array([m, top], "<u8").tobytes() + low.tobytes() + np.packbits(ones).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint8).astype(np.int64)
-    if not len(x):
-        return x
-    last = x < 128
-    first = np.r_[0, np.flatnonzero(last)[:-1] + 1]
-    place = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
-    return np.cumsum(np.add.reduceat((x & 127) << (7 * place), first))
+    if not raw:
+        return np.zeros(0, np.int64)
+    m, top = (int(v) for v in np.frombuffer(raw, "<u8", 2))
+    l = max(0, (top // m).bit_length() - 1)
+    size = (m * l + 7) // 8
+    ones = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 + size))
+    x = (np.flatnonzero(ones) - np.arange(m)) << l
+    if l:
+        x |= np.unpackbits(np.frombuffer(raw, np.uint8, size, 16), count=m * l).reshape(m, l) @ (1 << np.arange(l))
+    return x
 
 
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -80,7 +81,7 @@ def _chunks(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId() << 32, 0
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             sizes = np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), -1, np.diff(offsets)).astype(np.int32)
@@ -120,7 +121,7 @@ class _Chunk:
 
 
 def _sketch(size: int, width: int, block: int):
-    """Of each chunk and block: the counters that aren't zero, and a bit for each, whether the chunk counts it twice."""
+    """Of each chunk and block: the counters that aren't zero. What repeats inside a chunk, the chunk finds by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +129,13 @@ def _sketch(size: int, width: int, block: int):
                 chunk = batch.column(0)[k].as_py()
                 (keys,), _, _ = _Chunk(batch.column(1)[k], batch.column(2)[k]).windows(size, (1,))
                 for row in range(DEPTH):
-                    cells, count = np.unique(_cells(keys, row, width), return_counts=True)
+                    cells = np.unique(_cells(keys, row, width))
                     blocks, first = np.unique(cells >> U64(block), return_index=True)
                     ends = [*first[1:], len(cells)]
                     inside = cells & U64((1 << block) - 1)
                     m = len(blocks)
                     if m:
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * m, pa.int32()), pa.array(blocks.astype(np.int64)), pa.array([chunk] * m, pa.int64()), pa.array([packed(inside[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([np.packbits(count[a:b] > 1).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["row", "block", "chunk", "cells", "twice"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * m, pa.int32()), pa.array(blocks.astype(np.int64)), pa.array([chunk] * m, pa.int64()), pa.array([packed(inside[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())], ["row", "block", "chunk", "cells"])
 
     return run
 
@@ -147,9 +148,9 @@ def _merged(block: int):
 
         def answers() -> pa.RecordBatch:
             sums, out = np.zeros(1 << block, np.uint8), []
-            for _, cells, twice in held:
-                sums[cells] = np.minimum(sums[cells] + np.uint8(1) + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells)), 2)
-            for chunk, cells, _ in held:
+            for _, cells in held:
+                sums[cells] = np.minimum(sums[cells] + np.uint8(1), 2)
+            for chunk, cells in held:
                 more = sums[cells] > 1
                 if more.any():
                     out.append((chunk, np.packbits(more).tobytes()))
@@ -157,12 +158,12 @@ def _merged(block: int):
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([now[0]] * m, pa.int32()), pa.array([now[1]] * m, pa.int64()), pa.array([x for _, x in out], pa.binary())], ["chunk", "row", "block", "bits"])
 
         for batch in batches:
-            for row, b, chunk, cells, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, b, chunk, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (row, b) != now:
                     if held:
                         yield answers()
                     now, held = (row, b), []
-                held.append((chunk, unpacked(cells).astype(np.uint32), twice))
+                held.append((chunk, unpacked(cells).astype(np.uint32)))
         if held:
             yield answers()
 
@@ -170,7 +171,7 @@ def _merged(block: int):
 
 
 def _estimated(keys: np.ndarray, answers: list[dict], width: int, block: int) -> np.ndarray:
-    """Which of a chunk's windows all rows of the sketch estimate at two or more."""
+    """Which of a chunk's windows all rows of the sketch estimate to be in two chunks or more."""
     ok = np.ones(len(keys), bool)
     for row in range(DEPTH):
         cells, back = np.unique(_cells(keys, row, width), return_inverse=True)
@@ -207,7 +208,7 @@ def _candidates(size: int, width: int, block: int):
                 at, did = at[o], did[o]
                 for f in range(0, len(at), 200_000):
                     x = at[f : f + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[x].view(np.int64)), pa.array(b[x].view(np.int64)), pa.array(did[f : f + 200_000]), pa.array(np.full(len(x), chunk)), pa.array(places[x].astype(np.int32))], ["a", "b", "did", "chunk", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x].view(np.int64)), pa.array((b[x] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(did[f : f + 200_000]), pa.array(np.full(len(x), chunk)), pa.array(places[x].astype(np.int32))], ["a", "b", "did", "chunk", "at"])
 
     return run
 
@@ -295,10 +296,10 @@ def repeated_windows(chunks: DataFrame, size: int = WINDOW, width: int | None =
         n_bytes = chunks.agg(F.sum(F.aggregate(F.col("sizes"), F.lit(0).cast("bigint"), lambda x, n: x + F.greatest(n, F.lit(0))))).first()[0] or 0
         width = min(62, max(LEAST_BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * ROOM)))))
     block = min(width, MOST_BLOCK, max(LEAST_BLOCK, width - BLOCKS))
-    parts = chunks.select("chunk", "sizes", "body").mapInArrow(_sketch(size, width, block), "row int, block bigint, chunk bigint, cells binary, twice binary")
+    parts = chunks.select("chunk", "sizes", "body").mapInArrow(_sketch(size, width, block), "row int, block bigint, chunk bigint, cells binary")
     answers = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(block), "chunk bigint, row int, block bigint, bits binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("row", "block", "bits")).alias("answers"))
-    found = chunks.select("chunk", "dids", "sizes", "body").join(answers, "chunk").mapInArrow(_candidates(size, width, block), "a bigint, b bigint, did bigint, chunk bigint, at int")
+    found = chunks.select("chunk", "dids", "sizes", "body").join(answers, "chunk").mapInArrow(_candidates(size, width, block), "a bigint, b int, did bigint, chunk bigint, at int")
     # a window comes once for each chunk, so a very common passage doesn't fill one task
     later = found.repartition("a", "b").withColumn("least", F.expr("min(did) OVER (PARTITION BY a, b)")).filter("did > least")
     return later.select("chunk", "at").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_named, "chunk bigint, places binary")
