@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, if the session leaves Spark's own value, which needs four times as much.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARKS_OWN = 16 << 20, 64 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, once for each application."""
+    """Sends the package to the executors, once for each application, and bounds the batches they get."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, "").rstrip("b") == str(SPARKS_OWN):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(__file__))
-        path = os.path.join(tempfile.mkdtemp(prefix="draftmill-"), "draftmill.zip")
+        folder = tempfile.mkdtemp(prefix="draftmill-")  # the driver serves the file from here
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "draftmill.zip")
         with zipfile.ZipFile(path, "w") as z:
             for d, _, names in os.walk(top):
                 for n in names:
