@@ -89,8 +89,9 @@ def with_joined(df: DataFrame, left: Column, left_runs: str, right: Column, righ
     apart = (p > 0) & (q > 0) & (F.rlike(F.right(left, F.lit(1)), blank) | F.rlike(F.left(right, F.lit(1)), blank))
     df = df.withColumn(c("sep"), F.when(apart, " ").otherwise(""))
     df = with_runs(df.withColumn(c("x"), F.concat(F.right(c("l"), F.lit(K - 1)), c("sep"), F.left(c("r"), F.lit(K - 1)))), c("x"), c("across"))
-    moved = lambda runs, by: F.transform(runs, lambda a: F.struct(a["h"].alias("h"), (a["at"] + by).alias("at")))
-    inside = lambda runs, size: F.filter(runs, lambda a: a["at"] + K <= size)
+    # lengths are taken once for a text, not for each anchor
+    moved = lambda runs, by: _let(by, lambda n: F.transform(runs, lambda a: F.struct(a["h"].alias("h"), (a["at"] + n).alias("at"))))
+    inside = lambda runs, size: _let(size, lambda n: F.filter(runs, lambda a: a["at"] + K <= n))
     start = F.greatest(p - (K - 1), F.lit(0))
     every = F.concat(inside(left_runs, p), moved(c("across"), start), moved(inside(right_runs, q), p + F.length(c("sep"))))
     df = df.withColumn(name, every)
