@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, stored, whole_windows, windows
 
 #: Words of a window; bytes of text of a chunk (a longer document is a chunk of its own).
-WINDOW, CHUNK = 50, 8 << 20
+WINDOW, CHUNK = 50, 4 << 20
 #: Rows of the sketch; counters of a row for each window, as the text's bytes suggest.
 DEPTH, ROOM = 2, 8
 #: Counters of a block, as a power of two: at least, at most, and what is taken from the width's power between these.
@@ -81,7 +81,7 @@ def _chunks(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId() << 32, 0
-        packer = zstandard.ZstdCompressor(level=5)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             sizes = np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), -1, np.diff(offsets)).astype(np.int32)
