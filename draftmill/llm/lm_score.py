@@ -59,9 +59,9 @@ class ClassGRU:
     """Ids: 0 to words - 1 the vocabulary by rank, then the kinds of rare tokens. Classes: words // CLASS of the
     vocabulary, then one for each kind."""
 
-    def __init__(self, words: int, units: int = UNITS, size: int = CLASS, kinds: int = KINDS, seed: int = 1):
+    def __init__(self, words: int, units: int = UNITS, size: int = CLASS, kinds: int = KINDS, seed: int = 1, lanes: int = LANES):
         r = np.random.default_rng(seed)
-        self.words, self.units, self.size, self.kinds = words, units, size, kinds
+        self.words, self.units, self.size, self.kinds, self.lanes = words, units, size, kinds, lanes
         self.groups = -(-words // size)
         f = lambda *s, k: (r.standard_normal(s) * k).astype(np.float32)
         #: Adagrad's sums; they go on where training goes on
@@ -171,9 +171,9 @@ class ClassGRU:
             grad["t"][:, k] = np.bincount(ids, column, len(grad["t"]))
         return -float(lp.sum()) * weight, grad, s
 
-    def train(self, docs: list[np.ndarray], end: int, rate: float, passes: int = 1, lanes: int = LANES, steps: int = STEPS, seed: int = 2) -> float:
+    def train(self, docs: list[np.ndarray], end: int, rate: float, passes: int = 1, lanes: int | None = None, steps: int = STEPS, seed: int = 2) -> float:
         """Reads whole documents in lanes, one after the other in each, by Adagrad. Returns the last pass's loss."""
-        rng, mean = np.random.default_rng(seed), 0.0
+        rng, mean, lanes = np.random.default_rng(seed), 0.0, lanes or self.lanes
         sums = self.sums = self.sums or {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
         for _ in range(passes):
             # the longest first, each to the lane with the least, so that lanes end together; then in any order
