@@ -19,7 +19,7 @@ BATCH_BYTES, SPARKS_OWN = 16 << 20, 64 << 20
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors, once for each application, and bounds the batches they get."""
     sc = spark.sparkContext
-    if spark.conf.get(BATCH, "").rstrip("b") == str(SPARKS_OWN):
+    if spark.conf.get(BATCH).rstrip("b") == str(SPARKS_OWN):
         spark.conf.set(BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(__file__))
