@@ -35,89 +35,89 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def plain(text: str | Column) -> Column:
+def plain(text: Column) -> Column:
     """The text with runs of blanks as one blank, and none at the ends."""
-    return F.regexp_replace(F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " ")
+    return F.regexp_replace(F.btrim(text, F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def with_runs(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the column `name`, the anchors (h, at) among the runs of a plain text, in text order. The text goes in four
-    bytes a character, so that a run is cut out without a scan from the text's start."""
-    n_inner, n = K - S + 1, F.length(text)
-    long = lambda u, i, n: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * n)))
+def _run(u: Column, at: Column, size: int) -> Column:
+    """The hash of `size` characters of a text in UTF-32."""
+    return F.xxhash64(F.substring(u, 4 * at + 1, F.lit(4 * size)))
 
-    def halved(h: Column, d: int) -> Column:
-        return _let(h, lambda x: F.zip_with(x, F.slice(x, F.lit(1 + d), F.size(x)), lambda a, b: F.least(a, b)))
 
-    def least(h: Column, span: int) -> Column:
-        """Of each place the least of the `span` values (a power of 2) from there on."""
-        return h if span == 1 else halved(least(h, span // 2), span // 2)
+def with_runs(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the anchors among the runs of a plain text, in text order: their places `name`_at and hashes `name`_h. The text
+    goes in four bytes a character, so that a run is cut out without a scan from the text's start."""
+    n, last = F.length(text), K - S
+    u, none = F.encode(text, "UTF-32"), lambda kind: F.array().cast(f"array<{kind}>")
 
-    def chosen(u: Column) -> Column:
-        def of(h: Column) -> Column:
-            ends = lambda i: F.least(F.get(h, i), F.get(h, i + (n_inner - 1)))
-            found = lambda i: F.struct(long(u, i, K).alias("h"), i.alias("at"))
-            return _let(least(h, n_inner - 2), lambda m: F.array_compact(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(ends(i) <= F.get(m, i + 1), found(i)))))
+    def chosen(h: Column) -> Column:
+        def anchor(i: Column) -> Column:
+            inner = F.least(*[F.get(h, i + k) for k in range(1, last)])
+            return F.least(F.get(h, i), F.get(h, i + last)) <= inner
 
-        return _let(F.transform(F.sequence(F.lit(0), n - S), lambda i: long(u, i, S)), of)
+        return F.filter(F.sequence(F.lit(0), n - K), anchor)
 
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    return df.withColumn(name, F.when(n >= K, _let(F.encode(text, "UTF-32"), chosen)).otherwise(none))
+    places = _let(_let(u, lambda u: F.transform(F.sequence(F.lit(0), n - S), lambda i: _run(u, i, S))), chosen)
+    df = df.withColumn(f"{name}_at", F.when(n >= K, places).otherwise(none("int")))
+    return df.withColumn(f"{name}_h", _let(u, lambda u: F.transform(f"{name}_at", lambda i: _run(u, i, K))))
 
 
-def or_whole(anchors: str, text: Column) -> Column:
+def or_whole(name: str, length: Column, whole: Column) -> list[Column]:
     """The anchors, or where there are none the whole plain text as one (none of an empty text)."""
-    return F.when((F.size(anchors) > 0) | (F.length(text) == 0), F.col(anchors)).otherwise(F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("at"))))
+    known = (F.size(f"{name}_at") > 0) | (length == 0)
+    return [F.when(known, F.col(f"{name}_at")).otherwise(F.array(F.lit(0))).alias(f"{name}_at"), F.when(known, F.col(f"{name}_h")).otherwise(F.array(whole)).alias(f"{name}_h")]
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the column `name`, the anchors of the text in text order."""
-    own = f"__t_{name}"
-    df = with_runs(df.withColumn(own, plain(text)), own, name)
-    return df.withColumn(name, or_whole(name, F.col(own))).drop(own)
-
-
-def with_joined(df: DataFrame, left: Column, left_runs: str, right: Column, right_runs: str, name: str) -> DataFrame:
-    """Adds `name`, the anchors of the concatenation of two texts, left and right, without hashing them again: whether a run
-    is an anchor depends on its own characters alone, so those of the joined text are those inside left, those inside
-    right, and those of the few runs that lie across. left_runs and right_runs: anchors (with_runs) of plain texts that
-    begin with plain left and plain right."""
-    c = lambda x: f"__{x}_{name}"
+    """Adds the anchors of the text in text order, `name`_at and `name`_h."""
+    own, columns = f"__t_{name}", df.columns
+    df = with_runs(df.withColumn(own, plain(F.col(text))), own, name)
+    return df.select(*columns, *or_whole(name, F.length(own), F.xxhash64(own)))
+
+
+def with_joined(df: DataFrame, left: str, left_runs: str, right: str, right_runs: str, name: str) -> DataFrame:
+    """Adds the anchors of the concatenation of two texts, left and right, without hashing them again: whether a run is an
+    anchor depends on its own characters alone, so those of the joined text are those inside left, those inside right,
+    and those of the few runs that lie across. left_runs and right_runs: anchors (with_runs) of plain texts that begin with
+    plain left and plain right."""
+    c, columns = lambda x: f"__{x}_{name}", df.columns
     blank = F.lit("[\\x20\\x09-\\x0D]")
-    df = df.withColumn(c("l"), plain(left)).withColumn(c("r"), plain(right))
+    df = df.withColumn(c("l"), plain(F.col(left))).withColumn(c("r"), plain(F.col(right)))
     p, q = F.length(c("l")), F.length(c("r"))
     apart = (p > 0) & (q > 0) & (F.rlike(F.right(left, F.lit(1)), blank) | F.rlike(F.left(right, F.lit(1)), blank))
-    df = df.withColumn(c("sep"), F.when(apart, " ").otherwise(""))
-    df = with_runs(df.withColumn(c("x"), F.concat(F.right(c("l"), F.lit(K - 1)), c("sep"), F.left(c("r"), F.lit(K - 1)))), c("x"), c("across"))
-    # lengths are taken once for a text, not for each anchor
-    moved = lambda runs, by: _let(by, lambda n: F.transform(runs, lambda a: F.struct(a["h"].alias("h"), (a["at"] + n).alias("at"))))
-    inside = lambda runs, size: _let(size, lambda n: F.filter(runs, lambda a: a["at"] + K <= n))
-    start = F.greatest(p - (K - 1), F.lit(0))
-    every = F.concat(inside(left_runs, p), moved(c("across"), start), moved(inside(right_runs, q), p + F.length(c("sep"))))
-    df = df.withColumn(name, every)
-    return df.withColumn(name, or_whole(name, F.concat(c("l"), c("sep"), c("r")))).drop(*[c(x) for x in ("l", "r", "sep", "x", "across")])
+    df = df.withColumn(c("sep"), F.when(apart, " ").otherwise("")).withColumn(c("p"), p).withColumn(c("q"), q)
+    df = with_runs(df.withColumn(c("x"), F.concat(F.right(c("l"), F.lit(K - 1)), c("sep"), F.left(c("r"), F.lit(K - 1)))), c("x"), c("x"))
+    inside = lambda runs, size: _let(F.col(size), lambda m: F.filter(f"{runs}_at", lambda at: at + K <= m))
+    moved = lambda places, by: _let(by, lambda n: F.transform(places, lambda at: at + n))
+    df = df.withColumn(c("a"), inside(left_runs, c("p"))).withColumn(c("b"), inside(right_runs, c("q")))
+    start, rest = F.greatest(F.col(c("p")) - (K - 1), F.lit(0)), F.col(c("p")) + F.length(c("sep"))
+    at = F.concat(c("a"), moved(f"{c('x')}_at", start), moved(c("b"), rest))
+    h = F.concat(F.slice(f"{left_runs}_h", F.lit(1), F.size(c("a"))), f"{c('x')}_h", F.slice(f"{right_runs}_h", F.lit(1), F.size(c("b"))))
+    df = df.withColumn(f"{name}_at", at).withColumn(f"{name}_h", h)
+    return df.select(*columns, *or_whole(name, F.col(c("p")) + F.col(c("q")), F.xxhash64(F.concat(c("l"), c("sep"), c("r")))))
 
 
 def likeness(a: str, b: str) -> Column:
-    x, y = F.col(a)["h"], F.col(b)["h"]
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / both)
+    """Of two columns of hashes."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def shown(anchors: str) -> Column:
-    return F.array_join(F.transform(F.col(anchors)["h"], lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+def shown(hashes: str) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def positional_matches(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, shift, n) of each pair of anchor columns a and b: how many anchors both have at places `shift` apart."""
-    x = pairs.select(key, F.explode(a).alias("x")).select(key, "x.h", F.col("x.at").alias("p"))
-    y = pairs.select(key, F.explode(b).alias("y")).select(key, "y.h", F.col("y.at").alias("q"))
-    return x.join(y, [key, "h"]).groupBy(key, (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
+    """(key, shift, n) of each pair of texts with anchors a and b: how many anchors both have at places `shift` apart."""
+    side = lambda x, at: pairs.select(key, F.explode(F.arrays_zip(F.col(f"{x}_h").alias("h"), F.col(f"{x}_at").alias("at"))).alias("x")).select(key, "x.h", F.col("x.at").alias(at))
+    return side(a, "p").join(side(b, "q"), [key, "h"]).groupBy(key, (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint and positions of every document."""
-    return with_anchors(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text", "anchors").select("doc_id", shown("anchors").alias("fingerprint"), F.col("anchors")["at"].alias("positions"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return with_anchors(texts, "text", "own").select("doc_id", shown("own_h").alias("fingerprint"), F.col("own_at").alias("positions"))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
@@ -162,13 +162,15 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     the edited text's anchors are put together from those of its two parts."""
     full = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = docs.select(F.col(doc_id).alias("doc_id"), ident(doc_id).alias("did"), F.xxhash64(full).alias("th"), full.alias("text"))
-    placed = with_runs(_ranged(docs).repartition("b").withColumn("plain", plain("text")), "plain", "runs")
+    placed = with_runs(_ranged(docs).repartition("b").withColumn("plain", plain(F.col("text"))), "plain", "own")
+    placed = placed.withColumn("whole", F.xxhash64("plain")).withColumn("size", F.length("plain")).drop("plain")
     order = Window.partitionBy("b").orderBy("halo", F.desc("did"), "th")
-    after = F.lead(F.struct("text", "plain", "runs")).over(order)
-    placed = placed.withColumn("next", after).filter(~F.col("halo")).select("doc_id", "text", "plain", "runs", F.col("next.text").alias("next"), F.col("next.plain").alias("next_plain"), F.col("next.runs").alias("next_runs"))
+    placed = placed.withColumn("next", F.lead(F.struct("text", "own_at", "own_h", "whole", "size")).over(order)).filter(~F.col("halo"))
+    placed = placed.select("doc_id", "text", "own_at", "own_h", "whole", "size", *[F.col(f"next.{x}").alias(f"next_{x}") for x in ("whole", "size")], F.col("next.own_at").alias("next_at"), F.col("next.own_h").alias("next_h"), F.col("next.text").alias("next"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    head, tail = F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)
-    out = with_joined(placed.withColumn("head", head).withColumn("tail", tail), F.col("head"), "runs", F.col("tail"), "next_runs", "edited_anchors")
-    out = out.withColumn("edited", F.concat("head", "tail")).withColumn("anchors", or_whole("runs", F.col("plain"))).withColumn("next_anchors", or_whole("next_runs", F.col("next_plain")))
-    return out.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("anchors").alias("fingerprint"), shown("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"), F.col("anchors")["at"].alias("positions"))
+    halves = placed.withColumn("head", F.substring("text", F.lit(1), n - half)).withColumn("tail", F.substring("next", F.lit(1), half)).drop("next")
+    out = with_joined(halves, "head", "own", "tail", "next", "edited")
+    kept = ["doc_id", n.cast("bigint").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"), "edited_h"]
+    out = out.select(*kept, *or_whole("own", F.col("size"), F.col("whole")), or_whole("next", F.col("next_size"), F.col("next_whole"))[1])
+    return out.select("doc_id", "n_chars", "edited_sha256", shown("own_h").alias("fingerprint"), shown("edited_h").alias("edited_fingerprint"), likeness("own_h", "edited_h").alias("near_edited"), likeness("own_h", "next_h").alias("near_next"), F.col("own_at").alias("positions"))
