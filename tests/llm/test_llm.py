@@ -385,14 +385,14 @@ def test_fingerprint_edits(spark, docs, monkeypatch, ranges):
     cut = lambda f: {f[k : k + 8] for k in range(0, len(f), 8)}
     like = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b)) if a or b else 1.0
     prints = {r["text"]: r["fingerprint"] for r in fingerprints.fingerprints(docs.unionByName(spark.createDataFrame([], docs.schema))).join(docs, "doc_id").collect()}
-    own = {r["t"]: r["f"] for r in fingerprints.with_anchors(docs.selectExpr("coalesce(text, '') t"), "t", "x").select("t", fingerprints.shown("x").alias("f")).collect()}
+    own = {r["t"]: r["f"] for r in fingerprints.with_anchors(docs.selectExpr("coalesce(text, '') t"), "t", "x").select("t", fingerprints.shown("x_h").alias("f")).collect()}
     want, edits = [], []
     for k, (i, t, _) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         edits.append((e,))
         want.append([i, len(t), hashlib.sha256(e.encode()).hexdigest(), own[t], e, after])
-    of = {r["t"]: r["f"] for r in fingerprints.with_anchors(spark.createDataFrame(edits, "t string"), "t", "x").select("t", fingerprints.shown("x").alias("f")).collect()}
+    of = {r["t"]: r["f"] for r in fingerprints.with_anchors(spark.createDataFrame(edits, "t string"), "t", "x").select("t", fingerprints.shown("x_h").alias("f")).collect()}
     rows = [(i, n, h, f, of[e], round(like(f, of[e]), 6), round(like(f, own[after]), 6)) for i, n, h, f, e, after in want]
     got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 6), round(r["near_next"], 6)) for r in fingerprints.fingerprint_edits(docs).collect()]
     assert sorted(got, key=str) == sorted(rows, key=str)
@@ -403,9 +403,9 @@ def test_every_text_has_an_anchor_and_matches_by_position(spark):
     r = random.Random(15)
     texts = ["".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a" for n in [*range(1, 16)] * 12]
     rows = fingerprints.with_anchors(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "x").collect()
-    assert all(len(x["x"]) > 0 for x in rows)
+    assert all(len(x["x_h"]) == len(x["x_at"]) > 0 for x in rows)
     unlike = [x for x in rows if len(x["t"]) >= 8]
-    assert len({a["h"] for x in unlike for a in x["x"]}) >= len({x["t"] for x in unlike}) * 0.9
+    assert len({a for x in unlike for a in x["x_h"]}) >= len({x["t"] for x in unlike}) * 0.9
     text = "".join(r.choice("abcdefgh") for _ in range(400))
     pair = spark.createDataFrame([(1, text, "zzzzz" + text[100:])], "k int, p string, q string")
     both = fingerprints.with_anchors(fingerprints.with_anchors(pair, "p", "x"), "q", "y")
@@ -417,7 +417,7 @@ def test_fingerprints_of_short_and_unspaced_texts(spark):
     a, b = "mild winter brings rain", "東京都の図面を読み取り、表題欄の値を確かめてから保存する"
     pairs = [(a, a[:12] + "/0123456789"), (b, b[:14] + "x" * 14), ("ab  \t cd efghij", "ab cd efghij"), (a, "zzyyxxwwvvuuttssrrqqpp")]
     df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(pairs, "p string, q string"), "p", "x"), "q", "y")
-    got = [r[0] for r in df.select(fingerprints.likeness("x", "y")).collect()]
+    got = [r[0] for r in df.select(fingerprints.likeness("x_h", "y_h")).collect()]
     assert 0 < got[0] < 1 and 0 < got[1] < 1 and got[2] == 1 and got[3] == 0
     # closed syncmers by their definition: every window of 2 K - S - 1 characters has one
     text = "".join(random.Random(4).choice("abé東 x") for _ in range(400)).strip()
@@ -427,8 +427,8 @@ def test_fingerprints_of_short_and_unspaced_texts(spark):
     inner = spark.createDataFrame([(i, [("".join(r[j : j + s])) for j in range(k - s + 1)], r) for i, r in rows], "i int, inner array<string>, r string")
     utf32 = "xxhash64(encode({}, 'UTF-32'))".format
     want = inner.selectExpr("i", f"transform(inner, z -> {utf32('z')}) h", f"{utf32('r')} v").filter("array_min(h) = h[0] or array_min(h) = h[size(h) - 1]").orderBy("i").collect()
-    own = fingerprints.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "x").first()["x"]
-    assert [x["h"] for x in own] == [r["v"] for r in want] and [x["at"] for x in own] == [r["i"] for r in want]
+    own = fingerprints.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "x").first()
+    assert own["x_h"] == [r["v"] for r in want] and own["x_at"] == [r["i"] for r in want]
     at = [-1, *(r["i"] for r in want), len(rows)]
     assert max(y - x for x, y in zip(at, at[1:])) <= k - s
 
