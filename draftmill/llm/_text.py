@@ -46,11 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Paths of the stored tables that still exist, in the order they were made.
+CREATED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/draftmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CREATED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -64,11 +69,27 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
     _delete(df.sparkSession, df._stored_at)
-
-
-def discard_all(spark: SparkSession) -> None:
-    """Deletes every table that this application has stored; results that aren't written or collected yet are lost."""
-    _delete(spark, f"{shared_dir(spark)}/draftmill-{spark.sparkContext.applicationId}")
+    CREATED.remove(df._stored_at)
+
+
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables stored since CREATED had `mark` entries, but for those named."""
+    kept = {df._stored_at for df in keep}
+    for path in [p for p in CREATED[mark:] if p not in kept]:
+        _delete(spark, path)
+        CREATED.remove(path)
+
+
+def discard_unread(spark: SparkSession, paths: list[str], df: DataFrame) -> list[str]:
+    """Deletes those of the stored tables that df doesn't read, and returns the others."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    read = " ".join(leaves.apply(k).toString() + (leaves.apply(k).relation().location().rootPaths().mkString(" ") if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" else "") for k in range(leaves.size()))
+    gone = [p for p in paths if p.rsplit("/", 1)[-1] not in read]
+    for path in gone:
+        if path in CREATED:
+            _delete(spark, path)
+            CREATED.remove(path)
+    return [p for p in paths if p not in gone]
 
 
 #: Rows that make a group heavy: this many, and more than this share of all rows.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import NO_ID, U64, Words, _table, buffers, discard, ident, join_groups, mix, steps, stored, windows
+from draftmill.llm._text import CREATED, NO_ID, U64, Words, _table, buffers, discard, discard_since, ident, join_groups, mix, steps, stored, windows
 
 SHINGLE = 5
 #: Bands and hashes of a band: of pairs at 0.85, all but 4 in 10 million share a bucket; at 0.8, all but 3 in a million.
@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc
     in no order; one for each row of docs."""
     keyed = docs.select(ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     kinds = "did bigint, th bigint, n bigint, a bigint, b bigint"
+    mark = len(CREATED)
     sig = stored(keyed.mapInArrow(_sets_of(size, True), f"{kinds}, sig array<int>"), "signatures")
     # equal sets are one node; its number is stored with it
     heads = sig.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "th")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
@@ -280,6 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc
     least = own.groupBy("root").agg(F.min("did").alias("component"), F.count("*").alias("parts"))
     of_set = join_groups(own.withColumnRenamed("copies", "rows"), least.withColumnRenamed("parts", "copies"), ["root"], many)
     of_set = stored(of_set.select("a", "b", "component", F.col("rows").alias("copies")), "components")
+    discard_since(docs.sparkSession, mark, sig, of_set)  # what follows reads these two alone
     members = sig.select("did", F.col("n").alias("n_shingles"), "a", "b")
     found = join_groups(members.filter("n_shingles > 0"), of_set, ["a", "b"], sig.count())
     return found.unionByName(members.filter("n_shingles = 0").withColumn("component", F.col("did")))

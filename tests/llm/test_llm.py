@@ -553,7 +553,43 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
 
 
 def test_pipeline(spark):
+    """Whole, and stage by stage as the stages' contract says: each result written and read again."""
+    import corpus_pipeline
+    from draftmill.llm import _text
+
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf).collect()
+    docs, made = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = stage(spark, docs, sf)
+        docs.write.parquet(path := f"{_text.shared_dir(spark)}/own-stage{k}-{random.random()}")
+        docs = spark.read.parquet(path)
+        made.append(len(corpus_pipeline._LEFT))
+        if k < 4:
+            assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() <= before.count()
+    assert sorted(map(str, docs.collect())) == sorted(map(str, out)) and max(made) < 20
+    assert all(r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_pipeline_stages_by_brute_force(spark, library):
+    """What each stage decides on documents made for it."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert 100 < len(out) < 200 and all(r["n_tokens"] == len(r["ids"]) for r in out)
+    r = random.Random(21)
+    para = lambda n: " ".join("".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 7))) for _ in range(n))
+    item, passage = para(14), para(60)
+    texts_ = [para(80) for _ in range(20)] + [f"{para(30)} {item} {para(30)}", f"{para(30)} {passage} {para(20)}", f"{para(20)} {passage}"]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in enumerate(texts_)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.remove_passages(spark, docs, "").collect()}
+    assert got == {i: t for i, t in enumerate(texts_[:-1])} | {22: " ".join(texts_[22].split()[:20])}
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = {x["doc_id"] for x in corpus_pipeline.drop_contaminated(spark, docs, d).collect()}
+    assert got == set(range(23)) - {20}
+    empty = corpus_pipeline.identify_language(spark, docs.limit(0), "")
+    assert empty.count() == 0
+    junk = spark.createDataFrame([(100, None, None, "s", 0), (101, "12 34 !", None, "s", 7)], docs.schema)
+    assert {x["doc_id"] for x in corpus_pipeline.identify_language(spark, docs.unionByName(junk), "").collect()} == set(range(23))
