@@ -111,13 +111,13 @@ class _Chunk:
             at = np.flatnonzero(whole_windows(w, size))
             for k, seed in enumerate(seeds):
                 hashes[k].append(windows(w.hashes(seed), size, seed)[at])
-            docs.append(np.searchsorted(w.bounds, at, "right") - 1 + lo)
-            places.append(at + n)
+            docs.append((np.searchsorted(w.bounds, at, "right") - 1 + lo).astype(np.int32))
+            places.append((at + n).astype(np.int32))
             bounds.append(w.bounds[1:] + n)
             n += len(w.starts)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.bounds = join(bounds, np.int64)
-        return [join(h, U64) for h in hashes], join(places, np.int64), join(docs, np.int64)
+        return [join(h, U64) for h in hashes], join(places, np.int32), join(docs, np.int32)
 
 
 def _sketch(size: int, width: int, block: int):
@@ -261,7 +261,8 @@ def _apply(size: int, want_text: bool):
                 (a, b), places, docs = chunk.windows(size, (1, 2))
                 named = np.zeros(len(a), bool)
                 named[np.searchsorted(places, unpacked(batch.column(5)[r].as_py() or b""))] = True
-                at = places[_repeated(a, b, dids[docs], named)]
+                at = places[_repeated(a, b, dids[docs], named)].astype(np.int64)
+                del a, b, places, docs, named
                 cover = np.zeros(int(chunk.bounds[-1]) + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size, -1)
