@@ -64,7 +64,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has go; texts without such words stay as they are."""
-    out = substring_dedup.remove_repeated(docs, carry=["lang", "source"])
+    # smaller chunks than by default, as the executors still hold what earlier stages took
+    out = substring_dedup.remove_repeated(docs, carry=["lang", "source"], chunk_bytes=4 << 20)
     return out.select("doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
