@@ -69,11 +69,12 @@ _Q = lambda s: s.replace("'", "''")
 _NUMBER = rf"trim(regexp_replace(upper(text), '\s+', ' ', 'g'))"
 
 
-@query(TOK + f"SELECT sheet_id, seq, regexp_matches(text, '{_Q(X.SCALE)}') AS is_scale, regexp_matches(text, '{X.VAGUE_SCALE}') AS is_vague, regexp_matches(text, '(?i){X.DATE}') AS is_date, regexp_matches(text, '{X.CAPTION}') AS is_caption, try_cast(nullif(regexp_extract(text, '{X.YEAR}', 1), '') AS INT) AS year, regexp_matches(regexp_replace({_NUMBER}, '[.,;:]+$', ''), '(?i)^({X.DRAWING_NUMBER})$') AND NOT regexp_matches(regexp_replace({_NUMBER}, '[.,;:]+$', ''), '(?i)^({X.DATE})$') AS is_number, CASE WHEN contains(upper(text), 'PLAN') THEN 'plan' END AS kind FROM t WHERE NOT regexp_matches(upper(text), 'PERSPECTIVE|ELEVATION|SECTION|DETAIL')")
+@query(TOK + f"SELECT sheet_id, seq, regexp_matches(text, '{_Q(X.SCALE)}') AS is_scale, regexp_matches(text, '{X.VAGUE_SCALE}') AS is_vague, regexp_matches(text, '(?i){X.DATE}') AS is_date, regexp_matches(text, '{X.CAPTION}') AS is_caption, try_cast(nullif(regexp_extract(text, '{X.YEAR}', 1), '') AS INT) AS year, regexp_matches(regexp_replace({_NUMBER}, '[.,;:]+$', ''), '(?i)^({X.DRAWING_NUMBER})$') AND NOT regexp_matches(regexp_replace({_NUMBER}, '[.,;:]+$', ''), '(?i)^({X.DATE})$') AS is_number, CASE len(k) WHEN 0 THEN NULL WHEN 1 THEN k[1] ELSE 'mixed' END AS kind FROM (SELECT *, list_filter(['perspective', 'elevation', 'section', 'detail', 'plan'], lambda w: contains(lower(text), w)) AS k FROM (SELECT sheet_id, seq, CASE seq % 5 WHEN 0 THEN concat('Section A-A ', text) WHEN 1 THEN concat('north ELEVATION ', text) WHEN 2 THEN concat('DETAIL 1 and perspective ', text) ELSE text END AS text FROM t))")
 def text_formats(spark, sf_dir):
     t = F.col("text")
-    own = tokens(spark, sf_dir).filter(~F.upper(t).rlike("PERSPECTIVE|ELEVATION|SECTION|DETAIL"))
-    return own.select("sheet_id", "seq", X.is_scale(t).alias("is_scale"), X.is_vague_scale(t).alias("is_vague"), X.is_date(t).alias("is_date"), X.is_caption(t).alias("is_caption"), X.year(t).alias("year"), X.is_drawing_number(t).alias("is_number"), X.drawing_type(t).alias("kind"))
+    k = F.col("seq") % 5
+    mixed = F.when(k == 0, F.concat(F.lit("Section A-A "), t)).when(k == 1, F.concat(F.lit("north ELEVATION "), t)).when(k == 2, F.concat(F.lit("DETAIL 1 and perspective "), t)).otherwise(t)
+    return tokens(spark, sf_dir).withColumn("text", mixed).select("sheet_id", "seq", X.is_scale(t).alias("is_scale"), X.is_vague_scale(t).alias("is_vague"), X.is_date(t).alias("is_date"), X.is_caption(t).alias("is_caption"), X.year(t).alias("year"), X.is_drawing_number(t).alias("is_number"), X.drawing_type(t).alias("kind"))
 
 
 @query(TOK + "SELECT engine, count(*) AS n_tokens, count(DISTINCT sheet_id) AS n_sheets, round(avg(conf), 6) AS mean_conf FROM t GROUP BY engine")
@@ -160,10 +161,10 @@ _FIELDS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_pa
 _MEAN = "CASE WHEN adjudicated THEN greatest(agreement, 0.85) ELSE agreement END AS g, CASE model_label WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.7::DOUBLE WHEN 'low' THEN 0.35::DOUBLE WHEN '' THEN NULL ELSE 0.5::DOUBLE END AS m"
 
 
-@query(f"WITH f AS ({_FIELDS}), a AS (SELECT *, {_MEAN} FROM f), b AS (SELECT *, (coalesce(0.18::DOUBLE * g, 0) + 0.18::DOUBLE * ocr_conf + coalesce(0.18::DOUBLE * format, 0) + coalesce(0.15::DOUBLE * m, 0)) / (CASE WHEN g IS NULL THEN 0 ELSE 0.18::DOUBLE END + 0.18::DOUBLE + CASE WHEN format IS NULL THEN 0 ELSE 0.18::DOUBLE END + CASE WHEN m IS NULL THEN 0 ELSE 0.15::DOUBLE END) AS r FROM a), c AS (SELECT *, CASE WHEN corrected IS NOT NULL THEN least(round(r, 3), CASE WHEN format = 0 THEN 0.45 ELSE 0.85 END) ELSE round(r, 3) END AS r1 FROM b), d AS (SELECT *, CASE WHEN repaired THEN least(r1, 0.74) ELSE r1 END AS r2 FROM c) SELECT CASE WHEN NOT evidence_ok THEN 'needs_review' WHEN verbatim IS NULL AND reason = 'illegible' THEN 'rejected' WHEN verbatim IS NULL THEN 'needs_review' WHEN r2 >= 0.75 THEN 'auto_accept' WHEN r2 >= 0.45 THEN 'needs_review' ELSE 'rejected' END AS status, count(*) AS n, round(sum(CASE WHEN NOT evidence_ok OR verbatim IS NULL THEN 0 ELSE r2 END), 1) AS total FROM d GROUP BY 1")
+@query(f"WITH f AS ({_FIELDS}), a AS (SELECT *, {_MEAN} FROM f), b AS (SELECT *, (coalesce(0.18::DOUBLE * g, 0) + 0.18::DOUBLE * ocr_conf + coalesce(0.18::DOUBLE * format, 0) + coalesce(0.15::DOUBLE * m, 0)) / (CASE WHEN g IS NULL THEN 0 ELSE 0.18::DOUBLE END + 0.18::DOUBLE + CASE WHEN format IS NULL THEN 0 ELSE 0.18::DOUBLE END + CASE WHEN m IS NULL THEN 0 ELSE 0.15::DOUBLE END) AS r FROM a), c AS (SELECT *, CASE WHEN corrected IS NOT NULL THEN least(round(r, 3), CASE WHEN format = 0 THEN 0.45 ELSE 0.85 END) ELSE round(r, 3) END AS r1 FROM b), d AS (SELECT *, CASE WHEN repaired THEN least(r1, 0.74) ELSE r1 END AS r2 FROM c) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN NOT evidence_ok THEN 'needs_review' WHEN verbatim IS NULL AND reason = 'illegible' THEN 'rejected' WHEN verbatim IS NULL THEN 'needs_review' WHEN r2 >= 0.75 THEN 'auto_accept' WHEN r2 >= 0.45 THEN 'needs_review' ELSE 'rejected' END AS status, CASE WHEN NOT evidence_ok OR verbatim IS NULL THEN 0 ELSE coalesce(r2, 0) END AS confidence FROM d")
 def field_confidence(spark, sf_dir):
     f = spark.sql(_FIELDS.replace("FROM lineitem", "FROM {l}"), l=table(spark, sf_dir, "lineitem"))
-    return extract.confidence(f).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 1).alias("total"))
+    return extract.confidence(f).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "status", "confidence")
 
 
 @query("WITH r AS (SELECT source AS series, least(n_chars, 3000) / CAST(100 AS DOUBLE) AS height FROM documents), v AS (SELECT *, CASE WHEN height >= 20 THEN 'reliable' WHEN height >= 8 THEN 'marginal' ELSE 'unrecoverable' END AS verdict FROM r) SELECT coalesce(series, 'unknown') AS series, count(*) AS n, round(median(coalesce(height, 0)), 4) AS median_height, count(*) FILTER (verdict = 'reliable') AS reliable, count(*) FILTER (verdict = 'marginal') AS marginal, count(*) FILTER (verdict = 'unrecoverable') AS unrecoverable, round(count(*) FILTER (verdict = 'unrecoverable') * 100.0 / count(*), 1) AS pct_unrecoverable FROM v GROUP BY 1")

@@ -79,3 +79,61 @@ def extent(tokens: DataFrame, width: int, height: int) -> DataFrame:
     """Whether a sheet's boxes fill the image: over 1.05 of it is an error, under 0.55 a warning."""
     r = tokens.groupBy("sheet_id").agg(F.greatest(F.max("x1") / width, F.max("y1") / height).alias("reach"))
     return r.withColumn("extent", F.when(F.col("reach") > 1.05, "error").when(F.col("reach") < 0.55, "warning").otherwise("ok"))
+
+
+def _alike(a: str, b: str, least: float = 70.0) -> bool:
+    if not a or not b:
+        return False
+    if a in b or b in a:
+        return True
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return 200.0 * row[-1] / (len(a) + len(b)) >= least
+
+
+#: What becomes of a coarse token: taken by a fine one, covering one, or recovered. A fine one has the place of the coarse
+#: token it takes, or NONE.
+COVERS, RECOVERED, NONE = -1, -2, -3
+
+
+def matched(fine: DataFrame, coarse: DataFrame, least: float = 0.55, sure: float = 0.85, covering: float = 0.7) -> DataFrame:
+    """The tokens of both passes (column is_fine) with `match`: each fine token, in the order of seq, takes the free coarse
+    token that shares most of the smaller box (at least `least`, and unless it is `sure` the texts must be alike). Who
+    takes what depends on who came before, so it is a fold over a sheet. A fine token's match is the seq of what it took,
+    a coarse one's that of its taker; else COVERS, RECOVERED or NONE."""
+    both = fine.withColumn("is_fine", F.lit(True)).unionByName(coarse.withColumn("is_fine", F.lit(False)))
+
+    def fold(rows: list[tuple]) -> list[int]:
+        own = [r for r in rows if r[6]]
+        other = [r for r in rows if not r[6]]
+        taken: dict[int, int] = {}
+        out = []
+        for f in own:
+            ranked = sorted(((_shared(f, c) / max(min(_area(f), _area(c)), 1.0), k) for k, c in enumerate(other) if k not in taken), key=lambda x: (-x[0], x[1]))
+            hit = next((k for score, k in ranked if score >= least and (score >= sure or _alike(f[4], other[k][4]))), None)
+            if hit is not None:
+                taken[hit] = f[5]
+            out.append(NONE if hit is None else other[hit][5])
+        for k, c in enumerate(other):
+            covers = any(_shared(c, f) > 0 and _shared(c, f) / max(_area(f), 1.0) >= covering for f in own)
+            out.append(taken[k] if k in taken else COVERS if covers else RECOVERED)
+        return out
+
+    found = folded(both.withColumn("__norm", norm("text")), "sheet_id", [F.desc("is_fine"), "seq"], ["x0", "y0", "x1", "y1", "__norm", "seq", "is_fine"], fold, "match")
+    return found.drop("__norm")
+
+
+def merged_passes(fine: DataFrame, coarse: DataFrame) -> DataFrame:
+    """The fine tokens, with the coarse reading that differs as `other`, and the coarse tokens that the fine pass missed;
+    their agreement is 0.5 at most."""
+    all_ = matched(fine, coarse)
+    f = all_.filter("is_fine")
+    c = all_.filter("NOT is_fine AND match >= 0").select("sheet_id", F.col("match").alias("seq"), F.col("text").alias("__text"))
+    other = F.when(norm("__text") != norm("text"), F.col("__text"))
+    kept = f.join(c, ["sheet_id", "seq"], "left").withColumn("other", other).withColumn("agreement", F.when(F.col("other").isNotNull(), F.lit(0.5)).otherwise(F.lit(1.0)))
+    new = all_.filter(f"NOT is_fine AND match = {RECOVERED}").withColumn("other", F.lit(None).cast("string")).withColumn("agreement", F.lit(0.5))
+    names = ["sheet_id", "seq", "is_fine", "text", "x0", "y0", "x1", "y1", "conf", "agreement", "other"]
+    return kept.select(*names).unionByName(new.select(*names))

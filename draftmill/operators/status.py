@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,50 @@ def export(catalog: DataFrame, state: DataFrame, keys: DataFrame, key: str) -> D
 
 def unknown(catalog: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return keys.join(catalog, key, "left_anti")
+
+
+def exported(catalog: DataFrame, state: DataFrame, key: str, keys: DataFrame | None = None, code: int | None = None, folder: str | None = None) -> DataFrame:
+    """The chosen images (all without keys) with their state, of one status and folder (whatever its case) if given, in
+    the order of folder and key. Keys that no image has: see `unknown`; an export with any is refused by its caller."""
+    rows = catalog if keys is None else catalog.join(keys, key, "left_semi")
+    rows = rows.join(state, key, "left").withColumn("status", F.coalesce("status", F.lit(0)))
+    if code is not None:
+        rows = rows.filter(F.col("status") == code)
+    if folder is not None:
+        rows = rows.filter(F.lower("folder") == folder.strip().lower())
+    return rows.orderBy("folder", key)
+
+
+def rerun(catalog: DataFrame, state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """What becomes of each key that is asked for again: `not found` without an image, `conflict` while it runs, else `ok`."""
+    known = catalog.select(key, F.lit(True).alias("__known"))
+    running = state.filter("status = 1").select(key, F.lit(True).alias("__running"))
+    out = keys.select(key).distinct().join(known, key, "left").join(running, key, "left")
+    return out.select(key, F.when(F.col("__known").isNull(), "not found").when(F.col("__running"), "conflict").otherwise("ok").alias("outcome"))
+
+
+def failed(state: DataFrame, message: str, updated_at: int, owned: DataFrame | None = None, key: str = "image_key") -> DataFrame:
+    """New rows of the log that end what still runs (of the owned keys alone, if given), as after a restart."""
+    rows = state.filter("status = 1")
+    rows = rows if owned is None else rows.join(owned, key, "left_semi")
+    return rows.withColumns({"status": F.lit(3), "message": F.lit(message), "updated_at": F.lit(updated_at).cast("bigint")})
+
+
+def seeded_counts(state: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, status, n): images of each known folder, and of each status from 0 to 3, 0 for none."""
+    by = state.groupBy("folder").agg(F.count("*").alias("n"))
+    known = folders.select("folder").distinct().join(by, "folder", "left").select("folder", F.lit(None).cast("int").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+    codes = state.sparkSession.range(4).select(F.col("id").cast("int").alias("status"))
+    own = codes.join(state.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select(F.lit(None).cast(folders.schema["folder"].dataType).alias("folder"), "status", F.coalesce("n", F.lit(0)).alias("n"))
+    return known.unionByName(own)
+
+
+def preview(rows: DataFrame) -> DataFrame:
+    """Images of each folder, the most first, with the total."""
+    one = rows.groupBy("folder").agg(F.count("*").alias("n"))
+    return one.withColumn("total", F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "folder")
+
+
+def page(rows: DataFrame, number: int, size: int = 20, *order: str) -> DataFrame:
+    """A page of a list, from 1."""
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
