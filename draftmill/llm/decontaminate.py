@@ -67,10 +67,10 @@ def _segments(most: int):
                     # documents lie GAP places apart
                     doc = np.arange(hi - lo)
                     starts.append(at + w.bounds[:-1] + doc * GAP)
-                    places.append(np.arange(len(w.starts)) + at + np.repeat(doc * GAP, w.n_words))
+                    places.append((np.arange(len(w.starts)) + at + np.repeat(doc * GAP, w.n_words)).astype("<i4"))
                     hashes.append(w.hashes(1))
-                    begins.append(w.starts + off[lo])
-                    lens.append(w.lens)
+                    begins.append((w.starts + off[lo]).astype(np.int32))
+                    lens.append(w.lens.astype(np.int32))
                     n_words.append(w.n_words)
                     at += len(w.starts) + (hi - lo) * GAP
                 h, p, b, n = (np.concatenate(x) for x in (hashes, places, begins, lens))
@@ -80,7 +80,8 @@ def _segments(most: int):
                 counts = np.diff(np.r_[new, len(s)])
                 m, k = len(new), last - first
                 one = lambda x, kind: pa.array([*[None] * m, x], pa.list_(kind))
-                lists = _binaries(np.ascontiguousarray(p[order].astype("<i4")).view(np.uint8), 4 * new, 4 * counts)
+                # the lists lie one after the other, as they are
+                lists = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((4 * np.r_[new, len(s)]).astype(np.int32)), pa.py_buffer(p[order])])
                 heads = order[new]
                 names = pa.concat_arrays([_binaries(part, b[heads], n[heads]), pa.nulls(1, pa.binary())])
                 yield pa.RecordBatch.from_arrays(
