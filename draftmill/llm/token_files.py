@@ -30,7 +30,7 @@ END, SHARD_TOKENS = 2, 2_000_000
 #: Pieces of text that a worker remembers (a step may add its own); a full table is emptied, which changes no result.
 REMEMBERED = 700_000
 #: Pieces that the library gets in one text; bytes of text in a step.
-TOGETHER, STEP = 256, 4 << 20
+TOGETHER, STEP = 256, 8 << 20
 _MAGIC = b"WVMX1\0\0\0"
 _LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
