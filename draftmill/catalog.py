@@ -94,7 +94,7 @@ def distinct_readings(spark, sf_dir):
 
 @query()
 def fused_tokens(spark, sf_dir):
-    return fusion.fuse(tokens(spark, sf_dir), 3)
+    return fusion.fuse(tokens(spark, sf_dir), 3).withColumn("candidates", F.array_join("candidates", "|"))
 
 
 @query(TOK + "SELECT c.sheet_id, c.seq FROM t c WHERE c.engine = 'paddle' AND NOT EXISTS (SELECT 1 FROM t f WHERE f.engine = 'doctr' AND f.sheet_id = c.sheet_id AND greatest(0, least(c.x1,f.x1)-greatest(c.x0,f.x0)) * greatest(0, least(c.y1,f.y1)-greatest(c.y0,f.y0)) / ((f.x1-f.x0)*(f.y1-f.y0)) >= 0.7)")
@@ -134,15 +134,20 @@ def label_anchors(spark, sf_dir):
     return extract.find_anchors(layout.token_ids(tokens(spark, sf_dir), "y0", "x0", "seq"))
 
 
-@query(TOK + ", p AS (SELECT a.sheet_id, a.seq AS label, t.seq AS value, (t.x0+t.x1)/2.0 - (a.x0+a.x1)/2.0 AS dx, (t.y0+t.y1)/2.0 - (a.y0+a.y1)/2.0 AS dy, t.x0 - a.x1 AS gap, a.y1 - a.y0 AS h, a.x1 - a.x0 AS w FROM t a JOIN t ON a.sheet_id = t.sheet_id AND a.text = 'SCALE' AND t.text <> 'SCALE'), s AS (SELECT sheet_id, label, value, CASE WHEN abs(dy) < 0.6 * h AND gap >= 0 THEN 1 - least(gap, 300) / 300.0 WHEN abs(dx) < w AND dy > 0 AND dy < 3 * h THEN 0.9 - dy / (3.0 * h) ELSE 0 END AS score FROM p) SELECT sheet_id, label, value, round(score, 6) AS score FROM s WHERE score > 0")
+_LABELS = {w.upper().rstrip(".") for ws in extract.ANCHORS.values() for w in ws}
+_CLEAN = r"regexp_replace(upper({}), '[.:]+$', '')"
+
+
+@query(TOK + f", p AS (SELECT a.sheet_id, {_CLEAN.format('a.text')} AS word, a.seq AS label, t.seq AS value, (t.x0+t.x1)/2.0 - (a.x0+a.x1)/2.0 AS dx, (t.y0+t.y1)/2.0 - (a.y0+a.y1)/2.0 AS dy, t.x0 - a.x1 AS gap, a.y1 - a.y0 AS h, a.x1 - a.x0 AS w FROM t a JOIN t ON a.sheet_id = t.sheet_id WHERE {_CLEAN.format('a.text')} IN {tuple(sorted(_LABELS))} AND {_CLEAN.format('t.text')} NOT IN {tuple(sorted(_LABELS))}), s AS (SELECT sheet_id, word, label, value, CASE WHEN abs(dy) < 0.6 * h AND gap >= 0 THEN 1 - least(gap, 300) / 300.0 WHEN abs(dx) < w AND dy > 0 AND dy < 3 * h THEN 0.9 - dy / (3.0 * h) ELSE 0 END AS score FROM p) SELECT sheet_id, word, label, value, round(score, 6) AS score FROM s WHERE score > 0")
 def label_value_scores(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    side = lambda p, df: df.select("sheet_id", *[F.col(c).alias(f"{p}{c}") for c in ("seq", "x0", "y0", "x1", "y1")])
-    p = side("a_", t.filter("text = 'SCALE'")).join(side("t_", t.filter("text <> 'SCALE'")), "sheet_id").withColumn("score", extract.pair_score())
-    return p.filter("score > 0").select("sheet_id", F.col("a_seq").alias("label"), F.col("t_seq").alias("value"), F.round("score", 6).alias("score"))
+    t = tokens(spark, sf_dir).withColumn("word", F.regexp_replace(F.upper("text"), r"[.:]+$", ""))
+    side = lambda p, df, *more: df.select("sheet_id", *more, *[F.col(c).alias(f"{p}{c}") for c in ("seq", "x0", "y0", "x1", "y1")])
+    is_label = F.col("word").isin(*_LABELS)
+    p = side("a_", t.filter(is_label), "word").join(side("t_", t.filter(~is_label)), "sheet_id").withColumn("score", extract.pair_score())
+    return p.filter("score > 0").select("sheet_id", "word", F.col("a_seq").alias("label"), F.col("t_seq").alias("value"), F.round("score", 6).alias("score"))
 
 
-@query(TOK + ", i AS (SELECT *, (row_number() OVER (PARTITION BY sheet_id ORDER BY y0, x0, seq) - 1)::INT AS tid FROM t), m AS (SELECT sheet_id, tid, text FROM i WHERE regexp_matches(text, '^1:')) SELECT sheet_id, min(tid)::INT AS tid, arg_min(text, tid) AS value FROM m GROUP BY sheet_id")
+@query(TOK + f", i AS (SELECT *, (row_number() OVER (PARTITION BY sheet_id ORDER BY y0, x0, seq) - 1)::INT AS tid FROM t), m AS (SELECT sheet_id, tid, text FROM i WHERE regexp_matches(text, '{_Q(X.SCALE)}') AND NOT regexp_matches(text, '{X.BARE_LABEL}')) SELECT sheet_id, min(tid)::INT AS tid, arg_min(text, tid) AS value FROM m GROUP BY sheet_id")
 def first_scales(spark, sf_dir):
     return extract.first_match(layout.token_ids(tokens(spark, sf_dir), "y0", "x0", "seq"), "scale")
 
@@ -152,9 +157,10 @@ def first_dates(spark, sf_dir):
     return extract.first_match(layout.token_ids(tokens(spark, sf_dir), "y0", "x0", "seq"), "date")
 
 
-@query(TOK + ", i AS (SELECT *, (row_number() OVER (PARTITION BY sheet_id ORDER BY y0, x0, seq) - 1)::INT AS tid FROM t), m AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY conf DESC, tid) AS k FROM i WHERE regexp_matches(text, '^[0-9]{2,4}/A[0-9]$')) SELECT sheet_id, tid, text AS value FROM m WHERE k = 1")
+@query(TOK + f", i AS (SELECT *, (row_number() OVER (PARTITION BY sheet_id ORDER BY y0, x0, seq) - 1)::INT AS tid FROM t), m AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY seq % 3 DESC, conf DESC, tid) AS k FROM i WHERE regexp_matches(text, '(?i){X.DRAWING_NUMBER}')) SELECT sheet_id, tid, text AS value FROM m WHERE k = 1")
 def surest_numbers(spark, sf_dir):
-    return extract.first_match(layout.token_ids(tokens(spark, sf_dir), "y0", "x0", "seq"), "number")
+    t = layout.token_ids(tokens(spark, sf_dir), "y0", "x0", "seq").withColumn("agreement", (F.col("seq") % 3) / 2)
+    return extract.first_match(t, "number")
 
 
 _FIELDS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'v' END AS verbatim, CASE WHEN l_partkey % 5 = 0 THEN 'c' END AS corrected, CASE WHEN l_partkey % 22 = 0 THEN 'illegible' WHEN l_partkey % 11 = 0 THEN 'ambiguous' END AS reason, l_suppkey % 9 <> 0 AS evidence_ok, CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_partkey % 101 AS DOUBLE) / CAST(100 AS DOUBLE) END AS agreement, CAST(l_suppkey % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS ocr_conf, CASE WHEN l_partkey % 3 = 0 THEN CAST(1 AS DOUBLE) WHEN l_partkey % 3 = 1 THEN CAST(0 AS DOUBLE) END AS format, CASE l_linenumber % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN 'sure' ELSE '' END AS model_label, l_linenumber % 4 = 0 AS adjudicated, l_suppkey % 10 = 1 AS repaired FROM lineitem"
@@ -240,9 +246,11 @@ def status_codes(spark, sf_dir):
     return e.groupBy("word", "code").agg(F.count("*").alias("n"))
 
 
-@query("WITH v AS (SELECT conv_id, turn, [trim(role), NULL, ' ', 'ambiguous', trim(role), 'illegible'] AS x FROM conversations), n AS (SELECT conv_id, turn, list_filter(x, lambda y: y IS NOT NULL AND trim(y) <> '') AS x FROM v) SELECT conv_id, turn, 'ambiguous' AS reason, concat_ws('|', x[1], 'illegible') AS notes FROM n")
+@query(f"WITH v AS (SELECT conv_id, turn, [trim(role), NULL, ' ', CASE turn % 3 WHEN 0 THEN 'low_resolution' WHEN 1 THEN 'a note' ELSE 'ambiguous' END, trim(role), CASE WHEN turn % 2 = 0 THEN 'illegible' END] AS x FROM conversations), n AS (SELECT conv_id, turn, list_filter(x, lambda y: y IS NOT NULL AND trim(y) <> '') AS x FROM v), r AS (SELECT *, list_filter(x, lambda y: y IN {X.REASONS})[1] AS reason FROM n) SELECT conv_id, turn, reason, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i AND (reason IS NULL OR y <> reason)), '|') AS notes FROM r")
 def reasons_and_notes(spark, sf_dir):
-    v = F.array(F.col("role"), F.lit(None), F.lit(" "), F.lit("ambiguous"), F.col("role"), F.lit("illegible"))
+    k = F.col("turn")
+    said = F.when(k % 3 == 0, "low_resolution").when(k % 3 == 1, " a note ").otherwise("ambiguous")
+    v = F.array(F.col("role"), F.lit(None), F.lit(" "), said, F.col("role"), F.when(k % 2 == 0, "illegible"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.reason_of(v).alias("reason"), F.array_join(X.other_notes(v), "|").alias("notes"))
 
 

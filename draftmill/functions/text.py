@@ -15,6 +15,9 @@ MONTH = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
 DATE = rf"\b\d{{1,2}}\s*[./-]\s*\d{{1,2}}\s*[./-]\s*\d{{2,4}}\b|\b{MONTH}[A-Z]*\.?\s+\d{{4}}\b|\b\d{{1,2}}\s+{MONTH}[A-Z]*\.?\s+\d{{2,4}}\b|\b(19|20)\d{{2}}\b"
 YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
 DRAWING_NUMBER = r"\b\d{2,4}\s*/\s*[A-Z]{1,2}\s*\d{1,3}[A-Z]?\b|\b[A-Z]{1,3}\s*-?\s*\d{2,5}\b|\b\d{3,6}\s*[-/]\s*\d{1,4}\b"
+BARE_LABEL = r"(?i)^\s*SCALES?\s*[:.]?\s*$"
+#: What begins like this is another field's label, and no name of a person.
+NO_PERSON = r"(?i)^\s*(DATE(\b|\d)|(SCALES?|DRAWN|CHKD|CHECK|CHECKED|CHEEK|APPD|APPROVED|CLIENT|JOB|PROJECT|TITLE|DRAWING|DWG|DRG|SHEET|REVISION|E|CH|CE|H|HE)\b)"
 TYPE_WORDS = ("PERSPECTIVE", "ELEVATION", "SECTION", "DETAIL", "PLAN")
 PROBE_WORDS = ("SCALE", "DATE", "DRAWN", "DRAWING", "CHECKED", "ARCHITECT", "TITLE", "SHEET", "JOB")
 STATUS_WORDS = {"not_started": 0, "queued": 0, "running": 1, "success": 2, "failed": 3}
@@ -46,6 +49,11 @@ def is_scale(s: Column) -> Column:
     return s.rlike(SCALE)
 
 
+def is_bare_label(s: Column) -> Column:
+    """A scale's label alone, which is no scale."""
+    return s.rlike(BARE_LABEL)
+
+
 def is_vague_scale(s: Column) -> Column:
     return s.rlike(VAGUE_SCALE)
 
@@ -67,6 +75,10 @@ def is_drawing_number(s: Column) -> Column:
     return (v != "") & ~v.rlike(f"(?i)^({DATE})$") & v.rlike(f"(?i)^({DRAWING_NUMBER})$")
 
 
+def has_drawing_number(s: Column) -> Column:
+    return s.rlike(f"(?i){DRAWING_NUMBER}")
+
+
 def drawing_type(s: Column) -> Column:
     """The one type word of a text, `mixed` for several, null for none."""
     found = F.array_compact(F.array(*[F.when(F.upper(s).contains(w), F.lit(w.lower())) for w in TYPE_WORDS]))
@@ -122,7 +134,9 @@ def reply_object(s: Column) -> Column:
 
 
 def format_check(name: Column, value: Column, first: int = 1900, last: int = 2000) -> Column:
-    """1 or 0 for fields with a format, null for the others."""
+    """1 or 0 for fields with a format, null for the others. A person's name has a letter, and nothing of other fields."""
     v = F.coalesce(value, F.lit(""))
+    flat = F.trim(F.regexp_replace(v, r"\s+", " "))
+    person = flat.rlike("[A-Za-z]") & ~(is_date(flat) | has_drawing_number(flat) | is_scale(flat) | flat.rlike(NO_PERSON))
     one = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(name == "scale", one(is_scale(v))).when(name == "date", one(F.coalesce(year(v).between(first, last), F.lit(False)))).when(name == "drawing_number", one(is_drawing_number(v)))
+    return F.when(name == "scale", one(is_scale(v))).when(name == "date", one(F.coalesce(year(v).between(first, last), F.lit(False)))).when(name == "drawing_number", one(is_drawing_number(v))).when(name == "draughtsperson", one(person))

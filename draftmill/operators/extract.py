@@ -18,12 +18,12 @@ ANCHORS = {
 }
 
 
-def find_anchors(tokens: DataFrame, least: float = 85.0) -> DataFrame:
+def find_anchors(tokens: DataFrame, least: float = 85.0, labels: dict[str, list[str]] = ANCHORS) -> DataFrame:
     """(sheet_id, label, tid, score): of each label the token that is most like one of its words. Distinct token texts
     are scored once and joined back: the words are a fixed list, and texts repeat."""
     clean = F.regexp_replace(F.upper("text"), r"[.:]+$", "")
     texts = tokens.select(clean.alias("clean")).distinct()
-    words = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(i).alias("variant"), F.lit(w.upper()).alias("word")) for k, ws in ANCHORS.items() for i, w in enumerate(ws)])
+    words = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(i).alias("variant"), F.lit(w.upper()).alias("word")) for k, ws in labels.items() for i, w in enumerate(ws)])
     scored = texts.withColumn("a", F.explode(words)).select("clean", "a.label", "a.variant", X.indel_ratio(F.col("clean"), F.col("a.word")).alias("score")).filter(F.col("score") >= least)
     hits = tokens.withColumn("clean", clean).join(scored, "clean")
     top = hits.groupBy("sheet_id", "label").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), (-F.col("variant")).alias("v"))).alias("m"))
@@ -42,14 +42,15 @@ def pair_score(a: str = "a_", t: str = "t_") -> Column:
 
 
 def first_match(tokens: DataFrame, kind: str) -> DataFrame:
-    """The first token of a sheet that reads as a scale or a date in range; of drawing numbers the surest."""
+    """The first token of a sheet that reads as a scale or a date in range; of those with a drawing number the one that most
+    engines agree on, of these the surest, of these the first."""
     t = F.col("text")
     if kind == "scale":
-        return tokens.filter(X.is_scale(t) & (X.norm(t) != "SCALE")).groupBy("sheet_id").agg(F.min("tid").alias("tid"), F.min_by("text", "tid").alias("value"))
+        return tokens.filter(X.is_scale(t) & ~X.is_bare_label(t)).groupBy("sheet_id").agg(F.min("tid").alias("tid"), F.min_by("text", "tid").alias("value"))
     if kind == "date":
         return tokens.filter(X.is_date(t) & X.year(t).between(1900, 2000)).groupBy("sheet_id").agg(F.min("tid").alias("tid"), F.min_by("text", "tid").alias("value"))
-    best = F.struct("conf", (-F.col("tid")).alias("t"))
-    return tokens.filter(X.is_drawing_number(t)).groupBy("sheet_id").agg((-F.max(best)["t"]).cast("int").alias("tid"), F.max_by("text", best).alias("value"))
+    best = F.struct("agreement", "conf", (-F.col("tid")).alias("t"))
+    return tokens.filter(X.has_drawing_number(t)).groupBy("sheet_id").agg((-F.max(best)["t"]).cast("int").alias("tid"), F.max_by("text", best).alias("value"))
 
 
 def confidence(fields: DataFrame, w_agreement: float = 0.18, w_ocr: float = 0.18, w_format: float = 0.18, w_model: float = 0.15, high: float = 0.75, low: float = 0.45, ceiling: float = 0.85) -> DataFrame:

@@ -48,13 +48,14 @@ def overlap_groups(tokens: DataFrame, least_iou: float = 0.5) -> DataFrame:
 
 
 def fuse(tokens: DataFrame, engines: int, least_conf: float = 0.3, least_iou: float = 0.5) -> DataFrame:
-    """One token for each group: text and conf of the surest reading, the box around all, and the agreement."""
+    """One token for each group: text and conf of the surest reading, the box around all, the agreement, and all texts that
+    were read there (candidates, by place)."""
     kept = overlap_groups(tokens.filter(F.col("conf") >= least_conf), least_iou).filter("grp >= 0")
     best = Window.partitionBy("sheet_id", "grp").orderBy(F.desc("conf"), "y0", "x0", "seq")
     lead = kept.withColumn("best", F.first("text").over(best)).withColumn("same", (norm("text") == norm("best")).cast("int"))
     n = F.count("*")
     share = F.avg("same") * F.when(n < engines, n / engines).otherwise(F.lit(1.0))
-    return lead.groupBy("sheet_id", "grp").agg(F.trim(F.first("best")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.max("conf"), 3).alias("conf"), F.round(share, 3).alias("agreement"), n.alias("readings"))
+    return lead.groupBy("sheet_id", "grp").agg(F.trim(F.first("best")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.max("conf"), 3).alias("conf"), F.round(share, 3).alias("agreement"), n.alias("readings"), F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text"))), lambda r: r["text"]).alias("candidates"))
 
 
 def covered(coarse: DataFrame, fine: DataFrame, ratio: float = 0.7) -> DataFrame:
