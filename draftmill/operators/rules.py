@@ -1,7 +1,7 @@
 """Fields by rules: what a sheet's tokens say by their format, by a list of names, or beside their labels.
 
 tokens: sheet_id, tid (a token's place on its sheet), text, x0, y0, x1, y1, conf, agreement, candidates (array of the texts
-that were read there). A null text is an empty one. Sheets without tokens have no rows.
+that were read there); other columns are not read. A null text is an empty one. Sheets without tokens have no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ LEAST_NAME, MOST_NAME, EXPANDED_NAME = 80.0, 0.96, 0.90
 #: Least pair score of a value that a label is given; drawing numbers need less.
 LEAST_PAIR, LEAST_NUMBER_PAIR = 0.35, 0.30
 
-CLAIM = ("sheet_id", "name", "turn", "tids", "verbatim", "corrected", "basis", "score", "agreement", "conf", "why")
+BOX = ("x0", "y0", "x1", "y1")
+TOKEN = ("sheet_id", "tid", "text", *BOX, "conf", "agreement")
+FOUND = ("tids", "verbatim", "corrected", "basis", "score", "agreement", "conf")
+#: The turn of a seed that only stands for a sheet's open field.
+OPEN = 9
 
 
 def strip(s: Column) -> Column:
@@ -37,23 +41,26 @@ def strip(s: Column) -> Column:
 
 
 def extended(seeds: DataFrame, tokens: DataFrame, reach: float = 1.8) -> DataFrame:
-    """seeds (sheet_id, seed, alone, others) with the tokens that go with each: the seed and, unless it is alone, those to
-    its right in its row up to a gap over `reach` of its height, a bare scale label or another label. Adds tids, whole
-    (texts joined by blanks), agreement and conf (the least)."""
+    """seeds (sheet_id, name, turn, seed, alone, word, others; name and turn tell a sheet's seeds apart) with the tokens
+    that go with each. With a word: all tokens that hold it. Else the seed and, unless it is alone, those to its right in
+    its row up to a gap over `reach` of its height, a bare scale label or another label. Adds tids, whole (texts joined by
+    blanks), agreement and conf (the least). All of it stays in the partitions by sheet."""
     keys = seeds.columns
-    box = ("x0", "y0", "x1", "y1")
-    s = seeds.join(tokens.select("sheet_id", F.col("tid").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in box]), ["sheet_id", "seed"])
-    t = tokens.select("sheet_id", "tid", F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"t_{c}") for c in box], F.col("conf").alias("__conf"), F.col("agreement").alias("__agreement"))
+    t = tokens.select("sheet_id", "tid", F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"t_{c}") for c in BOX], F.col("conf").alias("__conf"), F.col("agreement").alias("__agreement"))
+    own = Window.partitionBy("sheet_id", "name", "turn")
+    needed = (F.col("tid") == F.col("seed")) | ~F.col("alone") | F.col("word").isNotNull()
+    seeded = seeds.join(t, "sheet_id").filter(needed).select("*", *[F.max(F.when(F.col("tid") == F.col("seed"), F.col(f"t_{c}"))).over(own).alias(f"s_{c}") for c in BOX])
     h = F.greatest(F.col("s_y1") - F.col("s_y0"), F.lit(1))
     off = F.abs((F.col("t_y0") + F.col("t_y1")) / 2.0 - (F.col("s_y0") + F.col("s_y1")) / 2.0)
     after = (F.col("t_x0") > F.col("s_x0")) | ((F.col("t_x0") == F.col("s_x0")) & (F.col("tid") > F.col("seed")))
-    row = s.join(t, "sheet_id").filter((F.col("tid") == F.col("seed")) | (~F.col("alone") & (off <= 0.6 * h) & after))
-    # the seed first: it has the least (x0, tid) of what is left
-    w = Window.partitionBy("sheet_id", "seed", *[k for k in keys if k in ("name", "turn")]).orderBy("t_x0", "tid")
-    ends = (F.col("tid") != F.col("seed")) & ((F.col("t_x0") - F.lag("t_x1").over(w) > reach * h) | X.is_bare_label(F.col("__text")) | F.col("__text").rlike(ROW_END))
-    held = row.withColumn("__ends", ends.cast("int")).withColumn("__past", F.sum("__ends").over(w)).filter("__past = 0")
-    parts = F.array_sort(F.collect_list(F.struct("t_x0", "tid", "__text")))
-    out = held.groupBy(*keys).agg(parts.alias("__parts"), F.min("__agreement").alias("agreement"), F.min("__conf").alias("conf"))
+    named = F.col("word").isNotNull()
+    row = seeded.filter(F.when(named, F.contains(F.upper("__text"), F.col("word"))).otherwise((F.col("tid") == F.col("seed")) | (~F.col("alone") & (off <= 0.6 * h) & after)))
+    # the seed comes first: it has the least (x0, tid) of what is left
+    w = own.orderBy("t_x0", "tid")
+    ends = ~named & (F.col("tid") != F.col("seed")) & ((F.col("t_x0") - F.lag("t_x1").over(w) > reach * h) | X.is_bare_label(F.col("__text")) | F.col("__text").rlike(ROW_END))
+    held = row.withColumn("__ends", ends.cast("int")).withColumn("__past", F.sum(F.coalesce("__ends", F.lit(0))).over(w)).filter("__past = 0")
+    place = F.when(named, 0).otherwise(F.col("t_x0"))
+    out = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "tid", "__text"))).alias("__parts"), F.min("__agreement").alias("agreement"), F.min("__conf").alias("conf"))
     return out.select(*keys, F.col("__parts.tid").alias("tids"), F.array_join(F.col("__parts.__text"), " ").alias("whole"), "agreement", "conf")
 
 
@@ -66,19 +73,20 @@ def with_scale(groups: DataFrame) -> DataFrame:
 def scale_groups(tokens: DataFrame) -> DataFrame:
     """(sheet_id, seed, tids, whole, scale, noisy, agreement, conf) of each sheet's first token that reads as a scale."""
     t = F.coalesce("text", F.lit(""))
-    first = tokens.filter(X.is_scale(t) & ~X.is_bare_label(t)).groupBy("sheet_id").agg(F.min("tid").alias("seed")).withColumn("alone", F.lit(False))
-    return with_scale(extended(first, tokens)).drop("alone")
+    first = tokens.filter(X.is_scale(t) & ~X.is_bare_label(t)).groupBy("sheet_id").agg(F.min("tid").alias("seed"))
+    seeds = first.select("sheet_id", F.lit("scale").alias("name"), F.lit(0).alias("turn"), "seed", F.lit(False).alias("alone"), F.lit(None).cast("string").alias("word"))
+    return with_scale(extended(seeds, tokens)).drop("name", "turn", "alone", "word")
 
 
 def label_values(tokens: DataFrame, labels: dict[str, list[str]] = ANCHORS, least: float = 85.0) -> DataFrame:
     """(sheet_id, label, tid, text, score): each label's value, so that the sum of the pairs' scores is the greatest and no
     token serves two labels. Tokens that are labels are no values. A label's best tokens, as many as there are labels, are
     enough for that: if it took another one, one of these would be free and no worse."""
-    found = find_anchors(tokens, least, labels).select("sheet_id", "label", F.col("tid").alias("a_tid"))
-    box = ("x0", "y0", "x1", "y1")
-    side = lambda p, *more: tokens.select("sheet_id", F.col("tid").alias(f"{p}tid"), *[F.col(c).alias(f"{p}{c}") for c in (*box, *more)])
-    free = side("t_", "text").join(found.select("sheet_id", F.col("a_tid").alias("t_tid")).distinct(), ["sheet_id", "t_tid"], "left_anti")
-    pairs = found.join(side("a_"), ["sheet_id", "a_tid"]).join(free, "sheet_id").withColumn("score", pair_score()).filter("score > 0")
+    tokens = tokens.select(*TOKEN)
+    anchors = find_anchors(tokens, least, labels, BOX).select("sheet_id", F.struct("label", "tid", *BOX).alias("a")).groupBy("sheet_id").agg(F.collect_list("a").alias("anchors"))
+    values = tokens.select("sheet_id", F.col("tid").alias("t_tid"), F.col("text").alias("t_text"), *[F.col(c).alias(f"t_{c}") for c in BOX])
+    free = values.join(anchors, "sheet_id").filter(~F.array_contains("anchors.tid", F.col("t_tid"))).withColumn("a", F.explode("anchors"))
+    pairs = free.select("sheet_id", "a.label", "t_tid", "t_text", *[F.col(f"t_{c}") for c in BOX], *[F.col(f"a.{c}").alias(f"a_{c}") for c in BOX]).withColumn("score", pair_score()).filter("score > 0")
     best = Window.partitionBy("sheet_id", "label").orderBy(F.desc("score"), "t_tid")
     few = pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= len(labels)).select("sheet_id", "label", F.col("t_tid").alias("tid"), F.col("t_text").alias("text"), "score")
 
@@ -151,23 +159,8 @@ def known_name(joined: Column, names: tuple[str, ...] = ARCHITECTS, least: float
             out.append((scores.index(top), top) if scores and top >= least else (None, None))
         return pd.DataFrame({"k": pd.array([k for k, _ in out], "Int32"), "score": pd.array([s for _, s in out], "Float64")})
 
-    return best(joined)
-
-
-def _architects(tokens: DataFrame, joined: DataFrame, names: tuple[str, ...], lock: float) -> DataFrame:
-    """Claims by the list of names: the tokens with a name's first word, if the rest of the name is not mostly guessed."""
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("m.k"))
-    sheets = joined.withColumn("m", known_name(F.col("joined"), names)).filter("m.score IS NOT NULL").select("sheet_id", F.col("m.score").alias("likeness"), pick([n.split()[0] for n in names]).alias("word"), pick([n.title() for n in names]).alias("corrected"))
-    hits = tokens.join(sheets, "sheet_id").filter(F.contains(F.upper("text"), F.col("word")))
-    parts = F.array_sort(F.collect_list(F.struct("tid", "text")))
-    g = hits.groupBy("sheet_id", "likeness", "corrected").agg(parts.alias("p"), F.min("agreement").alias("agreement"), F.min("conf").alias("conf"))
-    g = g.withColumn("verbatim", F.array_join("p.text", " ")).withColumn("grows", F.length("corrected") / F.greatest(F.length("verbatim"), F.lit(1)))
-    s = F.least(F.col("likeness") / 100, F.lit(MOST_NAME))
-    why = F.when(F.col("grows") > 2.0, "expansion")
-    shown = F.when(F.col("grows") > 1.3, F.least(s, F.lit(EXPANDED_NAME))).otherwise(s)
-    basis = F.concat(F.lit("listed name, read as "), F.col("verbatim"))
-    claims = g.withColumns({"name": F.lit("architect"), "turn": F.lit(0), "tids": F.col("p.tid"), "basis": basis, "why": why, "score": shown})
-    return claims.filter(why.isNotNull() | (s >= lock)).select(*CLAIM)
+    # or Spark would run it once more for each filter on what it gives
+    return best.asNondeterministic()(joined)
 
 
 def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels: dict[str, list[str]] = ANCHORS, lock: float = 0.85, label_least: float = 85.0, first_year: int = 1900, last_year: int = 2000) -> DataFrame:
@@ -177,53 +170,66 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
 
     Claims by format and by the list of names come first, then those by labels, for fields that are still open."""
     text = F.coalesce("text", F.lit(""))
-    tokens = tokens.withColumn("text", text)
+    tokens = tokens.select(*TOKEN, "candidates").withColumn("text", text)
     t, tid = F.col("text"), F.col("tid")
     number = F.when(X.has_drawing_number(t), F.struct("agreement", "conf", (-tid).alias("back"), t.alias("text")))
     other = repair.first_more_complete(t, F.col("candidates"))
     alternative = F.when(F.coalesce(X.has_drawing_number(other), F.lit(False)), F.struct(tid.alias("tid"), t.alias("text")))
     by_format = tokens.groupBy("sheet_id").agg(
+        F.min(tid).alias("any"),
         F.min(F.when(X.is_scale(t) & ~X.is_bare_label(t), tid)).alias("scale"),
         F.min(F.when(X.is_date(t) & X.year(t).between(first_year, last_year), tid)).alias("date"),
         F.max(number).alias("n"),
         F.min(alternative).alias("alt"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(tid.alias("tid"), F.upper(t).alias("u")))), lambda x: x["u"]), " ").alias("joined"),
     )
-    labelled = label_values(tokens, labels, label_least).withColumn("__ls", F.lit(LABEL_BASE) + LABEL_SHARE * F.col("score"))
-
-    seed = lambda df, name, turn, at, alone, score, why=F.lit(None): df.select("sheet_id", name.alias("name"), F.lit(turn).alias("turn"), at.cast("int").alias("seed"), alone.alias("alone"), score.cast("double").alias("score"), why.cast("string").alias("why")).filter("seed IS NOT NULL")
-    scales = seed(by_format, F.lit("scale"), 0, F.col("scale"), F.lit(False), F.lit(None))
-    dates = seed(by_format, F.lit("date"), 0, F.col("date"), F.lit(True), F.lit(DATE_SCORE))
-    others = seed(labelled.filter(F.col("label").isin(*FIELDS) & (F.col("label") != "drawing_number") & (F.col("__ls") >= lock)), F.col("label"), 1, F.col("tid"), ~F.col("label").isin(*SEVERAL), F.round("__ls", 3))
-
-    ours = by_format.select("sheet_id", F.coalesce(-F.col("n.back"), F.col("alt.tid")).alias("v_tid"), F.coalesce("n.text", "alt.text").alias("v_text"), F.when(F.col("n.agreement") >= 0.99, AGREED_NUMBER).when(F.col("n").isNotNull(), LONE_NUMBER).otherwise(OTHER_NUMBER).alias("v_score"))
-    theirs = labelled.filter("label = 'drawing_number'").select("sheet_id", F.col("tid").alias("l_tid"), F.col("text").alias("l_text"), "__ls")
-    both = ours.filter("v_tid IS NOT NULL").join(theirs, "sheet_id", "full")
-    same = X.number_key(F.col("v_text")) == X.number_key(F.col("l_text"))
-    why = F.when(F.col("v_tid").isNotNull() & F.col("l_tid").isNotNull() & ~same, "conflict")
-    sure = F.greatest("v_score", "__ls")  # of one alone, its own
-    shown = F.when(F.col("l_tid").isNotNull(), F.round(sure, 3)).otherwise(sure)
-    numbers = seed(both.filter(why.isNotNull() | (sure >= lock)), F.lit("drawing_number"), 0, F.coalesce("l_tid", "v_tid"), F.lit(True), shown, why)
-
-    g = with_scale(extended(scales.unionByName(dates).unionByName(others).unionByName(numbers), tokens))
-    by_scale = (F.col("name") == "scale") & (F.col("turn") == 0)
-    score = F.when(by_scale, F.when(F.col("noisy"), NOISY_SCALE).otherwise(CLEAN_SCALE)).otherwise(F.col("score"))
-    told = F.when(by_scale & (score < lock), "noisy").otherwise(F.col("why"))
-    corrected = F.when(by_scale, F.col("scale")).when(F.col("name") == "date", F.col("whole"))
-    basis = F.when(by_scale & F.col("scale").isNotNull(), "the part of the line that is a scale")
-    claims = g.withColumns({"why": told, "corrected": corrected, "basis": basis, "verbatim": F.col("whole")}).withColumn("score", score).select(*CLAIM)
-    claims = claims.unionByName(_architects(tokens, by_format.select("sheet_id", "joined"), names, lock))
-    # the window of years that a value is held against is the format's own
-    wrong = X.format_check(F.col("name"), F.col("verbatim")) == 0
-    claims = claims.withColumn("why", F.coalesce("why", F.when(wrong, "format")))
-
-    body = F.struct(*[c for c in CLAIM if c not in ("sheet_id", "name", "turn", "why")])
-    held = F.min(F.when(F.col("why").isNull(), F.struct("turn", body.alias("b"))))
-    told_last = F.max(F.when(F.col("why").isNotNull(), F.struct("turn", "why")))
-    one = claims.groupBy("sheet_id", "name").agg(held.alias("held"), told_last.alias("no"))
+    by_label = label_values(tokens, labels, label_least).select("sheet_id", F.struct("label", "tid", "text", (F.lit(LABEL_BASE) + LABEL_SHARE * F.col("score")).alias("s")).alias("l")).groupBy("sheet_id").agg(F.collect_list("l").alias("values"))
+    sheets = by_format.join(by_label, "sheet_id", "left").withColumn("m", known_name(F.col("joined"), names))
+
+    def seed(name, turn, at, alone, score, why=None, word=None, corrected=None):
+        null = F.lit(None).cast("string")
+        return F.struct(name.alias("name"), F.lit(turn).alias("turn"), at.cast("int").alias("seed"), alone.alias("alone"), score.cast("double").alias("score"), (null if why is None else why).alias("why"), (null if word is None else word).alias("word"), (null if corrected is None else corrected).alias("listed"))
+
+    values = F.coalesce("values", F.array().cast("array<struct<label:string,tid:int,text:string,s:double>>"))
+    mine = F.get(F.filter(values, lambda v: v["label"] == "drawing_number"), 0)
+    v_tid, v_text = F.coalesce(-F.col("n.back"), F.col("alt.tid")), F.coalesce("n.text", "alt.text")
+    v_score = F.when(F.col("n.agreement") >= 0.99, AGREED_NUMBER).when(F.col("n").isNotNull(), LONE_NUMBER).when(F.col("alt").isNotNull(), OTHER_NUMBER)
+    conflict = F.when(v_tid.isNotNull() & mine["tid"].isNotNull() & (X.number_key(v_text) != X.number_key(mine["text"])), "conflict")
+    sure = F.greatest(v_score, mine["s"])  # of one alone, its own
+    numbered = F.when(conflict.isNotNull() | (sure >= lock), F.coalesce(mine["tid"], v_tid))
+    beside = F.filter(values, lambda v: v["label"].isin(*FIELDS) & (v["label"] != "drawing_number") & (v["s"] >= lock))
+    pick = lambda given: F.get(F.array(*[F.lit(g) for g in given]), F.col("m.k")) if given else F.lit(None).cast("string")
+    yes, no = F.lit(True), F.lit(False)
+    seeds = F.concat(
+        F.array(*[seed(F.lit(f), OPEN, F.col("any"), yes, F.lit(None)) for f in FIELDS]),
+        F.array(
+            seed(F.lit("scale"), 0, F.col("scale"), no, F.lit(None)),
+            seed(F.lit("date"), 0, F.col("date"), yes, F.lit(DATE_SCORE)),
+            seed(F.lit("drawing_number"), 0, numbered, yes, F.when(mine["tid"].isNull(), sure).otherwise(F.round(sure, 3)), conflict),
+            seed(F.lit("architect"), 0, F.when(F.col("m.k").isNotNull(), F.col("any")), yes, F.least(F.col("m.score") / 100, F.lit(MOST_NAME)), None, pick([n.split()[0] for n in names]), pick([n.title() for n in names])),
+        ),
+        F.transform(beside, lambda v: seed(v["label"], 1, v["tid"], ~v["label"].isin(*SEVERAL), F.round(v["s"], 3))),
+    )
+    g = with_scale(extended(sheets.select("sheet_id", F.explode(seeds).alias("d")).select("sheet_id", "d.*").filter("seed IS NOT NULL"), tokens))
+
+    by_scale, by_name = (F.col("name") == "scale") & (F.col("turn") == 0), F.col("word").isNotNull()
+    grows = F.length("listed") / F.greatest(F.length("whole"), F.lit(1))
+    score = F.when(by_scale, F.when(F.col("noisy"), NOISY_SCALE).otherwise(CLEAN_SCALE)).when(by_name & (grows > 1.3), F.least("score", F.lit(EXPANDED_NAME))).otherwise(F.col("score"))
+    # a value is held against its format's own years
+    wrong = X.format_check(F.col("name"), F.col("whole")) == 0
+    why = F.coalesce("why", F.when(by_scale & (score < lock), "noisy"), F.when(by_name & (grows > 2.0), "expansion"), F.when(wrong, "format"))
+    corrected = F.when(by_scale, F.col("scale")).when(F.col("name") == "date", F.col("whole")).otherwise(F.col("listed"))
+    basis = F.when(by_scale & F.col("scale").isNotNull(), F.lit("the part of the line that is a scale")).when(by_name, F.concat(F.lit("listed name, read as "), F.col("whole")))
+    claims = g.select("sheet_id", "name", "turn", "tids", F.col("whole").alias("verbatim"), corrected.alias("corrected"), basis.alias("basis"), score.alias("score"), "agreement", "conf", F.when(F.col("turn") < OPEN, why).alias("why"), (by_name & (F.col("score") < lock) & (grows <= 2.0)).alias("weak"))
+
+    tried = (F.col("turn") < OPEN) & ~F.col("weak")
+    held = F.min(F.when(tried & F.col("why").isNull(), F.struct("turn", F.struct(*FOUND).alias("b"))))
+    told = F.max(F.when(tried & F.col("why").isNotNull(), F.struct("turn", "why")))
+    one = claims.groupBy("sheet_id", "name").agg(held.alias("held"), told.alias("no"))
     one = one.select("sheet_id", "name", F.col("held.b").alias("b"), F.when(F.col("held").isNull() | (F.col("no.turn") < F.col("held.turn")), F.col("no.why")).alias("rejected"))
-    title = one.filter("name = 'drawing_title' AND b IS NOT NULL").withColumn("kind", X.drawing_type(F.col("b.verbatim"))).filter("kind IS NOT NULL")
-    typed = F.col("b").withField("corrected", F.col("kind")).withField("basis", F.lit("type words of the title")).withField("score", F.lit(TYPE_SCORE)).withField("agreement", F.lit(None).cast("double")).withField("conf", F.lit(None).cast("double"))
-    one = one.unionByName(title.select("sheet_id", F.lit("drawing_type").alias("name"), typed.alias("b"), F.lit(None).cast("string").alias("rejected")))
-    every = by_format.select("sheet_id", F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("name"))
-    return every.join(one, ["sheet_id", "name"], "left").select("sheet_id", "name", F.col("b").isNotNull().alias("locked"), "b.*", "rejected")
+    # the title's words tell the type
+    title = F.max(F.when(F.col("name") == "drawing_title", F.col("b"))).over(Window.partitionBy("sheet_id"))
+    kind = X.drawing_type(F.col("title.verbatim"))
+    typed = F.struct("title.tids", "title.verbatim", kind.alias("corrected"), F.lit("type words of the title").alias("basis"), F.lit(TYPE_SCORE).alias("score"), F.lit(None).cast("double").alias("agreement"), F.lit(None).cast("double").alias("conf"))
+    b = F.when((F.col("name") == "drawing_type") & kind.isNotNull(), typed).otherwise(F.col("b"))
+    return one.withColumn("title", title).withColumn("b", b).select("sheet_id", "name", F.col("b").isNotNull().alias("locked"), *[F.col(f"b.{c}") for c in FOUND], "rejected")

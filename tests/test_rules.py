@@ -233,5 +233,5 @@ def test_rules_edges(spark):
     none = spark.createDataFrame([], TOKEN)
     assert rules.rule_fields(none).count() == 0 and rules.label_values(none).count() == 0 and rules.scale_groups(none).count() == 0
     odd = spark.createDataFrame([(1, 0, None, 0, 0, 10, 10, None, None, None), (1, 1, "", 0, 0, 0, 0, 0.5, 1.0, [])], TOKEN)
-    got = rules.rule_fields(odd.withColumn("seed", F.lit("x")).withColumn("name", F.lit("y"))).collect()
+    got = rules.rule_fields(odd.withColumns({c: F.lit("x") for c in ("seed", "name", "turn", "word", "score", "values")})).collect()
     assert len(got) == len(FIELDS) and not any(x["locked"] for x in got)
