@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import runs
+from draftmill.llm._text import runs, tidied
 
 #: Words and arcs that a task remembers at most, and the longest such word; full tables are emptied, which changes no
 #: result.
@@ -227,7 +227,7 @@ def encoded(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
                 ends = np.cumsum([0, *map(len, rows)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(tidied(run), T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
                 ends = np.cumsum([0, *map(len, rows)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows))), pa.array(hashes, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(tidied(run), T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))
 
 
 def decoded(tokens: DataFrame, path: str | None = None, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -259,7 +259,7 @@ def decoded(tokens: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select(doc_id, ids).mapInArrow(run, T.StructType([T.StructField("doc_id", tokens.schema[doc_id].dataType), T.StructField("text", T.StringType())]))
+    return tokens.select(doc_id, ids).mapInArrow(tidied(run), T.StructType([T.StructField("doc_id", tokens.schema[doc_id].dataType), T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
                     d.append(hashlib.sha256(b" ".join([labels[i] for i in ids])).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(tidied(run), T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
 def op10_bpe_automaton(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import Words, buffers, steps, stored
+from draftmill.llm._text import Words, buffers, steps, stored, tidied
 
 #: Words of a window; bytes of text of a segment (a longer document is one of its own).
 WINDOW, SEGMENT = 10, 8 << 20
@@ -95,7 +95,7 @@ def _segments(most: int):
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """The stored index of all terms of all documents."""
-    return stored(docs.select(F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).mapInArrow(_segments(segment), _INDEX), "postings")
+    return stored(docs.select(F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string")).mapInArrow(tidied(_segments(segment)), _INDEX), "postings")
 
 
 def documents_of(index: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _windows(size: int):
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The stored (item, words, wa, wb) of the distinct windows of each item; wa, wb: 128 bits of hash of the words."""
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(_windows(size), "item string, words array<binary>")
+    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(tidied(_windows(size)), "item string, words array<binary>")
     return stored(rows.withColumn("wa", F.xxhash64("words")).withColumn("wb", F.xxhash64("words", F.lit(1))).dropDuplicates(["item", "wa", "wb"]), "windows")
 
 
@@ -235,7 +235,7 @@ def find_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
     pairs = stored(pairs, "pairs")
     asked = stored(pairs.select("seg", F.explode("words").alias("term")).distinct(), "asked")
     asked = _if_small(asked, F.octet_length("term"))
-    return _asked(index, pairs, asked).mapInArrow(_hits, "seg bigint, d int, n_hit bigint, spans array<int>, was array<bigint>, wbs array<bigint>")
+    return _asked(index, pairs, asked).mapInArrow(tidied(_hits), "seg bigint, d int, n_hit bigint, spans array<int>, was array<bigint>, wbs array<bigint>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", segment: int = SEGMENT) -> DataFrame:
@@ -292,7 +292,7 @@ def _searched(index: DataFrame, terms: list[bytes], find) -> DataFrame:
 
     wanted = F.col("term").isin(*[F.lit(t) for t in dict.fromkeys(terms)])
     rows = index.filter(F.col("term").isNull() | wanted).select("seg", "term", "places", "starts", "doc_ids")
-    return rows.repartition("seg").sortWithinPartitions("seg").mapInArrow(run, "doc_id bigint, at int")
+    return rows.repartition("seg").sortWithinPartitions("seg").mapInArrow(tidied(run), "doc_id bigint, at int")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import buffers, tidy
+from draftmill.llm._text import buffers, tidy, tidied
 
 #: Bounds of the training sample; bytes of a segment; units of a direction.
 PER_LANGUAGE, SEGMENTS, SEGMENT, UNITS = 300, 700, 64, 8
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, names: list[str], net: ByteGRU | None, text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["__row", "lang_pred", "score"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return docs.select(row, F.col(text).cast("string").alias("__text"), letters.alias("__has")).mapInArrow(run, schema).select("__row.*", "lang_pred", "score")
+    return docs.select(row, F.col(text).cast("string").alias("__text"), letters.alias("__has")).mapInArrow(tidied(run), schema).select("__row.*", "lang_pred", "score")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

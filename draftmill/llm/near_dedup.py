@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm._text import CREATED, NO_ID, U64, Words, _table, buffers, discard, discard_since, ident, join_groups, mix, steps, stored, windows
+from draftmill.llm._text import CREATED, NO_ID, U64, Words, _table, buffers, discard, discard_since, ident, join_groups, mix, steps, stored, tidied, windows
 
 SHINGLE = 5
 #: Bands and hashes of a band: of pairs at 0.85, all but 4 in 10 million share a bucket; at 0.8, all but 3 in a million.
@@ -180,7 +180,7 @@ def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) between nodes of different roots among those of left (node, root) that share a fine bucket, directly
     or through others; all that are needed to join components that any of their links joins."""
     own = stored(sets.select("node", "shingles").join(left.select("node", "root").distinct(), "node").select("node", "root", "shingles"), "open-sets")
-    fine = stored(own.mapInArrow(_fine_keys, "node bigint, root bigint, band int, key bigint"), "fine")
+    fine = stored(own.mapInArrow(tidied(_fine_keys), "node bigint, root bigint, band int, key bigint"), "fine")
     least = fine.groupBy("band", "key").agg(F.min("node").alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("copies")).filter("lo < hi").drop("lo", "hi")
     shared = join_groups(fine.select("node", "band", "key"), least, ["band", "key"], fine.count()).filter("y IS NOT NULL")
     cluster = components(shared.select(F.col("node").alias("x"), "y").distinct())
@@ -212,7 +212,7 @@ def block_links(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
         if held:
             yield done()
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "x bigint, y bigint")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidied(run), "x bigint, y bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc
     keyed = docs.select(ident(doc_id).alias("did"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     kinds = "did bigint, th bigint, n bigint, a bigint, b bigint"
     mark = len(CREATED)
-    sig = stored(keyed.mapInArrow(_sets_of(size, True), f"{kinds}, sig array<int>"), "signatures")
+    sig = stored(keyed.mapInArrow(tidied(_sets_of(size, True)), f"{kinds}, sig array<int>"), "signatures")
     # equal sets are one node; its number is stored with it
     heads = sig.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "th")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     heads = stored(heads.select(F.monotonically_increasing_id().alias("node"), "a", "b", "rep.did", "rep.th", "copies", "sig"), "heads")
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, doc
     discard(every)
     wanted = heads.join(bands.select("node").distinct(), "node", "left_semi")
     # texts are read again only for those that share a bucket
-    texts = keyed.join(wanted.select("did", "th"), ["did", "th"], "left_semi").mapInArrow(_sets_of(size, False), f"{kinds}, shingles array<bigint>")
+    texts = keyed.join(wanted.select("did", "th"), ["did", "th"], "left_semi").mapInArrow(tidied(_sets_of(size, False)), f"{kinds}, shingles array<bigint>")
     texts = texts.dropDuplicates(["did", "th", "a", "b"]).select("did", "th", "a", "b", "shingles")
     sets = stored(wanted.join(texts, ["did", "th", "a", "b"]).select("node", "sig", "shingles"), "sets")
 

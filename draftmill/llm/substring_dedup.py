@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, stored, whole_windows, windows
+from draftmill.llm._text import U64, Words, buffers, ident, mix, steps, stored, tidied, whole_windows, windows
 
 #: Words of a window; bytes of text of a chunk (a longer document is a chunk of its own).
 WINDOW, CHUNK = 50, 8 << 20
@@ -287,7 +287,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     """The stored chunks of docs: chunk, dids, sizes, body, rows (doc_id and the columns of carry)."""
     row = F.struct(F.col(doc_id).alias("doc_id"), *([F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []))
     rows = docs.select(row.alias("row"), ident(doc_id).alias("did"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_chunks(most), T.StructType([*_CHUNK, T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])), "chunks")
+    return stored(rows.mapInArrow(tidied(_chunks(most)), T.StructType([*_CHUNK, T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])), "chunks")
 
 
 def repeated_windows(chunks: DataFrame, size: int = WINDOW, width: int | None = None) -> DataFrame:
@@ -297,13 +297,13 @@ def repeated_windows(chunks: DataFrame, size: int = WINDOW, width: int | None =
         n_bytes = chunks.agg(F.sum(F.aggregate(F.col("sizes"), F.lit(0).cast("bigint"), lambda x, n: x + F.greatest(n, F.lit(0))))).first()[0] or 0
         width = min(62, max(LEAST_BLOCK, math.ceil(math.log2(max(1, n_bytes / 6 * ROOM)))))
     block = min(width, MOST_BLOCK, max(LEAST_BLOCK, width - BLOCKS))
-    parts = chunks.select("chunk", "sizes", "body").mapInArrow(_sketch(size, width, block), "row int, block bigint, chunk bigint, cells binary")
-    answers = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(block), "chunk bigint, row int, block bigint, bits binary")
+    parts = chunks.select("chunk", "sizes", "body").mapInArrow(tidied(_sketch(size, width, block)), "row int, block bigint, chunk bigint, cells binary")
+    answers = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(tidied(_merged(block)), "chunk bigint, row int, block bigint, bits binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("row", "block", "bits")).alias("answers"))
-    found = chunks.select("chunk", "dids", "sizes", "body").join(answers, "chunk").mapInArrow(_candidates(size, width, block), "a bigint, b int, did bigint, chunk bigint, at int")
+    found = chunks.select("chunk", "dids", "sizes", "body").join(answers, "chunk").mapInArrow(tidied(_candidates(size, width, block)), "a bigint, b int, did bigint, chunk bigint, at int")
     # a window comes once for each chunk, so a very common passage doesn't fill one task
     later = found.repartition("a", "b").withColumn("least", F.expr("min(did) OVER (PARTITION BY a, b)")).filter("did > least")
-    return later.select("chunk", "at").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_named, "chunk bigint, places binary")
+    return later.select("chunk", "at").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidied(_named), "chunk bigint, places binary")
 
 
 def remove_repeated(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, width: int | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -314,7 +314,7 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
     joined = chunks.join(repeated_windows(chunks, size, width), "chunk", "left").select("chunk", "dids", "sizes", "body", "rows", "places")
     row = chunks.schema["rows"].dataType.elementType
     schema = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    out = joined.mapInArrow(_apply(size, bool(carry)), schema)
+    out = joined.mapInArrow(tidied(_apply(size, bool(carry))), schema)
     return out.select("row.*", "n_words", "n_removed", F.col("kept").alias("kept_text" if carry else "kept_sha256"))
 
 
