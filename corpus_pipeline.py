@@ -72,7 +72,8 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    # smaller segments than by default, for the same reason as the chunks above
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), segment=4 << 20)
     bad = found.filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("__bad"), F.col("th").alias("__th")).distinct()
     mine = (F.coalesce("doc_id", F.lit(-1)) == F.col("__bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
     return docs.join(bad, mine, "left_anti").select(*COLUMNS)
