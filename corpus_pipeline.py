@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.llm import bpe, decontaminate, language_id, near_dedup, substring_dedup
-from draftmill.llm._text import CREATED, discard_unread, ident, stored
+from draftmill.llm._text import CREATED, discard_since, discard_unread, ident, stored
 from draftmill.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,9 +72,12 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    mark = len(CREATED)
     # smaller segments than by default, for the same reason as the chunks above
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), segment=4 << 20)
-    bad = found.filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("__bad"), F.col("th").alias("__th")).distinct()
+    bad = stored(found.filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("__bad"), F.col("th").alias("__th")).distinct(), "bad")
+    discard_since(spark, mark, bad)
+    bad = decontaminate.if_small(bad, F.lit(16))  # the texts stay where they are, unless very many are bad
     mine = (F.coalesce("doc_id", F.lit(-1)) == F.col("__bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
     return docs.join(bad, mine, "left_anti").select(*COLUMNS)
 

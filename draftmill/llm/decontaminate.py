@@ -4,8 +4,10 @@ The corpus is indexed once, whole, in segments of some megabytes: for every term
 (a place counts words over all the segment's documents, with a gap after each document that no phrase crosses). The index
 is a stored table with a row for each segment and term, and one for each segment's documents. The benchmark's windows
 stay a table too: each is joined to the segments that have its rarest term in the corpus, and only for those pairs are
-the lists of its other terms fetched. A segment's task then takes a window's lists from the shortest on, shifts each by
-the term's offset and intersects them. Proximity search intersects lists within a distance instead.
+the lists of its other terms fetched. (Where the pairs' terms are too many to be broadcast, the lists of all windows'
+terms are fetched instead, so that the index itself is not shuffled.) A segment's task then takes a window's lists from
+the shortest on, shifts each by the term's offset and intersects them. Proximity search intersects lists within a
+distance instead.
 
 Terms are grouped by 64 bits of hash within a segment, and stored and looked up by their bytes.
 
@@ -123,10 +125,14 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "
     return stored(rows.withColumn("wa", F.xxhash64("words")).withColumn("wb", F.xxhash64("words", F.lit(1))).dropDuplicates(["item", "wa", "wb"]), "windows")
 
 
-def _if_small(df: DataFrame, size: Column) -> DataFrame:
-    """A stored table, to be broadcast if the sum of its rows' sizes and 32 bytes each is small."""
-    total = df.agg(F.sum(size + 32)).first()[0] or 0
-    return F.broadcast(df) if total <= SMALL else df
+def is_small(df: DataFrame, size: Column) -> bool:
+    """Whether the sum of the rows' sizes and 32 bytes each of a stored table is small."""
+    return (df.agg(F.sum(size + 32)).first()[0] or 0) <= SMALL
+
+
+def if_small(df: DataFrame, size: Column) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, size) else df
 
 
 class _Segment:
@@ -173,11 +179,11 @@ _ASKED = "seg bigint, kind int, term binary, places binary, starts array<bigint>
 
 
 def _asked(index: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """By segment: its documents' places and the lists asked for by terms (seg, term), then the windows of pairs (seg,
-    words, wa, wb)."""
+    """By segment: its documents' places and the lists asked for by terms (seg, term; or term for all segments), then the
+    windows of pairs (seg, words, wa, wb)."""
     cast = lambda df: df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in (x.split(" ", 1) for x in _ASKED.split(", "))])
     heads = index.filter("term IS NULL").select("seg", "starts").join(pairs.select("seg").distinct(), "seg", "left_semi").withColumn("kind", F.lit(0))
-    lists = index.filter("term IS NOT NULL").select("seg", "term", "places").join(terms, ["seg", "term"], "left_semi").withColumn("kind", F.lit(1))
+    lists = index.filter("term IS NOT NULL").select("seg", "term", "places").join(terms, terms.columns, "left_semi").withColumn("kind", F.lit(1))
     return cast(heads).unionByName(cast(lists)).unionByName(cast(pairs.withColumn("kind", F.lit(2)))).repartition("seg").sortWithinPartitions("seg", "kind")
 
 
@@ -226,15 +232,21 @@ def find_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
     terms = distinct.select("wa", "wb", F.explode(F.array_distinct("words")).alias("term"))
     # the rarest term of each window in the whole corpus; a window with a term that the corpus lacks occurs nowhere
     often = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
-    vocabulary = _if_small(stored(terms.select("term").distinct(), "terms"), F.octet_length("term"))
+    vocabulary = if_small(stored(terms.select("term").distinct(), "terms"), F.octet_length("term"))
     often = stored(often.join(vocabulary, "term", "left_semi"), "often")
     rank = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")
-    rare = terms.join(_if_small(often, F.octet_length("term")), "term", "left").groupBy("wa", "wb").agg(rank).filter("m.n > 0").select("wa", "wb", F.col("m.term").alias("term"))
+    rare = terms.join(if_small(often, F.octet_length("term")), "term", "left").groupBy("wa", "wb").agg(rank).filter("m.n > 0").select("wa", "wb", F.col("m.term").alias("term"))
     rare = stored(distinct.join(rare, ["wa", "wb"]), "rare")
-    pairs = index.filter("term IS NOT NULL").select("seg", "term").join(_if_small(rare, length), "term").select("seg", "words", "wa", "wb")
+    pairs = index.filter("term IS NOT NULL").select("seg", "term").join(if_small(rare, length), "term").select("seg", "words", "wa", "wb")
     pairs = stored(pairs, "pairs")
     asked = stored(pairs.select("seg", F.explode("words").alias("term")).distinct(), "asked")
-    asked = _if_small(asked, F.octet_length("term"))
+    if is_small(asked, F.octet_length("term")):
+        asked = F.broadcast(asked)
+    else:
+        # what is asked grows with the corpus, its terms don't: all segments' lists of these go to the segment's task, and
+        # the whole index is joined by shuffling only if the benchmark has too many terms for that
+        named = stored(rare.select(F.explode("words").alias("term")).distinct(), "named")
+        asked = F.broadcast(named) if is_small(named, F.octet_length("term")) else asked
     return _asked(index, pairs, asked).mapInArrow(tidied(_hits), "seg bigint, d int, n_hit bigint, spans array<int>, was array<bigint>, wbs array<bigint>")
 
 
@@ -244,7 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc
     index = build_index(docs, doc_id, text, segment)
     windows = benchmark_windows(benchmark, size, item_id, text)
     hits = stored(find_windows(index, windows), "hits")
-    owners = _if_small(windows.select("wa", "wb", "item"), F.coalesce(F.octet_length("item"), F.lit(0)))
+    owners = if_small(windows.select("wa", "wb", "item"), F.coalesce(F.octet_length("item"), F.lit(0)))
     each = hits.select("seg", "d", F.explode(F.arrays_zip("was", "wbs")).alias("w")).select("seg", "d", F.col("w.was").alias("wa"), F.col("w.wbs").alias("wb"))
     items = each.join(owners, ["wa", "wb"]).groupBy("seg", "d").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
     found = hits.select("seg", "d", "n_hit", "spans").join(items, ["seg", "d"])

@@ -212,6 +212,25 @@ def test_decontaminate(spark, docs, rows, monkeypatch):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_index_is_not_shuffled_for_what_is_asked(spark, docs, rows, monkeypatch):
+    """More is asked of all segments than may be broadcast, but of no more terms."""
+    bench = spark.createDataFrame([(5, rows[5][1])], "item_id long, text string")
+    held = docs.crossJoin(spark.range(30)).selectExpr("id * 1000 + coalesce(doc_id, -1) AS doc_id", "text")
+    want = sorted((tuple(r) for r in decontaminate.decontaminate(held, bench).collect()), key=str)
+    index, windows = decontaminate.build_index(held, segment=3000), decontaminate.benchmark_windows(bench)
+    monkeypatch.setattr(decontaminate, "SMALL", sum(len(t) + 32 + 4 for t in decontaminate.split_words(rows[5][1].encode())) * 3)
+    monkeypatch.setattr(decontaminate, "_asked", lambda i, p, t, f=decontaminate._asked: asked.append(t) or f(i, p, t))
+    asked, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = decontaminate.find_windows(index, windows)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[[^\]]*term", plan) and asked[0].columns == ["term"]
+        assert sorted((tuple(r) for r in decontaminate.decontaminate(held, bench, segment=3000).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any(w[6] for w in want)
+
+
 def test_positional_index(spark, docs, rows):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     index = decontaminate.build_index(docs, segment=5000)
@@ -593,3 +612,21 @@ def test_pipeline_stages_by_brute_force(spark, library):
     assert empty.count() == 0
     junk = spark.createDataFrame([(100, None, None, "s", 0), (101, "12 34 !", None, "s", 7)], docs.schema)
     assert {x["doc_id"] for x in corpus_pipeline.identify_language(spark, docs.unionByName(junk), "").collect()} == set(range(23))
+
+
+def test_pipeline_leaves_texts_where_they_are(spark, tmp_path):
+    """They are not shuffled to find the few that hold the benchmark's, whatever Spark takes for small by itself."""
+    import corpus_pipeline
+
+    item = " ".join(f"word{k}" for k in range(12))
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in [(1, "a b c"), (None, f"x {item} y"), (-1, "d"), (2, item), (None, "e")]], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((tuple(r)[:2] for r in out.collect()), key=str) == [(-1, "d"), (1, "a b c"), (None, "e")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
