@@ -85,90 +85,124 @@ class ClassGRU:
 
     def step(self, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
         """The state (n x units) after ids, and what its gradient needs."""
-        h = self.units
-        a = self.p["t"][ids]
+        h, half = self.units, np.float32(0.5)
+        a = self.p["t"].take(ids, 0)
         b = s @ self.p["u"].T
-        g = np.tanh((a[:, : 2 * h] + b[:, : 2 * h]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+        g = a[:, : 2 * h] + b[:, : 2 * h]
+        g *= half
+        np.tanh(g, out=g)
+        g *= half
+        g += half
         z, r = g[:, :h], g[:, h:]
-        n = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-        return n + z * (s - n), z, r, n, b[:, 2 * h :]
+        n = r * b[:, 2 * h :]
+        n += a[:, 2 * h :]
+        np.tanh(n, out=n)
+        out = s - n
+        out *= z
+        out += n
+        return out, z, r, n, b[:, 2 * h :]
+
+    @staticmethod
+    def softmax(x: np.ndarray, weights: np.ndarray, own: np.ndarray, bounded: bool, grad: np.ndarray | None, weight: float) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of `own` by the weights (n x units + 1, the bias last) after x (m x units + 1, ones last).
+        bounded: no logit can pass MOST. With grad (n x units + 1): adds the gradient as in log_probability, and returns
+        that of the units too. The outputs stay unscaled; their rows' factors go to the narrow side of each product."""
+        at = np.arange(len(own))
+        o = x @ weights.T
+        if not bounded:
+            np.minimum(o, MOST, out=o)
+        one = o[at, own]
+        np.exp(o, out=o)
+        total = o @ np.ones(len(weights), o.dtype)
+        if grad is None:
+            return one - np.log(total), None
+        o[at, own] -= total
+        share = (np.float32(weight) / total)[:, None]
+        grad += o.T @ (x * share)
+        return one - np.log(total), (o @ weights[:, :-1]) * share
 
     def log_probability(self, s: np.ndarray, ids: np.ndarray, grad: dict | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of ids after states s (m x units). With grad: adds the gradient of minus their sum
         times weight, and returns that of s too."""
-        p, k = self.p, self.classes(ids)
+        p, k, h = self.p, self.classes(ids), self.units
         out = np.empty(len(ids), s.dtype)
         ds = np.empty_like(s) if grad is not None else None
+        # the bias is one more unit, which is always 1
+        x = np.concatenate([s, np.ones((len(s), 1), s.dtype)], 1)
+        c, w = np.c_[p["c"], p["d"]], np.concatenate([p["w"], p["b"][:, :, None]], 2)
+        dc, dw = (np.zeros_like(c), np.zeros_like(w)) if grad is not None else (None, None)
+        # the low biases that keep a place from coming are no matter here
+        widest, highest = (max(f(u).max(initial=0) for u in (c, w)) for f in (lambda u: np.abs(u[..., :h]).sum(-1), lambda u: u[..., h]))
+        most = np.abs(s).max(initial=0) * widest + highest
+        bounded = bool(most <= MOST)
         for lo in range(0, len(ids), ROWS):
-            x, own = s[lo : lo + ROWS], k[lo : lo + ROWS]
-            at = np.arange(len(own))
-            o = x @ p["c"].T
-            o += p["d"]
-            np.minimum(o, MOST, out=o)
-            one = o[at, own]
-            np.exp(o, out=o)
-            total = o.sum(1)
-            out[lo : lo + ROWS] = one - np.log(total)
+            out[lo : lo + ROWS], d = self.softmax(x[lo : lo + ROWS], c, k[lo : lo + ROWS], bounded, dc, weight)
             if grad is not None:
-                o *= (np.float32(weight) / total)[:, None]
-                o[at, own] -= np.float32(weight)
-                grad["c"] += o.T @ x
-                grad["d"] += o.sum(0)
-                ds[lo : lo + ROWS] = o @ p["c"]
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(self.groups + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            i = order[edges[c] : edges[c + 1]]
-            x = s[i]
-            w = ids[i] - c * self.size
-            y = x @ p["w"][c].T
-            y += p["b"][c]
-            np.minimum(y, MOST, out=y)
-            one = y[np.arange(len(i)), w]
-            np.exp(y, out=y)
-            total = y.sum(1)
-            out[i] += one - np.log(total)
+                ds[lo : lo + ROWS] = d
+        # numpy sorts numbers of 16 bits by their digits
+        order = np.argsort(k.astype(np.uint16) if self.groups + self.kinds < 1 << 16 else k, kind="stable")
+        edges = np.searchsorted(k, np.arange(self.groups + 1), sorter=order)
+        order = order[: edges[-1]]
+        x, word = x.take(order, 0), (ids - k * self.size).take(order)
+        lp, d = np.empty(len(order), s.dtype), np.empty((len(order), h), s.dtype)
+        for j in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[j], edges[j + 1])
+            lp[own], more = self.softmax(x[own], w[j], word[own], bounded, None if dw is None else dw[j], weight)
             if grad is not None:
-                y /= total[:, None]
-                y[np.arange(len(i)), w] -= 1
-                y *= np.float32(weight)
-                grad["w"][c] += y.T @ x
-                grad["b"][c] += y.sum(0)
-                ds[i] += y @ p["w"][c]
+                d[own] = more
+        out[order] += lp
+        if grad is not None:
+            ds[order] += d
+            grad["c"] += dc[:, :h]
+            grad["d"] += dc[:, h]
+            grad["w"] += dw[:, :, :h]
+            grad["b"] += dw[:, :, h]
         return out, ds
 
     def window(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, fresh: np.ndarray, s: np.ndarray, lanes: int | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss, gradient and last state of a window (steps x lanes) of inputs and targets: truncated backpropagation,
         with the state s carried in. fresh: where a document starts and the state is set to zero. lanes: of how many
         lanes the loss is a mean, so that the few long documents at the end of a pass weigh as they do elsewhere."""
-        kept, states, steps = [], [], len(x)
+        h, steps, keep = self.units, len(x), (~fresh)[:, :, None].astype(s.dtype)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # by step and lane: the states before and after it, the gates, the new part and the state's share in it
+        before, after, z, r, n, bn = (np.empty((*x.shape, h), s.dtype) for _ in range(6))
         for k in range(steps):
-            s = s * ~fresh[k][:, None]
-            new, *rest = self.step(x[k], s)
-            kept.append((s, *rest))
-            states.append(new)
-            s = new
-        flat, real = np.concatenate(states), mask.ravel()
+            before[k] = s * keep[k]
+            s, z[k], r[k], n[k], bn[k] = self.step(x[k], before[k])
+            after[k] = s
+        flat, real = after.reshape(-1, h), mask.ravel()
+        whole = real.all()
         weight = 1.0 / (steps * lanes if lanes else max(1, int(real.sum())))
-        lp, d = self.log_probability(flat[real], y.ravel()[real], grad, weight)
-        every = np.zeros_like(flat)
-        every[real] = d
-        every = every.reshape(steps, -1, self.units)
+        lp, every = self.log_probability(flat if whole else flat[real], y.ravel() if whole else y.ravel()[real], grad, weight)
+        if not whole:
+            d, every = every, np.zeros_like(flat)
+            every[real] = d
+        every = every.reshape(after.shape)
+        # what a gate's gradient is to that of the state, then what it is to that of the new part
+        rest = 1 - z
+        at_n = rest * (1 - n * n)
+        at_z = (before - n) * z * rest
+        at_r = bn * r * (1 - r)
         back = np.zeros_like(s)
-        dt, u = np.empty((steps, x.shape[1], 3 * self.units), np.float32), self.p["u"]
+        gates, dt, u = np.empty((*x.shape, 3 * h), s.dtype), np.empty((*x.shape, h), s.dtype), self.p["u"]
         for k in range(steps - 1, -1, -1):
-            s0, z, r, n, bn = kept[k]
             dh = every[k] + back
-            dn = dh * (1 - z) * (1 - n * n)
-            gates = np.concatenate([dh * (s0 - n) * z * (1 - z), dn * bn * r * (1 - r), dn * r], 1)
-            grad["u"] += gates.T @ s0
-            dt[k] = gates
-            dt[k, :, 2 * self.units :] = dn
-            back = (dh * z + gates @ u) * ~fresh[k][:, None]
-        ids, flat = x.ravel(), dt.reshape(-1, 3 * self.units)
-        for k, column in enumerate(np.ascontiguousarray(flat.T, np.float64)):
-            grad["t"][:, k] = np.bincount(ids, column, len(grad["t"]))
+            dn = np.multiply(dh, at_n[k], out=dt[k])
+            np.multiply(dh, at_z[k], out=gates[k, :, :h])
+            np.multiply(dn, at_r[k], out=gates[k, :, h : 2 * h])
+            np.multiply(dn, r[k], out=gates[k, :, 2 * h :])
+            dh *= z[k]
+            back = gates[k] @ u
+            back += dh
+            back *= keep[k]
+        grad["u"] += gates.reshape(-1, 3 * h).T @ before.reshape(-1, h)
+        gates[:, :, 2 * h :] = dt
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(grad["t"]) < 1 << 16 else ids, kind="stable")
+        ids = ids.take(order)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        grad["t"][ids[first]] = np.add.reduceat(gates.reshape(-1, 3 * h).take(order, 0), first, axis=0)
         return -float(lp.sum()) * weight, grad, s
 
     def train(self, docs: list[np.ndarray], end: int, rate: float, passes: int = 1, lanes: int | None = None, steps: int = STEPS, seed: int = 2) -> float:

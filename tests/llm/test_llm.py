@@ -532,6 +532,36 @@ def test_lm_score_by_a_plain_loop():
     assert np.allclose(np.exp(net.log_probability(np.zeros((1, h), np.float32).repeat(100 + net.kinds, 0), np.arange(100 + net.kinds))[0]).sum(), 1, atol=1e-4)
 
 
+class Counted(np.ndarray):
+    """Counts the elements that go through functions of it, by the largest array of each."""
+
+    passed, __array_priority__ = 0, 1
+
+    def __array_ufunc__(self, f, method, *given, out=None, **how):
+        plain = lambda xs: tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in xs)
+        got = getattr(f, method)(*plain(given), **how, **({"out": plain(out)} if out else {}))
+        Counted.passed += max(np.size(x) for x in (*given, got))
+        return out[0] if out else got.view(Counted) if isinstance(got, np.ndarray) else got
+
+
+def test_lm_goes_few_times_over_its_outputs():
+    """Product, exponential, sum and two products for the gradient; a bound on the logits only where they could pass it."""
+    r = np.random.default_rng(5)
+    net = lm_score.ClassGRU(2048)
+    ids, s = r.integers(0, 2048, 4096), np.tanh(r.standard_normal((4096, net.units))).astype(np.float32)
+    outputs = len(ids) * (net.groups + net.kinds + net.size)
+    passes = {}
+    for scale in (1, 1000):
+        net.p["c"] = net.p["c"] * np.float32(scale)
+        grad = {k: np.zeros_like(v) for k, v in net.p.items()}
+        want = net.log_probability(s, ids, grad)[0]
+        assert np.isfinite(want).all() and all(np.isfinite(g).all() for g in grad.values())
+        own, net.p, Counted.passed = net.p, {k: v.view(Counted) for k, v in net.p.items()}, 0
+        assert np.allclose(net.log_probability(s.view(Counted), ids, grad)[0], want)
+        passes[scale], net.p = Counted.passed / outputs, own
+    assert 5 <= passes[1] < 6.5 < passes[1000] + 1
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     d = lm_score.op3_recurrent_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
     assert d[0] > d[1] + 0.1
