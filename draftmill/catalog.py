@@ -94,7 +94,9 @@ def distinct_readings(spark, sf_dir):
 
 @query()
 def fused_tokens(spark, sf_dir):
-    return fusion.fuse(tokens(spark, sf_dir), 3).withColumn("candidates", F.array_join("candidates", "|"))
+    """Readings of three engines made tokens; tested against a plain loop."""
+    shown = F.transform("candidates", lambda c: F.concat_ws("@", c["text"], c["engine"], c["conf"].cast("string")))
+    return fusion.fuse(tokens(spark, sf_dir), 3).withColumn("candidates", F.array_join(shown, "|"))
 
 
 @query(TOK + "SELECT c.sheet_id, c.seq FROM t c WHERE c.engine = 'paddle' AND NOT EXISTS (SELECT 1 FROM t f WHERE f.engine = 'doctr' AND f.sheet_id = c.sheet_id AND greatest(0, least(c.x1,f.x1)-greatest(c.x0,f.x0)) * greatest(0, least(c.y1,f.y1)-greatest(c.y0,f.y0)) / ((f.x1-f.x0)*(f.y1-f.y0)) >= 0.7)")

@@ -176,10 +176,23 @@ def grid_views(spark, sf_dir):
     return views.grid(_rows(spark, sf_dir))
 
 
+def _passes(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return tuple(fusion.in_order(fusion.fuse(t.filter(own), n)) for own, n in (("engine <> 'paddle'", 2), ("engine = 'paddle'", 1)))
+
+
 @query()
 def merged_passes(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    return fusion.merged_passes(t.filter("engine <> 'paddle'"), t.filter("engine = 'paddle'"))
+    """Two engines' tokens are the fine pass, the third one's the coarse; tested against a plain loop."""
+    fine, coarse = _passes(spark, sf_dir)
+    shown = F.transform("candidates", lambda c: F.concat_ws("@", c["text"], c["engine"], c["conf"].cast("string")))
+    return fusion.merged_passes(fine, coarse).withColumn("candidates", F.array_join(shown, "|"))
+
+
+@query()
+def merge_counts(spark, sf_dir):
+    """What the merging of passes did on each sheet; tested against a plain loop."""
+    return fusion.merge_summary(fusion.merged_passes(*_passes(spark, sf_dir)))
 
 
 @query(TOK + "SELECT sheet_id, seq, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY sqrt(power(x1 - x0, 2) + power(y1 + seq - y0, 2)) DESC, x0, y0, x1, y1 + seq) AS k FROM t) WHERE k <= 3")

@@ -6,7 +6,7 @@ that group has its engine already), so it is a fold over each sheet's boxes, aft
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftmill.functions import geometry as G
@@ -47,15 +47,38 @@ def overlap_groups(tokens: DataFrame, least_iou: float = 0.5) -> DataFrame:
     return folded(tokens, "sheet_id", ["y0", "x0", "seq"], ["x0", "y0", "x1", "y1", "engine"], fold, "grp")
 
 
+#: One reading of a token; source_bbox is null where it is the token's own box.
+CANDIDATES = "array<struct<text:string,engine:string,conf:double,source_bbox:array<int>>>"
+
+
 def fuse(tokens: DataFrame, engines: int, least_conf: float = 0.3, least_iou: float = 0.5) -> DataFrame:
-    """One token for each group: text and conf of the surest reading, the box around all, the agreement, and all texts that
-    were read there (candidates, by place)."""
+    """One token for each group: text and conf of the surest reading (the first of equally sure ones), the box around all,
+    the agreement (the share of readings that say the same, of all engines that ran), and all readings (candidates, by
+    place)."""
     kept = overlap_groups(tokens.filter(F.col("conf") >= least_conf), least_iou).filter("grp >= 0")
     best = Window.partitionBy("sheet_id", "grp").orderBy(F.desc("conf"), "y0", "x0", "seq")
     lead = kept.withColumn("best", F.first("text").over(best)).withColumn("same", (norm("text") == norm("best")).cast("int"))
     n = F.count("*")
     share = F.avg("same") * F.when(n < engines, n / engines).otherwise(F.lit(1.0))
-    return lead.groupBy("sheet_id", "grp").agg(F.trim(F.first("best")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.max("conf"), 3).alias("conf"), F.round(share, 3).alias("agreement"), n.alias("readings"), F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text"))), lambda r: r["text"]).alias("candidates"))
+    reading = F.struct("text", "engine", F.col("conf").cast("double").alias("conf"), F.lit(None).cast("array<int>").alias("source_bbox"))
+    every = F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", reading.alias("c"))))["c"].cast(CANDIDATES)
+    return lead.groupBy("sheet_id", "grp").agg(F.trim(F.first("best")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("conf").alias("conf"), F.bround(share, 3).alias("agreement"), n.alias("readings"), every.alias("candidates"))
+
+
+def in_order(tokens: DataFrame) -> DataFrame:
+    """Adds seq, a fused token's place on its sheet: by the middle of its height, then from the left."""
+    place = Window.partitionBy("sheet_id").orderBy(F.col("y0") + F.col("y1"), "x0", "grp")
+    return tokens.withColumn("seq", F.row_number().over(place) - 1)
+
+
+def alternatives(text: Column, candidates: Column) -> Column:
+    """The candidates that read something else than the token's text."""
+    return F.filter(candidates, lambda c: F.trim(c["text"]) != F.trim(text))
+
+
+def pass_summary(tokens: DataFrame) -> DataFrame:
+    """Of each sheet the fused tokens, and how many of them the engines don't agree on."""
+    return tokens.groupBy("sheet_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("agreement") < 1).alias("disagreements"))
 
 
 def covered(coarse: DataFrame, fine: DataFrame, ratio: float = 0.7) -> DataFrame:
@@ -128,13 +151,33 @@ def matched(fine: DataFrame, coarse: DataFrame, least: float = 0.55, sure: float
 
 
 def merged_passes(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-    """The fine tokens, with the coarse reading that differs as `other`, and the coarse tokens that the fine pass missed;
-    their agreement is 0.5 at most."""
+    """The fine tokens and the coarse ones that the fine pass missed, in the order `place` on their sheet. Where the coarse
+    reading of a fine token differs, it joins the candidates (engine@coarse, with its own box), and the agreement is the
+    share of all candidates that read as the token does (`conflict`); else the token stays as it is. A recovered coarse
+    token's agreement is 0.5 at most, and its candidates are marked @coarse. Both: sheet_id, seq, text, box, conf, agreement,
+    candidates."""
+    names = ["sheet_id", "seq", "text", "x0", "y0", "x1", "y1", "conf", "agreement", "candidates"]
+    fine, coarse = fine.select(*names).withColumn("candidates", F.col("candidates").cast(CANDIDATES)), coarse.select(*names).withColumn("candidates", F.col("candidates").cast(CANDIDATES))
     all_ = matched(fine, coarse)
-    f = all_.filter("is_fine")
-    c = all_.filter("NOT is_fine AND match >= 0").select("sheet_id", F.col("match").alias("seq"), F.col("text").alias("__text"))
-    other = F.when(norm("__text") != norm("text"), F.col("__text"))
-    kept = f.join(c, ["sheet_id", "seq"], "left").withColumn("other", other).withColumn("agreement", F.when(F.col("other").isNotNull(), F.lit(0.5)).otherwise(F.lit(1.0)))
-    new = all_.filter(f"NOT is_fine AND match = {RECOVERED}").withColumn("other", F.lit(None).cast("string")).withColumn("agreement", F.lit(0.5))
-    names = ["sheet_id", "seq", "is_fine", "text", "x0", "y0", "x1", "y1", "conf", "agreement", "other"]
-    return kept.select(*names).unionByName(new.select(*names))
+    box = F.array(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")])
+    lead = F.coalesce(F.get("candidates", 0)["engine"], F.lit("ocr"))
+    reading = F.struct(F.col("text").alias("text"), F.concat(lead, F.lit("@coarse")).alias("engine"), F.col("conf").alias("conf"), box.alias("source_bbox"))
+    taken = all_.filter("NOT is_fine AND match >= 0").select("sheet_id", F.col("match").alias("seq"), reading.alias("__r"))
+    kept = all_.filter("is_fine").join(taken, ["sheet_id", "seq"], "left").withColumn("conflict", F.coalesce(norm(F.col("__r")["text"]) != norm("text"), F.lit(False)))
+    own = F.coalesce("candidates", F.array().cast(CANDIDATES))
+    kept = kept.withColumn("candidates", F.when(F.col("conflict"), F.concat(own, F.array("__r").cast(CANDIDATES))).otherwise(own))
+    same = F.size(F.filter("candidates", lambda c: norm(c["text"]) == norm("text")))
+    kept = kept.withColumn("agreement", F.when(F.col("conflict"), F.bround(same / F.size("candidates"), 3)).otherwise(F.col("agreement")))
+    marked = F.transform(own, lambda c: F.struct(c["text"].alias("text"), F.concat(c["engine"], F.lit("@coarse")).alias("engine"), c["conf"].alias("conf"), F.lit(None).cast("array<int>").alias("source_bbox")))
+    alone = F.array(F.struct(F.col("text").alias("text"), F.lit("ocr@coarse").alias("engine"), F.col("conf").alias("conf"), F.lit(None).cast("array<int>").alias("source_bbox")))
+    new = all_.filter(f"NOT is_fine AND match = {RECOVERED}").withColumn("candidates", F.when(F.size(own) > 0, marked).otherwise(alone).cast(CANDIDATES))
+    new = new.withColumn("agreement", F.least("agreement", F.lit(0.5))).withColumn("conflict", F.lit(False))
+    out = kept.select(*names, "is_fine", "conflict").unionByName(new.select(*names, "is_fine", "conflict"))
+    place = Window.partitionBy("sheet_id").orderBy(F.col("y0") + F.col("y1"), "x0", F.desc("is_fine"), "seq")
+    return out.withColumn("place", F.row_number().over(place) - 1)
+
+
+def merge_summary(merged: DataFrame) -> DataFrame:
+    """Of each sheet the tokens, conflicts, recovered tokens, and fine tokens without a conflict."""
+    conflicts, fine = F.count_if("conflict"), F.count_if("is_fine")
+    return merged.groupBy("sheet_id").agg((fine - conflicts).alias("fine_only"), conflicts.alias("conflicts"), F.count_if(~F.col("is_fine")).alias("recovered"), F.count("*").alias("n_tokens"))

@@ -12,6 +12,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftmill.functions import repair
 from draftmill.functions import text as X
@@ -173,7 +174,8 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
     tokens = tokens.select(*TOKEN, "candidates").withColumn("text", text)
     t, tid = F.col("text"), F.col("tid")
     number = F.when(X.has_drawing_number(t), F.struct("agreement", "conf", (-tid).alias("back"), t.alias("text")))
-    other = repair.first_more_complete(t, F.col("candidates"))
+    texts = F.col("candidates")["text"] if isinstance(tokens.schema["candidates"].dataType.elementType, T.StructType) else F.col("candidates")
+    other = repair.first_more_complete(t, texts)
     alternative = F.when(F.coalesce(X.has_drawing_number(other), F.lit(False)), F.struct(tid.alias("tid"), t.alias("text")))
     by_format = tokens.groupBy("sheet_id").agg(
         F.min(tid).alias("any"),

@@ -100,8 +100,108 @@ def test_merging_of_passes(spark):
     # the row that covers DATE is taken by it, as the share of the smaller box is whole; a second reading of SCALE covers it
     want = {(1, True, 0): 0, (1, True, 1): 1, (1, True, 2): 2, (2, True, 0): fusion.NONE, (1, False, 0): 0, (1, False, 1): 1, (1, False, 2): 2, (1, False, 3): fusion.RECOVERED, (1, False, 4): fusion.COVERS, (3, False, 0): fusion.RECOVERED}
     assert got == want
-    out = {(x["sheet_id"], x["is_fine"], x["seq"]): (x["other"], x["agreement"]) for x in fusion.merged_passes(spark.createDataFrame(fine, schema), spark.createDataFrame(coarse, schema)).collect()}
-    assert out == {(1, True, 0): (None, 1.0), (1, True, 1): ("1:1OO", 0.5), (1, True, 2): ("whole row", 0.5), (2, True, 0): (None, 1.0), (1, False, 3): (None, 0.5), (3, False, 0): (None, 0.5)}
+
+
+def shared(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w * h if w > 0 and h > 0 else 0
+
+
+def area(a):
+    return (a[2] - a[0]) * (a[3] - a[1])
+
+
+def plain(s):
+    return " ".join(s.upper().split())
+
+
+def lcs(a, b):
+    return 0 if not a or not b else 1 + lcs(a[1:], b[1:]) if a[0] == b[0] else max(lcs(a[1:], b), lcs(a, b[1:]))
+
+
+def fused_by_loop(rows, engines, least=0.3):
+    """rows of one sheet: seq, engine, text, box, conf."""
+    groups = []
+    for t in sorted((t for t in rows if t[4] >= least), key=lambda t: (t[3][1], t[3][0], t[0])):
+        near = [g for g in groups if any(shared(t[3], o[3]) / max(area(t[3]) + area(o[3]) - shared(t[3], o[3]), 1) >= 0.5 for o in g)]
+        if not near:
+            groups.append([t])
+        elif t[1] not in [o[1] for o in near[0]]:
+            near[0].append(t)
+    out = []
+    for g in groups:
+        best = max(g, key=lambda t: t[4])
+        share = sum(plain(t[2]) == plain(best[2]) for t in g) / len(g) * (min(len(g), engines) / engines)
+        box = tuple(f(t[3][k] for t in g) for k, f in enumerate((min, min, max, max)))
+        out.append({"text": best[2].strip(), "box": box, "conf": best[4], "agreement": round(share, 3), "candidates": [(t[2], t[1], t[4], None) for t in g]})
+    return sorted(out, key=lambda t: (t["box"][1] + t["box"][3], t["box"][0]))
+
+
+def merged_by_loop(fine, coarse):
+    free, conflicts = list(range(len(coarse))), 0
+    for f in fine:
+        f["candidates"] = list(f["candidates"])
+        for k in sorted(free, key=lambda k: -shared(f["box"], coarse[k]["box"]) / max(min(area(f["box"]), area(coarse[k]["box"])), 1)):
+            c = coarse[k]
+            score = shared(f["box"], c["box"]) / max(min(area(f["box"]), area(c["box"])), 1)
+            if score < 0.55:
+                break
+            a, b = plain(f["text"]), plain(c["text"])
+            alike = bool(a and b) and (a in b or b in a or 200 * lcs(a, b) / (len(a) + len(b)) >= 70)
+            if not alike and score < 0.85:
+                continue
+            free.remove(k)
+            if a != b:
+                f["candidates"].append((c["text"], (c["candidates"][0][1] if c["candidates"] else "ocr") + "@coarse", c["conf"], list(c["box"])))
+                f["agreement"] = round(sum(plain(x[0]) == a for x in f["candidates"]) / len(f["candidates"]), 3)
+                conflicts += 1
+            break
+    new = [dict(coarse[k]) for k in free if not any(shared(coarse[k]["box"], f["box"]) / max(area(f["box"]), 1) >= 0.7 for f in fine)]
+    for c in new:
+        c["agreement"] = min(c["agreement"], 0.5)
+        c["candidates"] = [(t, e + "@coarse", s, None) for t, e, s, _ in c["candidates"]] or [(c["text"], "ocr@coarse", c["conf"], None)]
+    out = sorted(fine + new, key=lambda t: (t["box"][1] + t["box"][3], t["box"][0]))
+    return out, (len(fine) - conflicts, conflicts, len(new), len(out))
+
+
+def test_passes_against_loops(spark):
+    """Random sheets of two passes: groups, agreements, candidates, conflicts, recoveries and their counts."""
+    r = random.Random(8)
+    rows = []
+    for sheet in range(60):
+        spots = [(r.randint(0, 3) * 40 + r.randint(0, 6), r.randint(0, 3) * 12 + r.randint(0, 4)) for _ in range(r.randint(1, 5))]
+        for seq in range(r.randint(1, 12)):
+            x, y = r.choice(spots)
+            x, y = x + r.randint(0, 9), y + r.randint(0, 4)
+            rows.append((sheet, r.choice(["fine", "fine", "coarse"]), r.choice("abc"), seq, r.choice(["SCALE", "scale ", "5CALE", "1:100", "1:1OO", "DATE", "PLAN A"]), x, y, x + r.randint(20, 60), y + r.randint(8, 16), r.randint(20, 99) / 100))
+    df = spark.createDataFrame(rows, "sheet_id int, pass string, engine string, seq int, text string, x0 int, y0 int, x1 int, y1 int, conf double")
+    fine, coarse = (fusion.in_order(fusion.fuse(df.filter(f"pass = '{p}'"), 3)) for p in ("fine", "coarse"))
+    got, counts = {}, {x["sheet_id"]: tuple(x)[1:] for x in fusion.merge_summary(fusion.merged_passes(fine, coarse)).collect()}
+    for x in fusion.merged_passes(fine, coarse).orderBy("sheet_id", "place").collect():
+        got.setdefault(x["sheet_id"], []).append((x["text"], (x["x0"], x["y0"], x["x1"], x["y1"]), x["conf"], x["agreement"], [tuple(c) for c in x["candidates"]]))
+    conflicts = 0
+    for sheet in range(60):
+        own = lambda p: fused_by_loop([(t[3], t[2], t[4], t[5:9], t[9]) for t in rows if t[0] == sheet and t[1] == p], 3)
+        want, numbers = merged_by_loop(own("fine"), own("coarse"))
+        assert got.get(sheet, []) == [(t["text"], t["box"], t["conf"], t["agreement"], t["candidates"]) for t in want], sheet
+        assert counts.get(sheet, (0, 0, 0, 0)) == numbers
+        conflicts += numbers[1]
+    assert conflicts > 20
+    assert fusion.merged_passes(fine.limit(0), coarse).filter("agreement > 0.5").count() == 0 and fusion.merged_passes(fine, coarse.limit(0)).count() == fine.count()
+    summary = {x["sheet_id"]: tuple(x)[1:] for x in fusion.pass_summary(fine).collect()}
+    assert all(summary.get(k, (0, 0)) == (len(w), sum(t["agreement"] < 1 for t in w)) for k in range(60) for w in [fused_by_loop([(t[3], t[2], t[4], t[5:9], t[9]) for t in rows if t[0] == k and t[1] == "fine"], 3)])
+
+
+def test_agreements_of_passes(spark):
+    """Three engines that agree: 1.0, also beside an equal coarse reading; two of three after a related coarse reading:
+    0.667; a recovered token: 0.5, or its own if that is less."""
+    schema = f"sheet_id int, seq int, text string, x0 int, y0 int, x1 int, y1 int, conf double, agreement double, candidates {fusion.CANDIDATES}"
+    cand = lambda *texts: [(t, "abc"[k], 0.9, None) for k, t in enumerate(texts)]
+    fine = [(1, 0, "SITE PLAN", 0, 0, 50, 10, 0.9, 1.0, cand("SITE PLAN", "site plan", "SITE  PLAN")), (1, 1, "1:100", 60, 0, 100, 10, 0.9, 1.0, cand("1:100", "1:100")), (1, 2, "X", 0, 90, 9, 99, 0.9, 0.333, cand("X"))]
+    coarse = [(1, 0, "Site plan", 0, 0, 50, 10, 0.5, 1.0, cand("Site plan")), (1, 1, "1:1OO", 60, 0, 102, 10, 0.5, 1.0, cand("1:1OO")), (1, 2, "MISSED", 0, 50, 40, 60, 0.5, 1.0, cand("MISSED")), (1, 3, "FAR", 200, 50, 240, 60, 0.5, 0.25, [])]
+    out = {x["text"]: x for x in fusion.merged_passes(spark.createDataFrame(fine, schema), spark.createDataFrame(coarse, schema)).collect()}
+    assert {k: x["agreement"] for k, x in out.items()} == {"SITE PLAN": 1.0, "1:100": 0.667, "X": 0.333, "MISSED": 0.5, "FAR": 0.25}
+    assert tuple(out["1:100"]["candidates"][2]) == ("1:1OO", "a@coarse", 0.5, [60, 0, 102, 10]) and [c["engine"] for c in out["FAR"]["candidates"]] == ["ocr@coarse"]
 
 
 def test_export_and_snapping(spark):
