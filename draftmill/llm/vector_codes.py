@@ -4,7 +4,8 @@ Components become integers, and vectors are cut into parts; each part position h
 assignment and averaging fit to all vectors. To assign, the entries' coordinates are quantised into cells of few bits (in
 each dimension, cells hold as many entries each; a cell's least and largest coordinate are kept). For each query, tables
 of the least and the largest squared difference to every cell, added up over an entry's cells, give bounds of its
-distance; only entries whose lower bound is at most the least upper bound are refined with integer distances.
+distance; only entries whose lower bound is at most the upper bound of the most promising one are refined with integer
+distances.
 
 The vectors stay where they are: a round is one pass over them that returns the sums of each task, and only codebooks
 (entries x dimensions, whatever the number of vectors) go through the driver.
@@ -40,7 +41,7 @@ class VaFile:
     """The approximation of a codebook: each entry's cells, and each cell's least and largest coordinate."""
 
     def __init__(self, entries: np.ndarray, bits: int = BITS):
-        self.entries = entries
+        self.entries, self.largest = entries, _largest(entries)
         n, width = entries.shape
         cells = 1 << bits
         rank = np.argsort(np.argsort(entries, axis=0, kind="stable"), axis=0, kind="stable")
@@ -53,17 +54,21 @@ class VaFile:
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Of each query, the nearest entry (of equally near ones the first) and the squared distance; refined pairs."""
-        queries = queries.astype(np.result_type(queries, self.entries), copy=False)
-        q = queries[:, :, None]
-        under, over = self.low - q, q - self.high
-        least = np.maximum(np.maximum(under, over), 0) ** 2
-        most = np.maximum(-under, -over) ** 2
-        lower, upper = np.zeros((2, len(queries), len(self.entries)), queries.dtype)
-        for j in range(queries.shape[1]):
-            lower += least[:, j].take(self.cell[:, j], axis=1)
-            upper += most[:, j].take(self.cell[:, j], axis=1)
-        row, entry = np.nonzero(lower <= upper.min(axis=1)[:, None])
-        d = ((queries[row] - self.entries[entry]) ** 2).sum(axis=1)
+        n, width = queries.shape
+        kind = _kind(width, max(_largest(queries), self.largest))
+        q, entries, low, high = (x.astype(kind, copy=False) for x in (queries.T, self.entries, self.low, self.high))
+        lower = np.zeros((len(entries), n), kind)
+        tables = []  # for each dimension, of the cells' differences to all queries
+        for j in range(width):
+            under, over = low[j][:, None] - q[j], q[j] - high[j][:, None]
+            lower += (np.maximum(np.maximum(under, over), 0) ** 2)[self.cell[:, j]]
+            tables.append(np.maximum(-under, -over) ** 2)
+        # the upper bound of the entry whose lower bound is least is one of the nearest distance
+        like, upper = lower.argmin(axis=0), np.zeros(n, kind)
+        for j, most in enumerate(tables):
+            upper += most[self.cell[like, j], np.arange(n)]
+        row, entry = np.nonzero((lower <= upper).T)
+        d = ((q.T[row] - entries[entry]) ** 2).sum(axis=1)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         best = np.minimum.reduceat(d, first) if len(first) else d
         hit = np.flatnonzero(d == best[row])
@@ -71,31 +76,31 @@ class VaFile:
         return entry[hit], best, len(row)
 
 
+def _largest(x: np.ndarray) -> int:
+    return int(np.abs(x).max(initial=0))
+
+
+def _kind(width: int, largest: int) -> type:
+    """What sums of `width` squared differences of such integers fit in; Python's integers beyond 64 bits."""
+    most = width * (2 * largest + 1) ** 2
+    return np.int32 if most < 1 << 31 else np.int64 if most < 1 << 63 else object
+
+
 def _vectors(column: pa.ListArray, width: int) -> np.ndarray:
-    """Integer rows of PARTS * width components; Python's integers where distances could need more than 64 bits."""
+    """Integer rows of PARTS * width components."""
     n, dims = len(column), PARTS * width
     lens = np.diff(column.offsets.to_numpy())
     out = np.zeros((n, dims))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(n), lens)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
-    whole = np.clip(np.floor(out * SCALE), -MOST, MOST).astype(np.int64)
-    largest = int(np.abs(whole).max(initial=0))
-    return whole if width * (2 * largest + 1) ** 2 < 1 << 62 and largest < 1 << 28 else whole.astype(object)
-
-
-def _books(entries: list[np.ndarray]) -> list[VaFile]:
-    """A VaFile for each part. Entries are as small as vectors are, or Python's integers."""
-    out = []
-    for e in entries:
-        largest = max((abs(int(x)) for x in e.flat), default=0)
-        out.append(VaFile(e if e.shape[1] * (2 * largest + 1) ** 2 < 1 << 62 and largest < 1 << 28 else e.astype(object)))
-    return out
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(out * SCALE), -MOST, MOST).astype(np.int64)
 
 
 def _assigned(entries: list[np.ndarray], width: int, column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, part, vectors of the part, entry, distance) by blocks."""
-    books = _books(entries)
+    books = [VaFile(e) for e in entries]
     for at in range(0, len(column), BLOCK):
         block = _vectors(column.slice(at, BLOCK), width)
         for p in range(PARTS):
@@ -115,7 +120,7 @@ def _sums(entries: list[np.ndarray], width: int) -> Callable[[Iterator[pa.Record
                 s = code[order]
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 if width:
-                    total[p, s[first], :width] += np.add.reduceat(v[order], first, axis=0).astype(np.int64)
+                    total[p, s[first], :width] += np.add.reduceat(v[order], first, axis=0)
                 total[p, s[first], width] += np.diff(np.r_[first, len(s)])
         flat = total.ravel()
         slot = np.flatnonzero((total[:, :, -1:] > 0).repeat(width + 1, 2).ravel())
@@ -131,7 +136,7 @@ def _codes(entries: list[np.ndarray], width: int) -> Callable[[Iterator[pa.Recor
             code, error = np.zeros((n, PARTS), np.uint8), np.zeros(n, object)
             for at, p, v, c, d in _assigned(entries, width, batch.column(0)):
                 code[at : at + len(v), p] = c
-                error[at : at + len(v)] += d
+                error[at : at + len(v)] += d.astype(object)
             hexes = code.tobytes().hex()
             step = 2 * PARTS
             texts = [hexes[k : k + step] for k in range(0, n * step, step)]
