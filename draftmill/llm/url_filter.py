@@ -88,9 +88,12 @@ def sweep(keys: DataFrame, rules: DataFrame, total: int) -> DataFrame:
     span, many = _ranges(keys, total)
     starts = stacks(rules).withColumn("span", span)
     last = starts.groupBy("span").agg(F.max_by("stack", "key").alias("stack"))  # a row a range
-    spans = keys.sparkSession.range(many).select(F.col("id").cast("int").alias("span"))
-    before = F.last("stack", True).over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.join(F.broadcast(last), "span", "left").select("span", F.lit("").alias("key"), before.alias("stack")).filter("stack IS NOT NULL")
+    # each range opens with the last stack of the nearest range before it in which a rule starts
+    with_starts, near = {r["span"] for r in last.select("span").collect()}, [-1]
+    for k in range(many - 1):
+        near.append(k if k in with_starts else near[-1])
+    spans = keys.sparkSession.range(many).select(F.col("id").cast("int").alias("opens"), F.get(F.array([F.lit(k) for k in near]), F.col("id").cast("int")).alias("span"))
+    opened = spans.join(last, "span").select(F.col("opens").alias("span"), F.lit("").alias("key"), "stack")
     no_copies = F.lit(None).cast("bigint").alias("copies")
     events = starts.select("span", "key", "stack", no_copies).unionByName(opened.select("*", no_copies))
     events = events.unionByName(keys.select(span.alias("span"), "key", F.lit(None).cast(starts.schema["stack"].dataType).alias("stack"), "copies"))
