@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftmill.functions import repair
+from draftmill.functions.staging import stage
 from draftmill.functions.text import reply_object, squeezed
 from draftmill.operators.fusion import CANDIDATES
 
@@ -46,10 +47,9 @@ def sheet_tokens(tokens: DataFrame) -> DataFrame:
     return one.groupBy("sheet_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tid", "t")))).alias("by_id"))
 
 
-def regions(ids: Column, verbatim: Column, by_id: Column) -> Column:
-    """The readings that make up the verbatim, an array of tid, text, engine and bbox; null if there are none, no ids, or
+def regions(ids: Column, target: Column, by_id: Column) -> Column:
+    """The readings that make up the target (in capitals, without white space), an array of tid, text, engine and bbox; null if there are none, no ids, or
     ids that the sheet lacks."""
-    target = _flat(verbatim)
     path = F.array().cast(f"array<{_REGION}>")
     begin = F.array(F.struct(F.lit(0).alias("end"), path.alias("path")))
 
@@ -90,13 +90,13 @@ def evidence(fields: DataFrame, tokens: DataFrame, ids: str = "tokens") -> DataF
 def _with_tokens(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     """fields with their sheet's tokens as the column __t, empty where the sheet has none."""
     found = fields.join(sheet_tokens(tokens).withColumnRenamed("by_id", "__t"), "sheet_id", "left")
-    return found.withColumn("__t", F.coalesce("__t", F.create_map().cast(found.schema["__t"].dataType)))
+    return stage(found, __t=F.coalesce("__t", F.create_map().cast(found.schema["__t"].dataType)))
 
 
 def _held(found: DataFrame, ids: str) -> DataFrame:
-    found = found.withColumn("__ids", F.coalesce(F.col(ids).cast(_IDS), F.array().cast(_IDS)))
-    found = found.withColumn("regions", regions(F.col("__ids"), F.col("verbatim"), F.col("__t")))
-    cited, by_id, target = F.col("__ids"), F.col("__t"), _flat(F.col("verbatim"))
+    found = stage(found, __ids=F.coalesce(F.col(ids).cast(_IDS), F.array().cast(_IDS)), __target=_flat(F.col("verbatim")))
+    cited, by_id, target = F.col("__ids"), F.col("__t"), F.col("__target")
+    found = stage(found, regions=regions(cited, target, by_id))
     missing = F.filter(cited, lambda i: ~F.array_contains(F.map_keys(by_id), i))
     own = F.array_join(F.transform(cited, lambda i: F.try_element_at(by_id, i)["flat"]), "")
     # the rest of the verbatim is taken off by the tokens that aren't cited, in the order of their ids
@@ -107,17 +107,16 @@ def _held(found: DataFrame, ids: str) -> DataFrame:
         fits = (flat != "") & F.startswith(at["rest"], flat) & ~F.array_contains(cited, tid)
         return F.struct(F.when(fits, F.substr(at["rest"], F.length(flat) + 1)).otherwise(at["rest"]).alias("rest"), F.when(fits, F.concat(at["extra"], F.array(tid))).otherwise(at["extra"]).alias("extra"))
 
-    found = found.withColumns({"__missing": missing, "__own": own})
+    found = stage(found, __missing=missing, __own=own)
     begun = F.startswith(target, F.col("__own"))
     outcome = F.when(F.size(cited) == 0, "none cited").when(F.size("__missing") > 0, "missing").when(F.col("regions").isNotNull() | (F.col("__own") == target), "ok").when(~begun, "unlike")
-    found = found.withColumn("outcome", outcome)
-    found = found.withColumn("__left", F.when(F.col("outcome").isNull(), F.aggregate(F.map_keys(by_id), start, take)))
+    found = stage(stage(found, outcome=outcome), __left=F.when(F.col("outcome").isNull(), F.aggregate(F.map_keys(by_id), start, take)))
     left = F.col("__left")
     outcome = F.coalesce("outcome", F.when(left["rest"] == "", "incomplete").otherwise("fabricated"))
     told = F.when(F.col("outcome") == "missing", F.array_join(F.col("__missing").cast("array<string>"), ", ")).when(F.col("outcome") == "unlike", F.col("__own")).when(F.col("outcome") == "incomplete", F.substr(target, F.length("__own") + 1)).when(F.col("outcome") == "fabricated", left["rest"])
     extra = F.when(F.col("outcome") == "incomplete", left["extra"]).otherwise(F.array().cast(_IDS))
-    found = found.withColumn("outcome", outcome).withColumns({"extra": extra, "told": told, "evidence_ok": F.col("outcome").isin("none cited", "ok"), "evidence_bbox": regions_box(F.col("regions"))})
-    return found.drop("__ids", "__missing", "__own", "__left")
+    found = stage(stage(found, outcome=outcome), extra=extra, told=told, evidence_ok=F.col("outcome").isin("none cited", "ok"), evidence_bbox=regions_box(F.col("regions")))
+    return found.drop("__ids", "__target", "__missing", "__own", "__left")
 
 
 # --- replies -----------------------------------------------------------------------------------------------------------
@@ -162,7 +161,7 @@ def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
     first = _held(_with_tokens(items, tokens), "tokens")
     repaired = F.size("extra") > 0
     more = F.when(repaired, F.sort_array(F.array_union(F.col("tokens").cast(_IDS), F.col("extra")))).otherwise(F.col("tokens").cast(_IDS))
-    again = first.select(*[c for c in items.columns if c != "tokens"], "__t", more.alias("tokens"), F.when(repaired, F.col("extra")).alias("tokens_repaired"), F.col("told").alias("__first"))
+    again = stage(first, tokens=more, tokens_repaired=F.when(repaired, F.col("extra")), __first=F.col("told")).select(*items.columns, "__t", "tokens_repaired", "__first")
     found = _held(again, "tokens")
     least = lambda k: F.array_min(F.filter(F.transform("tokens", lambda i: F.try_element_at(F.col("__t"), i)[k]), lambda x: x.isNotNull()))
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
