@@ -330,11 +330,14 @@ def reduced(pages: DataFrame, tokens: DataFrame, widest: int = 2400) -> tuple[Da
 def judged_candidates(pages: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
     """All candidates that have a title block's labels, with what was found about them: box, source, groups, column, support
     (the sides), reliable, coverage, score, rank on their sheet, protected and problems (null unless reliable)."""
-    sheets = contents(pages, tokens, lines)
-    frames = frame_candidates(lines, pages).select("sheet_id", *SIDES, F.struct(F.col("horizontal").cast("int"), "a", "b").alias("o"), F.lit("local_frame").alias("source"))
-    texts = text_candidates(sheets).select("sheet_id", *SIDES, F.struct(F.lit(2).alias("horizontal"), "k", F.lit(0).alias("b")).cast(frames.schema["o"].dataType).alias("o"), F.lit("text_layout").alias("source"))
-    place = F.row_number().over(Window.partitionBy("sheet_id").orderBy("o")) - 1
-    cand = frames.unionByName(texts).withColumn("cid", place).withColumn("box", _own()).drop("o", *SIDES)
+    every = label_groups(F.col("toks"))
+    # a box can't have more labels than its sheet
+    sheets = contents(pages, tokens, lines).filter((F.size(every) >= 3) & (_has(every, OPERATORS) >= 2))
+    lines = lines.join(sheets.select("sheet_id"), "sheet_id", "left_semi")
+    frames = frame_candidates(lines, pages).select("sheet_id", *SIDES, F.col("horizontal").cast("int").alias("o"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.lit("local_frame").alias("source"))
+    texts = text_candidates(sheets).select("sheet_id", *SIDES, F.lit(2).alias("o"), F.col("k").alias("a"), F.lit(0).alias("b"), F.lit("text_layout").alias("source"))
+    place = F.row_number().over(Window.partitionBy("sheet_id").orderBy("o", "a", "b")) - 1
+    cand = frames.unionByName(texts).withColumn("cid", place).withColumn("box", _own()).drop("o", "a", "b", *SIDES)
     c = cand.join(sheets, "sheet_id")
     box, toks, column = F.col("box"), F.col("toks"), F.col("column")
     c = stage(stage(c, core=label_core(inside(toks, box))), column=core_column(F.col("core"), F.col("vs")))
