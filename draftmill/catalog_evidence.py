@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftmill.catalog import query
-from draftmill.operators import evidence, layout
+from draftmill.operators import candidates, evidence, fusion, layout, views
 from draftmill.operators.fusion import CANDIDATES
 from draftmill.plans.relations import TOKENS_DUCK, tokens
 
@@ -111,3 +111,15 @@ def call_outcomes(spark, sf_dir):
     k = F.col("sheet_id")
     calls = _replies(spark, sf_dir).select("sheet_id", F.when(k % 5 == 0, 0).otherwise(3).alias("pending"), (k % 2 == 0).alias("enabled"), (k % 7 != 0).alias("available"), F.when(k % 13 == 0, "timeout").alias("error"), "raw_response")
     return evidence.call_outcomes(calls).drop("processing_error")
+
+
+@query()
+def candidate_hints(spark, sf_dir):
+    """The readings that may be better than a token's own, with the reasons; tested against a plain loop."""
+    return candidates.hints(_tokens(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query()
+def sheet_views(spark, sf_dir):
+    """Grid and index of each sheet's fused tokens, rows, ids and hints chained; tested on fixtures."""
+    return views.both(fusion.in_order(fusion.fuse(tokens(spark, sf_dir), 3)))

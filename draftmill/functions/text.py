@@ -15,6 +15,7 @@ MONTH = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
 DATE = rf"\b\d{{1,2}}\s*[./-]\s*\d{{1,2}}\s*[./-]\s*\d{{2,4}}\b|\b{MONTH}[A-Z]*\.?\s+\d{{4}}\b|\b\d{{1,2}}\s+{MONTH}[A-Z]*\.?\s+\d{{2,4}}\b|\b(19|20)\d{{2}}\b"
 YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
 DRAWING_NUMBER = r"\b\d{2,4}\s*/\s*[A-Z]{1,2}\s*\d{1,3}[A-Z]?\b|\b[A-Z]{1,3}\s*-?\s*\d{2,5}\b|\b\d{3,6}\s*[-/]\s*\d{1,4}\b"
+DIMENSION = r"^[\d\s'\"/\-.,ØøRr]+$"
 BARE_LABEL = r"(?i)^\s*SCALES?\s*[:.]?\s*$"
 #: What begins like this is another field's label, and no name of a person.
 NO_PERSON = r"(?i)^\s*(DATE(\b|\d)|(SCALES?|DRAWN|CHKD|CHECK|CHECKED|CHEEK|APPD|APPROVED|CLIENT|JOB|PROJECT|TITLE|DRAWING|DWG|DRG|SHEET|REVISION|E|CH|CE|H|HE)\b)"
@@ -62,6 +63,18 @@ def is_caption(s: Column) -> Column:
     return s.rlike(CAPTION)
 
 
+def is_dimension(s: Column) -> Column:
+    """Digits, marks of feet, inches and radius, and what stands between them."""
+    return s.rlike(DIMENSION)
+
+
+def keep_line(s: Column) -> Column:
+    """A caption, a scale, or a short line of capitals that are mostly letters."""
+    t = F.trim(s)
+    capitals = t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
+    return is_caption(t) | is_scale(t) | (capitals & F.length(t).between(4, 40) & (alpha_ratio(t) > 0.70))
+
+
 def is_date(s: Column) -> Column:
     return s.rlike(f"(?i){DATE}")
 

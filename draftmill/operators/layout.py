@@ -11,9 +11,9 @@ from draftmill.operators.folding import folded
 
 
 def rotated(tokens: DataFrame) -> DataFrame:
-    """Adds rotated: twice as high as wide, and 1.8 times the sheet's median height."""
-    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    median = F.median(h).over(Window.partitionBy("sheet_id"))
+    """Adds rotated: twice as high as wide, and 1.8 times the sheet's median height (20 where that is 0)."""
+    w, h = F.greatest(F.col("x1") - F.col("x0"), F.lit(1)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
+    median = F.coalesce(F.nullif(F.median(F.col("y1") - F.col("y0")).over(Window.partitionBy("sheet_id")), F.lit(0.0)), F.lit(20.0))
     return tokens.withColumn("rotated", (h >= 2 * w) & (h >= 1.8 * median))
 
 

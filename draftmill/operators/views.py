@@ -5,9 +5,15 @@ tokens: sheet_id, row_no, tid, text, box, and alternatives (array of `engine:tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftmill.functions import repair
+from draftmill.operators import candidates, layout
+from draftmill.operators.fusion import alternatives
+
 
 def lines(tokens: DataFrame) -> DataFrame:
     """Rows of tokens: box, text, and the tokens from left to right. Tokens of row -1 (rotated) are lines of their own."""
@@ -55,3 +61,35 @@ def longest(segments: DataFrame, key: str, most: int = 240) -> DataFrame:
     size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2)))
     w = Window.partitionBy(key).orderBy(F.desc(size), "x0", "y0", "x1", "y1")
     return segments.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """Fused tokens (sheet_id, seq, text, box, candidates) with row_no, the place of their line from the top, from 1, and tid,
+    their own place from 0, line by line from the left. Upright tokens form rows, a rotated one is a line of its own."""
+    turned = layout.rotated(tokens)
+    upright = layout.rows(turned.filter("NOT rotated"))
+    alone = turned.filter("rotated").withColumn("row_no", (F.col("seq") + (1 << 30)).cast("int"))
+    line = Window.partitionBy("sheet_id", "__line")
+    every = upright.unionByName(alone).withColumnRenamed("row_no", "__line").withColumns({"__y": F.min("y0").over(line), "__x": F.min("x0").over(line)})
+    of = Window.partitionBy("sheet_id")
+    every = every.withColumn("row_no", F.dense_rank().over(of.orderBy("__y", "__x", "__line")))
+    return every.withColumn("tid", F.row_number().over(of.orderBy("row_no", "x0", "seq")) - 1).drop("__line", "__y", "__x", "rotated")
+
+
+def scan_hints(tokens: DataFrame) -> DataFrame:
+    """(sheet_id, tid, preferred, why) of the tokens of which a candidate is more complete; the first such candidate."""
+    text = F.coalesce("text", F.lit(""))
+    each = tokens.select("sheet_id", "tid", text.alias("text"), F.posexplode(alternatives(text, F.col("candidates"))).alias("k", "c"))
+    more = each.withColumn("extra", repair.more_complete(F.col("text"), F.col("c.text"))).filter("extra IS NOT NULL")
+    first = more.groupBy("sheet_id", "tid").agg(F.min_by(F.struct("c.text", "c.engine", "extra"), "k").alias("f"))
+    return first.select("sheet_id", "tid", F.col("f.text").alias("preferred"), F.concat("f.engine", F.lit(" has it whole and adds "), "f.extra").alias("why"))
+
+
+def both(tokens: DataFrame, hinted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(sheet_id, grid, index) of fused tokens. hinted: what gives the hints of placed tokens (sheet_id, tid, preferred,
+    why); by default the candidates that have the best reasons, or, as another way, scan_hints."""
+    at = placed(tokens)
+    found = candidates.view_hints(candidates.hints(at)) if hinted is None else hinted(at)
+    shown = F.transform(alternatives(F.coalesce("text", F.lit("")), F.col("candidates")), lambda c: F.concat_ws(":", c["engine"], c["text"]))
+    rows = at.withColumns({"alternatives": F.coalesce(shown, F.array().cast("array<string>")), "text": F.coalesce("text", F.lit(""))})
+    return grid(rows).join(index(rows, found), "sheet_id")
