@@ -100,3 +100,40 @@ def preview(rows: DataFrame) -> DataFrame:
 def page(rows: DataFrame, number: int, size: int = 20, *order: str) -> DataFrame:
     """A page of a list, from 1."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def folders(rows: DataFrame, code: int | None = None) -> DataFrame:
+    """Images of each folder by its name, of one status if given; a missing folder is `Unknown folder`."""
+    rows = rows if code is None else rows.filter(F.col("status") == code)
+    return rows.groupBy(F.coalesce("folder", F.lit("Unknown folder")).alias("folder")).agg(F.count("*").alias("n")).orderBy("folder")
+
+
+def shown_boxes(fields: DataFrame, least: float = 0.3, without: tuple[str, ...] = ("drawing_type",)) -> DataFrame:
+    """The fields (name, box x0 to y1, confidence) that are drawn on an image: those with a box of some extent and enough
+    confidence (1 if missing)."""
+    extent = (F.col("x0") != F.col("x1")) & (F.col("y0") != F.col("y1"))
+    return fields.filter(~F.col("name").isin(*without) & extent & (F.coalesce("confidence", F.lit(1.0)) >= least))
+
+
+def resolved(catalog: DataFrame, folder: str, node_id: str, image_name: str) -> DataFrame:
+    """The image of a folder (whatever its case), node and name, as one row or none. Only the catalog is asked, so that no
+    name can lead out of it."""
+    plain = F.lit("/" not in node_id + image_name and "\\" not in node_id + image_name)
+    return catalog.filter(plain & (F.upper("folder") == folder.upper()) & (F.col("node_id") == node_id) & (F.col("image_name") == image_name))
+
+
+def marked_results(states: DataFrame, results: DataFrame, fields: tuple[str, ...], sure: float = 0.75) -> DataFrame:
+    """A row for each image as it is exported: image_key, reviewed, each field's value, and, if any image is not reviewed,
+    its confidence (none for reviewed images) and whether it is marked as low (below `sure`, strictly). states: image_key,
+    reviewed; results: image_key, name, value, conf."""
+    told = states.filter("reviewed = 0").limit(1).count() > 0
+    own = [F.max(F.when(F.col("name") == f, F.struct("value", "conf"))).alias(f) for f in fields]
+    wide = states.select("image_key", "reviewed").join(results.groupBy("image_key").agg(*own), "image_key", "left")
+    open_ = F.col("reviewed") == 0
+    columns = []
+    for f in fields:
+        columns.append(F.col(f"{f}.value").alias(f))
+        if told:
+            columns.append(F.when(open_, F.col(f"{f}.conf")).alias(f"{f}_conf"))
+            columns.append(F.coalesce(open_ & (F.col(f"{f}.conf") < sure), F.lit(False)).alias(f"{f}_low"))
+    return wide.select("image_key", "reviewed", *columns)

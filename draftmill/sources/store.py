@@ -70,11 +70,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def states_of(files: DataFrame) -> DataFrame:
     """The same of store files that were read: file, value (its text)."""
-    files = files.select("file", F.try_parse_json("value").alias("v"))
+    files = files.select("file", "value", F.try_parse_json("value").alias("v"))
     is_object = lambda c: F.coalesce(F.expr(f"schema_of_variant({c})").startswith("OBJECT"), F.lit(False))
-    wrapped = F.expr("variant_get(v, '$.images', 'variant')")
-    files = files.withColumn("own", F.when(is_object("variant_get(v, '$.images', 'variant')"), wrapped).when(is_object("v"), F.col("v")))
-    each = files.filter("own IS NOT NULL").select("file", F.posexplode(F.map_entries(F.expr("cast(own AS map<string, variant>)"))).alias("k", "e")).select("file", "k", F.col("e.key").alias("key"), F.col("e.value").alias("s")).filter(is_object("s"))
+    # read as maps, as these keep the entries' order, which a variant doesn't
+    wrapped = F.when(is_object("variant_get(v, '$.images', 'variant')"), F.from_json("value", "images map<string,variant>")["images"])
+    files = files.withColumn("own", F.coalesce(wrapped, F.when(is_object("v"), F.from_json("value", "map<string,variant>"))))
+    each = files.filter("own IS NOT NULL").select("file", F.posexplode(F.map_entries("own")).alias("k", "e")).select("file", "k", F.col("e.key").alias("key"), F.col("e.value").alias("s")).filter(is_object("s"))
     parts = F.filter(F.split(F.replace(F.col("key"), F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
     each = each.withColumn("parts", parts).filter(F.size("parts") >= 2)
     named = lambda k, at: F.coalesce(F.nullif(_given("s", k), F.lit("")), F.element_at("parts", at))

@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import numpy as np
-from draftmill.operators import fusion
+from draftmill.operators import fusion, prompt, status
 from draftmill.sources import payloads, pixels, store
 from pyspark.sql import functions as F
 
@@ -173,3 +173,19 @@ def test_thin_lines_touch_by_corners(spark):
     runs = [("a", y, int(x0), int(x1)) for y, line in enumerate(ink) for x0, x1 in zip(*(np.flatnonzero(np.diff(np.pad(line.astype(int), 1)) == s) for s in (1, -1)))]
     got = pixels.components(spark.createDataFrame(runs, "path string, y int, x0 int, x1 int")).collect()
     assert sorted((x["width"], x["height"], x["area"]) for x in got) == filled(ink)
+
+
+def test_resolved_and_marked(spark):
+    images = spark.createDataFrame([("Fold", "n1", "a.png"), ("fold2", "n1", "a.png")], "folder string, node_id string, image_name string")
+    assert [x["folder"] for x in status.resolved(images, "FOLD", "n1", "a.png").collect()] == ["Fold"]
+    assert status.resolved(images, "fold", "../n1", "a.png").count() == 0 and status.resolved(images, "fold", "n1", "..\\a.png").count() == 0
+    states = spark.createDataFrame([("a", 0), ("b", 1), ("c", 0)], "image_key string, reviewed int")
+    results = spark.createDataFrame([("a", "scale", "1:10", 0.75), ("a", "date", "1960", 0.749), ("b", "scale", "1:5", 0.1)], "image_key string, name string, value string, conf double")
+    got = {x["image_key"]: x.asDict() for x in status.marked_results(states, results, ("scale", "date")).collect()}
+    assert (got["a"]["scale_low"], got["a"]["date_low"], got["b"]["scale_conf"], got["b"]["scale_low"], got["c"]["scale"]) == (False, True, None, False, None)
+    assert status.marked_results(states.filter("reviewed = 1"), results, ("scale",)).columns == ["image_key", "reviewed", "scale"]
+    views = spark.createDataFrame([(1, "g", "i"), (2, None, None)], "sheet_id int, grid string, index string")
+    fields = spark.createDataFrame([(1, f, True, "v", None) for f in prompt.DESCRIPTIONS] + [(2, "scale", False, None, "noisy"), (2, "odd", True, "x", None)], "sheet_id int, name string, locked boolean, verbatim string, rejected string")
+    got = {x["sheet_id"]: x for x in prompt.prompts(views, fields).collect()}
+    assert (got[1]["pending"], got[1]["prompt"]) == ([], None) and len(got[2]["pending"]) == 8
+    assert "  scale: noisy" in got[2]["prompt"] and "(none)" in got[2]["prompt"] and got[2]["prompt"].endswith(prompt.TASK)
