@@ -15,52 +15,47 @@ from pyspark.sql import functions as F
 
 from draftmill.functions import repair
 from draftmill.functions import text as X
+from draftmill.functions.staging import stage
 from draftmill.operators.records import FIELDS
 
 STATE = ("image_key", "node_id", "image_name", "status", "task_uuid", "message", "updated_at", "manual_reviewed", "result")
 
 
-def _given(item: str, path: str) -> Column:
+def _at(item: str, name: str | None, kind: str, may_fail: bool = True) -> Column:
+    """A part of a variant (or the whole), as a kind."""
+    path = "$" if name is None else f"$.{name}"
+    return F.expr(f"{'try_' if may_fail else ''}variant_get({item}, '{path}', '{kind}')")
+
+
+def _given(item: str, name: str | None = None) -> Column:
     """A value as text; null for JSON's null, and where there is none."""
-    v = F.expr(f"variant_get({item}, '$.{path}', 'variant')")
-    text = F.coalesce(F.expr(f"try_variant_get({item}, '$.{path}', 'string')"), F.expr(f"to_json(variant_get({item}, '$.{path}', 'variant'))"))
-    return F.when(~F.coalesce(F.is_variant_null(v), F.lit(True)), text)
+    v = _at(item, name, "variant", False)
+    return F.when(~F.coalesce(F.is_variant_null(v), F.lit(True)), F.coalesce(_at(item, name, "string"), F.to_json(v)))
 
 
-def _kind(item: str, path: str) -> Column:
-    return F.coalesce(F.expr(f"schema_of_variant(variant_get({item}, '$.{path}', 'variant'))"), F.lit("NONE"))
+def _kind(item: str, name: str | None = None) -> Column:
+    return F.coalesce(F.schema_of_variant(_at(item, name, "variant", False)), F.lit("NONE"))
 
 
-def _texts(item: str, path: str) -> Column:
+def _texts(item: str) -> Column:
     """The values of a list, its lists' values among them, as trimmed texts, each once; a single value as a list of one."""
-    v = f"variant_get({item}, '$.{path}', 'variant')"
-    listed = F.expr(f"flatten(transform(coalesce(try_variant_get({item}, '$.{path}', 'array<variant>'), array()), x -> coalesce(try_variant_get(x, '$', 'array<string>'), array(try_variant_get(x, '$', 'string')))))")
-    return X.notes(F.when(_kind(item, path).startswith("ARRAY"), listed).when(F.expr(f"{v} IS NULL"), F.array().cast("array<string>")).otherwise(F.array(_given(item, path))))
-
-
-def reason_and_notes(item: str, field: str) -> tuple[Column, Column]:
-    """The reason and the notes of a field of a result: of a list of reasons the first that is known, the others are notes;
-    a single one stays as it is, trimmed."""
-    notes, given = _texts(item, f"{field}_notes"), _texts(item, f"{field}_reason")
-    listed = _kind(item, f"{field}_reason").startswith("ARRAY")
-    reason = F.when(listed, X.reason_of(given)).otherwise(F.nullif(F.trim(_given(item, f"{field}_reason")), F.lit("")))
-    return reason, F.when(listed, F.array_distinct(F.concat(notes, X.other_notes(given)))).otherwise(notes)
-
-
-def result_reasons(states: DataFrame, result: str = "result") -> DataFrame:
-    """(image_key, field, reason, notes, migrated) of the fields of results (a variant) that have a reason or notes:
-    migrated where the stored ones differ."""
-    parts = []
-    for f in FIELDS:
-        reason, notes = reason_and_notes(result, f)
-        has = (_kind(result, f"{f}_reason") != "NONE") | (_kind(result, f"{f}_notes") != "NONE")
-        both = (_kind(result, f"{f}_reason") != "NONE") & (_kind(result, f"{f}_notes").startswith("ARRAY"))
-        same_reason = ~_kind(result, f"{f}_reason").startswith("ARRAY") & _given(result, f"{f}_reason").eqNullSafe(reason)
-        same_notes = F.expr(f"try_variant_get({result}, '$.{f}_notes', 'array<string>')").eqNullSafe(notes)
-        parts.append(F.when(has, F.struct(F.lit(f).alias("field"), reason.alias("reason"), notes.alias("notes"), ~F.coalesce(both & same_reason & same_notes, F.lit(False)).alias("same"))))
-    each = states.select("image_key", F.explode(F.array_compact(F.array(*parts))).alias("p"))
-    names = each.schema["p"].dataType.names
-    return each.select("image_key", *[F.col("p").getField(n).alias(k) for n, k in zip(names, ("field", "reason", "notes", "migrated"), strict=True)])
+    listed = F.expr(f"flatten(transform(coalesce(try_variant_get({item}, '$', 'array<variant>'), array()), x -> coalesce(try_variant_get(x, '$', 'array<string>'), array(try_variant_get(x, '$', 'string')))))")
+    return X.notes(F.when(_kind(item).startswith("ARRAY"), listed).when(F.col(item).isNull(), F.array().cast("array<string>")).otherwise(F.array(_given(item))))
+
+
+def result_reasons(states: DataFrame, result: str = "result", key: str = "image_key") -> DataFrame:
+    """(image_key, field, reason, notes, migrated) of the fields of results (a variant) that have a reason or notes. Of a
+    list of reasons the first that is known is the reason, the others are notes; a single one stays as it is, trimmed.
+    migrated: the stored ones differ."""
+    own = states.select(key, F.expr(f"cast({result} AS map<string, variant>)").alias("m"), F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field"))
+    stored = lambda what: F.try_element_at("m", F.concat("field", F.lit(what)))
+    own = own.select(key, "field", stored("_reason").alias("r"), stored("_notes").alias("n")).filter("r IS NOT NULL OR n IS NOT NULL")
+    own = stage(own, listed=_kind("r").startswith("ARRAY"), given=_texts("r"), noted=_texts("n"), plain=_given("r"))
+    reason = F.when(F.col("listed"), X.reason_of(F.col("given"))).otherwise(F.nullif(F.trim("plain"), F.lit("")))
+    notes = F.when(F.col("listed"), F.array_distinct(F.concat("noted", X.other_notes(F.col("given"))))).otherwise(F.col("noted"))
+    own = stage(own, reason=reason, notes=notes)
+    same = F.col("r").isNotNull() & ~F.col("listed") & F.col("plain").eqNullSafe(F.col("reason")) & _kind("n").startswith("ARRAY") & _at("n", None, "array<string>").eqNullSafe(F.col("notes"))
+    return own.select(key, "field", "reason", "notes", (~F.coalesce(same, F.lit(False))).alias("migrated"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +79,8 @@ def states_of(files: DataFrame) -> DataFrame:
     each = each.withColumn("__n", F.row_number().over(last)).filter("__n = 1")
     mark, kind = _given("s", "manual_reviewed"), _kind("s", "manual_reviewed")
     plain = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") & mark.isin("0", "1")
-    result = F.when(_kind("s", "result").startswith("OBJECT"), F.expr("variant_get(s, '$.result', 'variant')")).otherwise(F.parse_json(F.lit("{}")))
-    out = each.select("image_key", "node_id", "image_name", X.image_status(F.coalesce(_given("s", "status"), F.lit(""))).alias("status"), _given("s", "task_uuid").alias("task_uuid"), F.coalesce(F.nullif(_given("s", "message"), F.lit("")), _given("s", "error")).alias("message"), F.expr("try_variant_get(s, '$.updated_at', 'bigint')").alias("updated_at"), repair.reviewed(mark).alias("manual_reviewed"), result.alias("result"), (~plain).alias("unplain"), "file")
+    result = F.when(_kind("s", "result").startswith("OBJECT"), _at("s", "result", "variant", False)).otherwise(F.parse_json(F.lit("{}")))
+    out = each.select("image_key", "node_id", "image_name", X.image_status(F.coalesce(_given("s", "status"), F.lit(""))).alias("status"), _given("s", "task_uuid").alias("task_uuid"), F.coalesce(F.nullif(_given("s", "message"), F.lit("")), _given("s", "error")).alias("message"), _at("s", "updated_at", "bigint").alias("updated_at"), repair.reviewed(mark).alias("manual_reviewed"), result.alias("result"), (~plain).alias("unplain"), "file")
     moved = result_reasons(out.withColumn("image_key", F.struct("file", "image_key"))).groupBy("image_key").agg(F.bool_or("migrated").alias("moved")).select("image_key.*", "moved")
     out = out.join(moved, ["file", "image_key"], "left").withColumn("migrated", F.col("unplain") | F.coalesce("moved", F.lit(False)))
     bad = files.filter("own IS NULL").select("file", F.lit("no object of states").alias("error"))
