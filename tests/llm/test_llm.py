@@ -371,17 +371,30 @@ def test_sharding_balances_and_keeps_equal_texts(spark, monkeypatch):
     where = {}
     for x in got:
         size[x["shard"]] += x["size"]
-        where.setdefault((x["text_crc32"], x["may_cut"]), set()).add(x["shard"])
+        where.setdefault(x["text_crc32"], set()).add(x["shard"])
     total = sum(size.values())
-    assert len(size) == 8 and all(abs(v - total / 8) < 0.03 * total / 8 for v in size.values())
-    # only the groups that weigh more than the parameter says are cut
-    assert all(len(v) == 1 for (_, cut), v in where.items() if not cut)
-    assert {c for c, cut in where if cut} >= {zlib.crc32(b"the same text")}
+    assert len(size) == 8 and all(abs(v - total / 8) < 0.1 * total / 8 for v in size.values())
+    assert all(len(v) == 1 for v in where.values())
     got = sharding.kd_shards(docs, target_bytes=total / 21).collect()
-    size = Counter()
+    size, where = Counter(), {}
     for x in got:
         size[x["shard"]] += x["size"]
-    assert sorted(size) == list(range(len(size))) and max(size.values()) <= total / 21 and len(size) <= 42 and len(got) == len(rows)
+        where.setdefault(x["text_crc32"], set()).add(x["shard"])
+    # the one group that outweighs a leaf is a shard of its own
+    assert all(len(v) == 1 for v in where.values())
+    (hot,) = where[zlib.crc32(b"the same text")]
+    assert size[hot] == 1500 * 14 > total / 21
+    assert sorted(size) == list(range(len(size))) and all(v <= total / 21 for k, v in size.items() if k != hot) and len(size) <= 44 and len(got) == len(rows)
+
+
+def test_sharding_of_one_text_and_of_half(spark):
+    """Equal texts of half of all bytes, or of all, stay in one shard; the slots have no gaps."""
+    half = [(i, "x" * 40, "a", "s") for i in range(400)] + [(1000 + i, f"{i:040d}", "ab"[i % 2], "s") for i in range(400)]
+    for rows in (half, half[:400]):
+        got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+        assert len({x["shard"] for x in got if x["doc_id"] < 1000}) == 1 and len(got) == len(rows)
+        for k in {x["shard"] for x in got}:
+            assert sorted(x["slot"] for x in got if x["shard"] == k) == list(range(sum(x["shard"] == k for x in got)))
 
 
 def test_fingerprints(docs, rows):
