@@ -30,19 +30,24 @@ def result_fields(spark, sf_dir):
     return records.result_fields(fields(spark, sf_dir)).withColumn("notes", F.array_join("notes", "|"))
 
 
-@query(FLD + f"SELECT sheet_id, max(CASE WHEN name = 'scale' THEN {_VALUE} END) AS scale_value, max(CASE WHEN name = 'date' THEN status END) AS date_status, count(*) FILTER (name = 'architect')::INT AS has_architect FROM f GROUP BY sheet_id")
+_PARTS = {"value": _VALUE, "verbatim": "verbatim", "corrected": "corrected", "correction_basis": "basis", "conf": "round(confidence, 3)", "source": "nullif(source, '')", "reason": "CASE WHEN trim(reason) = 'illegible' THEN 'illegible' WHEN note = 'ambiguous' THEN 'ambiguous' END", "notes": "array_to_string(list_filter(CASE WHEN trim(reason) = 'illegible' THEN [note] WHEN note = 'ambiguous' THEN [trim(reason)] ELSE [trim(reason), note] END, lambda x: x IS NOT NULL), '|')", "review_status": "status"}
+
+
+@query(FLD + "SELECT sheet_id, " + ", ".join(f"max(CASE WHEN name = '{f}' THEN {c} END) AS {f}_{k}" for f in records.FIELDS for k, c in _PARTS.items()) + " FROM f GROUP BY sheet_id")
 def result_documents(spark, sf_dir):
+    """Every part of every field of each sheet's document."""
     d = records.result_documents(fields(spark, sf_dir))
-    return d.select("sheet_id", F.col("scale.value").alias("scale_value"), F.col("date.review_status").alias("date_status"), F.col("architect").isNotNull().cast("int").alias("has_architect"))
+    part = lambda f, k: F.array_join(F.col(f"{f}.notes"), "|") if k == "notes" else F.col(f"{f}.{k}")
+    return d.select("sheet_id", *[part(f, k).alias(f"{f}_{k}") for f in records.FIELDS for k in _PARTS])
 
 
 _CAP = "method_conf < 0.5 OR len(reasons) > 0"
 
 
-@query(FLD + f"SELECT sheet_id, name, CASE WHEN {_CAP} THEN least(confidence, 0.45) ELSE confidence END AS confidence, CASE WHEN {_CAP} THEN 'needs_review' ELSE status END AS status, len([note]) + CASE WHEN name = 'scale' AND regexp_matches(verbatim, '(?i)AS\\s+SHOWN') THEN 1 ELSE 0 END + len(reasons) + CASE WHEN method_conf < 0.5 AND method <> 'fallback' THEN 1 ELSE 0 END AS n_notes FROM f JOIN s USING (sheet_id)")
+@query(FLD + f"SELECT sheet_id, name, CASE WHEN {_CAP} THEN least(confidence, 0.45) ELSE confidence END AS confidence, CASE WHEN {_CAP} THEN 'needs_review' ELSE status END AS status, array_to_string(list_concat([note], CASE WHEN name = 'scale' AND regexp_matches(verbatim, '(?i)AS\\s+SHOWN') THEN ['" + records.VAGUE_NOTE + "'] ELSE [] END, reasons, CASE WHEN method_conf < 0.5 AND method <> 'fallback' THEN [concat('Localization method ', method, ' has confidence of only ', method_conf)] ELSE [] END), '|') AS notes FROM f JOIN s USING (sheet_id)")
 def degraded_fields(spark, sf_dir):
     d = records.degraded(fields(spark, sf_dir), sheets(spark, sf_dir))
-    return d.select("sheet_id", "name", "confidence", "status", F.size("notes").cast("bigint").alias("n_notes"))
+    return d.select("sheet_id", "name", "confidence", "status", F.array_join("notes", "|").alias("notes"))
 
 
 @query(FLD + "SELECT coalesce(r.sheet_id, m.sheet_id) AS sheet_id, coalesce(r.name, m.name) AS name, CASE WHEN r.sheet_id IS NOT NULL THEN r.v ELSE m.v END AS value, CASE WHEN r.sheet_id IS NOT NULL THEN 'rule' ELSE 'model' END AS source, CASE WHEN r.sheet_id IS NOT NULL AND m.sheet_id IS NOT NULL THEN concat('model: ', coalesce(m.v, '')) ELSE '' END AS notes FROM (SELECT sheet_id, name, verbatim AS v FROM f WHERE source = 'rule') r FULL JOIN (SELECT sheet_id, name, corrected AS v FROM f WHERE status <> 'rejected') m ON r.sheet_id = m.sheet_id AND r.name = m.name")
@@ -72,14 +77,14 @@ def token_boxes(spark, sf_dir):
     return records.token_boxes(named, t)
 
 
-@query(TOK + "SELECT sheet_id, seq, CASE WHEN seq % 3 = 0 THEN x0 WHEN seq % 3 = 1 THEN x0 + 1 END AS ex0, CASE WHEN seq % 3 = 0 THEN x1 + 5 WHEN seq % 3 = 1 THEN x1 END AS ex1 FROM t")
+@query(TOK + "SELECT sheet_id, seq, CASE WHEN seq % 3 = 0 THEN x0 WHEN seq % 3 = 1 THEN x0 + 1 END AS ex0, CASE WHEN seq % 3 = 0 THEN x1 + 5 WHEN seq % 3 = 1 THEN x1 END AS ex1, CASE WHEN seq % 3 < 2 THEN y0 END AS ey0, CASE WHEN seq % 3 < 2 THEN y1 END AS ey1 FROM t")
 def evidence_boxes(spark, sf_dir):
     """Regions of no extent count for nothing; without any the total stands, and without that nothing."""
     d = lambda *c: F.array(*[F.expr(x).cast("double") for x in c])
     some = F.array(d("x0 + 0.7", "y0", "x1 + 0.2", "y1"), d("x0", "y0", "x1 + 5", "y1"), d("x1 + 50", "y0", "x0", "y1"))
     none = F.array(d("x1", "y0", "x0", "y1"))
     box = records.evidence_box(F.when(F.col("seq") % 3 == 0, some).otherwise(none), F.when(F.col("seq") % 3 == 1, d("x0 + 1.5", "y0", "x1", "y1")).otherwise(d("x0", "y0", "x0", "y1")))
-    return tokens(spark, sf_dir).select("sheet_id", "seq", F.get(box, 0).alias("ex0"), F.get(box, 2).alias("ex1"))
+    return tokens(spark, sf_dir).select("sheet_id", "seq", F.get(box, 0).alias("ex0"), F.get(box, 2).alias("ex1"), F.get(box, 1).alias("ey0"), F.get(box, 3).alias("ey1"))
 
 
 def _with_next(spark, sf_dir):
@@ -139,10 +144,17 @@ def image_series(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.series(pick(["a/bsm 1/x", "yfa/Cabana/y", "state/yfa", "q/YFA2/r", "none"])).alias("series"), P.reviewed(mark).alias("reviewed"), regions.is_header(head).alias("header"))
 
 
-@query(TOK + "SELECT sheet_id, seq, CASE WHEN seq % 2 = 0 THEN concat('1', '/', CAST(seq AS VARCHAR)) END AS extra, seq % 2 = 0 AS same FROM t")
+_OTHER = "CASE seq % 6 WHEN 0 THEN concat(text, '1/', cast(seq AS {s})) WHEN 1 THEN '##' WHEN 2 THEN concat('|', text, ' .') WHEN 3 THEN concat(text, 'WIDE') WHEN 4 THEN concat(text, ' 1a ') ELSE substr(text, 2) END"
+
+
+@query(TOK + f""", o AS (SELECT *, trim(text) AS m, trim({_OTHER.format(s='VARCHAR')}) AS a FROM t),
+e AS (SELECT *, trim(substr(a, 1, strpos(a, m) - 1) || substr(a, strpos(a, m) + length(m))) AS extra FROM o),
+c AS (SELECT *, regexp_replace(extra, '\\s', '', 'g') AS core FROM e)
+SELECT sheet_id, seq, CASE WHEN m <> '' AND length(a) > length(m) AND strpos(a, m) > 0 AND length(extra) BETWEEN 1 AND 4 AND length(core) - length(regexp_replace(core, '[1IiljL|/\\\\''\"`.,\\-_0-9]', '', 'g')) >= 0.6 * length(core) THEN extra END AS extra, contains(upper(a), upper(m)) OR contains(upper(m), upper(a)) AS same FROM c""")
 def fuller_readings(spark, sf_dir):
+    """What another reading has beyond a token's own; the others are longer, shorter, wider or quite different."""
     t = tokens(spark, sf_dir)
-    more = F.when(F.col("seq") % 2 == 0, F.concat("text", F.lit("1/"), F.col("seq").cast("string"))).otherwise(F.lit("##"))
+    more = F.expr(_OTHER.format(s="STRING"))
     return t.select("sheet_id", "seq", P.more_complete(F.col("text"), more).alias("extra"), P.same_text(F.col("text"), more).alias("same"))
 
 
