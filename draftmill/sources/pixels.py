@@ -125,3 +125,34 @@ def manifest(spark: SparkSession, root: str, *excluded: str) -> DataFrame:
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     seen = assessed(read_images(spark, root)).withColumn("__p", plain("path")).drop("path")
     return files.withColumn("series", repair.series(F.col("path"))).withColumn("__p", plain("path")).join(seen, "__p", "left").drop("__p").withColumn("verdict", F.coalesce("verdict", F.lit("unreadable_file")))
+
+
+def _ruled(percentile: float, share: float, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, height, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = grey(data, height, width, channels)
+                ink = a < np.percentile(a, percentile)
+                for across in (True, False):
+                    one = np.pad(ink if across else ink.T, ((0, 0), (1, 1))).astype(np.int8)
+                    at, p = np.nonzero(np.diff(one, axis=1))
+                    at, p0, p1 = at[::2].astype(float), p[::2].astype(float), p[1::2].astype(float)
+                    long = p1 - p0 >= max(int((width if across else height) * share), least)
+                    at, p0, p1 = at[long], p0[long], p1[long]
+                    sides = (p0, at, p1, at) if across else (at, p0, at, p1)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(np.full(len(at), across)), pa.array(np.arange(len(at), dtype=np.int32)), *map(pa.array, sides)], ["sheet_id", "horizontal", "seq", "x0", "y0", "x1", "y1"])
+
+    return run
+
+
+def ruled_runs(images: DataFrame, percentile: float = 15.0, share: float = 0.10, least: int = 25) -> DataFrame:
+    """The long runs of dark pixels of images, along rows and columns, as lines (sheet_id, the path; horizontal, seq, x0 to
+    y1): those that an opening with a bar of their length would leave. Dark: below a percentile of the image's greys. Runs
+    of one place add up in locate.line_places, which gives the places of frames."""
+    ok = images.filter(F.col("image.height") > 0).select("path", "image.height", "image.width", "image.nChannels", "image.data")
+    return ok.mapInArrow(_ruled(percentile, share, least), "sheet_id string, horizontal boolean, seq int, x0 double, y0 double, x1 double, y1 double")
+
+
+def pages(images: DataFrame) -> DataFrame:
+    """(sheet_id, w, h) of the images that can be decoded."""
+    return images.filter(F.col("image.height") > 0).select(F.col("path").alias("sheet_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"))

@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import numpy as np
-from draftmill.operators import fusion, prompt, status
+from draftmill.operators import fusion, locate, prompt, status
 from draftmill.sources import payloads, pixels, store
 from pyspark.sql import functions as F
 
@@ -189,3 +189,28 @@ def test_resolved_and_marked(spark):
     got = {x["sheet_id"]: x for x in prompt.prompts(views, fields).collect()}
     assert (got[1]["pending"], got[1]["prompt"]) == ([], None) and len(got[2]["pending"]) == 8
     assert "  scale: noisy" in got[2]["prompt"] and "(none)" in got[2]["prompt"] and got[2]["prompt"].endswith(prompt.TASK)
+
+
+def test_ruled_frames(spark, tmp_path):
+    """A frame's places from pixels, against the profiles of rows and columns; its cells and the way by cells."""
+    a = np.full((400, 600), 240, np.uint8)
+    for y in (250, 251, 252, 380):
+        a[y, 380:590] = 10
+    for x in (380, 381, 589):
+        a[250:381, x] = 10
+    a[100, 20:70] = 10  # too short to be a frame's side
+    a[120:130, 100:110] = 10
+    (tmp_path / "a.png").write_bytes(png(a))
+    (tmp_path / "bad.png").write_bytes(b"no")
+    seen = pixels.read_images(spark, str(tmp_path))
+    lines, sizes = pixels.ruled_runs(seen), pixels.pages(seen)
+    ink = a < np.percentile(a, 15)
+    profile = lambda m, least: [k for k, line in enumerate(m) if sum(len(r) for r in "".join("#" if v else " " for v in line).split() if len(r) >= least) >= 0.25 * len(line)]
+    ys, xs = profile(ink, 60), profile(ink.T, 40)
+    assert ys == [250, 251, 252, 380] and xs == [380, 381, 589]
+    x = locate.line_places(lines, sizes).first()
+    assert (x["xs"], x["ys"]) == ([380, 589], [251, 380])
+    path = sizes.first()["sheet_id"]
+    words = spark.createDataFrame([(path, k, "note", 400 + 40 * k, 300, 430 + 40 * k, 312) for k in range(4)], "sheet_id string, tid int, text string, x0 int, y0 int, x1 int, y1 int")
+    found = locate.locate(sizes, words, lines).first()
+    assert found["method"] == "frame" and (found["x0"], found["y0"], found["x1"], found["y1"]) == (381, 252, 589, 380)
