@@ -251,3 +251,17 @@ def repaired_readings(spark, sf_dir):
     """The repairs of each distinct text: as a number field, and in general; the candidates of the first."""
     t = tokens(spark, sf_dir).select("text").distinct()
     return t.select("text", P.with_digits(F.col("text"), "date").alias("numeric"), P.with_digits(F.col("text")).alias("general"), F.array_join(P.variants(F.col("text"), "date"), "|").alias("variants"))
+
+
+@query("WITH c AS (SELECT CASE WHEN l_suppkey % 9 > 0 THEN l_partkey END AS p, CASE WHEN l_suppkey % 9 > 0 THEN l_suppkey END AS q, CASE WHEN l_suppkey % 9 > 0 AND l_linenumber > 1 THEN l_partkey + l_suppkey END AS t FROM lineitem), s AS (SELECT count(*) AS calls, sum(p)::BIGINT AS prompt, sum(q)::BIGINT AS completion FROM c WHERE t > 0) SELECT *, prompt // calls AS prompt_each, completion // calls AS completion_each, (prompt + completion) * 1000 // calls AS per_thousand FROM s")
+def model_usage(spark, sf_dir):
+    """Tokens of all calls that told them."""
+    told = F.col("l_suppkey") % 9 > 0
+    calls = table(spark, sf_dir, "lineitem").select(F.when(told, F.col("l_partkey")).alias("prompt_tokens"), F.when(told, F.col("l_suppkey")).alias("completion_tokens"), F.when(told & (F.col("l_linenumber") > 1), F.col("l_partkey") + F.col("l_suppkey")).alias("total_tokens"))
+    return records.usage_totals(calls)
+
+
+@query(TOK + "SELECT sheet_id, seq, round(CASE WHEN up * w > 4000 THEN 4000.0 / w ELSE up END, 6) AS up FROM (SELECT sheet_id, seq, 500 + x0 * 20 AS w, CASE WHEN seq > 0 THEN 26 / (seq * 4)::DOUBLE ELSE 2.0 END AS up FROM t)")
+def page_scales(spark, sf_dir):
+    """The enlargement of pages for their first reading."""
+    return tokens(spark, sf_dir).select("sheet_id", "seq", F.round(regions.coarse_scale((F.col("seq") * 4).cast("double"), 500 + F.col("x0") * 20), 6).alias("up"))

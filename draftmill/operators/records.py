@@ -92,3 +92,13 @@ def evidence_box(regions: Column, total: Column) -> Column:
     side = lambda k, f: f(F.transform(good, lambda b: F.get(b, k).cast("int")))
     own = F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max))
     return F.when(F.size(good) > 0, own).when(whole(total), F.transform(total, lambda v: v.cast("int")))
+
+
+def usage_totals(calls: DataFrame) -> DataFrame:
+    """One row for all calls of the model that tell their tokens (prompt_tokens, completion_tokens, total_tokens of some
+    size): their number, sums, whole averages, and tokens for a thousand images; averages are null without calls."""
+    told = calls.filter(F.coalesce("total_tokens", F.lit(0)) > 0)
+    n, pin, pout = F.count("*"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)), F.coalesce(F.sum("completion_tokens"), F.lit(0))
+    sums = told.agg(n.alias("calls"), pin.alias("prompt"), pout.alias("completion"))
+    per = lambda e: F.expr(f"try_divide({e} - pmod({e}, calls), calls)").cast("bigint")
+    return sums.select("calls", "prompt", "completion", per("prompt").alias("prompt_each"), per("completion").alias("completion_each"), per("((prompt + completion) * 1000)").alias("per_thousand"))

@@ -84,3 +84,10 @@ def scales(height: Column, long_side: Column, wanted: float, least: float, most:
     """The enlargement of a crop whose characters have this height (0: unknown)."""
     up = F.when(height > 0, F.least(F.greatest(wanted / F.nullif(height, F.lit(0.0)), F.lit(least)), F.lit(most))).otherwise(F.lit(least))
     return F.greatest(F.least(up, longest / long_side), F.lit(0.1))
+
+
+def coarse_scale(height: Column, long_side: Column, wanted: float = 26.0, without: float = 2.0, longest: int = 4000) -> Column:
+    """The enlargement of a whole page for its first reading: by the height of its characters, or `without` that; bounded
+    only by the longest side."""
+    up = F.when(height > 0, wanted / F.nullif(height, F.lit(0.0))).otherwise(F.lit(without))
+    return F.when(up * long_side > longest, longest / long_side).otherwise(up)

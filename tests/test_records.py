@@ -4,7 +4,7 @@ import random
 
 import pytest
 from draftmill.functions import repair
-from draftmill.operators import fusion, regions, status, views
+from draftmill.operators import fusion, records, regions, status, views
 from pyspark.sql import functions as F
 
 DIGIT = dict(zip(repair.CONFUSED, repair.DIGITS))
@@ -223,3 +223,9 @@ def test_empty_tables(spark, tmp_path, name):
     for t in ("lineitem", "part"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_usage_of_the_model(spark):
+    calls = spark.createDataFrame([(10, 3, 13), (5, 2, 7), (99, 99, None), (1, 1, 0), (None, None, None)], "prompt_tokens int, completion_tokens int, total_tokens int")
+    assert tuple(records.usage_totals(calls).first()) == (2, 15, 5, 7, 2, 10_000)
+    assert tuple(records.usage_totals(calls.limit(0)).first()) == (0, 0, 0, None, None, None)
