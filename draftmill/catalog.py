@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from draftmill.functions import geometry as G
 from draftmill.functions import text as X
 from draftmill.operators import extract, fusion, layout, status, triage
+from draftmill.operators.ranges import box_pairs
 from draftmill.plans.relations import LATEST_DUCK, LOG_DUCK, TOKENS_DUCK, log, table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,15 +32,9 @@ TOK = f"WITH t AS ({TOKENS_DUCK}) "
 PAIRS = TOK + ", p AS (SELECT a.sheet_id, a.seq AS a, b.seq AS b, (a.x1-a.x0)*(a.y1-a.y0) AS aa, (b.x1-b.x0)*(b.y1-b.y0) AS ab, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0)) * greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS s FROM t a JOIN t b ON a.sheet_id = b.sheet_id AND a.seq < b.seq) "
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(spark, sf_dir)
-    side = lambda p: t.select("sheet_id", *[F.col(c).alias(f"{p}{c}") for c in ("seq", "x0", "y0", "x1", "y1")])
-    return side("a_").join(side("b_"), "sheet_id").filter("a_seq < b_seq")
-
-
 @query(PAIRS + "SELECT sheet_id, a, b, round(s / greatest(aa + ab - s, 1), 6) AS iou, round(s / greatest(least(aa, ab), 1), 6) AS io_min, s / greatest(ab, 1) >= 0.7 AS a_has_b FROM p WHERE s > 0")
 def box_overlaps(spark, sf_dir):
-    p = _pairs(spark, sf_dir).filter(G.overlap("a_", "b_") > 0)
+    p = box_pairs(tokens(spark, sf_dir), "sheet_id", "seq")
     return p.select("sheet_id", F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), F.round(G.iou("a_", "b_"), 6).alias("iou"), F.round(G.io_min("a_", "b_"), 6).alias("io_min"), G.contains("a_", "b_").alias("a_has_b"))
 
 

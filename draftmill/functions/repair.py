@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftmill.functions.text import indel_ratio, norm
+from draftmill.functions.text import norm, ratio_from
 
 # Letters that are read for digits, the fields they are repaired in, words that stay, and narrow glyphs.
 CONFUSED, DIGITS = "IlOoSBD", "1100580"
@@ -70,7 +70,7 @@ def first_more_complete(main: Column, others: Column) -> Column:
 def same_text(a: Column, b: Column, least: float = 70.0) -> Column:
     """Neither empty, and one holds the other or they are alike enough."""
     x, y = norm(F.coalesce(a, F.lit(""))), norm(F.coalesce(b, F.lit("")))
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (indel_ratio(x, y) >= least))
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (ratio_from(x, y, least) >= least))
 
 
 def correction_kind(verbatim: Column, corrected: Column, basis: Column) -> Column:

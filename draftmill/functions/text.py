@@ -141,6 +141,13 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs / total)
 
 
+def ratio_from(a: Column, b: Column, least: float) -> Column:
+    """indel_ratio where it may get to `least`, else 0: what texts have in common is no longer than the shorter one, so most
+    pairs are told apart by their lengths, without the rows of the programme."""
+    total = F.length(a) + F.length(b)
+    return F.when(200.0 * F.least(F.length(a), F.length(b)) >= least * total, indel_ratio(a, b)).otherwise(F.lit(0.0))
+
+
 def reply_object(s: Column) -> Column:
     """The outermost braces of a model's reply, with fences and other text around it dropped; null for none."""
     return F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))

@@ -24,7 +24,7 @@ def find_anchors(tokens: DataFrame, least: float = 85.0, labels: dict[str, list[
     clean = F.regexp_replace(F.upper("text"), r"[.:]+$", "")
     texts = tokens.select(clean.alias("clean")).distinct()
     words = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(i).alias("variant"), F.lit(w.upper()).alias("word")) for k, ws in labels.items() for i, w in enumerate(ws)])
-    scored = texts.withColumn("a", F.explode(words)).select("clean", "a.label", "a.variant", X.indel_ratio(F.col("clean"), F.col("a.word")).alias("score")).filter(F.col("score") >= least)
+    scored = texts.withColumn("a", F.explode(words)).select("clean", "a.label", "a.variant", X.ratio_from(F.col("clean"), F.col("a.word"), least).alias("score")).filter(F.col("score") >= least)
     hits = tokens.withColumn("clean", clean).join(scored, "clean")
     top = hits.groupBy("sheet_id", "label").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), (-F.col("variant")).alias("v"), *keep)).alias("m"))
     return top.select("sheet_id", "label", (-F.col("m.t")).cast("int").alias("tid"), F.round("m.score", 4).alias("score"), *[f"m.{c}" for c in keep])

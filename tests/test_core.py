@@ -5,7 +5,7 @@ import pytest
 from draftmill import catalog
 from draftmill.functions import text as X
 from draftmill.operators import extract, fusion, layout
-from draftmill.streaming.status_log import latest_stream
+from draftmill.streaming.status_log import activity, latest_stream
 from pyspark.sql import functions as F
 
 D = "/root/testdata/sf0.001"
@@ -71,3 +71,18 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_activity_leaves_late_rows_out(spark, tmp_path):
+    """Windows of an hour over a stream; a row that comes more than a day late counts no more."""
+    at = lambda day, hour: (f"2024-01-{day:02d} {hour:02d}:10:00", day % 2)
+    batches = [[at(1, 1), at(1, 1), at(1, 2)], [at(5, 3)], [at(1, 1), at(5, 3), at(5, 4)]]
+    (tmp_path / "in").mkdir()
+    log = spark.readStream.schema("ts timestamp, status int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for rows in batches:
+        spark.createDataFrame(rows, "ts string, status int").select(F.col("ts").cast("timestamp").alias("ts"), "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = activity(log, "ts").writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    seen = [(x["start"].day, x["start"].hour, x["status"], x["n"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert (1, 1, 1, 2) in seen and (1, 2, 1, 1) in seen and (5, 3, 1, 2) in seen and (5, 4, 1, 1) in seen
+    assert (1, 1, 1, 3) not in seen

@@ -7,7 +7,7 @@ import statistics
 
 import pytest
 from draftmill.operators import tables
-from draftmill.operators.ranges import range_join
+from draftmill.operators.ranges import box_pairs, range_join
 from draftmill.operators.regions import LABELS
 from pyspark.sql import functions as F
 
@@ -289,6 +289,20 @@ def test_range_join(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_box_pairs(spark):
+    """Each pair that shares some area once, in cells far smaller and far larger than the boxes."""
+    r = random.Random(5)
+    boxes = []
+    for k in range(150):
+        x, y = r.randint(-40, 90), r.randint(-40, 90)
+        boxes.append((r.randint(0, 1), k, x, y, x + r.choice([0, 5, 30]), y + r.choice([0, 4, 40])))
+    boxes += [(0, 900, None, 0, 5, 5), (0, 901, 9, 0, 5, 5)]
+    df = spark.createDataFrame(boxes, "sheet_id int, seq int, x0 int, y0 int, x1 int, y1 int")
+    want = sorted((a[1], b[1]) for a in boxes[:150] for b in boxes[:150] if a[0] == b[0] and a[1] < b[1] and min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3]))
+    for cell in (3, 64, 1000):
+        assert sorted((x["a_seq"], x["b_seq"]) for x in box_pairs(df, "sheet_id", "seq", cell=cell).collect()) == want
+
+
 def test_merging_of_lines(spark):
     r = random.Random(6)
     sheets = []
