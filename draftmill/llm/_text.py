@@ -34,11 +34,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a
-    folder of its own; a cluster is refused, as its executors could not reach a folder of this machine."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a session of one process (as in tests)
+    gets a folder of its own; a cluster is refused, as its executors could not reach a folder of this machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="draftmill-")
         atexit.register(shutil.rmtree, d, True)
