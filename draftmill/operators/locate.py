@@ -4,7 +4,7 @@ pages: sheet_id, w, h. tokens: sheet_id, tid, text, x0, y0, x1, y1. lines as in
 for the sheets where it succeeds (sheet_id, x0, y0, x1, y1, confidence, detail as JSON); `located` takes the first of them.
 
 Texts are classified once for each distinct text. Cells are the faces of the grid that a sheet's lines span: elementary
-cells are joined to those beside them where no line lies between (a union of sets folded over a sheet). Density is a
+cells are joined to those beside them where no line lies between (a union of sets, for the pages of a batch at once). Density is a
 separable stencil over the bins that hold text, as sums of what each bin gives to its neighbours.
 
 Defined results: sheets without tokens are located by default; null texts are empty; ties go to the earlier token (by tid)
@@ -13,14 +13,18 @@ or to the cell or bin further up, then further left. The density's sums are doub
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftmill.functions.staging import let, stage
 from draftmill.operators import layout, triage
-from draftmill.operators.folding import folded
 from draftmill.operators.ranges import range_join
 from draftmill.operators.rules import partial_ratio
 
@@ -125,45 +129,117 @@ def by_anchors(tokens: DataFrame, pages: DataFrame, lines: DataFrame, least: flo
     return all_.select("sheet_id", *[f"box.{k}" for k in SIDES], F.bround(conf, 3).alias("confidence"), detail.alias("detail"))
 
 
+def _faces(sheet: np.ndarray, across: np.ndarray, at: np.ndarray, p0: np.ndarray, p1: np.ndarray, w: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
+    """The faces of some pages at once (sizes w, h) from their lines (the page's number in `sheet`): all elementary cells
+    side by side by page, row and column. Cells of a row without a wall between them are one run; runs meet through what
+    is open above them, and each face takes the least run's number."""
+    n = len(w)
+
+    def grid(end: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places of lines of one orientation, and of the others' ends, by page: values, first and number of each page,
+        and of the lines the places of `at`, p0 and p1 in it."""
+        mine, other = np.flatnonzero(along), np.flatnonzero(~along)
+        # what lies off the page is moved to its border, where there is nothing to divide
+        ends = [np.clip(p[other], 0.0, end[sheet[other]]) for p in (p0, p1)]
+        page = np.concatenate([np.arange(n), np.arange(n), sheet[mine], sheet[other], sheet[other]])
+        value = np.concatenate([np.zeros(n), end, np.clip(at[mine], 0.0, end[sheet[mine]]), *ends])
+        order = np.lexsort((value, page))
+        page, value = page[order], value[order]
+        new = np.ones(len(page), bool)
+        new[1:] = (page[1:] != page[:-1]) | (value[1:] != value[:-1])
+        place = np.empty(len(page), np.int64)
+        place[order] = np.cumsum(new) - 1
+        count = np.bincount(page[new], minlength=n)
+        first = np.cumsum(count) - count
+        place = place[2 * n :]
+        k, m = len(mine), len(other)
+        return value[new], first, count, place[:k] - first[sheet[mine]], place[k : k + m] - first[sheet[other]], place[k + m :] - first[sheet[other]]
+
+    gx, fx, cx, up_at, lie_0, lie_1 = grid(w, ~across)
+    gy, fy, cy, lie_at, up_0, up_1 = grid(h, across)
+    nx, ny = cx - 1, cy - 1
+
+    def walls(page: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many lines lie along each side: sides of a page by row, one more than wide a row."""
+        size = (rows + 1) * (wide + 1)
+        first = np.cumsum(size) - size
+        row = first[page] + at * (wide[page] + 1)
+        total = int(size.sum())
+        return np.cumsum(np.bincount(row + a, minlength=total) - np.bincount(row + b, minlength=total)), first
+
+    lying, up = np.flatnonzero(across), np.flatnonzero(~across)
+    above, above_first = walls(sheet[lying], lie_at, lie_0, lie_1, ny, nx)
+    beside, beside_first = walls(sheet[up], up_at, up_0, up_1, nx, ny)
+    size = nx * ny
+    page = np.repeat(np.arange(n), size)
+    cell = np.arange(len(page)) - np.repeat(np.cumsum(size) - size, size)
+    i, j = np.divmod(cell, nx[page])
+    open_up = (i > 0) & (above[above_first[page] + i * (nx[page] + 1) + j] == 0)
+    open_left = (j > 0) & (beside[beside_first[page] + j * (ny[page] + 1) + i] == 0)
+    run = np.cumsum(~open_left) - 1
+    begin = np.flatnonzero(~open_left)
+    last = np.append(begin[1:], len(page)) - 1
+    joined = np.flatnonzero(open_up)
+    a, b = run[joined], run[joined - nx[page[joined]]]
+    face = np.arange(len(begin))
+    while len(a):
+        fa, fb = face[a], face[b]
+        np.minimum.at(face, np.maximum(fa, fb), np.minimum(fa, fb))
+        while True:
+            further = face[face]
+            if np.array_equal(further, face):
+                break
+            face = further
+        apart = face[a] != face[b]
+        a, b = a[apart], b[apart]
+    where = page[begin]
+    x0, x1 = gx[fx[where] + j[begin]], gx[fx[where] + j[last] + 1]
+    y0, y1 = gy[fy[where] + i[begin]], gy[fy[where] + i[begin] + 1]
+    order = np.argsort(face, kind="stable")
+    start = np.flatnonzero(np.diff(face[order], prepend=-1))
+    of = lambda f, v: f.reduceat(v[order], start) if len(order) else v
+    root = order[start]
+    return {"page": where[root], "cell": cell[begin[root]], "x0": of(np.minimum, x0), "y0": of(np.minimum, y0), "x1": of(np.maximum, x1), "y1": of(np.maximum, y1), "area": of(np.add, (x1 - x0) * (y1 - y0))}
+
+
+#: Elementary cells that are handled at once: more only where one page has more.
+AT_ONCE = 1 << 20
+
+
 def cells(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """(sheet_id, cell, x0, y0, x1, y1, area): the faces that a sheet's lines divide its page into, by their first corner.
-    Lines are taken as upright or level at their middle, and as having no width."""
+    Lines are taken as upright or level at their middle, and as having no width; what has no place is no line, and a page
+    without a size has no faces."""
     at = F.when(F.col("horizontal"), (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).cast("double")
     p0, p1 = (F.when(F.col("horizontal"), F.col(f"x{k}")).otherwise(F.col(f"y{k}")).cast("double") for k in "01")
-    ruled = lines.select("sheet_id", F.struct("horizontal", at.alias("at"), F.least(p0, p1).alias("p0"), F.greatest(p0, p1).alias("p1")).alias("r")).groupBy("sheet_id").agg(F.collect_list("r").alias("r"))
-    base = pages.select("sheet_id", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")).join(ruled, "sheet_id", "left")
-    base = base.withColumn("r", F.coalesce("r", F.array().cast(base.schema["r"].dataType)))
-    # the grid's coordinates: where lines lie, and where they end, on the page
-    of = lambda across: F.concat(F.transform(F.filter("r", lambda a: a["horizontal"] == across), lambda a: a["at"]), F.flatten(F.transform(F.filter("r", lambda a: a["horizontal"] != across), lambda a: F.array(a["p0"], a["p1"]))))
-    grid = lambda vs, end: F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), end), F.filter(vs, lambda v: (v > 0) & (v < end)))))
-    base = stage(base, gx=grid(of(False), F.col("w")), gy=grid(of(True), F.col("h")))
-    strips = lambda g: F.transform(F.slice(g, 2, F.size(g)), lambda v, i: F.struct(F.get(g, i).alias("a"), v.alias("b"), i.alias("i")))
-    each = base.select("sheet_id", "r", F.explode(strips(F.col("gy"))).alias("row"), "gx").select("sheet_id", "r", "row", F.explode(strips(F.col("gx"))).alias("col"))
-    r, c = F.col("row"), F.col("col")
-    # is the way to the cell above, or to the left, closed by a line along the whole side?
-    wall = lambda across, at, a, b: F.exists("r", lambda g: (g["horizontal"] == across) & (g["at"] == at) & (g["p0"] <= a) & (g["p1"] >= b))
-    few = each.select("sheet_id", r["i"].alias("i"), c["i"].alias("j"), c["a"].alias("x0"), r["a"].alias("y0"), c["b"].alias("x1"), r["b"].alias("y1"), ((r["i"] > 0) & ~wall(True, r["a"], c["a"], c["b"])).alias("up"), ((c["i"] > 0) & ~wall(False, c["a"], r["a"], r["b"])).alias("left"))
-
-    def fold(rows: list[tuple]) -> list[int]:
-        place = {(i, j): k for k, (i, j, _, _) in enumerate(rows)}
-        first = list(range(len(rows)))  # the first cell of each one's face, by way of others
-
-        def find(k: int) -> int:
-            while first[k] != k:
-                first[k] = first[first[k]]
-                k = first[k]
-            return k
-
-        for k, (i, j, up, left) in enumerate(rows):
-            for open_, other in ((up, (i - 1, j)), (left, (i, j - 1))):
-                if open_ and other in place:
-                    a, b = find(k), find(place[other])
-                    first[max(a, b)] = min(a, b)
-        return [find(k) for k in range(len(rows))]
-
-    joined = folded(few, "sheet_id", ["i", "j"], ["i", "j", "up", "left"], fold, "cell")
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return joined.groupBy("sheet_id", "cell").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(area).alias("area"))
+    ruled = lines.select("sheet_id", "horizontal", at.alias("at"), F.least(p0, p1).alias("p0"), F.greatest(p0, p1).alias("p1"))
+    sound = F.col("horizontal").isNotNull() & F.col("at").isNotNull() & F.col("p0").isNotNull() & ~F.isnan("at") & ~F.isnan("p0") & ~F.isnan("p1")
+    parts = {"across": F.col("horizontal"), **{k: F.col(k) for k in ("at", "p0", "p1")}}
+    ruled = ruled.filter(sound).groupBy("sheet_id").agg(F.collect_list(F.struct(*[c.alias(k) for k, c in parts.items()])).alias("r"))
+    base = pages.select("sheet_id", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")).filter("w > 0 AND h > 0").join(ruled, "sheet_id", "left")
+    schema = T.StructType([base.schema["sheet_id"], T.StructField("cell", T.IntegerType()), *[T.StructField(k, T.DoubleType()) for k in (*SIDES, "area")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = batch.column(3)
+            count = pc.fill_null(pc.list_value_length(r), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = r.flatten()
+            across, *place = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            w, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            sheet, across = np.repeat(np.arange(batch.num_rows), count), across.astype(bool)
+            # the most cells that a page may have
+            lying = np.bincount(sheet, across, batch.num_rows).astype(np.int64)
+            up = np.bincount(sheet, minlength=batch.num_rows) - lying
+            most = np.cumsum((up + 2 * lying + 1) * (lying + 2 * up + 1))
+            k = 0
+            while k < batch.num_rows:
+                end = max(k + 1, int(np.searchsorted(most, (most[k - 1] if k else 0) + AT_ONCE, "right")))
+                a, b = np.searchsorted(sheet, (k, end))
+                found = _faces(sheet[a:b] - k, across[a:b], *(p[a:b] for p in place), w[k:end], h[k:end])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found["page"] + k)), pa.array(found["cell"].astype(np.int32)), *[pa.array(found[c]) for c in (*SIDES, "area")]], names=schema.names)
+                k = end
+
+    return base.select("sheet_id", "w", "h", "r").mapInArrow(run, schema)
 
 
 def _filled(boxes: DataFrame, tokens: DataFrame, pages: DataFrame) -> DataFrame:

@@ -296,3 +296,17 @@ def test_nothing(spark):
     none, lines = spark.createDataFrame([], TOKENS), spark.createDataFrame([], LINES)
     assert [tuple(x)[:6] for x in locate.locate(pages, none, lines).collect()] == [(1, "fallback", 60, 44, 100, 80)]
     assert locate.locate(pages.limit(0), none, lines).count() == 0
+
+
+def test_cells_of_many_pages_at_once(spark):
+    """Faces come from one pass over whole pages: elementary cells are never rows. What has no place is no line."""
+    pages = spark.createDataFrame([(k, 100.0, 60.0) for k in range(300)], "sheet_id INT, w DOUBLE, h DOUBLE")
+    lines = [(k, False, 0, 50.0, -5.0, 50.0, 70.0) for k in range(0, 300, 2)] + [(k, True, 1, 0.0, 30.0, 50.0, 30.0) for k in range(0, 300, 4)] + [(k, True, 2, None, None, None, None) for k in range(300)]
+    faces_ = locate.cells(spark.createDataFrame(lines, "sheet_id INT, horizontal BOOLEAN, seq INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE"), pages)
+    assert "explode" not in faces_._jdf.queryExecution().executedPlan().toString().lower()
+    got = {}
+    for x in faces_.orderBy("sheet_id", "cell").collect():
+        got.setdefault(x["sheet_id"], []).append((*[x[c] for c in SIDES], x["area"]))
+    half = [(0.0, 0.0, 50.0, 60.0, 3000.0), (50.0, 0.0, 100.0, 60.0, 3000.0)]
+    quarters = [(0.0, 0.0, 50.0, 30.0, 1500.0), half[1], (0.0, 30.0, 50.0, 60.0, 1500.0)]
+    assert all(got[k] == (quarters if k % 4 == 0 else half if k % 2 == 0 else [(0.0, 0.0, 100.0, 60.0, 6000.0)]) for k in range(300)) and len(got) == 300
