@@ -1,54 +1,53 @@
-"""Order-dependent folds by key: one shuffle, a sort, and one pass over Arrow batches with only one key's rows held."""
+"""Order-dependent folds by key: one pass over Arrow batches with only one key's rows held. Rows that lie by key already, or by
+a part of it, are sorted where they are; others are shuffled once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def folded(df: DataFrame, key: str, order: list[Column | str], used: list[str], fold: Callable[[list[tuple]], list[int]], name: str) -> DataFrame:
+def folded(df: DataFrame, key: str | tuple[str, ...], order: list[Column | str], used: list[str], fold: Callable[[list[tuple]], list[int]], name: str) -> DataFrame:
     """Adds the int column `name`: fold takes the rows of a key in order, as tuples of the columns used, and gives a
     number for each. A key's rows must fit a task."""
+    keys_ = (key,) if isinstance(key, str) else tuple(key)
+    # a window leaves the rows of a key together and in order, and asks for a shuffle only where they don't lie by key
+    placed = df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys_).orderBy(*order)))
     columns = df.columns
     places = [columns.index(c) for c in used]
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        at = columns.index(key)
+        at = len(columns)  # __place is 1 where a key begins
 
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts).combine_chunks()
-            keys, rows = t.column(at).to_pylist(), list(zip(*(t.column(p).to_pylist() for p in places), strict=True))
+            firsts = [*np.flatnonzero(t.column(at).to_numpy() == 1).tolist(), t.num_rows]
+            rows = list(zip(*(t.column(p).to_pylist() for p in places), strict=True))
             out: list[int] = []
-            first = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[first]:
-                    out += fold(rows[first:k])
-                    first = k
-            yield from t.append_column(name, pa.array(out, pa.int32())).to_batches()
+            for a, b in pairwise(firsts):
+                out += fold(rows[a:b])
+            yield from t.drop_columns(["__place"]).append_column(name, pa.array(out, pa.int32())).to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(at)
-            last = keys[-1].as_py()
-            cut = batch.num_rows
-            while cut and keys[cut - 1].as_py() == last:
-                cut -= 1
-            if cut:  # all keys but the last are whole
-                yield from done([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            elif held and held[-1].column(at)[-1].as_py() != last:
-                yield from done(held)
-                held = [batch]
-            else:
+            begins = np.flatnonzero(batch.column(at).to_numpy() == 1)
+            if not len(begins):
                 held.append(batch)
+                continue
+            cut = int(begins[-1])  # all keys but the last are whole
+            if held or cut:
+                yield from done([*held, batch.slice(0, cut)] if cut else held)
+            held = [batch.slice(cut)]
         if held:
             yield from done(held)
 
-    return df.repartition(key).sortWithinPartitions(F.col(key), *order).mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)

@@ -55,7 +55,8 @@ def fuse(tokens: DataFrame, engines: int, least_conf: float = 0.3, least_iou: fl
     """One token for each group: text and conf of the surest reading (the first of equally sure ones), the box around all,
     the agreement (the share of readings that say the same, of all engines that ran), and all readings (candidates, by
     place)."""
-    kept = overlap_groups(tokens.filter(F.col("conf") >= least_conf), least_iou).filter("grp >= 0")
+    # one shuffle by sheet for all that follows: groups, tokens, and their order
+    kept = overlap_groups(tokens.filter(F.col("conf") >= least_conf), least_iou).filter("grp >= 0").repartition("sheet_id")
     best = Window.partitionBy("sheet_id", "grp").orderBy(F.desc("conf"), "y0", "x0", "seq")
     lead = kept.withColumn("best", F.first("text").over(best)).withColumn("same", (norm("text") == norm("best")).cast("int"))
     n = F.count("*")

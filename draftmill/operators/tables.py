@@ -278,11 +278,12 @@ def completed_frame(box: Column, hs: Column, vs: Column) -> Column:
     posts = F.filter(vs, lambda v: (v["y1"] > v["y0"]) & (F.greatest(F.lit(0.0), F.least(v["y1"], box["y1"]) - F.greatest(v["y0"], box["y0"])) >= 0.60 * tall))
     at = lambda v, y: v["x0"] + (v["x1"] - v["x0"]) * (y - v["y0"]) / (v["y1"] - v["y0"])
 
-    def end(ex: Column, ey: Column, outer) -> Column:
-        met = F.get(F.filter(posts, lambda v: ey.between(v["y0"] - F.col("h") * 0.012, v["y1"] + F.col("h") * 0.012) & (F.abs(at(v, ey) - ex) <= F.col("w") * 0.012)), 0)
-        return F.when(met.isNotNull(), outer(ex, at(met, box["y0"]), at(met, box["y1"])))
+    # what a lambda is given is computed once, however often it is named
+    def end(standing: Column, ex: Column, ey: Column, outer) -> Column:
+        met = F.get(F.filter(standing, lambda v: ey.between(v["y0"] - F.col("h") * 0.012, v["y1"] + F.col("h") * 0.012) & (F.abs(at(v, ey) - ex) <= F.col("w") * 0.012)), 0)
+        return let(met, lambda m: F.when(m.isNotNull(), outer(ex, at(m, box["y0"]), at(m, box["y1"]))))
 
-    ends = F.transform(along, lambda a: F.struct(end(a["x0"], a["y0"], F.least).alias("l"), end(a["x1"], a["y1"], F.greatest).alias("r"), F.least(a["y0"], a["y1"]).alias("t"), F.greatest(a["y0"], a["y1"]).alias("b")))
+    ends = let(posts, lambda ps: F.transform(along, lambda a: F.struct(end(ps, a["x0"], a["y0"], F.least).alias("l"), end(ps, a["x1"], a["y1"], F.greatest).alias("r"), F.least(a["y0"], a["y1"]).alias("t"), F.greatest(a["y0"], a["y1"]).alias("b"))))
 
     def wider(e: Column) -> Column:
         both = F.filter(e, lambda x: x["l"].isNotNull() & x["r"].isNotNull())

@@ -14,11 +14,16 @@ _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to a Python worker, if the session leaves Spark's own value, which needs four times as much.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES, SPARKS_OWN = 16 << 20, 64 << 20
+#: Spark 4.1 takes a union of parts that lie by key for lying by key itself, and then may put the parts one after another all
+#: the same, as adaptive plans read fewer partitions: a key's rows are in two tasks. (Seen on `merge_counts`.)
+UNION = "spark.sql.unionOutputPartitioning"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, once for each application, and bounds the batches they get."""
+    """Sends the package to the executors, once for each application, and bounds the batches they get;
+    unions are never taken for lying by key."""
     sc = spark.sparkContext
+    spark.conf.set(UNION, "false")
     if spark.conf.get(BATCH).rstrip("b") == str(SPARKS_OWN):
         spark.conf.set(BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
