@@ -289,18 +289,36 @@ def by_cells(tokens: DataFrame, pages: DataFrame, lines: DataFrame, smallest: fl
 def smoothed(grid: DataFrame, bins: int = BINS) -> DataFrame:
     """(sheet_id, bx, by, heat): the bins' ink smoothed along both axes; beyond the border the grid is mirrored at its last
     bin. Only bins near text have rows."""
+    bin_ = F.struct(F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), F.col("ink").cast("double").alias("ink"))
+    # one shuffle, by sheet; a bin gives to twenty-five others within its sheet's row
+    sheets = grid.filter("bx IS NOT NULL AND by IS NOT NULL AND ink IS NOT NULL").select("sheet_id", bin_.alias("g")).repartition("sheet_id").groupBy("sheet_id").agg(F.collect_list("g").alias("g"))
+    schema = T.StructType([sheets.schema["sheet_id"], T.StructField("bx", T.IntegerType()), T.StructField("by", T.IntegerType()), T.StructField("heat", T.DoubleType())])
+    reach = len(KERNEL) // 2
+
+    def spread(line: np.ndarray, at: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each bin's heat given along its line, from its own place and from where both borders mirror it."""
+        seen = np.stack([at, -at, 2 * (bins - 1) - at])
+        first = np.stack([np.ones(len(at), bool), seen[1] != seen[0], (seen[2] != seen[0]) & (seen[2] != seen[1])])
+        to = seen[:, :, None] + np.arange(-reach, reach + 1)
+        on = first[:, :, None] & (to >= 0) & (to < bins)
+        key, where = np.unique(np.broadcast_to(line[None, :, None] * bins, to.shape)[on] + to[on], return_inverse=True)
+        total = np.bincount(where, (heat[None, :, None] * np.array(KERNEL) + np.zeros(to.shape))[on], len(key))
+        return *np.divmod(key, bins), total
 
-    def spread(df: DataFrame, at: str, other: str, value: str) -> DataFrame:
-        s = F.col(at)
-        # where the bin is seen: at its own place, and mirrored at both borders
-        seen = F.array_distinct(F.array(s, -s, 2 * (bins - 1) - s))
-        reach = len(KERNEL) // 2
-        parts = F.flatten(F.transform(seen, lambda v: F.transform(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k")) for d, k in zip(range(-reach, reach + 1), KERNEL, strict=True)]), lambda e: F.struct((v + e["d"]).alias("to"), e["k"].alias("k")))))
-        each = df.select("sheet_id", other, F.col(value).alias("v"), F.explode(F.filter(parts, lambda p: p["to"].between(0, bins - 1))).alias("p"))
-        return each.groupBy("sheet_id", other, F.col("p.to").alias(at)).agg(F.sum(F.col("v") * F.col("p.k")).alias(value))
-
-    grid = grid.select("sheet_id", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), F.col("ink").cast("double").alias("heat"))
-    return spread(spread(grid, "bx", "by", "heat"), "by", "bx", "heat").select("sheet_id", "bx", "by", "heat")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(1)
+            bx, by, ink = (g.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sheet = np.repeat(np.arange(batch.num_rows, dtype=np.int64), pc.list_value_length(g).to_numpy(zero_copy_only=False))
+            line, bx, heat = spread(sheet * bins + by, bx.astype(np.int64), ink)  # lines are rows of a sheet, then its columns
+            sheet, by = np.divmod(line, bins)
+            line, by, heat = spread(sheet * bins + bx, by, heat)
+            sheet, bx = np.divmod(line, bins)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sheet)), pa.array(bx.astype(np.int32)), pa.array(by.astype(np.int32)), pa.array(heat)], names=schema.names)
+
+    return sheets.mapInArrow(run, schema)
 
 
 def by_density(tokens: DataFrame, pages: DataFrame, bins: int = BINS, keep: float = 0.45, fewest: int = 10, inside: int = 5) -> DataFrame:

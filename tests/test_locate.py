@@ -310,3 +310,13 @@ def test_cells_of_many_pages_at_once(spark):
     half = [(0.0, 0.0, 50.0, 60.0, 3000.0), (50.0, 0.0, 100.0, 60.0, 3000.0)]
     quarters = [(0.0, 0.0, 50.0, 30.0, 1500.0), half[1], (0.0, 30.0, 50.0, 60.0, 1500.0)]
     assert all(got[k] == (quarters if k % 4 == 0 else half if k % 2 == 0 else [(0.0, 0.0, 100.0, 60.0, 6000.0)]) for k in range(300)) and len(got) == 300
+
+
+def test_density_is_smoothed_within_sheets(spark):
+    """One shuffle, by sheet; what a bin gives to others is never shuffled. Borders mirror, as the kernel's sums show."""
+    grid = spark.createDataFrame([(1, 0, 0, 16.0), (2, 47, 24, 256.0), (2, 46, 24, None)], "sheet_id INT, bx INT, by INT, ink DOUBLE")
+    heat = locate.smoothed(grid)
+    assert heat._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["sheet_id"], r["bx"], r["by"]): r["heat"] for r in heat.collect()}
+    assert got[(1, 0, 0)] == 16 * 0.375**2 and got[(1, 2, 0)] == 16 * 0.0625 * 0.375 and len(got) == 9 + 15
+    assert got[(2, 47, 24)] == 256 * 0.375**2 and got[(2, 45, 26)] == 256 * 0.0625**2
