@@ -138,9 +138,9 @@ def call_outcomes(calls: DataFrame) -> DataFrame:
 def reply_items(replies: DataFrame) -> DataFrame:
     """A row for each field of each reply (sheet_id, raw_response): name, tokens, verbatim, corrected, basis, confidence,
     reason, note. error is null, or says why a reply (name null) or a field could not be read."""
-    parsed = replies.select("sheet_id", F.try_parse_json(reply_object(F.col("raw_response"))).alias("v"))
+    parsed = stage(replies.select("sheet_id", "raw_response"), v=F.try_parse_json(reply_object(F.col("raw_response")))).drop("raw_response")
     names = F.expr("CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN cast(v AS map<string, variant>) END")
-    items = parsed.withColumn("m", names)
+    items = stage(parsed, m=names)
     bad = items.filter("m IS NULL").select("sheet_id", F.lit("no JSON object").alias("error"))
     each = items.filter("m IS NOT NULL").select("sheet_id", F.explode("m").alias("name", "item")).filter("schema_of_variant(item) LIKE 'OBJECT%'")
     # a value that is no text (a list, say) is shown as JSON
@@ -153,16 +153,20 @@ def reply_items(replies: DataFrame) -> DataFrame:
     return out.unionByName(bad, allowMissingColumns=True)
 
 
-def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The fields that replies give, with their evidence: reply_items without the rows in error, and tokens (with those that
-    complete the evidence), tokens_repaired, evidence_ok, outcome, regions, evidence_bbox, agreement, conf, adjudicated,
-    corrected_signal, correction (`fix`, `normalize` or null), status, notes and source."""
-    items = reply_items(replies).filter("error IS NULL").drop("error")
+def _completed(items: DataFrame, tokens: DataFrame) -> DataFrame:
+    """items with their evidence, held against the tokens again with those that complete it."""
     first = _held(_with_tokens(items, tokens), "tokens")
     repaired = F.size("extra") > 0
     more = F.when(repaired, F.sort_array(F.array_union(F.col("tokens").cast(_IDS), F.col("extra")))).otherwise(F.col("tokens").cast(_IDS))
     again = stage(first, tokens=more, tokens_repaired=F.when(repaired, F.col("extra")), __first=F.col("told")).select(*items.columns, "__t", "tokens_repaired", "__first")
-    found = _held(again, "tokens")
+    return _held(again, "tokens")
+
+
+def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The fields that replies give, with their evidence: reply_items without the rows in error, and tokens (with those that
+    complete the evidence), tokens_repaired, evidence_ok, outcome, regions, evidence_bbox, agreement, conf, adjudicated,
+    corrected_signal, correction (`fix`, `normalize` or null), status, notes and source."""
+    found = _completed(reply_items(replies).filter("error IS NULL").drop("error"), tokens)
     least = lambda k: F.array_min(F.filter(F.transform("tokens", lambda i: F.try_element_at(F.col("__t"), i)[k]), lambda x: x.isNotNull()))
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     kind = repair.correction_kind(F.col("verbatim"), F.col("corrected"), F.col("basis"))
@@ -176,8 +180,6 @@ def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def reply_summary(replies: DataFrame, tokens: DataFrame) -> DataFrame:
     """Of each sheet the fields that its reply gave, those in error, those without evidence and those completed."""
-    items = reply_items(replies)
-    errors = items.groupBy("sheet_id").agg(F.count_if(F.col("error").isNotNull()).alias("n_errors"))
-    own = reply_fields(replies, tokens).groupBy("sheet_id").agg(F.count("*").alias("n_fields"), F.count_if(~F.col("evidence_ok")).alias("n_unproven"), F.count_if(F.col("tokens_repaired").isNotNull()).alias("n_completed"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return errors.join(own, "sheet_id", "left").select("sheet_id", "n_errors", zero("n_fields"), zero("n_unproven"), zero("n_completed"))
+    found = _completed(reply_items(replies).select("sheet_id", "tokens", "verbatim", "error"), tokens)
+    read = F.col("error").isNull()
+    return found.groupBy("sheet_id").agg(F.count_if(~read).alias("n_errors"), F.count_if(read).alias("n_fields"), F.count_if(read & ~F.col("evidence_ok")).alias("n_unproven"), F.count_if(read & F.col("tokens_repaired").isNotNull()).alias("n_completed"))

@@ -7,6 +7,7 @@ import re
 
 from draftmill.operators import evidence
 from draftmill.operators.fusion import CANDIDATES
+from pyspark.sql import functions as F
 
 TOKENS = f"sheet_id int, tid int, text string, x0 int, y0 int, x1 int, y1 int, conf double, agreement double, candidates {CANDIDATES}"
 
@@ -142,3 +143,12 @@ def test_calls(spark):
     c = spark.createDataFrame(rows, "sheet_id int, pending int, enabled boolean, available boolean, error string, raw_response string")
     got = {x["sheet_id"]: (x["outcome"], x["processing_status"]) for x in evidence.call_outcomes(c).collect()}
     assert got == {1: ("nothing pending", "success"), 2: ("unavailable", "failed"), 3: ("unavailable", "success"), 4: ("request failed", "failed"), 5: ("unreadable reply", "failed"), 6: ("parsed", "success"), 7: ("nothing pending", "success"), 8: ("unreadable reply", "failed")}
+
+
+def test_reply_summary_reads_items_once(spark):
+    """Rows in error and fields are counted in one pass: no join of the items with themselves."""
+    t = spark.createDataFrame([(1, 0, "SCALE", 0, 0, 9, 9, 0.9, 1.0)], "sheet_id INT, tid INT, text STRING, x0 INT, y0 INT, x1 INT, y1 INT, conf DOUBLE, agreement DOUBLE").withColumn("candidates", F.lit(None).cast("array<struct<text:string,engine:string,conf:double,source_bbox:array<int>>>"))
+    said = spark.createDataFrame([(1, '{"a": {"tokens": [0], "verbatim": "scale"}, "b": {"tokens": ["x"], "verbatim": "q"}}'), (2, "no object")], "sheet_id INT, raw_response STRING")
+    got = evidence.reply_summary(said, t)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, 0, 0), (2, 1, 0, 0, 0)]
