@@ -17,6 +17,9 @@ BATCH_BYTES, SPARKS_OWN = 16 << 20, 64 << 20
 #: Spark 4.1 takes a union of parts that lie by key for lying by key itself, and then may put the parts one after another all
 #: the same, as adaptive plans read fewer partitions: a key's rows are in two tasks. (Seen on `merge_counts`.)
 UNION = "spark.sql.unionOutputPartitioning"
+#: Rows that lie by sheet are joined by sheet and token where they lie. Spark's own value shuffles both sides once more by both
+#: keys; sheets are small, so that there is nothing to win by it.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -24,6 +27,7 @@ def ship(spark: SparkSession) -> SparkSession:
     unions are never taken for lying by key."""
     sc = spark.sparkContext
     spark.conf.set(UNION, "false")
+    spark.conf.set(ALL_KEYS, "false")
     if spark.conf.get(BATCH).rstrip("b") == str(SPARKS_OWN):
         spark.conf.set(BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
