@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +22,54 @@ ANCHORS = {
 }
 
 
+def _alike(words: list[tuple[str, int, str]], least: float) -> Callable[[str], list[dict]]:
+    """What gives the labels, variants and indel ratios of the words that a text is like enough. What texts have in common is
+    no more than their equal letters, so that few pairs get to the bit-parallel programme."""
+    given = []
+    for label, variant, word in words:
+        places: dict[str, int] = {}
+        for k, c in enumerate(word):
+            places[c] = places.get(c, 0) | 1 << k
+        given.append((label, variant, len(word), [(c, word.count(c)) for c in places], places))
+
+    @lru_cache(1 << 16)
+    def alike(text: str) -> list[dict]:
+        out = []
+        for label, variant, n, letters, places in given:
+            total = n + len(text)
+            if 200.0 * min(n, len(text)) < least * total or 200.0 * sum(min(text.count(c), m) for c, m in letters) < least * total:
+                continue
+            ones = row = (1 << n) - 1
+            for c in text:
+                hit = row & places.get(c, 0)
+                row = (row + hit) | (row - hit)
+            score = 200.0 * (n - (row & ones).bit_count()) / total
+            if score >= least:
+                out.append({"label": label, "variant": variant, "score": score})
+        return out
+
+    return alike
+
+
 def find_anchors(tokens: DataFrame, least: float = 85.0, labels: dict[str, list[str]] = ANCHORS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(sheet_id, label, tid, score, and the columns to keep): of each label the token that is most like one of its words. Distinct token texts
-    are scored once and joined back: the words are a fixed list, and texts repeat."""
+    """(sheet_id, label, tid, score, and the columns to keep): of each label the token that is most like one of its words. Texts are
+    held against the words, a fixed list, where they lie: labels are the most frequent texts, so nothing is joined by text."""
+    words = [(k, i, w.upper()) for k, ws in labels.items() for i, w in enumerate(ws)]
+
+    @F.arrow_udf("array<struct<label:string,variant:int,score:double>>")
+    def scored(texts: pa.Array) -> pa.Array:
+        alike = _alike(words, least)
+        coded = texts.dictionary_encode()
+        found = pa.array([alike(t) for t in coded.dictionary.to_pylist()], pa.list_(pa.struct({"label": pa.string(), "variant": pa.int32(), "score": pa.float64()})))
+        return found.take(coded.indices)
+
     clean = F.regexp_replace(F.upper("text"), r"[.:]+$", "")
-    texts = tokens.select(clean.alias("clean")).distinct()
-    words = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(i).alias("variant"), F.lit(w.upper()).alias("word")) for k, ws in labels.items() for i, w in enumerate(ws)])
-    scored = texts.withColumn("a", F.explode(words)).select("clean", "a.label", "a.variant", X.ratio_from(F.col("clean"), F.col("a.word"), least).alias("score")).filter(F.col("score") >= least)
-    hits = tokens.withColumn("clean", clean).join(scored, "clean")
+    longest = max((len(w) for _, _, w in words), default=0)
+    # a text that is much longer than all words is like none
+    near = tokens.withColumn("__clean", clean).filter(200.0 * longest >= least * (F.length("__clean") + longest))
+    hits = near.select("sheet_id", "tid", *[c for c in keep if c not in ("sheet_id", "tid")], F.inline(scored.asNondeterministic()("__clean")))
     top = hits.groupBy("sheet_id", "label").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), (-F.col("variant")).alias("v"), *keep)).alias("m"))
-    return top.select("sheet_id", "label", (-F.col("m.t")).cast("int").alias("tid"), F.round("m.score", 4).alias("score"), *[f"m.{c}" for c in keep])
+    return top.select("sheet_id", "label", (-F.col("m.t")).cast("int").alias("tid"), F.round("m.score", 4).alias("score"), *[F.col(f"m.{c}") for c in keep])
 
 
 def pair_score(a: str = "a_", t: str = "t_") -> Column:
