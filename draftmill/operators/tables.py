@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftmill.functions import text as X
 from draftmill.functions.staging import let, stage
-from draftmill.operators.folding import folded
+from draftmill.operators.folding import gathered, numbers
 from draftmill.operators.regions import LABELS, is_header
 
 # The labels that speak for a title block, those of its working group, and headings of lists.
@@ -68,35 +71,52 @@ def merged_lines(lines: DataFrame, pages: DataFrame, most: int = LONGEST) -> Dat
     u0, v0, u1, v1 = (F.when(across, F.col(a)).otherwise(F.col(b)).cast("double") for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1")))
     back = u1 < u0
     flat = flat.select("sheet_id", "horizontal", "seq", *[F.when(back, b).otherwise(a).alias(k) for k, a, b in (("u0", u0, u1), ("v0", v0, v1), ("u1", u1, u0), ("v1", v1, v0))], F.when(across, F.col("w") * 0.05).otherwise(F.col("h") * 0.035).cast("double").alias("gap"), F.greatest(F.lit(4.0), F.when(across, F.col("h") * 0.006).otherwise(F.col("w") * 0.003)).cast("double").alias("off"))
-    rank = Window.partitionBy("sheet_id", "horizontal").orderBy(F.sqrt((F.col("u1") - F.col("u0")) ** 2 + (F.col("v1") - F.col("v0")) ** 2).desc(), "seq")
-    flat = flat.withColumn("__k", F.row_number().over(rank)).filter((F.col("__k") <= most) & (F.col("u1") - F.col("u0") >= 1))
-
-    def fold(rows: list[tuple]) -> list[int]:
+    # the longest first; what has no length comes last
+    length = F.sqrt((F.col("u1") - F.col("u0")) ** 2 + (F.col("v1") - F.col("v0")) ** 2)
+    rank = F.when(F.isnan(length), float("-inf")).otherwise(F.coalesce(-length, F.lit(float("inf"))))
+    used = ["u0", "v0", "u1", "v1", "gap", "off"]
+    of_sheet = gathered(flat, ("sheet_id", "horizontal"), [rank, F.col("seq")], used)
+    of_sheet = of_sheet.select("sheet_id", "horizontal", F.filter(F.slice("g", 1, most), lambda t: t["u1"] - t["u0"] >= 1).alias("g"))
+
+    def groups_of(rows: list[tuple]) -> list[int]:
         groups: list[list[tuple]] = []
-        out = []
-        for u0, v0, u1, v1, gap, off in rows:
+        out = [0] * len(rows)
+        for place in sorted(range(len(rows)), key=lambda k: rows[k][0] - rows[k][2]):
+            u0, v0, u1, v1, gap, off = rows[place]
             slope = (v1 - v0) / (u1 - u0)
 
             def joins(group, u0=u0, u1=u1, middle=(v0 + v1) / 2, slope=slope, gap=gap, off=off) -> bool:
                 a0, b0, a1, b1 = group[0]
                 steep = (b1 - b0) / (a1 - a0)
-                if abs(math.degrees(math.atan(slope) - math.atan(steep))) > 2 or abs(middle - (b0 + steep * ((u0 + u1) / 2 - a0))) > off:
+                if abs(middle - (b0 + steep * ((u0 + u1) / 2 - a0))) > off or (slope != steep and abs(math.degrees(math.atan(slope) - math.atan(steep))) > 2):
                     return False
                 return min(max(0, u0 - g[2], g[0] - u1) for g in group) <= gap
 
             at = next((k for k, g in enumerate(groups) if joins(g)), len(groups))
             groups[at:] = groups[at:] or [[]]
             groups[at].append((u0, v0, u1, v1))
-            out.append(at)
+            out[place] = at
         return out
 
-    found = folded(flat, ("sheet_id", "horizontal"), [(F.col("u1") - F.col("u0")).desc(), "__k"], ["u0", "v0", "u1", "v1", "gap", "off"], fold, "grp")
-    # of equal starts and ends the longest line's
-    place = [-(F.col("u1") - F.col("u0")), F.col("__k")]
-    ends = found.groupBy("sheet_id", "horizontal", "grp").agg(F.min(F.struct(F.col("u0").alias("u"), *[c.alias(f"p{i}") for i, c in enumerate(place)], F.col("v0").alias("v"))).alias("a"), F.min(F.struct((-F.col("u1")).alias("u"), *[c.alias(f"p{i}") for i, c in enumerate(place)], F.col("v1").alias("v"))).alias("b"))
+    def fold(sizes: np.ndarray, *columns: pa.Array) -> list[int]:
+        rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+        ends = np.cumsum(sizes).tolist()
+        return [n for a, b in pairwise([0, *ends]) for n in groups_of(rows[a:b])]
+
+    of_sheet = of_sheet.withColumn("n", numbers(fold, *[F.col("g")[c] for c in used]))
+    g, n = F.col("g"), F.col("n")
+
+    def ends(k: Column) -> Column:
+        # of equal starts and ends the longest line's
+        own = F.filter(g, lambda _, i: F.get(n, i) == k)
+        at = lambda o, u, v: F.array_min(F.transform(o, lambda t, i: F.struct(u(t).alias("u"), (t["u0"] - t["u1"]).alias("p"), i.alias("i"), t[v].alias("v"))))
+        return let(own, lambda o: F.struct(k.alias("seq"), at(o, lambda t: t["u0"], "v0").alias("a"), at(o, lambda t: -t["u1"], "v1").alias("b")))
+
+    found = F.transform(F.sequence(F.lit(0), F.coalesce(F.array_max(n), F.lit(0))), ends)
+    out = of_sheet.filter(F.size("g") > 0).select("sheet_id", "horizontal", F.inline(found))
     along = {"x0": ("a.u", "a.v"), "y0": ("a.v", "a.u"), "x1": ("b.u", "b.v"), "y1": ("b.v", "b.u")}
     side = {k: [-F.col(c) if c == "b.u" else F.col(c) for c in v] for k, v in along.items()}
-    return ends.select("sheet_id", "horizontal", F.col("grp").alias("seq"), *[F.when(across, a).otherwise(b).alias(k) for k, (a, b) in side.items()])
+    return out.select("sheet_id", "horizontal", "seq", *[F.when(across, a).otherwise(b).alias(k) for k, (a, b) in side.items()])
 
 
 def ruled(lines: DataFrame) -> DataFrame:
