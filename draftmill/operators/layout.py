@@ -55,6 +55,10 @@ def density(tokens: DataFrame, width: int, height: int, bins: int = 48) -> DataF
 def peaks(df: DataFrame, key: str, at: str, gap: int = 6) -> DataFrame:
     """Runs of places at most `gap` apart, each as its integer mean."""
     w = Window.partitionBy(key).orderBy(at)
-    new = (F.col(at) - F.lag(at).over(w) > gap).cast("int")
-    runs = df.select(key, at).distinct().withColumn("__new", F.coalesce(new, F.lit(1))).withColumn("run", F.sum("__new").over(w))
+    # equal places follow one another where a key is sorted: no table of distinct ones is held before the shuffle
+    first = F.row_number().over(w) == 1
+    step = df.select(key, at).withColumns({"__before": F.lag(at).over(w), "__first": first})
+    step = step.filter(F.col("__first") | ~F.col(at).eqNullSafe(F.col("__before")))
+    new = (F.col(at) - F.col("__before") > gap).cast("int")
+    runs = step.withColumn("__new", F.coalesce(new, F.lit(1))).withColumn("run", F.sum("__new").over(w))
     return runs.groupBy(key, "run").agg(F.floor(F.avg(at)).cast("bigint").alias("peak"), F.count("*").alias("n"))
