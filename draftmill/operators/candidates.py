@@ -7,6 +7,9 @@ have no row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,11 @@ def hints(tokens: DataFrame, asked: tuple[str | None, ...] = ASKED) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     parts = F.transform(alternatives(text, F.col("candidates")), lambda c: F.struct(c["text"].alias("preferred"), c["engine"].alias("engine"), F.bround(c["conf"], 3).alias("conf"), X.norm(c["text"]).alias("other")))
     each = tokens.select("sheet_id", "tid", X.norm(text).alias("main"), F.posexplode(parts).alias("k", "c")).select("sheet_id", "tid", "main", "k", "c.*")
-    found = stage(each, **{f"r{i}": reasons(F.col("main"), F.col("other"), f) for i, f in enumerate(asked)})
+    # where a candidate has reasons for a field, its token takes this field or one before, and those after it aren't looked at
+    found = each
+    for i, f in enumerate(asked):
+        before = [F.size(f"r{k}") > 0 for k in range(i)]
+        found = stage(found, **{f"r{i}": F.when(reduce(or_, before), F.array().cast("array<string>")).otherwise(reasons(F.col("main"), F.col("other"), f)) if before else reasons(F.col("main"), F.col("other"), f)})
     best = [F.max(F.when(F.size(f"r{i}") > 0, F.struct(F.size(f"r{i}").alias("n"), (-F.col("k")).alias("back"), F.lit(f).cast("string").alias("field"), "preferred", "engine", "conf", F.col(f"r{i}").alias("reasons")))).alias(f"b{i}") for i, f in enumerate(asked)]
     one = found.groupBy("sheet_id", "tid").agg(*best).withColumn("b", F.coalesce(*[f"b{i}" for i in range(len(asked))])).filter("b IS NOT NULL")
     return one.select("sheet_id", "tid", "b.field", "b.preferred", "b.engine", "b.conf", "b.reasons")
