@@ -46,7 +46,8 @@ def grid(tokens: DataFrame, columns: int = 120, blanks: int = 2) -> DataFrame:
 def index(tokens: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """(sheet_id, index): a line for each token with its id, row and text, the other readings, and the hint (sheet_id, tid,
     preferred, why) if there is one."""
-    at = tokens.join(lines(tokens).filter("row_no >= 0").select("sheet_id", "row_no", F.col("x0").alias("lx"), F.col("y0").alias("ly")), ["sheet_id", "row_no"], "left")
+    line = Window.partitionBy("sheet_id", "row_no")
+    at = tokens.withColumns({f"l{c}": F.when(F.col("row_no") >= 0, F.min(f"{c}0").over(line)) for c in "xy"})
     head = F.concat(F.lit("["), F.col("tid").cast("string"), F.lit("] row "), F.col("row_no").cast("string"))
     row = F.concat(head, F.lit("  "), "text", F.when(F.size("alternatives") > 0, F.concat(F.lit("   ← alternatives "), F.array_join("alternatives", " | "))).otherwise(""))
     if hints is not None:
