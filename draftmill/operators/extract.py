@@ -22,7 +22,8 @@ ANCHORS = {
 }
 
 
-def _alike(words: list[tuple[str, int, str]], least: float) -> Callable[[str], list[dict]]:
+@lru_cache(4)
+def _alike(words: tuple[tuple[str, int, str], ...], least: float) -> Callable[[str], list[dict]]:
     """What gives the labels, variants and indel ratios of the words that a text is like enough. What texts have in common is
     no more than their equal letters, so that few pairs get to the bit-parallel programme."""
     given = []
@@ -54,7 +55,7 @@ def _alike(words: list[tuple[str, int, str]], least: float) -> Callable[[str], l
 def find_anchors(tokens: DataFrame, least: float = 85.0, labels: dict[str, list[str]] = ANCHORS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(sheet_id, label, tid, score, and the columns to keep): of each label the token that is most like one of its words. Texts are
     held against the words, a fixed list, where they lie: labels are the most frequent texts, so nothing is joined by text."""
-    words = [(k, i, w.upper()) for k, ws in labels.items() for i, w in enumerate(ws)]
+    words = tuple((k, i, w.upper()) for k, ws in labels.items() for i, w in enumerate(ws))
 
     @F.arrow_udf("array<struct<label:string,variant:int,score:double>>")
     def scored(texts: pa.Array) -> pa.Array:

@@ -3,7 +3,7 @@
 pages: sheet_id, w, h. tokens: sheet_id, tid, text, x0, y0, x1, y1. lines as in tables.py. Each way is a relation with a row
 for the sheets where it succeeds (sheet_id, x0, y0, x1, y1, confidence, detail as JSON); `located` takes the first of them.
 
-Texts are classified once for each distinct text. Cells are the faces of the grid that a sheet's lines span: elementary
+Texts are classified where they lie, once for each of a batch. Cells are the faces of the grid that a sheet's lines span: elementary
 cells are joined to those beside them where no line lies between (a union of sets, for the pages of a batch at once). Density is a
 separable stencil over the bins that hold text, as sums of what each bin gives to its neighbours.
 
@@ -13,10 +13,10 @@ or to the cell or bin further up, then further left. The density's sums are doub
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 from draftmill.functions.staging import let, stage
 from draftmill.operators import layout, triage
-from draftmill.operators.ranges import range_join
 from draftmill.operators.rules import partial_ratio
 
 # Words of title blocks, those that speak for themselves and those that need company.
@@ -54,23 +53,40 @@ def is_hit(text: str, word: str, least: float) -> bool:
         return False
     if word in text:
         return True
+    # of all that is alike, the common part is no more than the equal letters, at best without anything else
+    shared = sum(min(text.count(c), word.count(c)) for c in set(word))
+    if 200.0 * shared / (len(word) + shared) < least - 1e-9:
+        return False
     # a common subsequence is no longer than the shorter text
     if 200.0 * min(len(text), len(word)) / (len(text) + len(word)) >= least and _likeness(word, text) >= least:
         return True
     return len(text) >= len(word) and partial_ratio(word, text, least) >= least
 
 
+@lru_cache(4)
+def _kind(least: float, strong: tuple[str, ...], weak: tuple[str, ...]) -> Callable[[str], int]:
+    """What tells 2 for texts like a strong word, 1 for those like a weak one, else 0; a worker keeps what it was asked last."""
+
+    @lru_cache(1 << 16)
+    def of(text: str) -> int:
+        return 2 if any(is_hit(text, w, least) for w in strong) else 1 if any(is_hit(text, w, least) for w in weak) else 0
+
+    return of
+
+
 def keyword_hits(tokens: DataFrame, least: float = 85.0, strong: tuple[str, ...] = STRONG, weak: tuple[str, ...] = WEAK) -> DataFrame:
     """The tokens that are like a word of a title block, with the column strong."""
 
-    @F.pandas_udf("int")
-    def kind(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: 2 if any(is_hit(t, w, least) for w in strong) else 1 if any(is_hit(t, w, least) for w in weak) else 0)
+    @F.arrow_udf("int")
+    def kind(texts: pa.Array) -> pa.Array:
+        of = _kind(least, strong, weak)
+        coded = texts.dictionary_encode()
+        return pa.array([of(t) for t in coded.dictionary.to_pylist()], pa.int32()).take(coded.indices)
 
     bare = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), r"^[ .:,;]+|[ .:,;]+$", "")
     own = tokens.withColumn("__up", bare).filter((F.length("__up") >= 4) & F.col("__up").rlike(r"\p{L}"))
-    kinds = own.select("__up").distinct().withColumn("__kind", kind.asNondeterministic()("__up")).filter("__kind > 0")
-    return own.join(kinds, "__up").withColumn("strong", F.col("__kind") == 2).drop("__up", "__kind")
+    # texts are looked at where they lie: a title block's words are the most frequent ones, so nothing is joined by text
+    return own.withColumn("__kind", kind.asNondeterministic()("__up")).filter("__kind > 0").withColumn("strong", F.col("__kind") == 2).drop("__up", "__kind")
 
 
 def line_places(lines: DataFrame, pages: DataFrame, covered: float = 0.25) -> DataFrame:
@@ -244,11 +260,12 @@ def cells(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _filled(boxes: DataFrame, tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """boxes (sheet_id, cell, x0 to y1, more) with the tokens whose middle lies in them: n, and their area as ink."""
-    t = tokens.join(pages.select("sheet_id", F.col("w").alias("t_w")), "sheet_id").select("sheet_id", "t_w", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("t_area"))
-    b = boxes.join(pages.select("sheet_id", "w", "h"), "sheet_id")
-    met = range_join(b, t, "sheet_id", F.col("x0"), F.col("x1"), F.col("cx"), (F.col("w") / 8, F.col("t_w") / 8), F.col("cy").between(F.col("y0"), F.col("y1")))
-    sums = met.groupBy("sheet_id", "cell").agg(F.count("*").alias("n"), F.sum("t_area").alias("ink"))
-    return b.join(sums, ["sheet_id", "cell"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ink": F.coalesce("ink", F.lit(0.0))})
+    point = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("area"))
+    t = tokens.groupBy("sheet_id").agg(F.collect_list(point).alias("__t"))
+    b = boxes.join(pages.select("sheet_id", "w", "h"), "sheet_id").join(t, "sheet_id", "left")
+    held = F.filter("__t", lambda p: p["cx"].between(F.col("x0"), F.col("x1")) & p["cy"].between(F.col("y0"), F.col("y1")))
+    b = stage(stage(b, __t=F.coalesce(held, F.array().cast(b.schema["__t"].dataType))), n=F.size("__t").cast("bigint"), ink=F.aggregate(F.col("__t"), F.lit(0.0), lambda a, p: a + p["area"]))
+    return b.drop("__t")
 
 
 def by_cells(tokens: DataFrame, pages: DataFrame, lines: DataFrame, smallest: float = 0.01, largest: float = 0.30, gap: float = 0.02, most: float = 0.35, rounds: int = 6) -> DataFrame:
