@@ -67,14 +67,7 @@ def longest(segments: DataFrame, key: str, most: int = 240) -> DataFrame:
 def placed(tokens: DataFrame) -> DataFrame:
     """Fused tokens (sheet_id, seq, text, box, candidates) with row_no, the place of their line from the top, from 1, and tid,
     their own place from 0, line by line from the left. Upright tokens form rows, a rotated one is a line of its own."""
-    turned = layout.rotated(tokens)
-    upright = layout.rows(turned.filter("NOT rotated"))
-    alone = turned.filter("rotated").withColumn("row_no", (F.col("seq") + (1 << 30)).cast("int"))
-    line = Window.partitionBy("sheet_id", "__line")
-    every = upright.unionByName(alone).withColumnRenamed("row_no", "__line").withColumns({"__y": F.min("y0").over(line), "__x": F.min("x0").over(line)})
-    of = Window.partitionBy("sheet_id")
-    every = every.withColumn("row_no", F.dense_rank().over(of.orderBy("__y", "__x", "__line")))
-    return every.withColumn("tid", F.row_number().over(of.orderBy("row_no", "x0", "seq")) - 1).drop("__line", "__y", "__x", "rotated")
+    return layout.in_lines(tokens).select("sheet_id", "t.*", "tid")
 
 
 def scan_hints(tokens: DataFrame) -> DataFrame:
