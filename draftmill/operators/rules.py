@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from draftmill.functions import repair
 from draftmill.functions import text as X
+from draftmill.functions.staging import let, stage
 from draftmill.operators.extract import ANCHORS, find_anchors, pair_score
-from draftmill.operators.folding import folded
+from draftmill.operators.folding import folded, gathered
 from draftmill.operators.records import FIELDS
 
 # Names that are known, words that end a row of values, fields of several tokens, and the scores of rules.
@@ -31,6 +32,8 @@ LEAST_NAME, MOST_NAME, EXPANDED_NAME = 80.0, 0.96, 0.90
 LEAST_PAIR, LEAST_NUMBER_PAIR = 0.35, 0.30
 
 BOX = ("x0", "y0", "x1", "y1")
+#: The widest gap in a row of values, by the height of its seed.
+REACH = 1.8
 TOKEN = ("sheet_id", "tid", "text", *BOX, "conf", "agreement")
 FOUND = ("tids", "verbatim", "corrected", "basis", "score", "agreement", "conf")
 #: The turn of a seed that only stands for a sheet's open field.
@@ -41,28 +44,44 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
-def extended(seeds: DataFrame, tokens: DataFrame, reach: float = 1.8) -> DataFrame:
+def extended(seeds: DataFrame, tokens: DataFrame, reach: float = REACH) -> DataFrame:
     """seeds (sheet_id, name, turn, seed, alone, word, others; name and turn tell a sheet's seeds apart) with the tokens
     that go with each. With a word: all tokens that hold it. Else the seed and, unless it is alone, those to its right in
     its row up to a gap over `reach` of its height, a bare scale label or another label. Adds tids, whole (texts joined by
-    blanks), agreement and conf (the least). All of it stays in the partitions by sheet."""
-    keys = seeds.columns
-    t = tokens.select("sheet_id", "tid", F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"t_{c}") for c in BOX], F.col("conf").alias("__conf"), F.col("agreement").alias("__agreement"))
-    own = Window.partitionBy("sheet_id", "name", "turn")
-    needed = (F.col("tid") == F.col("seed")) | ~F.col("alone") | F.col("word").isNotNull()
-    seeded = seeds.join(t, "sheet_id").filter(needed).select("*", *[F.max(F.when(F.col("tid") == F.col("seed"), F.col(f"t_{c}"))).over(own).alias(f"s_{c}") for c in BOX])
-    h = F.greatest(F.col("s_y1") - F.col("s_y0"), F.lit(1))
-    off = F.abs((F.col("t_y0") + F.col("t_y1")) / 2.0 - (F.col("s_y0") + F.col("s_y1")) / 2.0)
-    after = (F.col("t_x0") > F.col("s_x0")) | ((F.col("t_x0") == F.col("s_x0")) & (F.col("tid") > F.col("seed")))
-    named = F.col("word").isNotNull()
-    row = seeded.filter(F.when(named, F.contains(F.upper("__text"), F.col("word"))).otherwise((F.col("tid") == F.col("seed")) | (~F.col("alone") & (off <= 0.6 * h) & after)))
-    # the seed comes first: it has the least (x0, tid) of what is left
-    w = own.orderBy("t_x0", "tid")
-    ends = ~named & (F.col("tid") != F.col("seed")) & ((F.col("t_x0") - F.lag("t_x1").over(w) > reach * h) | X.is_bare_label(F.col("__text")) | F.col("__text").rlike(ROW_END))
-    held = row.withColumn("__ends", ends.cast("int")).withColumn("__past", F.sum(F.coalesce("__ends", F.lit(0))).over(w)).filter("__past = 0")
-    place = F.when(named, 0).otherwise(F.col("t_x0"))
-    out = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "tid", "__text"))).alias("__parts"), F.min("__agreement").alias("agreement"), F.min("__conf").alias("conf"))
-    return out.select(*keys, F.col("__parts.tid").alias("tids"), F.array_join(F.col("__parts.__text"), " ").alias("whole"), "agreement", "conf")
+    blanks), agreement and conf (the least). A seed meets its sheet's tokens in one row."""
+    return _extended(seeds.join(_in_rows(tokens), "sheet_id"), seeds.columns, reach)
+
+
+def _in_rows(tokens: DataFrame) -> DataFrame:
+    """(sheet_id, toks): a sheet's tokens as an array, from the left."""
+    t = tokens.withColumns({"text": F.coalesce("text", F.lit("")), "__past": X.is_bare_label(F.coalesce("text", F.lit(""))) | F.coalesce("text", F.lit("")).rlike(ROW_END), "__up": F.upper(F.coalesce("text", F.lit("")))})
+    return gathered(t, "sheet_id", [F.col("x0"), F.col("tid")], ["tid", "text", "__up", "__past", *BOX, "conf", "agreement"], "toks")
+
+
+def _extended(seeded: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """`extended` of seeds with their sheets' tokens as the column toks."""
+    toks, seed = F.col("toks"), F.col("seed")
+
+    def row(s: Column) -> Column:
+        h = F.greatest(s["y1"] - s["y0"], F.lit(1))
+        near = lambda t: F.abs((t["y0"] + t["y1"]) / 2.0 - (s["y0"] + s["y1"]) / 2.0) <= 0.6 * h
+        after = lambda t: (t["x0"] > s["x0"]) | ((t["x0"] == s["x0"]) & (t["tid"] > seed))
+        # the seed comes first: it has the least (x0, tid) of what is left
+        own = F.filter(toks, lambda t: (t["tid"] == seed) | (near(t) & after(t)))
+
+        def held(r: Column) -> Column:
+            ends = lambda t, i: F.coalesce((t["tid"] != seed) & ((t["x0"] - F.get(r, i - 1)["x1"] > reach * h) | t["__past"]), F.lit(False))
+            first = F.array_position(F.transform(r, ends), True)
+            return F.when(first > 0, F.slice(r, 1, first.cast("int") - 1)).otherwise(r)
+
+        return let(own, held)
+
+    mine = F.filter(toks, lambda t: t["tid"] == seed)
+    named = F.filter(toks, lambda t: F.contains(t["__up"], F.col("word")))
+    by_id = F.array_sort(F.transform(named, lambda t: F.struct(t["tid"].alias("id"), t.alias("t"))))["t"]
+    held = F.when(F.col("word").isNotNull(), by_id).when(F.col("alone"), mine).otherwise(let(F.get(mine, 0), row))
+    out = stage(seeded, __h=held).filter(F.size("__h") > 0)
+    return out.select(*keys, F.col("__h.tid").alias("tids"), F.array_join(F.col("__h.text"), " ").alias("whole"), F.array_min("__h.agreement").alias("agreement"), F.array_min("__h.conf").alias("conf"))
 
 
 def with_scale(groups: DataFrame) -> DataFrame:
@@ -212,7 +231,9 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
         ),
         F.transform(beside, lambda v: seed(v["label"], 1, v["tid"], ~v["label"].isin(*SEVERAL), F.round(v["s"], 3))),
     )
-    g = with_scale(extended(sheets.select("sheet_id", F.explode(seeds).alias("d")).select("sheet_id", "d.*").filter("seed IS NOT NULL"), tokens))
+    # the tokens join their sheet's row before it is taken apart
+    each = stage(sheets, seeds=seeds).select("sheet_id", "seeds").join(_in_rows(tokens), "sheet_id").select("sheet_id", "toks", F.inline("seeds")).filter("seed IS NOT NULL")
+    g = with_scale(_extended(each, [c for c in each.columns if c != "toks"], REACH))
 
     by_scale, by_name = (F.col("name") == "scale") & (F.col("turn") == 0), F.col("word").isNotNull()
     grows = F.length("listed") / F.greatest(F.length("whole"), F.lit(1))
