@@ -1,4 +1,4 @@
-"""What OCR engines return, as readings: a table function of one payload (JSON text) to many rows.
+"""What OCR engines return, as readings: a function of one payload (JSON text) to many rows, by Arrow batches.
 
 payloads: sheet_id, pass, engine, payload, factor (how much the image was enlarged), width, height (of the enlarged image).
 Engines: `paddle` (pages with rec_texts, rec_scores, rec_polys, or pairs of a polygon and [text, score]), `tesseract` (one
@@ -17,8 +17,12 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 READING = "seq int, text string, x0 int, y0 int, x1 int, y1 int, conf double, error string"
 
@@ -100,12 +104,29 @@ class Readings:
             seq += 1
 
 
+#: Payloads whose readings are held at once.
+AT_ONCE = 1000
+
+
 def readings(payloads: DataFrame) -> DataFrame:
     """payloads with a row for each reading: sheet_id, pass, engine and the columns of READING."""
-    table = F.udtf(Readings, returnType=READING)
     own = payloads.select("sheet_id", "pass", "engine", "payload", F.col("factor").cast("double").alias("factor"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
-    args = [F.col(c).outer() for c in ("engine", "payload", "factor", "width", "height")]
-    return own.lateralJoin(table(*args)).select("sheet_id", "pass", "engine", "seq", "text", "x0", "y0", "x1", "y1", "conf", "error")
+    schema = T.StructType([*own.schema.fields[:3], *T._parse_datatype_string(READING).fields])
+    of_readings = to_arrow_schema(T._parse_datatype_string(READING))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Readings().eval
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                found = [list(read(*args)) for args in zip(*(part.column(c).to_pylist() for c in range(2, 7)), strict=True)]
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+                rows = [r for f in found for r in f]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(of_readings)
+                made = [pa.array(c, f.type) for c, f in zip(columns, of_readings, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(at) for c in range(3)], *made], names=schema.names)
+
+    return own.mapInArrow(run, schema)
 
 
 def read_all(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
