@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftmill.functions import repair
-from draftmill.functions.staging import stage
+from draftmill.functions.staging import let, stage
 from draftmill.functions.text import reply_object, squeezed
 from draftmill.operators.fusion import CANDIDATES
 
@@ -35,31 +35,58 @@ def _flat(s: Column) -> Column:
 def sheet_tokens(tokens: DataFrame) -> DataFrame:
     """(sheet_id, by_id): a map of each sheet's tokens with their readings, the token's own text first, then what the
     candidates read differently."""
-    own = _flat(F.col("text"))
+    return with_entries(tokens.filter("tid IS NOT NULL")).groupBy("sheet_id").agg(F.sort_array(F.collect_list("entry")).alias("es")).select("sheet_id", by_id(F.col("es")).alias("by_id"))
+
+
+def by_id(entries: Column) -> Column:
+    """The map of a sheet's sorted entries."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: (i == 0) | (e["tid"] != F.get(entries, i - 1)["tid"])))
+
+
+def with_entries(tokens: DataFrame, *keep: str) -> DataFrame:
+    """(sheet_id, entry) of tokens, and the columns to keep: a token as its sheet's map has it, null without tid."""
     box = F.array(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")])
     candidates = F.coalesce(F.col("candidates").cast(CANDIDATES), F.array().cast(CANDIDATES))
-    engine = F.coalesce(F.get(F.filter(candidates, lambda c: _flat(c["text"]) == own), 0)["engine"], F.lit("token"))
     reading = lambda flat, text, by, at: F.struct(flat.alias("flat"), text.alias("text"), by.alias("engine"), at.alias("bbox"))
     others = F.transform(candidates, lambda c: reading(_flat(c["text"]), c["text"], c["engine"], F.coalesce(c["source_bbox"], box)))
+    read = tokens.select("sheet_id", *keep, F.col("tid").cast("int").alias("__tid"), F.coalesce("text", F.lit("")).alias("__text"), F.col("conf").cast("double").alias("__conf"), F.col("agreement").cast("double").alias("__agreement"), box.alias("__box"), others.alias("__others"))
+    read = stage(read, __own=_flat(F.col("__text")), __others=F.col("__others"))
+    own, others = F.col("__own"), F.col("__others")
+    engine = F.coalesce(F.get(F.filter(others, lambda c: c["flat"] == own), 0)["engine"], F.lit("token"))
     new = F.filter(others, lambda c, i: (c["flat"] != "") & (c["flat"] != own) & ~F.exists(F.slice(others, 1, i), lambda d: d["flat"] == c["flat"]))
-    token = F.struct(F.coalesce("text", F.lit("")).alias("text"), own.alias("flat"), F.col("conf").cast("double").alias("conf"), F.col("agreement").cast("double").alias("agreement"), F.concat(F.array(reading(own, F.coalesce("text", F.lit("")), engine, box)), new).alias("readings"))
-    one = tokens.filter("tid IS NOT NULL").groupBy("sheet_id", F.col("tid").cast("int").alias("tid")).agg(F.min(token).alias("t"))
-    return one.groupBy("sheet_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tid", "t")))).alias("by_id"))
+    token = F.struct(F.col("__text").alias("text"), own.alias("flat"), F.col("__conf").alias("conf"), F.col("__agreement").alias("agreement"), F.concat(F.array(reading(own, F.col("__text"), engine, F.col("__box"))), new).alias("readings"))
+    return read.select("sheet_id", *keep, F.when(F.col("__tid").isNotNull(), F.struct(F.col("__tid").alias("tid"), token.alias("t"))).alias("entry"))
 
 
 def regions(ids: Column, target: Column, by_id: Column) -> Column:
     """The readings that make up the target (in capitals, without white space), an array of tid, text, engine and bbox; null if there are none, no ids, or
     ids that the sheet lacks."""
+    return let(_cited(ids, by_id), lambda cited: let(_own(cited), lambda own: _regions(ids, target, by_id, cited, own)))
+
+
+def _cited(ids: Column, by_id: Column) -> Column:
+    return F.transform(ids, lambda i: F.try_element_at(by_id, i))
+
+
+def _own(cited: Column) -> Column:
+    return F.array_join(F.transform(cited, lambda t: t["flat"]), "")
+
+
+def _known(cited: Column) -> Column:
+    return F.forall(cited, lambda t: t.isNotNull())
+
+
+def _regions(ids: Column, target: Column, by_id: Column, cited: Column, own: Column) -> Column:
     path = F.array().cast(f"array<{_REGION}>")
     begin = F.array(F.struct(F.lit(0).alias("end"), path.alias("path")))
+    region = lambda tid, c: F.struct(tid.alias("tid"), c["text"].alias("text"), c["engine"].alias("engine"), c["bbox"].alias("bbox"))
 
     def after(ways: Column, tid: Column) -> Column:
         readings = F.try_element_at(by_id, tid)["readings"]
 
         def on(way: Column) -> Column:
             fits = F.filter(readings, lambda c: F.startswith(F.substr(target, way["end"] + 1), c["flat"]))
-            region = lambda c: F.struct(tid.alias("tid"), c["text"].alias("text"), c["engine"].alias("engine"), c["bbox"].alias("bbox"))
-            return F.transform(fits, lambda c: F.struct((way["end"] + F.length(c["flat"])).alias("end"), F.concat(way["path"], F.array(region(c))).alias("path")))
+            return F.transform(fits, lambda c: F.struct((way["end"] + F.length(c["flat"])).alias("end"), F.concat(way["path"], F.array(region(tid, c))).alias("path")))
 
         return F.flatten(F.transform(ways, on))
 
@@ -68,9 +95,11 @@ def regions(ids: Column, target: Column, by_id: Column) -> Column:
 
     # one step by each token; what it gives is thinned out at the next step's start, as a lambda can't name a value
     ways = F.aggregate(ids, begin, lambda ways, tid: F.coalesce(after(first_ways(ways), tid), F.filter(begin, lambda _: F.lit(False))))
-    whole = F.filter(first_ways(ways), lambda w: w["end"] == F.length(target))
-    known = F.forall(ids, lambda i: F.array_contains(F.map_keys(by_id), i))
-    return F.when(F.coalesce((F.size(ids) > 0) & known, F.lit(False)), F.get(whole, 0)["path"])
+    whole = let(ways, lambda w: F.get(F.filter(first_ways(w), lambda v: v["end"] == F.length(target)), 0)["path"])
+    # the programme isn't needed where the tokens' own texts, which are the first way, or the readings of one token decide
+    owns = F.transform(cited, lambda t, i: region(F.get(ids, i), F.get(t["readings"], 0))).cast(f"array<{_REGION}>")
+    alone = let(F.get(F.filter(F.get(cited, 0)["readings"], lambda c: c["flat"] == target), 0), lambda c: F.when(c.isNotNull(), F.array(region(F.get(ids, 0), c))))
+    return F.when((F.size(ids) > 0) & _known(cited), F.when(own == target, owns).when(F.size(ids) == 1, alone).otherwise(whole))
 
 
 def regions_box(found: Column) -> Column:
@@ -84,39 +113,54 @@ def evidence(fields: DataFrame, tokens: DataFrame, ids: str = "tokens") -> DataF
     outcome: `none cited`, `ok`, `missing` (ids that the sheet lacks), `unlike` (the cited texts don't begin the verbatim),
     `incomplete` (the rest of the verbatim is in other tokens, whose ids are in extra) or `fabricated` (part of the rest is
     in no token); told: what the outcome is about."""
-    return _held(_with_tokens(fields, tokens), ids).drop("__t")
+    found = stage(_with_tokens(fields, tokens), __ids=F.coalesce(F.col(ids).cast(_IDS), F.array().cast(_IDS)), __target=_flat(F.col("verbatim")))
+    found = stage(found, __held=_held(F.col("__ids"), F.col("__target"), F.col("__t")))
+    return _shown(found).drop("__t", "__ids", "__target", "__held")
 
 
 def _with_tokens(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     """fields with their sheet's tokens as the column __t, empty where the sheet has none."""
-    found = fields.join(sheet_tokens(tokens).withColumnRenamed("by_id", "__t"), "sheet_id", "left")
-    return stage(found, __t=F.coalesce("__t", F.create_map().cast(found.schema["__t"].dataType)))
-
-
-def _held(found: DataFrame, ids: str) -> DataFrame:
-    found = stage(found, __ids=F.coalesce(F.col(ids).cast(_IDS), F.array().cast(_IDS)), __target=_flat(F.col("verbatim")))
-    cited, by_id, target = F.col("__ids"), F.col("__t"), F.col("__target")
-    found = stage(found, regions=regions(cited, target, by_id))
-    missing = F.filter(cited, lambda i: ~F.array_contains(F.map_keys(by_id), i))
-    own = F.array_join(F.transform(cited, lambda i: F.try_element_at(by_id, i)["flat"]), "")
-    # the rest of the verbatim is taken off by the tokens that aren't cited, in the order of their ids
-    start = F.struct(F.substr(target, F.length(own) + 1).alias("rest"), F.array().cast(_IDS).alias("extra"))
-
-    def take(at: Column, tid: Column) -> Column:
-        flat = F.element_at(by_id, tid)["flat"]
-        fits = (flat != "") & F.startswith(at["rest"], flat) & ~F.array_contains(cited, tid)
-        return F.struct(F.when(fits, F.substr(at["rest"], F.length(flat) + 1)).otherwise(at["rest"]).alias("rest"), F.when(fits, F.concat(at["extra"], F.array(tid))).otherwise(at["extra"]).alias("extra"))
-
-    found = stage(found, __missing=missing, __own=own)
-    begun = F.startswith(target, F.col("__own"))
-    outcome = F.when(F.size(cited) == 0, "none cited").when(F.size("__missing") > 0, "missing").when(F.col("regions").isNotNull() | (F.col("__own") == target), "ok").when(~begun, "unlike")
-    found = stage(stage(found, outcome=outcome), __left=F.when(F.col("outcome").isNull(), F.aggregate(F.map_keys(by_id), start, take)))
-    left = F.col("__left")
-    outcome = F.coalesce("outcome", F.when(left["rest"] == "", "incomplete").otherwise("fabricated"))
-    told = F.when(F.col("outcome") == "missing", F.array_join(F.col("__missing").cast("array<string>"), ", ")).when(F.col("outcome") == "unlike", F.col("__own")).when(F.col("outcome") == "incomplete", F.substr(target, F.length("__own") + 1)).when(F.col("outcome") == "fabricated", left["rest"])
-    extra = F.when(F.col("outcome") == "incomplete", left["extra"]).otherwise(F.array().cast(_IDS))
-    found = stage(stage(found, outcome=outcome), extra=extra, told=told, evidence_ok=F.col("outcome").isin("none cited", "ok"), evidence_bbox=regions_box(F.col("regions")))
-    return found.drop("__ids", "__target", "__missing", "__own", "__left")
+    return _or_none(fields.join(sheet_tokens(tokens).withColumnRenamed("by_id", "__t"), "sheet_id", "left"))
+
+
+def _or_none(found: DataFrame) -> DataFrame:
+    return found.withColumn("__t", F.coalesce("__t", F.create_map().cast(found.schema["__t"].dataType)))
+
+
+def _held(ids: Column, target: Column, by_id: Column) -> Column:
+    """What the cited tokens are to the target: a struct of regions, outcome, extra and told."""
+    none = F.array().cast(_IDS)
+
+    def left(cited: Column, own: Column) -> Column:
+        # the rest of the verbatim is taken off by the tokens that aren't cited, in the order of their ids
+        def take(at: Column, e: Column) -> Column:
+            flat = e["value"]["flat"]
+            fits = (flat != "") & F.startswith(at["rest"], flat) & ~F.array_contains(ids, e["key"])
+            return F.when(fits, F.struct(F.substr(at["rest"], F.length(flat) + 1).alias("rest"), F.concat(at["extra"], F.array(e["key"])).alias("extra"))).otherwise(at)
+
+        rest = F.substr(target, F.length(own) + 1)
+        end = F.aggregate(F.map_entries(by_id), F.struct(rest.alias("rest"), none.alias("extra")), take)
+        return let(end, lambda e: F.when(e["rest"] == "", told(None, "incomplete", e["extra"], rest)).otherwise(told(None, "fabricated", none, e["rest"])))
+
+    def told(found: Column | None, outcome: str, extra: Column = none, about: Column | None = None) -> Column:
+        text = F.lit(None).cast("string")
+        return F.struct((F.lit(None) if found is None else found).cast(f"array<{_REGION}>").alias("regions"), F.lit(outcome).alias("outcome"), extra.alias("extra"), (text if about is None else about).alias("told"))
+
+    def seen(cited: Column, own: Column) -> Column:
+        missing = F.filter(ids, lambda i: ~F.array_contains(F.map_keys(by_id), i))
+        listed = lambda m: F.when(F.size(m) > 0, told(None, "missing", none, F.array_join(m.cast("array<string>"), ", ")))
+        unlike = F.when(~F.startswith(target, own), told(None, "unlike", none, own))
+        read = let(_regions(ids, target, by_id, cited, own), lambda r: F.when(r.isNotNull() | (own == target), told(r, "ok")))
+        lacking = F.when(~_known(cited), let(missing, listed))
+        return F.coalesce(F.when(F.size(ids) == 0, told(None, "none cited")), lacking, read, unlike, left(cited, own))
+
+    return let(_cited(ids, by_id), lambda cited: let(_own(cited), lambda own: seen(cited, own)))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    """found with the columns of __held."""
+    held = F.col("__held")
+    return found.withColumns({k: held[k] for k in ("regions", "outcome", "extra", "told")} | {"evidence_ok": held["outcome"].isin("none cited", "ok"), "evidence_bbox": regions_box(held["regions"])})
 
 
 # --- replies -----------------------------------------------------------------------------------------------------------
@@ -137,37 +181,47 @@ def call_outcomes(calls: DataFrame) -> DataFrame:
 
 def reply_items(replies: DataFrame) -> DataFrame:
     """A row for each field of each reply (sheet_id, raw_response): name, tokens, verbatim, corrected, basis, confidence,
-    reason, note. error is null, or says why a reply (name null) or a field could not be read."""
-    parsed = stage(replies.select("sheet_id", "raw_response"), v=F.try_parse_json(reply_object(F.col("raw_response")))).drop("raw_response")
-    names = F.expr("CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN cast(v AS map<string, variant>) END")
-    items = stage(parsed, m=names)
-    bad = items.filter("m IS NULL").select("sheet_id", F.lit("no JSON object").alias("error"))
-    each = items.filter("m IS NOT NULL").select("sheet_id", F.explode("m").alias("name", "item")).filter("schema_of_variant(item) LIKE 'OBJECT%'")
-    # a value that is no text (a list, say) is shown as JSON
-    text = lambda k: F.coalesce(F.expr(f"try_variant_get(item, '$.{k}', 'string')"), F.expr(f"to_json(variant_get(item, '$.{k}', 'variant'))")).alias("basis" if k == "correction_basis" else k)
-    given = F.expr("variant_get(item, '$.tokens', 'variant')")
-    whole = each.select("sheet_id", "name", F.expr("try_variant_get(item, '$.tokens', 'array<int>')").alias("tokens"), *[F.when(F.is_variant_null(F.expr(f"variant_get(item, '$.{k}', 'variant')")), None).otherwise(text(k)).alias("basis" if k == "correction_basis" else k) for k in ("verbatim", "corrected", "correction_basis", "confidence", "reason", "note")], given.alias("given"))
-    empty = F.col("given").isNull() | F.is_variant_null("given") | F.coalesce(F.expr("schema_of_variant(given)") == "ARRAY<VOID>", F.lit(False))
-    wrong = ~empty & (F.col("tokens").isNull() | F.exists("tokens", lambda i: i.isNull()))
-    out = whole.withColumn("error", F.when(wrong, "tokens are no list of whole numbers")).withColumn("tokens", F.when(empty | wrong, F.array().cast(_IDS)).otherwise(F.col("tokens"))).drop("given")
-    return out.unionByName(bad, allowMissingColumns=True)
-
-
-def _completed(items: DataFrame, tokens: DataFrame) -> DataFrame:
-    """items with their evidence, held against the tokens again with those that complete it."""
-    first = _held(_with_tokens(items, tokens), "tokens")
-    repaired = F.size("extra") > 0
-    more = F.when(repaired, F.sort_array(F.array_union(F.col("tokens").cast(_IDS), F.col("extra")))).otherwise(F.col("tokens").cast(_IDS))
-    again = stage(first, tokens=more, tokens_repaired=F.when(repaired, F.col("extra")), __first=F.col("told")).select(*items.columns, "__t", "tokens_repaired", "__first")
-    return _held(again, "tokens")
-
-
-def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
+    reason, note. error is null, or says why a reply (name null) or a field could not be read. If replies have the column
+    by_id, rows have it too."""
+    keep = [c for c in replies.columns if c == "by_id"]
+    # a reply is taken apart by one cast: what is no object is null; a value that is no text (a list, say) is shown as JSON
+    texts = ("verbatim", "corrected", "correction_basis", "confidence", "reason", "note")
+    item = f"map<string, struct<tokens: variant, {', '.join(f'{k}: string' for k in texts)}>>"
+    parsed = stage(replies.select("sheet_id", *keep, "raw_response"), v=F.try_parse_json(reply_object(F.col("raw_response")))).drop("raw_response")
+    items = stage(parsed, m=F.try_variant_get("v", "$", item)).drop("v")
+    each = items.select("sheet_id", *keep, F.col("m").isNull().alias("bad"), F.explode_outer("m").alias("name", "item")).filter("bad OR item IS NOT NULL")
+    given = F.col("item")["tokens"]
+    whole = stage(each, tokens=F.try_variant_get(given, "$", _IDS), given=given, item=F.col("item"))
+    odd = F.col("tokens").isNull() | F.exists("tokens", lambda i: i.isNull())
+    # lists of nulls are as good as empty
+    empty = F.col("given").isNull() | F.is_variant_null("given") | F.coalesce(F.size("tokens") == 0, F.lit(False)) | (odd & F.coalesce(F.schema_of_variant("given") == "ARRAY<VOID>", F.lit(False)))
+    wrong = odd & ~empty
+    error = F.when(F.col("bad"), "no JSON object").when(wrong, "tokens are no list of whole numbers")
+    ids = F.when(~F.col("bad"), F.when(empty | wrong, F.array().cast(_IDS)).otherwise(F.col("tokens")))
+    return whole.select("sheet_id", *keep, "name", ids.alias("tokens"), *[F.col("item")[k].alias("basis" if k == "correction_basis" else k) for k in texts], error.alias("error"))
+
+
+def _completed(items: DataFrame, tokens: DataFrame | None) -> DataFrame:
+    """items with their evidence; those that more tokens complete are held against the tokens again with these."""
+    items = items.withColumn("tokens", F.col("tokens").cast(_IDS))
+    met = _or_none(items.withColumnRenamed("by_id", "__t")) if tokens is None else _with_tokens(items, tokens)
+    items = items.drop("by_id")
+    found = stage(met, __ids=F.coalesce(F.col("tokens").cast(_IDS), F.array().cast(_IDS)), __target=_flat(F.col("verbatim")))
+    first = stage(found, __held=_held(F.col("__ids"), F.col("__target"), F.col("__t")))
+    extra = F.col("__held")["extra"]
+    repaired = F.size(extra) > 0
+    more = F.when(repaired, F.sort_array(F.array_union("tokens", extra))).otherwise(F.col("tokens"))
+    again = stage(first, tokens=more, tokens_repaired=F.when(repaired, extra), __first=F.col("__held")["told"], __held=F.when(repaired, let(F.sort_array(F.array_union("__ids", extra)), lambda ids: _held(ids, F.col("__target"), F.col("__t")))).otherwise(F.col("__held")))
+    return _shown(again.select(*items.columns, "__t", "tokens_repaired", "__first", "__held")).drop("__held")
+
+
+def reply_fields(replies: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """The fields that replies give, with their evidence: reply_items without the rows in error, and tokens (with those that
     complete the evidence), tokens_repaired, evidence_ok, outcome, regions, evidence_bbox, agreement, conf, adjudicated,
-    corrected_signal, correction (`fix`, `normalize` or null), status, notes and source."""
+    corrected_signal, correction (`fix`, `normalize` or null), status, notes and source. Without tokens, replies have their
+    sheet's as the column by_id, and nothing is joined."""
     found = _completed(reply_items(replies).filter("error IS NULL").drop("error"), tokens)
-    least = lambda k: F.array_min(F.filter(F.transform("tokens", lambda i: F.try_element_at(F.col("__t"), i)[k]), lambda x: x.isNotNull()))
+    least = lambda k: F.array_min(F.transform("tokens", lambda i: F.try_element_at(F.col("__t"), i)[k]))
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     kind = repair.correction_kind(F.col("verbatim"), F.col("corrected"), F.col("basis"))
     quoted = lambda c: F.coalesce(F.col(c), F.lit("nothing"))
@@ -178,8 +232,9 @@ def reply_fields(replies: DataFrame, tokens: DataFrame) -> DataFrame:
     return out.drop("__t", "__first", "extra", "told", "note")
 
 
-def reply_summary(replies: DataFrame, tokens: DataFrame) -> DataFrame:
+def reply_summary(replies: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Of each sheet the fields that its reply gave, those in error, those without evidence and those completed."""
-    found = _completed(reply_items(replies).select("sheet_id", "tokens", "verbatim", "error"), tokens)
+    items = reply_items(replies)
+    found = _completed(items.select("sheet_id", *[c for c in items.columns if c == "by_id"], "tokens", "verbatim", "error"), tokens)
     read = F.col("error").isNull()
     return found.groupBy("sheet_id").agg(F.count_if(~read).alias("n_errors"), F.count_if(read).alias("n_fields"), F.count_if(read & ~F.col("evidence_ok")).alias("n_unproven"), F.count_if(read & F.col("tokens_repaired").isNotNull()).alias("n_completed"))

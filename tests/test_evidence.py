@@ -5,6 +5,8 @@ import json
 import random
 import re
 
+from draftmill import catalog_evidence  # noqa: F401  (it adds its queries to the catalog)
+from draftmill.catalog import QUERIES
 from draftmill.operators import evidence
 from draftmill.operators.fusion import CANDIDATES
 from pyspark.sql import functions as F
@@ -152,3 +154,25 @@ def test_reply_summary_reads_items_once(spark):
     got = evidence.reply_summary(said, t)
     assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 1
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, 0, 0), (2, 1, 0, 0, 0)]
+
+
+def test_replies_may_hold_their_tokens(spark):
+    """Replies with their sheet's tokens beside them give the same as tokens that are joined, and nothing is joined."""
+    rows = [(1, 0, "SITE", 0, 0, 10, 10, 0.9, 1.0, None), (1, 1, "PLAN", 12, 0, 20, 10, 0.8, 0.5, [("PLAM", "a", 0.8, None)]), (1, 1, "plan", 12, 0, 20, 10, 0.8, 0.5, None), (1, None, "X", 0, 0, 1, 1, 0.5, 1.0, None)]
+    said = {"a": {"tokens": [0], "verbatim": "site plan", "note": [1, {"k": None}]}, "b": {"tokens": [1], "verbatim": "plam", "corrected": 1.5}, "c": {"tokens": [None], "verbatim": True}, "d": {"tokens": [1, 7], "verbatim": None}, "e": {"tokens": "1"}, "f": 3}
+    r = spark.createDataFrame([(1, json.dumps(said)), (2, '{"a": {"tokens": [0], "verbatim": "q"}}'), (3, "no"), (4, "{}")], "sheet_id int, raw_response string")
+    t = spark.createDataFrame(rows, TOKENS)
+    held = r.join(evidence.sheet_tokens(t), "sheet_id", "left").localCheckpoint()
+    fields, counts = evidence.reply_fields(held), evidence.reply_summary(held)
+    assert not any("Join" in x._jdf.queryExecution().executedPlan().toString() for x in (fields, counts))
+    assert sorted(map(str, fields.collect())) == sorted(map(str, evidence.reply_fields(r, t).collect()))
+    got = {(x["sheet_id"], x["name"]): (x["tokens"], x["outcome"], x["verbatim"], x["corrected"]) for x in fields.collect()}
+    assert got == {(1, "a"): ([0, 1], "ok", "site plan", None), (1, "b"): ([1], "ok", "plam", "1.5"), (1, "c"): ([], "none cited", "true", None), (1, "d"): ([1, 7], "missing", None, None), (2, "a"): ([0], "missing", "q", None)}
+    assert next(x["notes"][0] for x in fields.collect() if x["name"] == "a") == '[1,{"k":null}]'
+    assert {x["sheet_id"]: tuple(x)[1:] for x in counts.collect()} == {1: (1, 4, 1, 1), 2: (0, 1, 1, 0), 3: (1, 0, 0, 0)}
+
+
+def test_model_fields_reads_tokens_once(spark):
+    for name in ("model_fields", "reply_counts"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("hashpartitioning(sheet_id") == 1, name
