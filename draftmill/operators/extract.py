@@ -23,7 +23,7 @@ ANCHORS = {
 
 
 @lru_cache(4)
-def _alike(words: tuple[tuple[str, int, str], ...], least: float) -> Callable[[str], list[dict]]:
+def alike_words(words: tuple[tuple[str, int, str], ...], least: float) -> Callable[[str], list[dict]]:
     """What gives the labels, variants and indel ratios of the words that a text is like enough. What texts have in common is
     no more than their equal letters, so that few pairs get to the bit-parallel programme."""
     given = []
@@ -59,7 +59,7 @@ def find_anchors(tokens: DataFrame, least: float = 85.0, labels: dict[str, list[
 
     @F.arrow_udf("array<struct<label:string,variant:int,score:double>>")
     def scored(texts: pa.Array) -> pa.Array:
-        alike = _alike(words, least)
+        alike = alike_words(words, least)
         coded = texts.dictionary_encode()
         found = pa.array([alike(t) for t in coded.dictionary.to_pylist()], pa.list_(pa.struct({"label": pa.string(), "variant": pa.int32(), "score": pa.float64()})))
         return found.take(coded.indices)
