@@ -107,27 +107,27 @@ def label_values(tokens: DataFrame, labels: dict[str, list[str]] = ANCHORS, leas
     enough for that: if it took another one, one of these would be free and no worse. All of it in the row of a sheet."""
     of_sheet = _in_rows(tokens.select(*TOKEN)).filter("sheet_id IS NOT NULL")
     each = of_sheet.withColumn("values", _values(F.col("toks"), labels, least)).filter(F.size("values") > 0)
-    found = each.select("sheet_id", "toks", F.inline("values"))
-    return found.select("sheet_id", "label", "tid", F.get(F.filter("toks", lambda t: t["tid"] == F.col("tid")), 0)["text"].alias("text"), "score")
+    found = each.select("sheet_id", "toks", F.inline("values")).withColumn("t", F.get("toks", F.col("at")))
+    return found.select("sheet_id", "label", "t.tid", "t.text", "score")
 
 
 def _values(toks: Column, labels: dict[str, list[str]], least: float) -> Column:
-    """array of struct(label, tid, score), by tid: the values that the labels among a sheet's tokens are given."""
+    """array of struct(label, at, score): which of a sheet's tokens, by tid, are the values that its labels are given."""
     words = tuple((k, i, w.upper()) for k, ws in labels.items() for i, w in enumerate(ws))
     longest = max((len(w) for _, _, w in words), default=0)
 
-    @F.arrow_udf("array<struct<label:string,tid:int,score:double>>")
-    def run(tids: pa.Array, texts: pa.Array, *box: pa.Array) -> pa.Array:
-        sizes = pc.list_value_length(tids).to_numpy(zero_copy_only=False).astype(np.int64)
-        return _assigned(words, least, sizes, tids.flatten().to_pylist(), texts.flatten().dictionary_encode(), *[c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in box])
+    @F.arrow_udf("array<struct<label:string,at:int,score:double>>")
+    def run(texts: pa.Array, *box: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        return _assigned(words, least, sizes, texts.flatten().dictionary_encode(), *[c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in box])
 
     # a text that is much longer than all words is like none
     near = lambda c: F.when(200.0 * longest >= least * (F.length(c) + longest), c)
     clean = lambda t: let(F.regexp_replace(F.upper(t["text"]), r"[.:]+$", ""), near)
     # or Spark would run it once more for each filter on what it gives
-    return run.asNondeterministic()(toks["tid"], F.transform(toks, clean), *[toks[c] for c in BOX])
+    return run.asNondeterministic()(F.transform(toks, clean), *[toks[c] for c in BOX])
 
-def _assigned(words: tuple, least: float, sizes: np.ndarray, tids: list, texts: pa.DictionaryArray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> pa.Array:
+def _assigned(words: tuple, least: float, sizes: np.ndarray, texts: pa.DictionaryArray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> pa.Array:
     """The values of many sheets' labels, as one list for each sheet; texts and boxes are those of all their tokens."""
     labels = sorted({w[0] for w in words})
     alike, first = alike_words(words, least), np.cumsum(sizes) - sizes
@@ -138,11 +138,11 @@ def _assigned(words: tuple, least: float, sizes: np.ndarray, tids: list, texts:
     top: dict[tuple[int, str], tuple] = {}
     for at in np.flatnonzero(np.array([*map(bool, like), False])[code]).tolist():
         for hit in like[code[at]]:
-            key, found = (int(sheet[at]), hit["label"]), (hit["score"], -tids[at], -hit["variant"], at)
+            key, found = (int(sheet[at]), hit["label"]), (hit["score"], -at, -hit["variant"])
             if key not in top or found > top[key]:
                 top[key] = found
     of = np.array([labels.index(label) for _, label in top], np.int64)
-    anchor = np.array([found[3] for found in top.values()], np.int64)
+    anchor = np.array([-found[1] for found in top.values()], np.int64)
     no_value = np.zeros(len(sheet), bool)
     no_value[anchor] = True
     # each label with all tokens of its sheet that are no labels: `extract.pair_score` of many at once
@@ -178,7 +178,7 @@ def _assigned(words: tuple, least: float, sizes: np.ndarray, tids: list, texts:
     number = labels.index("drawing_number") if "drawing_number" in labels else -1
     chosen &= score > np.where(label == number, LEAST_NUMBER_PAIR, LEAST_PAIR)
     t, label, score = t[chosen], label[chosen], score[chosen]
-    values = pa.StructArray.from_arrays([pa.array(labels, pa.string()).take(pa.array(label)), pa.array([tids[k] for k in t.tolist()], pa.int32()), pa.array(score)], ["label", "tid", "score"])
+    values = pa.StructArray.from_arrays([pa.array(labels, pa.string()).take(pa.array(label)), pa.array(t - first[sheet[t]], pa.int32()), pa.array(score)], ["label", "at", "score"])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(sheet[t], minlength=len(sizes)))), pa.int32()), values)
 
 
@@ -348,30 +348,31 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
     beside = F.filter("values", lambda v: v["label"].isin(*FIELDS) & (v["label"] != "drawing_number") & (share(v) >= lock))
     by = {"any": F.array_min(toks["tid"]), "scale": F.array_min(marked("is_scale")["tid"]), "date": F.array_min(marked("is_date")["tid"]), "n": number, "alt": alt, "mine": mine, "beside": beside}
     sheets = stage(read, by=F.struct(*[c.alias(k) for k, c in by.items()])).select("sheet_id", "toks", "m", "by.*").filter(F.col("any").isNotNull())
-    sheets = stage(sheets, mine=F.when(F.col("mine").isNotNull(), F.struct("mine.tid", share(F.col("mine")).alias("s"), F.get(F.filter(toks, lambda x: x["tid"] == F.col("mine.tid")), 0)["text"].alias("text"))))
+    sheets = stage(sheets, t=F.get(toks, F.col("mine.at")))
 
     def seed(name, turn, at, alone, score, why=None, word=None, listed=None):
         null = F.lit(None).cast("string")
         return F.struct(name.alias("name"), F.lit(turn).alias("turn"), at.cast("int").alias("seed"), alone.alias("alone"), score.cast("double").alias("score"), (null if why is None else why).alias("why"), (null if word is None else word).alias("word"), (null if listed is None else listed).alias("listed"))
 
-    mine = F.col("mine")
+    of_label, label_says = F.col("t.tid"), share(F.col("mine"))
     v_tid, v_text = F.coalesce(-F.col("n.back"), F.col("alt.tid")), F.coalesce("n.text", "alt.text")
     v_score = F.when(F.col("n.agreement") >= 0.99, AGREED_NUMBER).when(F.col("n").isNotNull(), LONE_NUMBER).when(F.col("alt").isNotNull(), OTHER_NUMBER)
-    conflict = F.when(v_tid.isNotNull() & mine["tid"].isNotNull() & (X.number_key(v_text) != X.number_key(mine["text"])), "conflict")
-    sure = F.greatest(v_score, mine["s"])  # of one alone, its own
-    numbered = F.when(conflict.isNotNull() | (sure >= lock), F.coalesce(mine["tid"], v_tid))
+    differ = F.when(v_tid.isNotNull() & of_label.isNotNull(), F.when(X.number_key(v_text) != X.number_key(F.col("t.text")), "conflict"))
+    sheets = stage(sheets, conflict=differ, sure=F.greatest(v_score, label_says))  # of one alone, its own
+    conflict, sure = F.col("conflict"), F.col("sure")
+    numbered = F.when(conflict.isNotNull() | (sure >= lock), F.coalesce(of_label, v_tid))
     pick = lambda given: F.get(F.array(*[F.lit(g) for g in given]), F.col("m.k")) if given else F.lit(None).cast("string")
     yes, no = F.lit(True), F.lit(False)
     seeds = F.concat(
         F.array(
             seed(F.lit("scale"), 0, F.col("scale"), no, F.lit(None)),
             seed(F.lit("date"), 0, F.col("date"), yes, F.lit(DATE_SCORE)),
-            seed(F.lit("drawing_number"), 0, numbered, yes, F.when(mine["tid"].isNull(), sure).otherwise(F.round(sure, 3)), conflict),
+            seed(F.lit("drawing_number"), 0, numbered, yes, F.when(of_label.isNull(), sure).otherwise(F.round(sure, 3)), conflict),
             seed(F.lit("architect"), 0, F.when(F.col("m.k").isNotNull(), F.col("any")), yes, F.least(F.col("m.score") / 100, F.lit(MOST_NAME)), None, pick([n.split()[0] for n in names]), pick([n.title() for n in names])),
         ),
-        F.transform("beside", lambda v: seed(v["label"], 1, v["tid"], ~v["label"].isin(*SEVERAL), F.round(share(v), 3))),
+        F.transform("beside", lambda v: seed(v["label"], 1, F.get(toks, v["at"])["tid"], ~v["label"].isin(*SEVERAL), F.round(share(v), 3))),
     )
-    given = stage(sheets, seeds=F.filter(seeds, lambda s: s["seed"].isNotNull())).select("sheet_id", "toks", "seeds")
+    given = stage(sheets, seeds=seeds).select("sheet_id", "toks", "seeds")
 
     def claim(s: Column, held: Column, whole: Column, found: Column) -> Column:
         by_scale, by_name = (s["name"] == "scale") & (s["turn"] == 0), s["word"].isNotNull()
@@ -394,21 +395,32 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
     def claimed(s: Column) -> Column:
         found = lambda whole: F.when((s["name"] == "scale") & (s["turn"] == 0), F.nullif(strip(F.regexp_extract(whole, X.SCALE, 0)), F.lit("")))
         of = lambda held: let(F.array_join(held["text"], " "), lambda whole: let(found(whole), lambda f: claim(s, held, whole, f)))
-        return let(_held(toks, s["seed"], s["alone"], s["word"]), lambda held: F.when(F.size(held) > 0, of(held)))
+        held = let(_held(toks, s["seed"], s["alone"], s["word"]), lambda held: F.when(F.size(held) > 0, of(held)))
+        return F.when(s["seed"].isNotNull(), held)
+
+    claims = stage(given, claims=F.transform("seeds", claimed)).select("sheet_id", "claims")
+    # a field has one claim of each turn at most: those of the first turn lie at their seeds' places
+    early, late = {"scale": 0, "date": 1, "drawing_number": 2, "architect": 3}, [f for f in FIELDS if f in labels and f != "drawing_number"]
+    of_turn_1 = lambda f: F.get(F.filter("claims", lambda c: (c["name"] == f) & (c["turn"] == 1)), 0)
+    by_label = {f"by_label_{f}": of_turn_1(f) for f in late}
+    one = stage(claims, **by_label) if late else claims
+    none = F.lit(None).cast(claims.schema["claims"].dataType.elementType)
+
+    def held(f: str) -> tuple[Column, Column]:
+        """What holds of a field's claims, and why one before it, or the last of all, was turned down."""
+        a, b = F.get("claims", F.lit(early[f])) if f in early else none, F.col(f"by_label_{f}") if f in late else none
+        good = lambda c: c.isNotNull() & c["why"].isNull()
+        return F.when(good(a), a["b"]).when(good(b), b["b"]), F.when(good(a), F.lit(None)).when(good(b), a["why"]).otherwise(F.coalesce(b["why"], a["why"]))
 
-    claims = stage(given, claims=F.filter(F.transform("seeds", claimed), lambda c: c.isNotNull())).select("sheet_id", "claims")
-    # of a field's claims, which lie by turn, the first that is not turned down holds; one that was turned down before it is told
-    of = lambda f, ok: F.filter("claims", lambda c: (c["name"] == f) & (c["why"].isNull() if ok else c["why"].isNotNull()))
-    one = stage(claims, **{f: F.struct(F.get(of(f, True), 0).alias("held"), F.try_element_at(of(f, False), F.lit(-1)).alias("no")) for f in FIELDS})
     # the title's words tell the type
-    title = F.col("drawing_title.held.b")
+    title, _ = held("drawing_title")
     kind = X.drawing_type(title["verbatim"])
     typed = F.struct(title["tids"].alias("tids"), title["verbatim"].alias("verbatim"), kind.alias("corrected"), F.lit("type words of the title").alias("basis"), F.lit(TYPE_SCORE).alias("score"), F.lit(None).cast("double").alias("agreement"), F.lit(None).cast("double").alias("conf"))
 
     def field(f: str) -> Column:
-        held, no = F.col(f"{f}.held"), F.col(f"{f}.no")
-        b = F.when(kind.isNotNull(), typed).otherwise(held["b"]) if f == "drawing_type" else held["b"]
-        rejected = F.when(held.isNull() | (no["turn"] < held["turn"]), no["why"])
+        b, rejected = held(f)
+        if f == "drawing_type":
+            b = F.when(kind.isNotNull(), typed).otherwise(b)
         return F.struct(F.lit(f).alias("name"), b.alias("b"), rejected.alias("rejected"))
 
     each = one.select("sheet_id", F.inline(F.array(*[field(f) for f in FIELDS])))
