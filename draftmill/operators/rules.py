@@ -363,16 +363,15 @@ def rule_fields(tokens: DataFrame, names: tuple[str, ...] = ARCHITECTS, labels:
     numbered = F.when(conflict.isNotNull() | (sure >= lock), F.coalesce(of_label, v_tid))
     pick = lambda given: F.get(F.array(*[F.lit(g) for g in given]), F.col("m.k")) if given else F.lit(None).cast("string")
     yes, no = F.lit(True), F.lit(False)
-    seeds = F.concat(
-        F.array(
-            seed(F.lit("scale"), 0, F.col("scale"), no, F.lit(None)),
-            seed(F.lit("date"), 0, F.col("date"), yes, F.lit(DATE_SCORE)),
-            seed(F.lit("drawing_number"), 0, numbered, yes, F.when(of_label.isNull(), sure).otherwise(F.round(sure, 3)), conflict),
-            seed(F.lit("architect"), 0, F.when(F.col("m.k").isNotNull(), F.col("any")), yes, F.least(F.col("m.score") / 100, F.lit(MOST_NAME)), None, pick([n.split()[0] for n in names]), pick([n.title() for n in names])),
-        ),
-        F.transform("beside", lambda v: seed(v["label"], 1, F.get(toks, v["at"])["tid"], ~v["label"].isin(*SEVERAL), F.round(share(v), 3))),
+    seeds = F.array(
+        seed(F.lit("scale"), 0, F.col("scale"), no, F.lit(None)),
+        seed(F.lit("date"), 0, F.col("date"), yes, F.lit(DATE_SCORE)),
+        seed(F.lit("drawing_number"), 0, numbered, yes, F.when(of_label.isNull(), sure).otherwise(F.round(sure, 3)), conflict),
+        seed(F.lit("architect"), 0, F.when(F.col("m.k").isNotNull(), F.col("any")), yes, F.least(F.col("m.score") / 100, F.lit(MOST_NAME)), None, pick([n.split()[0] for n in names]), pick([n.title() for n in names])),
     )
-    given = stage(sheets, seeds=seeds).select("sheet_id", "toks", "seeds")
+    beside = F.transform("beside", lambda v: seed(v["label"], 1, F.get(toks, v["at"])["tid"], ~v["label"].isin(*SEVERAL), F.round(share(v), 3)))
+    # apart from the lambda, so that Spark generates code for the others
+    given = stage(sheets, seeds=seeds).select("sheet_id", "toks", F.concat("seeds", beside).alias("seeds"))
 
     def claim(s: Column, held: Column, whole: Column, found: Column) -> Column:
         by_scale, by_name = (s["name"] == "scale") & (s["turn"] == 0), s["word"].isNotNull()
