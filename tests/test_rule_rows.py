@@ -12,7 +12,7 @@ TOKEN = "sheet_id long, tid int, text string, x0 int, y0 int, x1 int, y1 int, co
 
 @pytest.mark.parametrize("query", [rules.rule_fields, rules.label_values])
 def test_one_shuffle(spark, query):
-    """Before, parts of a sheet were computed apart and met by joins: 7 shuffles and more."""
+    """Before, parts of a sheet were computed apart, shuffled each and met by joins."""
     ship(spark)
     df = spark.createDataFrame([(1, 0, "SCALE", 0, 0, 40, 10, 0.5, 1.0, ["SCALE"]), (1, 1, "1:100", 60, 0, 90, 10, 0.5, 1.0, ["1:100"])], TOKEN).repartition(3)
     plan = query(df)._jdf.queryExecution().executedPlan().toString()
